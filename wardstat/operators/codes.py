@@ -72,12 +72,11 @@ def _describe(entries: DataFrame, counts: DataFrame, descriptions: DataFrame | N
     ``counts`` must have (code, COUNT) and be narrowed to dictionary codes;
     descriptions are narrowed here, so both lookups are bounded by the
     dictionary size and broadcast."""
-    out = entries.join(F.broadcast(counts), "code", "left") \
-        if dictionary.n_entries <= 500_000 else entries.join(counts, "code", "left")
+    out = entries.join(F.broadcast(counts) if dictionary.is_small else counts, "code", "left")
     if descriptions is not None:
         d = (descriptions.select("code", "description")
              .join(dictionary.codes(), "code", "left_semi"))
-        out = out.join(F.broadcast(d) if dictionary.n_entries <= 500_000 else d, "code", "left")
+        out = out.join(F.broadcast(d) if dictionary.is_small else d, "code", "left")
         desc = F.coalesce(F.col("description"), F.lit(""))
     else:
         desc = F.lit("")
@@ -121,12 +120,15 @@ def readmission_code_report(complications: CodeDictionary, readmission_rows: Dat
     (0 for procedures that had no index stays)."""
     counts = readmission_code_count(readmission_rows).select(
         "procedure", F.col("SOURCE_VALUE").alias("code"), "COUNT")
+    # Readmission codes come from the complication lists, so the counts are
+    # bounded by the dictionary size.
     entries = complications.entries()
-    out = entries.join(counts, ["procedure", "code"], "left")
+    out = entries.join(F.broadcast(counts) if complications.is_small else counts,
+                       ["procedure", "code"], "left")
     if descriptions is not None:
         d = (descriptions.select("code", "description")
              .join(complications.codes(), "code", "left_semi"))
-        out = out.join(F.broadcast(d), "code", "left")
+        out = out.join(F.broadcast(d) if complications.is_small else d, "code", "left")
         desc = F.coalesce(F.col("description"), F.lit(""))
     else:
         desc = F.lit("")

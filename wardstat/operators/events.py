@@ -63,9 +63,14 @@ def coded_events(events: DataFrame, kind: str, dictionary: CodeDictionary,
 
 
 def visit_spans(visits: DataFrame) -> DataFrame:
-    """Distinct (PERSON_ID, VISIT_START_DATE, VISIT_END_DATE, PROVIDER_ID);
-    visit ids are not used (they are not unique in practice)."""
-    return visits.select("PERSON_ID", *STAY_COLUMNS).distinct()
+    """(PERSON_ID, VISIT_START_DATE, VISIT_END_DATE, PROVIDER_ID); visit ids
+    are not used (they are not unique in practice).
+
+    Repeated spans are not removed here: that would cost a shuffle of the
+    whole visit table.  Their duplicate matches are collapsed by the
+    distinct that follows every placement, whose partial aggregation runs
+    in the join task before anything is shuffled."""
+    return visits.select("PERSON_ID", *STAY_COLUMNS)
 
 
 def place_in_visits(points: DataFrame, visits: DataFrame, bucket_days: int = 7) -> DataFrame:
@@ -105,15 +110,17 @@ def index_and_complication_stays(
     All three event sets are tagged and placed in visits by a single join,
     so the visit table is scanned and shuffled once.
     """
-    tagged = [
-        coded_events(conditions, "condition", diagnosis, condition_types)
-        .withColumn("branch", F.lit("C")),
-        coded_events(procedures, "procedure", diagnosis, procedure_types)
-        .withColumn("branch", F.lit("P")),
-        coded_events(conditions, "condition", complications, condition_types)
-        .withColumn("branch", F.lit("X")),
-    ]
-    points = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).distinct()
+    def coded(df, kind, types, pairs):
+        ev = filter_by_codes(event_view(df, kind), "TYPE_CONCEPT_ID", types)
+        return ev.join(pairs.withColumnRenamed("code", "SOURCE_VALUE"), "SOURCE_VALUE").select(
+            "procedure", "branch", "PERSON_ID", "EVENT_DATE", "SOURCE_VALUE")
+
+    # Conditions are read once for both lists: each event is routed to every
+    # (procedure, list) it belongs to by one broadcast join.
+    cond = coded(conditions, "condition", condition_types,
+                 diagnosis.tagged_pairs("C", complications, "X"))
+    proc = coded(procedures, "procedure", procedure_types, diagnosis.tagged_pairs("P"))
+    points = cond.unionByName(proc).distinct()
     placed = place_in_visits(points, visits, bucket_days)
     index = (placed.where(F.col("branch") != "X")
              .select("procedure", "branch", "PERSON_ID", "VISIT_END_DATE",

@@ -32,41 +32,90 @@ DICTIONARY_SCHEMA = T.StructType([
 
 @dataclass(frozen=True)
 class CodeDictionary:
+    """``df`` holds every entry; ``n_entries`` is its row count.
+
+    Dictionaries up to ``MAX_BROADCAST_ENTRIES`` entries are kept as local
+    relations (``rows``): their derived views (distinct pairs, codes,
+    procedures) are built on the driver and broadcast, so they add no
+    shuffle stage.  Larger ones stay distributed and join by shuffle.
+    """
     df: DataFrame
     n_entries: int
+    rows: tuple | None = None
+
+    @property
+    def _spark(self) -> SparkSession:
+        return self.df.sparkSession
 
-    def _maybe_broadcast(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.n_entries <= MAX_BROADCAST_ENTRIES else df
+    @property
+    def is_small(self) -> bool:
+        return self.n_entries <= MAX_BROADCAST_ENTRIES
+
+    def _local(self, data, schema) -> DataFrame:
+        return F.broadcast(self._spark.createDataFrame(list(data), schema))
 
     def entries(self) -> DataFrame:
         """All entries, repeated codes included, ready to join."""
-        return self._maybe_broadcast(self.df)
+        return F.broadcast(self.df) if self.is_small else self.df
 
     def pairs(self) -> DataFrame:
         """Distinct (procedure, code) pairs for filtering events."""
-        return self._maybe_broadcast(self.df.select("procedure", "code").distinct())
+        if self.rows is not None:
+            seen = dict.fromkeys((r[0], r[3]) for r in self.rows)
+            return self._local(seen, "procedure string, code string")
+        return self.df.select("procedure", "code").distinct()
+
+    def tagged_pairs(self, tag: str, other: "CodeDictionary | None" = None,
+                     other_tag: str | None = None) -> DataFrame:
+        """Distinct (procedure, code, branch) of this dictionary tagged
+        ``tag`` and optionally of ``other`` tagged ``other_tag``: one join
+        side that routes each event to every list it belongs to."""
+        parts = [(self, tag)] + ([(other, other_tag)] if other is not None else [])
+        if all(d.rows is not None for d, _ in parts):
+            seen = dict.fromkeys((r[0], r[3], t) for d, t in parts for r in d.rows)
+            return self._local(seen, "procedure string, code string, branch string")
+        out = None
+        for d, t in parts:
+            x = d.df.select("procedure", "code", F.lit(t).alias("branch"))
+            out = x if out is None else out.unionByName(x)
+        return out.distinct()
 
     def codes(self) -> DataFrame:
         """Distinct codes of all procedures."""
-        return self._maybe_broadcast(self.df.select("code").distinct())
+        if self.rows is not None:
+            return self._local(((c,) for c in dict.fromkeys(r[3] for r in self.rows)),
+                               "code string")
+        return self.df.select("code").distinct()
 
-    def procedures(self) -> DataFrame:
-        return self._maybe_broadcast(
-            self.df.groupBy("procedure").agg(F.min("proc_ord").alias("proc_ord")))
+    def procedure_names(self) -> list[str] | None:
+        if self.rows is None:
+            return None
+        return list(dict.fromkeys(r[0] for r in self.rows))
 
     def restrict_to(self, other: "CodeDictionary") -> "CodeDictionary":
         """Keep only procedures that also appear in ``other``."""
-        kept = self.df.join(other.df.select("procedure").distinct(), "procedure", "left_semi")
+        mine, theirs = self.procedure_names(), other.procedure_names()
+        if mine is not None and theirs is not None:
+            keep = set(theirs)
+            rows = tuple(r for r in self.rows if r[0] in keep)
+            return _local_dictionary(self._spark, rows)
+        kept = self.df.join(F.broadcast(other.df.select("procedure"))
+                            if other.is_small else other.df.select("procedure").distinct(),
+                            "procedure", "left_semi")
         return CodeDictionary(kept, self.n_entries)
 
 
+def _local_dictionary(spark: SparkSession, rows) -> CodeDictionary:
+    rows = tuple(tuple(r) for r in rows)
+    return CodeDictionary(spark.createDataFrame(list(rows), DICTIONARY_SCHEMA), len(rows), rows)
+
+
 def dictionary_from_mapping(spark: SparkSession,
                             mapping: Mapping[str, Sequence[str]]) -> CodeDictionary:
     rows = [(proc, p_ord, i, code)
             for p_ord, (proc, codes) in enumerate(mapping.items())
             for i, code in enumerate(codes)]
-    df = spark.createDataFrame(rows, DICTIONARY_SCHEMA)
-    return CodeDictionary(df, len(rows))
+    return _local_dictionary(spark, rows)
 
 
 def read_code_dictionary(spark: SparkSession, path: str) -> CodeDictionary:
@@ -91,8 +140,12 @@ def read_code_dictionary(spark: SparkSession, path: str) -> CodeDictionary:
                   F.posexplode(F.split("codes", ",")).alias("ord", "code"))
           .select("procedure", "proc_ord", F.col("ord").cast("int"), "code"))
     # The file is a configuration list: counting it is one tiny scan and
-    # gives the size that decides between broadcast and shuffle joins.
-    return CodeDictionary(df, df.count())
+    # gives the size that decides between a local (broadcast) dictionary and
+    # a distributed one.
+    n = df.count()
+    if n <= MAX_BROADCAST_ENTRIES:
+        return _local_dictionary(spark, [tuple(r) for r in df.collect()])
+    return CodeDictionary(df, n)
 
 
 def read_code_descriptions(spark: SparkSession, path: str) -> DataFrame:
