@@ -30,7 +30,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [a for a in sys.argv[1:] if a in QUERIES]
-    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")))
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "24")))
     # Warm the JVM (class loading, codegen caches) on a query outside the timings.
     QUERIES["condition_type_count"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 

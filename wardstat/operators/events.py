@@ -17,7 +17,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +96,17 @@ def inpatient_stays(events: DataFrame, kind: str, visits: DataFrame,
     return placed.select(*keys, "PERSON_ID", visit_date, "PROVIDER_ID", "SOURCE_VALUE").distinct()
 
 
+class Stays(NamedTuple):
+    index: DataFrame
+    complications: DataFrame
+    persisted: DataFrame | None
+
+
 def index_and_complication_stays(
         conditions: DataFrame, procedures: DataFrame, visits: DataFrame,
         diagnosis: CodeDictionary, complications: CodeDictionary,
         condition_types: Sequence[int], procedure_types: Sequence[int],
-        bucket_days: int = 7) -> tuple[DataFrame, DataFrame]:
+        bucket_days: int = 7, persist: bool = True) -> "Stays":
     """Index stays and complication stays of every procedure.
 
     Index stays: (procedure, branch, PERSON_ID, VISIT_END_DATE, PROVIDER_ID,
@@ -108,7 +116,11 @@ def index_and_complication_stays(
     SOURCE_VALUE) from conditions only.
 
     All three event sets are tagged and placed in visits by a single join,
-    so the visit table is scanned and shuffled once.
+    so the visit table is scanned and shuffled once.  The de-duplicated
+    placements are persisted (``persist``): index stays feed the provider
+    counts, the readmission join and the death join, and complication stays
+    come from the same placements, so without it each consumer would rerun
+    the scans and the range join.  Lost blocks are recomputed from lineage.
     """
     def coded(df, kind, types, pairs):
         ev = filter_by_codes(event_view(df, kind), "TYPE_CONCEPT_ID", types)
@@ -121,7 +133,12 @@ def index_and_complication_stays(
                  diagnosis.tagged_pairs("C", complications, "X"))
     proc = coded(procedures, "procedure", procedure_types, diagnosis.tagged_pairs("P"))
     points = cond.unionByName(proc).distinct()
-    placed = place_in_visits(points, visits, bucket_days)
+    placed = (place_in_visits(points, visits, bucket_days)
+              .select("procedure", "branch", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE",
+                      "PROVIDER_ID", "SOURCE_VALUE")
+              .distinct())
+    if persist:
+        placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
     index = (placed.where(F.col("branch") != "X")
              .select("procedure", "branch", "PERSON_ID", "VISIT_END_DATE",
                      "PROVIDER_ID", "SOURCE_VALUE")
@@ -130,4 +147,4 @@ def index_and_complication_stays(
              .select("procedure", "PERSON_ID", "VISIT_START_DATE",
                      "PROVIDER_ID", "SOURCE_VALUE")
              .distinct())
-    return index, compl
+    return Stays(index, compl, placed if persist else None)

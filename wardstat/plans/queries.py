@@ -25,8 +25,23 @@ from wardstat.specs import CohortSpec
 PERSON_COLS = ["PERSON_ID", "YEAR_OF_BIRTH", "GENDER_SOURCE_VALUE", "CARE_SITE_ID"]
 
 
+_DATASETS: dict = {}
+
+
 def _ds(spark, sf_dir):
-    return load_driver_dataset(spark, sf_dir)
+    """The driver tables as OMOP tables, read once per session and folder
+    (every query reuses the same lazy frames)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DATASETS:
+        _DATASETS[key] = load_driver_dataset(spark, sf_dir)
+    return _DATASETS[key]
+
+
+def _descriptions(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "descriptions")
+    if key not in _DATASETS:
+        _DATASETS[key] = load_code_descriptions(spark, sf_dir)
+    return _DATASETS[key]
 
 
 def _dicts(spark):
@@ -148,7 +163,7 @@ def _report(spark, sf_dir, which: str, primary: bool):
                      procedure_types=P.READMISSION.primary_procedure_types)
     return C.code_report(diag if which == "diagnosis" else compl,
                          ds["condition_occurrence"], ds["procedure_occurrence"],
-                         load_code_descriptions(spark, sf_dir), **types)
+                         _descriptions(spark, sf_dir), **types)
 
 
 def code_report_all(spark, sf_dir):
@@ -235,7 +250,7 @@ def readmission_code_count(spark, sf_dir):
 def readmission_code_report(spark, sf_dir):
     _, compl = _dicts(spark)
     return C.readmission_code_report(compl, _analysis(spark, sf_dir).readmissions,
-                                     load_code_descriptions(spark, sf_dir))
+                                     _descriptions(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

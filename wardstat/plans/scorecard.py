@@ -31,6 +31,12 @@ class ReadmissionResult:
     readmissions: DataFrame
     deaths: DataFrame
     scorecard: DataFrame
+    persisted: DataFrame | None = None
+
+    def unpersist(self) -> None:
+        """Release the persisted stays once the outputs are written."""
+        if self.persisted is not None:
+            self.persisted.unpersist()
 
 
 def readmission_analysis(ds: OmopDataset, diagnosis: CodeDictionary,
@@ -50,15 +56,15 @@ def readmission_analysis(ds: OmopDataset, diagnosis: CodeDictionary,
     # Only procedures with both lists are analysed.
     diag = diagnosis.restrict_to(complications)
     compl_codes = complications.restrict_to(diagnosis)
-    index, compl = index_and_complication_stays(
+    index, compl, persisted = index_and_complication_stays(
         conditions, procedures, ds["visit_occurrence"], diag, compl_codes,
         spec.primary_condition_types, spec.primary_procedure_types,
-        spec.visit_bucket_days)
+        spec.visit_bucket_days, spec.persist_stays)
     readm = readmissions(index, compl, spec.readmission_days)
     deaths = deaths_after_stay(index, ds["death"], spec.readmission_days,
                                spec.death_after_discharge_only)
     card = provider_scorecard(index, readm, deaths)
-    return ReadmissionResult(index, compl, readm, deaths, card)
+    return ReadmissionResult(index, compl, readm, deaths, card, persisted)
 
 
 def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionary,
@@ -99,4 +105,5 @@ def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionar
     for name, rep in reports.items():
         write_report_text(C.render_report(rep), f"{out}/{name}", mode=mode)
     write_csv(res.readmissions, f"{out}/readmissions", mode=mode)
+    res.unpersist()
     return {"persons": n_persons}

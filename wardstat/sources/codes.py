@@ -16,18 +16,27 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_BROADCAST_ENTRIES = 500_000
 
-DICTIONARY_SCHEMA = T.StructType([
-    T.StructField("procedure", T.StringType(), False),
-    T.StructField("proc_ord", T.LongType(), False),
-    T.StructField("ord", T.IntegerType(), False),
-    T.StructField("code", T.StringType(), True),
-])
+_ARROW_TYPES = {"procedure": pa.string(), "proc_ord": pa.int64(), "ord": pa.int32(),
+                "code": pa.string(), "branch": pa.string()}
+
+
+def local_frame(spark: SparkSession, rows, names: Sequence[str]) -> DataFrame:
+    """A small driver-side table as a local relation (Arrow): it is planned
+    as a literal scan, broadcast without a job, and two frames built from
+    the same rows are the same plan (so persisted results built on them are
+    found again by Spark's cache)."""
+    rows = list(rows)
+    cols = list(zip(*rows)) if rows else [() for _ in names]
+    table = pa.table({n: pa.array(list(c), type=_ARROW_TYPES[n]) for n, c in zip(names, cols)})
+    return spark.createDataFrame(table)
+
+
 
 
 @dataclass(frozen=True)
@@ -51,8 +60,8 @@ class CodeDictionary:
     def is_small(self) -> bool:
         return self.n_entries <= MAX_BROADCAST_ENTRIES
 
-    def _local(self, data, schema) -> DataFrame:
-        return F.broadcast(self._spark.createDataFrame(list(data), schema))
+    def _local(self, data, names) -> DataFrame:
+        return F.broadcast(local_frame(self._spark, data, names))
 
     def entries(self) -> DataFrame:
         """All entries, repeated codes included, ready to join."""
@@ -62,7 +71,7 @@ class CodeDictionary:
         """Distinct (procedure, code) pairs for filtering events."""
         if self.rows is not None:
             seen = dict.fromkeys((r[0], r[3]) for r in self.rows)
-            return self._local(seen, "procedure string, code string")
+            return self._local(seen, ["procedure", "code"])
         return self.df.select("procedure", "code").distinct()
 
     def tagged_pairs(self, tag: str, other: "CodeDictionary | None" = None,
@@ -73,7 +82,7 @@ class CodeDictionary:
         parts = [(self, tag)] + ([(other, other_tag)] if other is not None else [])
         if all(d.rows is not None for d, _ in parts):
             seen = dict.fromkeys((r[0], r[3], t) for d, t in parts for r in d.rows)
-            return self._local(seen, "procedure string, code string, branch string")
+            return self._local(seen, ["procedure", "code", "branch"])
         out = None
         for d, t in parts:
             x = d.df.select("procedure", "code", F.lit(t).alias("branch"))
@@ -84,7 +93,7 @@ class CodeDictionary:
         """Distinct codes of all procedures."""
         if self.rows is not None:
             return self._local(((c,) for c in dict.fromkeys(r[3] for r in self.rows)),
-                               "code string")
+                               ["code"])
         return self.df.select("code").distinct()
 
     def procedure_names(self) -> list[str] | None:
@@ -107,7 +116,8 @@ class CodeDictionary:
 
 def _local_dictionary(spark: SparkSession, rows) -> CodeDictionary:
     rows = tuple(tuple(r) for r in rows)
-    return CodeDictionary(spark.createDataFrame(list(rows), DICTIONARY_SCHEMA), len(rows), rows)
+    df = local_frame(spark, rows, ["procedure", "proc_ord", "ord", "code"])
+    return CodeDictionary(df, len(rows), rows)
 
 
 def dictionary_from_mapping(spark: SparkSession,

@@ -86,6 +86,8 @@ class ReadmissionSpec:
     death_after_discharge_only: bool = False
     # Width of the day buckets the range joins are keyed on.
     visit_bucket_days: int = 7
+    # Persist the placed stays shared by the scorecard's three consumers.
+    persist_stays: bool = True
     extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
