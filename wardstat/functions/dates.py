@@ -43,4 +43,4 @@ def parse_date(col: Column | str, fmt: str = "yyyyMMdd", strict: bool = False) -
     raises on bad input, like ``strptime``.  Null stays null either way."""
     c = F.col(col) if isinstance(col, str) else col
     pattern = spark_pattern(fmt)
-    return F.to_date(c, pattern) if strict else F.try_to_date(c, F.lit(pattern))
+    return F.to_date(c, pattern) if strict else F.try_to_date(c, pattern)
