@@ -1,0 +1,87 @@
+"""Cohort filters and parameter handling."""
+
+import datetime as dt
+
+import pytest
+
+from wardstat.dataset import OmopDataset
+from wardstat.operators import cohort as K
+from wardstat.specs import CohortSpec
+
+
+@pytest.fixture(scope="module")
+def ds(spark):
+    person = spark.createDataFrame(
+        [(1, 1950, "Male", 10), (2, 1960, "Female", None), (3, 1970, None, 20),
+         (4, 1980, "Female", 30)],
+        "PERSON_ID long, YEAR_OF_BIRTH int, GENDER_SOURCE_VALUE string, CARE_SITE_ID long")
+    cond = spark.createDataFrame(
+        [(1, dt.date(2008, 1, 1), dt.date(2008, 1, 2), 38000199),
+         (2, dt.date(2009, 1, 1), None, 38000200),
+         (3, dt.date(2010, 1, 1), dt.date(2010, 1, 1), 45756836)],
+        "PERSON_ID long, CONDITION_START_DATE date, CONDITION_END_DATE date, "
+        "CONDITION_TYPE_CONCEPT_ID long")
+    proc = spark.createDataFrame([(4, dt.date(2011, 1, 1), 38000251)],
+                                 "PERSON_ID long, PROCEDURE_DATE date, PROCEDURE_TYPE_CONCEPT_ID long")
+    visit = spark.createDataFrame([(1, dt.date(2008, 1, 1), dt.date(2008, 1, 3)),
+                                   (4, dt.date(2011, 1, 1), dt.date(2011, 1, 2))],
+                                  "PERSON_ID long, VISIT_START_DATE date, VISIT_END_DATE date")
+    death = spark.createDataFrame([(3, dt.date(2012, 1, 1))], "PERSON_ID long, DEATH_DATE date")
+    return OmopDataset({"person": person, "condition_occurrence": cond,
+                        "procedure_occurrence": proc, "visit_occurrence": visit, "death": death})
+
+
+def ids(df):
+    return sorted(r.PERSON_ID for r in df.collect())
+
+
+def test_birth_years(ds):
+    assert ids(K.cohort_person(ds, CohortSpec(year_of_birth_min=1960, year_of_birth_max=1970))) == [2, 3]
+    assert ids(K.cohort_person(ds, CohortSpec(year_of_birth_min="", year_of_birth_max=None))) == [1, 2, 3, 4]
+
+
+def test_gender_filters_drop_null_gender(ds):
+    assert ids(K.cohort_person(ds, CohortSpec(exclude_male=True))) == [2, 4]
+    assert ids(K.cohort_person(ds, CohortSpec(exclude_female=True))) == [1]
+
+
+def test_care_sites(ds):
+    assert ids(K.cohort_person(ds, CohortSpec(exclude_care_sites="10,30"))) == [2, 3]
+    assert ids(K.cohort_person(ds, CohortSpec(include_care_sites=[20, 30]))) == [3, 4]
+    with pytest.raises(ValueError):
+        CohortSpec(exclude_care_sites=[1], include_care_sites=[2])
+
+
+def test_event_dates_and_null_end(ds):
+    out = K.filter_event_dates(ds, dt.date(2008, 6, 1), "20101231")
+    assert ids(out["condition_occurrence"]) == [3]  # null end date dropped
+    assert ids(out["procedure_occurrence"]) == []
+    start_only = K.filter_event_dates(ds, "2009-01-01", None)
+    assert ids(start_only["condition_occurrence"]) == [2, 3]
+    # absent tables are skipped
+    assert "measurement" not in out
+
+
+def test_visit_and_inpatient(ds):
+    assert ids(K.cohort_person(ds, CohortSpec(with_visit_only=True))) == [1, 4]
+    assert ids(K.cohort_person(ds, CohortSpec(inpatient_only=True))) == [1, 2, 4]
+    assert ids(K.cohort_person(ds, CohortSpec(inpatient_only=True,
+                                              primary_condition_types="38000199",
+                                              primary_procedure_types=""))) == [1]
+
+
+def test_filters_are_anded(ds):
+    spec = CohortSpec(inpatient_only=True, exclude_male=True, year_of_birth_max=1975)
+    assert ids(K.build_cohort(ds, spec)["person"]) == [2]
+
+
+def test_dead_alive(ds):
+    assert ids(K.cohort_person(ds, CohortSpec(exclude_dead=True))) == [1, 2, 4]
+    assert ids(K.cohort_person(ds, CohortSpec(exclude_alive=True))) == [3]
+    with pytest.raises(ValueError):
+        CohortSpec(exclude_dead=True, exclude_alive=True)
+
+
+def test_restrict_to_persons(ds):
+    cohort = K.cohort_person(ds, CohortSpec(exclude_male=True))
+    assert ids(K.restrict_to_persons(ds["condition_occurrence"], cohort)) == [2]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardstat.dataset import OmopDataset
 from wardstat.schemas import EVENT_DATE_COLUMNS
-from wardstat.specs import CohortSpec
+from wardstat.specs import CohortSpec, as_date
 
 
 def filter_max_year_of_birth(person: DataFrame, year: int) -> DataFrame:
@@ -53,7 +53,9 @@ def include_care_sites(person: DataFrame, sites: Sequence[int]) -> DataFrame:
 def filter_event_dates(ds: OmopDataset, start=None, end=None) -> OmopDataset:
     """Keep events starting on/after ``start`` and ending on/before ``end``
     in the six event tables that are present (a null end drops the row
-    when ``end`` is set)."""
+    when ``end`` is set).  Bounds are dates or ``yyyyMMdd`` / ``yyyy-MM-dd``
+    strings; blank or None means no bound."""
+    start, end = as_date(start), as_date(end)
     changed = {}
     for table, (start_col, end_col) in EVENT_DATE_COLUMNS.items():
         if table not in ds:

@@ -16,7 +16,7 @@ PRIMARY_CONDITION_TYPES = (38000199, 38000200)
 PRIMARY_PROCEDURE_TYPES = (38000250, 38000251)
 
 
-def _as_date(v) -> dt.date | None:
+def as_date(v) -> dt.date | None:
     if v is None or v == "":
         return None
     if isinstance(v, dt.datetime):
@@ -63,8 +63,8 @@ class CohortSpec:
         set_ = object.__setattr__
         set_(self, "year_of_birth_min", _as_int(self.year_of_birth_min))
         set_(self, "year_of_birth_max", _as_int(self.year_of_birth_max))
-        set_(self, "events_start_date", _as_date(self.events_start_date))
-        set_(self, "events_end_date", _as_date(self.events_end_date))
+        set_(self, "events_start_date", as_date(self.events_start_date))
+        set_(self, "events_end_date", as_date(self.events_end_date))
         set_(self, "exclude_care_sites", _as_int_list(self.exclude_care_sites))
         set_(self, "include_care_sites", _as_int_list(self.include_care_sites))
         set_(self, "primary_condition_types", _as_int_list(self.primary_condition_types))
