@@ -130,7 +130,7 @@ def cohort_person(ds: OmopDataset, spec: CohortSpec) -> DataFrame:
 def build_cohort(ds: OmopDataset, spec: CohortSpec) -> OmopDataset:
     """Dataset with the cohort's persons and date-bounded event tables.
 
-    Event tables keep every person (as the reference does); use
+    Event tables keep every person (person filters do not reach them); use
     ``restrict_to_persons`` to narrow them to the cohort.
     """
     out = ds

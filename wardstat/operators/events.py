@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.operators.intervals import containment_join
+from wardstat.session import ensure_checkpoint_dir
 from wardstat.sources.codes import CodeDictionary
 
 # kind -> (event date, type concept, source value) columns
@@ -106,7 +107,7 @@ def index_and_complication_stays(
         conditions: DataFrame, procedures: DataFrame, visits: DataFrame,
         diagnosis: CodeDictionary, complications: CodeDictionary,
         condition_types: Sequence[int], procedure_types: Sequence[int],
-        bucket_days: int = 7, persist: bool = True) -> "Stays":
+        bucket_days: int = 7, materialize: str = "persist") -> "Stays":
     """Index stays and complication stays of every procedure.
 
     Index stays: (procedure, branch, PERSON_ID, VISIT_END_DATE, PROVIDER_ID,
@@ -117,10 +118,13 @@ def index_and_complication_stays(
 
     All three event sets are tagged and placed in visits by a single join,
     so the visit table is scanned and shuffled once.  The de-duplicated
-    placements are persisted (``persist``): index stays feed the provider
-    counts, the readmission join and the death join, and complication stays
-    come from the same placements, so without it each consumer would rerun
-    the scans and the range join.  Lost blocks are recomputed from lineage.
+    placements are materialised once (``materialize``): index stays feed
+    the provider counts, the readmission join and the death join, and
+    complication stays come from the same placements, so without it each
+    consumer would rerun the scans and the range join.  ``persist`` keeps
+    them in memory and on disk (lost blocks are recomputed from lineage);
+    ``checkpoint`` writes them to the session's checkpoint folder and cuts
+    the lineage, so a lost executor costs only a re-read.
     """
     def coded(df, kind, types, pairs):
         ev = filter_by_codes(event_view(df, kind), "TYPE_CONCEPT_ID", types)
@@ -137,8 +141,11 @@ def index_and_complication_stays(
               .select("procedure", "branch", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE",
                       "PROVIDER_ID", "SOURCE_VALUE")
               .distinct())
-    if persist:
+    if materialize == "persist":
         placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    elif materialize == "checkpoint":
+        ensure_checkpoint_dir(placed.sparkSession)
+        placed = placed.checkpoint(eager=True)
     index = (placed.where(F.col("branch") != "X")
              .select("procedure", "branch", "PERSON_ID", "VISIT_END_DATE",
                      "PROVIDER_ID", "SOURCE_VALUE")
@@ -147,4 +154,4 @@ def index_and_complication_stays(
              .select("procedure", "PERSON_ID", "VISIT_START_DATE",
                      "PROVIDER_ID", "SOURCE_VALUE")
              .distinct())
-    return Stays(index, compl, placed if persist else None)
+    return Stays(index, compl, placed if materialize == "persist" else None)

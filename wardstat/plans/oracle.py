@@ -239,6 +239,12 @@ ORACLE_SQL: dict[str, str] = {
     "cohort_exclude_alive": _with() + f"SELECT {PERSON_COLS} FROM o_person "
     "WHERE PERSON_ID IN (SELECT PERSON_ID FROM o_death)",
     "cohort_full": _with(*FULL_COHORT_CTES) + f"SELECT {PERSON_COLS} FROM f_person",
+    "cohort_extract_person": _with(*FULL_COHORT_CTES) +
+    "SELECT PERSON_ID, CAST(YEAR_OF_BIRTH AS INTEGER) AS YEAR_OF_BIRTH, GENDER_SOURCE_VALUE, "
+    "CAST(CARE_SITE_ID AS BIGINT) AS CARE_SITE_ID FROM f_person",
+    "cohort_extract_visit": _with(*FULL_COHORT_CTES) +
+    "SELECT VISIT_OCCURRENCE_ID, PERSON_ID, VISIT_START_DATE, VISIT_END_DATE, PROVIDER_ID "
+    "FROM f_visit",
     "condition_type_count": _with() +
     "SELECT CONDITION_TYPE_CONCEPT_ID, count(*) AS COUNT FROM o_condition GROUP BY 1",
     "procedure_type_count": _with() +
@@ -256,6 +262,20 @@ ORACLE_SQL: dict[str, str] = {
     "complication_code_report_primary": _with() + _report("o_compl", True),
     "code_report_totals": _with("o_rep AS (" + _report("o_diag", False) + ")") +
     "SELECT procedure, CAST(sum(COUNT) AS BIGINT) AS TOTAL FROM o_rep GROUP BY ROLLUP (procedure)",
+    "code_report_lines": _with("o_rep AS (" + _report("o_diag", True) + ")",
+                               "o_tot AS (SELECT procedure, CAST(sum(COUNT) AS BIGINT) AS TOTAL "
+                               "FROM o_rep GROUP BY ROLLUP (procedure))",
+                               "o_pp AS (SELECT DISTINCT procedure, proc_ord FROM o_rep)") + """
+SELECT proc_ord, 0 AS seq, 0 AS ord, 'Procedure: ' || procedure AS line FROM o_pp
+UNION ALL SELECT proc_ord, 0, 1, 'code, count, description' FROM o_pp
+UNION ALL SELECT proc_ord, 1, ord, code || ',' || CAST(COUNT AS VARCHAR) || ',' || DESCRIPTION
+  FROM o_rep
+UNION ALL SELECT p.proc_ord, 2, 0, 'Total Count For This procedure: ' || CAST(t.TOTAL AS VARCHAR)
+  FROM o_tot t JOIN o_pp p ON t.procedure = p.procedure
+UNION ALL SELECT p.proc_ord, 2, 1, '' FROM o_tot t JOIN o_pp p ON t.procedure = p.procedure
+UNION ALL SELECT CAST(NULL AS BIGINT), 3, 0,
+  'Total Count For All Procedures: ' || CAST(COALESCE(TOTAL, 0) AS VARCHAR)
+  FROM o_tot WHERE procedure IS NULL""",
     "inpatient_stays_condition": _with() + f"""
 SELECT DISTINCT d.procedure, c.PERSON_ID, v.VISIT_END_DATE, v.PROVIDER_ID,
        c.CONDITION_SOURCE_VALUE AS SOURCE_VALUE

@@ -7,6 +7,7 @@ equivalent SQL for each key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,10 @@ from wardstat.plans import params as P
 from wardstat.plans.scorecard import readmission_analysis
 from wardstat.sources.adapter import load_code_descriptions, load_driver_dataset
 from wardstat.sources.codes import dictionary_from_mapping
+from wardstat.dataset import OmopDataset
+from wardstat.session import ensure_checkpoint_dir
+from wardstat.sinks.files import write_tables
+from wardstat.sources.tables import load_directory
 from wardstat.specs import CohortSpec
 
 PERSON_COLS = ["PERSON_ID", "YEAR_OF_BIRTH", "GENDER_SOURCE_VALUE", "CARE_SITE_ID"]
@@ -126,6 +131,26 @@ def cohort_full(spark, sf_dir):
     return K.build_cohort(_ds(spark, sf_dir), P.FULL_COHORT)["person"].select(PERSON_COLS)
 
 
+def _extract_round_trip(spark, sf_dir) -> OmopDataset:
+    """The full cohort written as gzip CSV tables (one folder per table)
+    into the session's checkpoint folder, then loaded back by header name."""
+    cohort = K.build_cohort(_ds(spark, sf_dir), P.FULL_COHORT)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extract-{uuid.uuid4().hex}"
+    write_tables(OmopDataset({"person": cohort["person"],
+                              "visit_occurrence": cohort["visit_occurrence"]}),
+                 folder, codec="gzip")
+    return load_directory(spark, folder, date_format="yyyy-MM-dd")
+
+
+def cohort_extract_person(spark, sf_dir):
+    return _extract_round_trip(spark, sf_dir)["person"].select(PERSON_COLS)
+
+
+def cohort_extract_visit(spark, sf_dir):
+    return _extract_round_trip(spark, sf_dir)["visit_occurrence"].select(
+        "VISIT_OCCURRENCE_ID", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE", "PROVIDER_ID")
+
+
 # --- code statistics ----------------------------------------------------------
 
 def condition_type_count(spark, sf_dir):
@@ -267,6 +292,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_exclude_dead": cohort_exclude_dead,
     "cohort_exclude_alive": cohort_exclude_alive,
     "cohort_full": cohort_full,
+    "cohort_extract_person": cohort_extract_person,
+    "cohort_extract_visit": cohort_extract_visit,
     "condition_type_count": condition_type_count,
     "procedure_type_count": procedure_type_count,
     "code_filter": code_filter,

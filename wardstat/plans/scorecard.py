@@ -59,7 +59,7 @@ def readmission_analysis(ds: OmopDataset, diagnosis: CodeDictionary,
     index, compl, persisted = index_and_complication_stays(
         conditions, procedures, ds["visit_occurrence"], diag, compl_codes,
         spec.primary_condition_types, spec.primary_procedure_types,
-        spec.visit_bucket_days, spec.persist_stays)
+        spec.visit_bucket_days, spec.materialize)
     readm = readmissions(index, compl, spec.readmission_days)
     deaths = deaths_after_stay(index, ds["death"], spec.readmission_days,
                                spec.death_after_discharge_only)
@@ -69,10 +69,12 @@ def readmission_analysis(ds: OmopDataset, diagnosis: CodeDictionary,
 
 def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionary,
         out_dir: str, cohort_spec: CohortSpec = CohortSpec(),
-        spec: ReadmissionSpec = ReadmissionSpec(),
+        spec: ReadmissionSpec = ReadmissionSpec(materialize="checkpoint"),
         descriptions: DataFrame | None = None, mode: str = "errorifexists") -> dict:
     """Batch run: writes every output under ``out_dir`` and returns the
-    number of persons in the cohort."""
+    number of persons in the cohort.  By default the shared stays are
+    checkpointed (lineage cut in the session's checkpoint folder), so a
+    lost executor late in the run does not recompute the event scans."""
     from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report_text,
                                       write_single_csv)
 
@@ -84,7 +86,7 @@ def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionar
                      f"{out}/procedure_type_concept_count", mode=mode)
 
     cohort = build_cohort(ds, cohort_spec)
-    # The cohort size is reported, as the reference prints it.
+    # The cohort size is part of the run's report.
     n_persons = cohort["person"].count()
 
     res = readmission_analysis(cohort, diagnosis, complications, spec, cohort["person"])

@@ -1,4 +1,4 @@
-"""Parameters of the analysis (what the reference kept in property files).
+"""Parameters of the analysis (formerly kept in property files).
 
 ``CohortSpec`` selects patients and bounds events in time;
 ``ReadmissionSpec`` configures the index-stay / readmission search.
@@ -86,8 +86,11 @@ class ReadmissionSpec:
     death_after_discharge_only: bool = False
     # Width of the day buckets the range joins are keyed on.
     visit_bucket_days: int = 7
-    # Persist the placed stays shared by the scorecard's three consumers.
-    persist_stays: bool = True
+    # How the placed stays shared by the scorecard's consumers are kept:
+    # "persist" (memory and disk, recomputed from lineage if an executor is
+    # lost), "checkpoint" (written to spark.checkpoint.dir, lineage cut) or
+    # "none" (recomputed by every consumer).
+    materialize: str = "persist"
     extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
@@ -95,5 +98,7 @@ class ReadmissionSpec:
         set_(self, "primary_condition_types", _as_int_list(self.primary_condition_types))
         set_(self, "primary_procedure_types", _as_int_list(self.primary_procedure_types))
         set_(self, "readmission_days", int(self.readmission_days))
+        if self.materialize not in ("persist", "checkpoint", "none"):
+            raise ValueError(f"unknown materialize mode {self.materialize!r}")
         if self.visit_bucket_days < 1:
             raise ValueError("visit_bucket_days must be >= 1")
