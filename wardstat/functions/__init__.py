@@ -1,0 +1 @@
+"""Column-level helpers (built-in Spark expressions only)."""

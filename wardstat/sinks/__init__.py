@@ -1,0 +1 @@
+"""File sinks."""

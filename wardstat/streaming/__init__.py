@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The analysis this library covers is batch only: it has no watermark, no
+windowed aggregation and no state.  The readmission window is a join
+window over stored events, implemented in ``wardstat.operators.intervals``.
+"""
