@@ -52,14 +52,15 @@ def deaths_after_stay(index_stays: DataFrame, death: DataFrame, days: int,
     stays = stay_keys(index_stays)
     if after_discharge_only:
         d = death.select("PERSON_ID", "DEATH_DATE").distinct()
-        hit = band_join(stays, d,
-                        ["PERSON_ID"], "VISIT_END_DATE", "DEATH_DATE", 0, days - 1)
+        hit = (band_join(stays, d, ["PERSON_ID"], "VISIT_END_DATE", "DEATH_DATE", 0, days - 1)
+               .select(*STAY_KEY).distinct())
     else:
+        # one row per person on the death side: distinct stays stay distinct
         first = death.groupBy("PERSON_ID").agg(F.min("DEATH_DATE").alias("FIRST_DEATH"))
-        hit = stays.join(first, "PERSON_ID").where(
-            F.col("FIRST_DEATH") < F.date_add("VISIT_END_DATE", days))
-    return (hit.select(*STAY_KEY).distinct()
-            .withColumn("SOURCE_VALUE", F.lit(0)))
+        hit = (stays.join(first, "PERSON_ID")
+               .where(F.col("FIRST_DEATH") < F.date_add("VISIT_END_DATE", days))
+               .select(*STAY_KEY))
+    return hit.withColumn("SOURCE_VALUE", F.lit(0))
 
 
 def provider_event_count(events: DataFrame, count_name: str = "COUNT") -> DataFrame:
