@@ -65,21 +65,24 @@ def coded_events(events: DataFrame, kind: str, dictionary: CodeDictionary,
         "procedure", "PERSON_ID", "EVENT_DATE", "SOURCE_VALUE")
 
 
-def visit_spans(visits: DataFrame) -> DataFrame:
+def visit_spans(visits: DataFrame, dedupe: bool = True) -> DataFrame:
     """(PERSON_ID, VISIT_START_DATE, VISIT_END_DATE, PROVIDER_ID); visit ids
     are not used (they are not unique in practice).
 
-    Repeated spans are not removed here: that would cost a shuffle of the
-    whole visit table.  Their duplicate matches are collapsed by the
-    distinct that follows every placement, whose partial aggregation runs
-    in the join task before anything is shuffled."""
-    return visits.select("PERSON_ID", *STAY_COLUMNS)
+    With ``dedupe`` repeated spans are collapsed before the range join.  The
+    partial aggregation runs map-side, so a person holding a large share
+    of (repeated) visit rows reaches the join with distinct spans only and
+    the pairs compared per (person, bucket) stay bounded.  Without it the
+    duplicates are only removed after the join."""
+    spans = visits.select("PERSON_ID", *STAY_COLUMNS)
+    return spans.distinct() if dedupe else spans
 
 
-def place_in_visits(points: DataFrame, visits: DataFrame, bucket_days: int = 7) -> DataFrame:
+def place_in_visits(points: DataFrame, visits: DataFrame, bucket_days: int = 7,
+                    dedupe_visits: bool = True) -> DataFrame:
     """Events (any columns + PERSON_ID, EVENT_DATE) joined to every visit of
     the same person with VISIT_START_DATE <= EVENT_DATE <= VISIT_END_DATE."""
-    return containment_join(points, visit_spans(visits), ["PERSON_ID"],
+    return containment_join(points, visit_spans(visits, dedupe_visits), ["PERSON_ID"],
                             "EVENT_DATE", "VISIT_START_DATE", "VISIT_END_DATE",
                             bucket_days)
 
@@ -107,7 +110,8 @@ def index_and_complication_stays(
         conditions: DataFrame, procedures: DataFrame, visits: DataFrame,
         diagnosis: CodeDictionary, complications: CodeDictionary,
         condition_types: Sequence[int], procedure_types: Sequence[int],
-        bucket_days: int = 7, materialize: str = "persist") -> "Stays":
+        bucket_days: int = 7, materialize: str = "persist",
+        dedupe_visits: bool = True) -> "Stays":
     """Index stays and complication stays of every procedure.
 
     Index stays: (procedure, branch, PERSON_ID, VISIT_END_DATE, PROVIDER_ID,
@@ -137,7 +141,7 @@ def index_and_complication_stays(
                  diagnosis.tagged_pairs("C", complications, "X"))
     proc = coded(procedures, "procedure", procedure_types, diagnosis.tagged_pairs("P"))
     points = cond.unionByName(proc).distinct()
-    placed = (place_in_visits(points, visits, bucket_days)
+    placed = (place_in_visits(points, visits, bucket_days, dedupe_visits)
               .select("procedure", "branch", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE",
                       "PROVIDER_ID", "SOURCE_VALUE")
               .distinct())

@@ -59,7 +59,7 @@ def readmission_analysis(ds: OmopDataset, diagnosis: CodeDictionary,
     index, compl, persisted = index_and_complication_stays(
         conditions, procedures, ds["visit_occurrence"], diag, compl_codes,
         spec.primary_condition_types, spec.primary_procedure_types,
-        spec.visit_bucket_days, spec.materialize)
+        spec.visit_bucket_days, spec.materialize, spec.dedupe_visits)
     readm = readmissions(index, compl, spec.readmission_days)
     deaths = deaths_after_stay(index, ds["death"], spec.readmission_days,
                                spec.death_after_discharge_only)

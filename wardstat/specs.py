@@ -91,6 +91,8 @@ class ReadmissionSpec:
     # lost), "checkpoint" (written to spark.checkpoint.dir, lineage cut) or
     # "none" (recomputed by every consumer).
     materialize: str = "persist"
+    # Collapse repeated visit spans before the range join (see visit_spans).
+    dedupe_visits: bool = True
     extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
