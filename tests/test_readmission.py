@@ -135,3 +135,15 @@ def test_render_report_layout(spark):
         "Total Count For This procedure: 2", "",
     ]
     assert grand == ["Total Count For All Procedures: 4"]
+
+
+def test_hot_person_with_repeated_rows(spark):
+    """One person holds most rows, with many repeated visits and events:
+    results equal the small case (duplicates never inflate counts)."""
+    conds = [(1, d(0), PC, "0100")] * 200 + [(1, d(10), PC, "0389")] * 200 + [(2, d(0), PC, "0100")]
+    visits = [(1, d(0), d(2), 5)] * 300 + [(1, d(10), d(12), 5)] * 300 + [(2, d(0), d(1), 6)]
+    res = readmission_analysis(make_ds(spark, conds, [], visits), *dicts(spark))
+    assert card(res) == [("P", 5, 1, 1, 0, 1, 1.0), ("P", 6, 1, 0, 0, 0, 0.0)]
+    no_dedupe = readmission_analysis(make_ds(spark, conds, [], visits), *dicts(spark),
+                                     ReadmissionSpec(dedupe_visits=False))
+    assert card(no_dedupe) == card(res)

@@ -41,8 +41,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only
-    when the session has none (as in local tests)."""
+    """Return the session's checkpoint folder (``spark.checkpoint.dir``).
+
+    A scratch folder is created only for a local-mode session that has
+    none (tests); a cluster session without a shared checkpoint folder is
+    an error, since a machine-local folder would not survive executor loss.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
@@ -50,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if current:
             sc.setCheckpointDir(current)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...)")
         current = tempfile.mkdtemp(prefix="wardstat-ckpt-")
         sc.setCheckpointDir(current)
     return current
