@@ -32,7 +32,6 @@ EVENT_COLUMNS = {
     "condition": ("CONDITION_START_DATE", "CONDITION_TYPE_CONCEPT_ID", "CONDITION_SOURCE_VALUE"),
     "procedure": ("PROCEDURE_DATE", "PROCEDURE_TYPE_CONCEPT_ID", "PROCEDURE_SOURCE_VALUE"),
 }
-TABLE_OF_KIND = {"condition": "condition_occurrence", "procedure": "procedure_occurrence"}
 
 STAY_COLUMNS = ["VISIT_START_DATE", "VISIT_END_DATE", "PROVIDER_ID"]
 

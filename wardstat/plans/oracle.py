@@ -245,6 +245,10 @@ ORACLE_SQL: dict[str, str] = {
     "cohort_extract_visit": _with(*FULL_COHORT_CTES) +
     "SELECT VISIT_OCCURRENCE_ID, PERSON_ID, VISIT_START_DATE, VISIT_END_DATE, PROVIDER_ID "
     "FROM f_visit",
+    "yearly_combine": "SELECT CAST(year(o_orderdate) AS INTEGER) AS YEAR, "
+    "CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, "
+    "o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate "
+    "FROM orders",
     "condition_type_count": _with() +
     "SELECT CONDITION_TYPE_CONCEPT_ID, count(*) AS COUNT FROM o_condition GROUP BY 1",
     "procedure_type_count": _with() +

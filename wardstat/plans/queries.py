@@ -24,7 +24,7 @@ from wardstat.sources.codes import dictionary_from_mapping
 from wardstat.dataset import OmopDataset
 from wardstat.session import ensure_checkpoint_dir
 from wardstat.sinks.files import write_tables
-from wardstat.sources.tables import load_directory
+from wardstat.sources.tables import list_entries, load_directory, read_yearly_csv
 from wardstat.specs import CohortSpec
 
 PERSON_COLS = ["PERSON_ID", "YEAR_OF_BIRTH", "GENDER_SOURCE_VALUE", "CARE_SITE_ID"]
@@ -33,17 +33,24 @@ PERSON_COLS = ["PERSON_ID", "YEAR_OF_BIRTH", "GENDER_SOURCE_VALUE", "CARE_SITE_I
 _DATASETS: dict = {}
 
 
+def _session_key(spark) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a local SparkContext
+        return str(id(spark))
+
+
 def _ds(spark, sf_dir):
     """The driver tables as OMOP tables, read once per session and folder
     (every query reuses the same lazy frames)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (_session_key(spark), sf_dir)
     if key not in _DATASETS:
         _DATASETS[key] = load_driver_dataset(spark, sf_dir)
     return _DATASETS[key]
 
 
 def _descriptions(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir, "descriptions")
+    key = (_session_key(spark), sf_dir, "descriptions")
     if key not in _DATASETS:
         _DATASETS[key] = load_code_descriptions(spark, sf_dir)
     return _DATASETS[key]
@@ -151,6 +158,22 @@ def cohort_extract_visit(spark, sf_dir):
         "VISIT_OCCURRENCE_ID", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE", "PROVIDER_ID")
 
 
+def yearly_combine(spark, sf_dir):
+    """Orders written as one CSV extract per order year (a single
+    partitioned write), then recombined with a YEAR column."""
+    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/yearly-{uuid.uuid4().hex}"
+    (orders.select(F.year("o_orderdate").alias("year"),
+                   F.col("o_orderkey").cast("string").alias("o_orderkey"),
+                   F.col("o_custkey").cast("string").alias("o_custkey"),
+                   "o_orderstatus", "o_orderpriority",
+                   F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+       .write.partitionBy("year").option("header", True).csv(folder))
+    years = sorted(int(name.split("=", 1)[1]) for name, _, is_dir in list_entries(spark, folder)
+                   if is_dir and name.startswith("year="))
+    return read_yearly_csv(spark, {y: f"{folder}/year={y}" for y in years})
+
+
 # --- code statistics ----------------------------------------------------------
 
 def condition_type_count(spark, sf_dir):
@@ -294,6 +317,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_full": cohort_full,
     "cohort_extract_person": cohort_extract_person,
     "cohort_extract_visit": cohort_extract_visit,
+    "yearly_combine": yearly_combine,
     "condition_type_count": condition_type_count,
     "procedure_type_count": procedure_type_count,
     "code_filter": code_filter,

@@ -118,7 +118,7 @@ def table_name(file_name: str) -> str | None:
     return None
 
 
-def _list(spark: SparkSession, directory: str) -> list[tuple[str, str, bool]]:
+def list_entries(spark: SparkSession, directory: str) -> list[tuple[str, str, bool]]:
     """(name, full path, is_directory) of a folder's entries via Hadoop FS."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(directory)
@@ -133,7 +133,7 @@ def load_directory(spark: SparkSession, directory: str, date_format: str = "yyyy
     ``<table>.parquet`` files, and ``<table>/`` folders written by Spark, are
     read; other entries are skipped with a log message."""
     tables: dict[str, DataFrame] = {}
-    for name, full, is_dir in sorted(_list(spark, directory)):
+    for name, full, is_dir in sorted(list_entries(spark, directory)):
         if name.startswith((".", "_")):
             continue
         stem = name if is_dir else table_name(name)
@@ -148,7 +148,7 @@ def load_directory(spark: SparkSession, directory: str, date_format: str = "yyyy
 
 
 def _is_parquet_dir(spark: SparkSession, path: str) -> bool:
-    return any(n.endswith(".parquet") for n, _, d in _list(spark, path) if not d)
+    return any(n.endswith(".parquet") for n, _, d in list_entries(spark, path) if not d)
 
 
 def combine_yearly(frames: Mapping[int, DataFrame]) -> DataFrame:
