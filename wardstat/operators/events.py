@@ -110,14 +110,15 @@ def index_and_complication_stays(
         diagnosis: CodeDictionary, complications: CodeDictionary,
         condition_types: Sequence[int], procedure_types: Sequence[int],
         bucket_days: int = 7, materialize: str = "persist",
-        dedupe_visits: bool = True) -> "Stays":
+        dedupe_visits: bool = True, persons: DataFrame | None = None) -> "Stays":
     """Index stays and complication stays of every procedure.
 
     Index stays: (procedure, branch, PERSON_ID, VISIT_END_DATE, PROVIDER_ID,
     SOURCE_VALUE), distinct per branch (``C`` conditions, ``P`` procedures)
     and then concatenated, so a stay found through both tables counts twice.
     Complication stays: (procedure, PERSON_ID, VISIT_START_DATE, PROVIDER_ID,
-    SOURCE_VALUE) from conditions only.
+    SOURCE_VALUE) from conditions only.  With ``persons`` only events of
+    those persons are used.
 
     All three event sets are tagged and placed in visits by a single join,
     so the visit table is scanned and shuffled once.  The de-duplicated
@@ -140,6 +141,10 @@ def index_and_complication_stays(
                  diagnosis.tagged_pairs("C", complications, "X"))
     proc = coded(procedures, "procedure", procedure_types, diagnosis.tagged_pairs("P"))
     points = cond.unionByName(proc).distinct()
+    if persons is not None:
+        # Restricting to a cohort after the code filter shuffles only the
+        # coded events, never the whole event tables.
+        points = points.join(persons.select("PERSON_ID").distinct(), "PERSON_ID", "left_semi")
     placed = (place_in_visits(points, visits, bucket_days, dedupe_visits)
               .select("procedure", "branch", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE",
                       "PROVIDER_ID", "SOURCE_VALUE")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardstat.dataset import OmopDataset
 from wardstat.operators import codes as C
-from wardstat.operators.cohort import build_cohort, restrict_to_persons
+from wardstat.operators.cohort import build_cohort
 from wardstat.operators.events import index_and_complication_stays
 from wardstat.operators.readmission import (deaths_after_stay, provider_scorecard,
                                             readmissions)
@@ -48,18 +48,16 @@ def readmission_analysis(ds: OmopDataset, diagnosis: CodeDictionary,
     complication list (others are skipped)."""
     conditions = ds["condition_occurrence"]
     procedures = ds["procedure_occurrence"]
+    persons = None
     if spec.restrict_events_to_cohort:
-        if cohort_person is None:
-            cohort_person = ds["person"]
-        conditions = restrict_to_persons(conditions, cohort_person)
-        procedures = restrict_to_persons(procedures, cohort_person)
+        persons = cohort_person if cohort_person is not None else ds["person"]
     # Only procedures with both lists are analysed.
     diag = diagnosis.restrict_to(complications)
     compl_codes = complications.restrict_to(diagnosis)
     index, compl, persisted = index_and_complication_stays(
         conditions, procedures, ds["visit_occurrence"], diag, compl_codes,
         spec.primary_condition_types, spec.primary_procedure_types,
-        spec.visit_bucket_days, spec.materialize, spec.dedupe_visits)
+        spec.visit_bucket_days, spec.materialize, spec.dedupe_visits, persons)
     readm = readmissions(index, compl, spec.readmission_days)
     deaths = deaths_after_stay(index, ds["death"], spec.readmission_days,
                                spec.death_after_discharge_only)
