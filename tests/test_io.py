@@ -168,3 +168,17 @@ def test_yearly_combine(spark, tmp_dir):
     assert got == [(2008, "A2008", None), (2009, "A2009", "X")]
     one = combine_yearly({2010: spark.range(2)})
     assert [r.YEAR for r in one.collect()] == [2010, 2010]
+
+
+def test_extra_and_missing_columns_do_not_drop_rows(spark, tmp_dir):
+    # a fifth column the layout does not declare, and a missing declared one
+    p = write(os.path.join(tmp_dir, "observation_period.csv"),
+              "OBSERVATION_PERIOD_ID,PERSON_ID,OBSERVATION_PERIOD_START_DATE,"
+              "OBSERVATION_PERIOD_END_DATE,PERIOD_TYPE_CONCEPT_ID\n"
+              "1,1,20080101,20101231,44814722\n2,2,20080101,20101231,44814722\n")
+    assert read_omop_csv(spark, p, "observation_period").count() == 2
+    p = write(os.path.join(tmp_dir, "drug_era.csv"),
+              "DRUG_ERA_ID,PERSON_ID,DRUG_CONCEPT_ID,DRUG_ERA_START_DATE,DRUG_ERA_END_DATE,"
+              "DRUG_EXPOSURE_COUNT,GAP_DAYS\n1,1,19019073,20080101,20080130,2,0\n")
+    r = read_omop_csv(spark, p, "drug_era").collect()[0]
+    assert (r.DRUG_EXPOSURE_COUNT, r.DRUG_TYPE_CONCEPT_ID) == (2, None)
