@@ -182,3 +182,11 @@ def test_extra_and_missing_columns_do_not_drop_rows(spark, tmp_dir):
               "DRUG_EXPOSURE_COUNT,GAP_DAYS\n1,1,19019073,20080101,20080130,2,0\n")
     r = read_omop_csv(spark, p, "drug_era").collect()[0]
     assert (r.DRUG_EXPOSURE_COUNT, r.DRUG_TYPE_CONCEPT_ID) == (2, None)
+
+
+def test_header_with_byte_order_mark_and_blanks(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "person.csv")
+    with open(p, "w", encoding="utf-8-sig") as f:
+        f.write("PERSON_ID, year_of_birth \n7,1950\n")
+    r = read_omop_csv(spark, p, "person").collect()[0]
+    assert (r.PERSON_ID, r.YEAR_OF_BIRTH) == (7, 1950)

@@ -51,7 +51,9 @@ def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
                  mode: str = "DROPMALFORMED") -> DataFrame:
     """Bind a frame of raw (string or typed) columns to the table layout."""
     schema = table_schema(table)
-    by_upper = {c.upper(): c for c in raw.columns}
+    # header names match case-insensitively, ignoring a byte-order mark and
+    # surrounding blanks
+    by_upper = {c.strip().lstrip("\ufeff").strip().upper(): c for c in raw.columns}
     cols, bad = [], []
     for f in schema.fields:
         src = by_upper.get(f.name.upper())
