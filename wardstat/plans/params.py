@@ -38,6 +38,9 @@ FULL_COHORT = CohortSpec(
 )
 
 READMISSION = ReadmissionSpec(readmission_days=READMISSION_DAYS)
+# For queries that read only one branch of the placements nothing is reused,
+# so nothing is materialised.
+READMISSION_SINGLE_USE = ReadmissionSpec(readmission_days=READMISSION_DAYS, materialize="none")
 READMISSION_COHORT_ONLY = ReadmissionSpec(readmission_days=READMISSION_DAYS,
                                           restrict_events_to_cohort=True)
 READMISSION_AFTER_DISCHARGE = ReadmissionSpec(readmission_days=READMISSION_DAYS,

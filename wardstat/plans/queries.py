@@ -260,11 +260,11 @@ def inpatient_stays_procedure(spark, sf_dir):
 
 
 def index_stays(spark, sf_dir):
-    return _analysis(spark, sf_dir).index_stays
+    return _analysis(spark, sf_dir, P.READMISSION_SINGLE_USE).index_stays
 
 
 def complication_stays(spark, sf_dir):
-    return _analysis(spark, sf_dir).complication_stays
+    return _analysis(spark, sf_dir, P.READMISSION_SINGLE_USE).complication_stays
 
 
 def readmissions(spark, sf_dir):
@@ -272,11 +272,11 @@ def readmissions(spark, sf_dir):
 
 
 def deaths_after_stay(spark, sf_dir):
-    return _analysis(spark, sf_dir).deaths
+    return _analysis(spark, sf_dir, P.READMISSION_SINGLE_USE).deaths
 
 
 def provider_event_count_q(spark, sf_dir):
-    return provider_event_count(_analysis(spark, sf_dir).index_stays)
+    return provider_event_count(_analysis(spark, sf_dir, P.READMISSION_SINGLE_USE).index_stays)
 
 
 def provider_scorecard(spark, sf_dir):
