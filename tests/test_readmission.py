@@ -147,3 +147,18 @@ def test_hot_person_with_repeated_rows(spark):
     no_dedupe = readmission_analysis(make_ds(spark, conds, [], visits), *dicts(spark),
                                      ReadmissionSpec(dedupe_visits=False))
     assert card(no_dedupe) == card(res)
+
+
+def test_code_counts_serve_all_reports(spark):
+    conds = [(1, d(0), PC, "0100"), (1, d(1), 45756836, "0100"), (2, d(0), PC, "0389")]
+    procs = [(1, d(0), PP, "0389"), (3, d(0), 45756900, "0100")]
+    ds = make_ds(spark, conds, procs, [])
+    diag, compl = dicts(spark, {"P": ["0100", "0999"]}, {"P": ["0389", "0389"]})
+    co, po = ds["condition_occurrence"], ds["procedure_occurrence"]
+    counts = C.code_counts(co, po, [diag, compl], (PC,), (PP,))
+    for dic in (diag, compl):
+        for primary in (False, True):
+            types = dict(condition_types=(PC,), procedure_types=(PP,)) if primary else {}
+            want = sorted(tuple(r) for r in C.code_report(dic, co, po, **types).collect())
+            got = sorted(tuple(r) for r in C.code_report_from_counts(dic, counts, primary=primary).collect())
+            assert got == want

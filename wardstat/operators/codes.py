@@ -100,6 +100,42 @@ def code_report(dictionary: CodeDictionary, conditions: DataFrame, procedures: D
     return _describe(dictionary.entries(), counts, descriptions, dictionary)
 
 
+def code_counts(conditions: DataFrame, procedures: DataFrame,
+                dictionaries: Sequence[CodeDictionary],
+                condition_types: Sequence[int], procedure_types: Sequence[int]) -> DataFrame:
+    """(code, COUNT, COUNT_PRIMARY) for every code of the given dictionaries,
+    over both event tables, all types and primary types at once: one scan
+    of each event table serves every code report of a run.  The result
+    has at most one row per dictionary code."""
+    rows = [r for d in dictionaries if d.rows is not None for r in d.rows]
+    if len(rows) == sum(d.n_entries for d in dictionaries) and rows:
+        codes = dictionaries[0]._local(((c,) for c in dict.fromkeys(r[3] for r in rows)), ["code"])
+    else:
+        codes = None
+        for d in dictionaries:
+            x = d.df.select("code")
+            codes = x if codes is None else codes.unionByName(x)
+        codes = codes.distinct()
+    parts = []
+    for kind, df, types in (("condition", conditions, condition_types),
+                            ("procedure", procedures, procedure_types)):
+        ev = event_view(df, kind).join(codes.withColumnRenamed("code", "SOURCE_VALUE"),
+                                       "SOURCE_VALUE", "left_semi")
+        parts.append(ev.select(F.col("SOURCE_VALUE").alias("code"),
+                               F.col("TYPE_CONCEPT_ID").isin(list(types)).alias("_primary")))
+    return parts[0].unionByName(parts[1]).groupBy("code").agg(
+        F.count(F.lit(1)).alias("COUNT"),
+        F.count(F.when(F.col("_primary"), 1)).alias("COUNT_PRIMARY"))
+
+
+def code_report_from_counts(dictionary: CodeDictionary, counts: DataFrame,
+                            descriptions: DataFrame | None = None,
+                            primary: bool = False) -> DataFrame:
+    """``code_report`` computed from ``code_counts`` output."""
+    c = counts.select("code", F.col("COUNT_PRIMARY" if primary else "COUNT").alias("COUNT"))
+    return _describe(dictionary.entries(), c, descriptions, dictionary)
+
+
 def report_totals(report: DataFrame) -> DataFrame:
     """(procedure, TOTAL): one row per procedure and a grand total row whose
     procedure is null (``rollup``)."""

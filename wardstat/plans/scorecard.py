@@ -91,19 +91,24 @@ def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionar
     write_partitioned_csv(res.scorecard.orderBy(F.desc("PROCEDURE_COUNT"), "PROVIDER_ID"),
                           f"{out}/scorecard", "procedure", mode=mode)
 
-    types = dict(condition_types=spec.primary_condition_types,
-                 procedure_types=spec.primary_procedure_types)
-    co, po = cohort["condition_occurrence"], cohort["procedure_occurrence"]
+    # One pass over the event tables counts every listed code, for all types
+    # and for primary types; the four code reports are small joins on it.
+    counts = C.code_counts(cohort["condition_occurrence"], cohort["procedure_occurrence"],
+                           [diagnosis, complications], spec.primary_condition_types,
+                           spec.primary_procedure_types).persist()
     reports = {
-        "procedure_count_all": C.code_report(diagnosis, co, po, descriptions),
-        "procedure_count_primary": C.code_report(diagnosis, co, po, descriptions, **types),
-        "readmission_count_all": C.code_report(complications, co, po, descriptions),
-        "readmission_count_primary": C.code_report(complications, co, po, descriptions, **types),
+        "procedure_count_all": C.code_report_from_counts(diagnosis, counts, descriptions),
+        "procedure_count_primary": C.code_report_from_counts(diagnosis, counts, descriptions,
+                                                             primary=True),
+        "readmission_count_all": C.code_report_from_counts(complications, counts, descriptions),
+        "readmission_count_primary": C.code_report_from_counts(complications, counts,
+                                                               descriptions, primary=True),
         "readmission_event_code_count": C.readmission_code_report(
             complications, res.readmissions, descriptions),
     }
     for name, rep in reports.items():
         write_report_text(C.render_report(rep), f"{out}/{name}", mode=mode)
     write_csv(res.readmissions, f"{out}/readmissions", mode=mode)
+    counts.unpersist()
     res.unpersist()
     return {"persons": n_persons}
