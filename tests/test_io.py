@@ -160,11 +160,11 @@ def test_yearly_combine(spark, tmp_dir):
     paths = {}
     for year, extra in ((2008, ""), (2009, ",X")):
         paths[year] = write(os.path.join(tmp_dir, f"benef_{year}.csv"),
-                            f"DESYNPUF_ID,SEX{extra.replace(',X', ',EXTRA')}\n"
+                            f"BENE_ID,SEX{extra.replace(',X', ',EXTRA')}\n"
                             f"A{year},1{extra}\n")
     df = read_yearly_csv(spark, paths)
     assert df.columns[0] == "YEAR"
-    got = sorted((r.YEAR, r.DESYNPUF_ID, r.EXTRA) for r in df.collect())
+    got = sorted((r.YEAR, r.BENE_ID, r.EXTRA) for r in df.collect())
     assert got == [(2008, "A2008", None), (2009, "A2009", "X")]
     one = combine_yearly({2010: spark.range(2)})
     assert [r.YEAR for r in one.collect()] == [2010, 2010]

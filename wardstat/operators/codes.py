@@ -28,6 +28,13 @@ from wardstat.sources.codes import CodeDictionary
 
 TYPE_COLUMN = {"condition": "CONDITION_TYPE_CONCEPT_ID", "procedure": "PROCEDURE_TYPE_CONCEPT_ID"}
 
+# --- fixed values: the text layout of a code report ----------------------
+REPORT_PROCEDURE_HEADER = "Procedure: "
+REPORT_COLUMN_HEADER = "code, count, description"
+REPORT_PROCEDURE_TOTAL = "Total Count For This procedure: "
+REPORT_GRAND_TOTAL = "Total Count For All Procedures: "
+# ---------------------------------------------------------------------------
+
 
 def type_concept_count(events: DataFrame, kind: str) -> DataFrame:
     col = TYPE_COLUMN[kind]
@@ -186,22 +193,23 @@ def render_report(report: DataFrame) -> DataFrame:
     per_proc = report.select("procedure", "proc_ord").distinct()
     head = per_proc.select(
         "proc_ord", F.lit(0).alias("seq"), F.lit(0).alias("ord"),
-        F.explode(F.array(F.concat(F.lit("Procedure: "), F.col("procedure")),
-                          F.lit("code, count, description"))).alias("line"))
-    head = head.withColumn("ord", F.when(F.col("line").startswith("Procedure: "), 0).otherwise(1))
+        F.explode(F.array(F.concat(F.lit(REPORT_PROCEDURE_HEADER), F.col("procedure")),
+                          F.lit(REPORT_COLUMN_HEADER))).alias("line"))
+    head = head.withColumn(
+        "ord", F.when(F.col("line").startswith(REPORT_PROCEDURE_HEADER), 0).otherwise(1))
     body = report.select(
         "proc_ord", F.lit(1).alias("seq"), "ord",
         F.concat_ws(",", "code", F.col("COUNT").cast("string"), "DESCRIPTION").alias("line"))
     tail = (totals.where(F.col("procedure").isNotNull()).join(per_proc, "procedure")
             .select("proc_ord", F.lit(2).alias("seq"), F.lit(0).alias("ord"),
                     F.explode(F.array(
-                        F.concat(F.lit("Total Count For This procedure: "),
+                        F.concat(F.lit(REPORT_PROCEDURE_TOTAL),
                                  F.col("TOTAL").cast("string")),
                         F.lit(""))).alias("line")))
     tail = tail.withColumn("ord", F.when(F.col("line") == "", 1).otherwise(0))
     grand = (totals.where(F.col("procedure").isNull())
              .select(F.lit(None).cast("bigint").alias("proc_ord"), F.lit(3).alias("seq"),
                      F.lit(0).alias("ord"),
-                     F.concat(F.lit("Total Count For All Procedures: "),
+                     F.concat(F.lit(REPORT_GRAND_TOTAL),
                               F.coalesce(F.col("TOTAL"), F.lit(0)).cast("string")).alias("line")))
     return head.unionByName(body).unionByName(tail).unionByName(grand)

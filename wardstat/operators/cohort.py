@@ -18,6 +18,9 @@ from wardstat.dataset import OmopDataset
 from wardstat.schemas import EVENT_DATE_COLUMNS
 from wardstat.specs import CohortSpec, as_date
 
+# Gender source values of the person table.
+MALE, FEMALE = "Male", "Female"
+
 
 def filter_max_year_of_birth(person: DataFrame, year: int) -> DataFrame:
     return person.where(F.col("YEAR_OF_BIRTH") <= year)
@@ -33,11 +36,11 @@ def exclude_gender(person: DataFrame, gender: str) -> DataFrame:
 
 
 def exclude_male(person: DataFrame) -> DataFrame:
-    return exclude_gender(person, "Male")
+    return exclude_gender(person, MALE)
 
 
 def exclude_female(person: DataFrame) -> DataFrame:
-    return exclude_gender(person, "Female")
+    return exclude_gender(person, FEMALE)
 
 
 def exclude_care_sites(person: DataFrame, sites: Sequence[int]) -> DataFrame:

@@ -9,6 +9,8 @@ formulation of the same semantics.
 
 from __future__ import annotations
 
+from wardstat.operators.codes import (REPORT_COLUMN_HEADER, REPORT_GRAND_TOTAL,
+                                     REPORT_PROCEDURE_HEADER, REPORT_PROCEDURE_TOTAL)
 from wardstat.plans import params as P
 from wardstat.sources.adapter import CONDITION_TYPE_BY_FLAG, DEATH_EPOCH, PROCEDURE_TYPE_BY_FLAG
 
@@ -269,16 +271,16 @@ ORACLE_SQL: dict[str, str] = {
     "code_report_lines": _with("o_rep AS (" + _report("o_diag", True) + ")",
                                "o_tot AS (SELECT procedure, CAST(sum(COUNT) AS BIGINT) AS TOTAL "
                                "FROM o_rep GROUP BY ROLLUP (procedure))",
-                               "o_pp AS (SELECT DISTINCT procedure, proc_ord FROM o_rep)") + """
-SELECT proc_ord, 0 AS seq, 0 AS ord, 'Procedure: ' || procedure AS line FROM o_pp
-UNION ALL SELECT proc_ord, 0, 1, 'code, count, description' FROM o_pp
+                               "o_pp AS (SELECT DISTINCT procedure, proc_ord FROM o_rep)") + f"""
+SELECT proc_ord, 0 AS seq, 0 AS ord, '{REPORT_PROCEDURE_HEADER}' || procedure AS line FROM o_pp
+UNION ALL SELECT proc_ord, 0, 1, '{REPORT_COLUMN_HEADER}' FROM o_pp
 UNION ALL SELECT proc_ord, 1, ord, code || ',' || CAST(COUNT AS VARCHAR) || ',' || DESCRIPTION
   FROM o_rep
-UNION ALL SELECT p.proc_ord, 2, 0, 'Total Count For This procedure: ' || CAST(t.TOTAL AS VARCHAR)
+UNION ALL SELECT p.proc_ord, 2, 0, '{REPORT_PROCEDURE_TOTAL}' || CAST(t.TOTAL AS VARCHAR)
   FROM o_tot t JOIN o_pp p ON t.procedure = p.procedure
 UNION ALL SELECT p.proc_ord, 2, 1, '' FROM o_tot t JOIN o_pp p ON t.procedure = p.procedure
 UNION ALL SELECT CAST(NULL AS BIGINT), 3, 0,
-  'Total Count For All Procedures: ' || CAST(COALESCE(TOTAL, 0) AS VARCHAR)
+  '{REPORT_GRAND_TOTAL}' || CAST(COALESCE(TOTAL, 0) AS VARCHAR)
   FROM o_tot WHERE procedure IS NULL""",
     "inpatient_stays_condition": _with() + f"""
 SELECT DISTINCT d.procedure, c.PERSON_ID, v.VISIT_END_DATE, v.PROVIDER_ID,
