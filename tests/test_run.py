@@ -40,3 +40,26 @@ def test_materialize_modes_agree(spark, tmp_dir):
         cards.append(sorted(tuple(r) for r in res.scorecard.collect()))
         res.unpersist()
     assert cards[0] == cards[1] == cards[2] and len(cards[0]) == 2
+
+
+def test_command_line_entry(spark, tmp_dir):
+    from wardstat.__main__ import main
+    os.makedirs(os.path.join(tmp_dir, "data"))
+    data = micro.write_fixture(os.path.join(tmp_dir, "data"))
+    diag = os.path.join(tmp_dir, "diag.properties")
+    compl = os.path.join(tmp_dir, "compl.properties")
+    with open(diag, "w") as f:
+        f.write("# index codes\n" + "".join(f"{k} = {','.join(v)}\n" for k, v in micro.DIAGNOSIS.items()))
+    with open(compl, "w") as f:
+        f.write("".join(f"{k} = {','.join(v)}\n" for k, v in micro.COMPLICATIONS.items()))
+    out = os.path.join(tmp_dir, "out")
+    info = main(["--data", data, "--diagnosis", diag, "--complications", compl, "--out", out,
+                 "--inpatient-only", "--readmission-days", "30"])
+    assert info == {"persons": 3}
+    # procedure folders are read back as text (no partition type inference)
+    card = (spark.read.option("header", True).schema(
+        "PROVIDER_ID string, PROCEDURE_COUNT string, READMISSION_COUNT string, "
+        "DEATH_COUNT string, COMPLICATION_COUNT string, PERCENTAGE string, procedure string")
+        .csv(os.path.join(out, "scorecard")))
+    assert sorted((r.procedure, r.PROVIDER_ID, r.READMISSION_COUNT) for r in card.collect()) == [
+        ("81.54", "23861", "1"), ("81.54", "29084", "1")]
