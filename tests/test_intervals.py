@@ -25,9 +25,10 @@ def test_containment_matches_brute_force(spark):
     intervals.append((1, None, day(3), 999))
     p = spark.createDataFrame(points, "k long, d date, pid int")
     iv = spark.createDataFrame(intervals, "k long, s date, e date, iid int")
-    for b in (1, 3, 7, 30):
+    for b, mb in ((1, 1024), (3, 1024), (7, 1024), (30, 1024), (7, 2), (1, 5)):
         got = sorted((r.pid, r.iid) for r in
-                     containment_join(p, iv, ["k"], "d", "s", "e", b).select("pid", "iid").collect())
+                     containment_join(p, iv, ["k"], "d", "s", "e", b, mb)
+                     .select("pid", "iid").collect())
         want = sorted((pid, iid) for k, d, pid in points for k2, s, e, iid in intervals
                       if k == k2 and s is not None and e is not None and s <= d <= e)
         assert got == want, b
@@ -69,3 +70,16 @@ def test_plan_is_equi_join_on_bucket(spark):
                                 F.current_date().alias("e"))
     plan = containment_join(p, iv, ["k"], "d", "s", "e")._jdf.queryExecution().optimizedPlan().toString()
     assert "_day_bucket" in plan and "Join Inner" in plan
+
+
+def test_long_intervals_are_exact_without_explosion(spark):
+    p = spark.createDataFrame([(1, day(0), "a"), (1, day(4000), "b"), (2, day(5), "c")],
+                              "k long, d date, tag string")
+    iv = spark.createDataFrame([(1, day(-10), dt.date(9999, 12, 31), "open"),
+                                (1, day(0), day(3), "short"), (2, day(0), day(9), "short2")],
+                               "k long, s date, e date, name string")
+    got = sorted((r.tag, r.name) for r in containment_join(p, iv, ["k"], "d", "s", "e").collect())
+    assert got == [("a", "open"), ("a", "short"), ("b", "open"), ("c", "short2")]
+    small = sorted((r.tag, r.name) for r in
+                   containment_join(p, iv, ["k"], "d", "s", "e", 7, max_buckets=1).collect())
+    assert small == got

@@ -39,22 +39,30 @@ def _bucket_range(lo_day: Column, hi_day: Column, width: int) -> Column:
 
 def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
                      point_col: str, start_col: str, end_col: str,
-                     bucket_days: int = 7) -> DataFrame:
+                     bucket_days: int = 7, max_buckets: int = 1024) -> DataFrame:
     """Inner join of points and intervals sharing ``keys`` with
     ``start <= point <= end`` (both ends inclusive).
 
     Columns other than ``keys`` must not collide between the two sides.
     Null dates and intervals with ``start > end`` match nothing.
+
+    Intervals covering more than ``max_buckets`` buckets (placeholder end
+    dates such as 9999-12-31) are not exploded: they are joined on ``keys``
+    alone with the range as residual.  Such intervals are rare, so that
+    second join stays small; together the two joins are exact.
     """
     keys = list(keys)
     start, end, point = F.col(start_col), F.col(end_col), F.col(point_col)
-    iv = (intervals
-          .where(start.isNotNull() & end.isNotNull() & (start <= end))
-          .withColumn(BUCKET, F.explode(_bucket_range(start, end, bucket_days))))
-    pt = points.where(point.isNotNull()).withColumn(BUCKET, _bucket(point, bucket_days))
-    return (pt.join(iv, keys + [BUCKET])
-              .where((point >= start) & (point <= end))
-              .drop(BUCKET))
+    span = _bucket(end, bucket_days) - _bucket(start, bucket_days) + 1
+    valid = intervals.where(start.isNotNull() & end.isNotNull() & (start <= end))
+    pts = points.where(point.isNotNull())
+    inside = (point >= start) & (point <= end)
+    short = valid.where(span <= max_buckets).withColumn(
+        BUCKET, F.explode(_bucket_range(start, end, bucket_days)))
+    bucketed = (pts.withColumn(BUCKET, _bucket(point, bucket_days))
+                .join(short, keys + [BUCKET]).where(inside).drop(BUCKET))
+    long_ = pts.join(valid.where(span > max_buckets), keys).where(inside)
+    return bucketed.unionByName(long_)
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
