@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = "_day_bucket"
+# Bucket shared by all intervals too long to explode (no real day maps here).
+LONG_BUCKET = -(2 ** 62)
 
 
 def _bucket(day: Column, width: int) -> Column:
@@ -39,7 +41,7 @@ def _bucket_range(lo_day: Column, hi_day: Column, width: int) -> Column:
 
 def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
                      point_col: str, start_col: str, end_col: str,
-                     bucket_days: int = 7, max_buckets: int = 1024) -> DataFrame:
+                     bucket_days: int = 7, max_buckets: int | None = 1024) -> DataFrame:
     """Inner join of points and intervals sharing ``keys`` with
     ``start <= point <= end`` (both ends inclusive).
 
@@ -47,9 +49,12 @@ def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str
     Null dates and intervals with ``start > end`` match nothing.
 
     Intervals covering more than ``max_buckets`` buckets (placeholder end
-    dates such as 9999-12-31) are not exploded: they are joined on ``keys``
-    alone with the range as residual.  Such intervals are rare, so that
-    second join stays small; together the two joins are exact.
+    dates such as 9999-12-31) are not exploded: they are placed in one extra
+    bucket per key that every point also probes, so they are compared with
+    all points of their key.  Such intervals are rare; the points (the small
+    side) are doubled instead of the long intervals exploding.  The result
+    stays exact and it is still one equi-join.  With ``max_buckets=None``
+    every interval is exploded and points are not doubled.
     """
     keys = list(keys)
     start, end, point = F.col(start_col), F.col(end_col), F.col(point_col)
@@ -57,12 +62,16 @@ def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str
     valid = intervals.where(start.isNotNull() & end.isNotNull() & (start <= end))
     pts = points.where(point.isNotNull())
     inside = (point >= start) & (point <= end)
-    short = valid.where(span <= max_buckets).withColumn(
-        BUCKET, F.explode(_bucket_range(start, end, bucket_days)))
-    bucketed = (pts.withColumn(BUCKET, _bucket(point, bucket_days))
-                .join(short, keys + [BUCKET]).where(inside).drop(BUCKET))
-    long_ = pts.join(valid.where(span > max_buckets), keys).where(inside)
-    return bucketed.unionByName(long_)
+    if max_buckets is None:
+        iv = valid.withColumn(BUCKET, F.explode(_bucket_range(start, end, bucket_days)))
+        pt = pts.withColumn(BUCKET, _bucket(point, bucket_days))
+    else:
+        iv = valid.withColumn(BUCKET, F.explode(
+            F.when(span <= max_buckets, _bucket_range(start, end, bucket_days))
+            .otherwise(F.array(F.lit(LONG_BUCKET)))))
+        pt = pts.withColumn(BUCKET, F.explode(
+            F.array(_bucket(point, bucket_days), F.lit(LONG_BUCKET))))
+    return pt.join(iv, keys + [BUCKET]).where(inside).drop(BUCKET)
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
