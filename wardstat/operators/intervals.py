@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = "_day_bucket"
-# Bucket shared by all intervals too long to explode (no real day maps here).
+# First of the salt buckets of intervals too long to explode (no real day
+# maps below it).
 LONG_BUCKET = -(2 ** 62)
 
 
@@ -41,7 +42,8 @@ def _bucket_range(lo_day: Column, hi_day: Column, width: int) -> Column:
 
 def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
                      point_col: str, start_col: str, end_col: str,
-                     bucket_days: int = 7, max_buckets: int | None = 1024) -> DataFrame:
+                     bucket_days: int = 7, max_buckets: int | None = 1024,
+                     long_salts: int = 16) -> DataFrame:
     """Inner join of points and intervals sharing ``keys`` with
     ``start <= point <= end`` (both ends inclusive).
 
@@ -49,12 +51,13 @@ def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str
     Null dates and intervals with ``start > end`` match nothing.
 
     Intervals covering more than ``max_buckets`` buckets (placeholder end
-    dates such as 9999-12-31) are not exploded: they are placed in one extra
-    bucket per key that every point also probes, so they are compared with
-    all points of their key.  Such intervals are rare; the points (the small
-    side) are doubled instead of the long intervals exploding.  The result
-    stays exact and it is still one equi-join.  With ``max_buckets=None``
-    every interval is exploded and points are not doubled.
+    dates such as 9999-12-31) are not exploded: they are copied to
+    ``long_salts`` extra buckets per key, and every point also probes one of
+    those, chosen from its day.  Long intervals are rare, so copying them is
+    cheap; the salt spreads the probes of a key with very many points over
+    ``long_salts`` tasks.  Each (point, long interval) pair still meets
+    exactly once, and it is one equi-join.  With ``max_buckets=None`` every
+    interval is exploded and points probe only their own bucket.
     """
     keys = list(keys)
     start, end, point = F.col(start_col), F.col(end_col), F.col(point_col)
@@ -66,11 +69,13 @@ def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str
         iv = valid.withColumn(BUCKET, F.explode(_bucket_range(start, end, bucket_days)))
         pt = pts.withColumn(BUCKET, _bucket(point, bucket_days))
     else:
+        salts = F.sequence(F.lit(LONG_BUCKET), F.lit(LONG_BUCKET + long_salts - 1))
         iv = valid.withColumn(BUCKET, F.explode(
             F.when(span <= max_buckets, _bucket_range(start, end, bucket_days))
-            .otherwise(F.array(F.lit(LONG_BUCKET)))))
+            .otherwise(salts)))
+        salt = F.lit(LONG_BUCKET) + F.pmod(F.unix_date(point), F.lit(long_salts))
         pt = pts.withColumn(BUCKET, F.explode(
-            F.array(_bucket(point, bucket_days), F.lit(LONG_BUCKET))))
+            F.array(_bucket(point, bucket_days), salt.cast("bigint"))))
     return pt.join(iv, keys + [BUCKET]).where(inside).drop(BUCKET)
 
 
