@@ -53,9 +53,13 @@ def test_command_line_entry(spark, tmp_dir):
     with open(compl, "w") as f:
         f.write("".join(f"{k} = {','.join(v)}\n" for k, v in micro.COMPLICATIONS.items()))
     out = os.path.join(tmp_dir, "out")
+    extract = os.path.join(tmp_dir, "extract")
     info = main(["--data", data, "--diagnosis", diag, "--complications", compl, "--out", out,
-                 "--inpatient-only", "--readmission-days", "30"])
+                 "--inpatient-only", "--readmission-days", "30",
+                 "--extract-dir", extract, "--extract-codec", "gzip"])
     assert info == {"persons": 3}
+    assert sorted(d for d in os.listdir(extract)) == [
+        "condition_occurrence", "death", "person", "procedure_occurrence", "visit_occurrence"]
     # procedure folders are read back as text (no partition type inference)
     card = (spark.read.option("header", True).schema(
         "PROVIDER_ID string, PROCEDURE_COUNT string, READMISSION_COUNT string, "

@@ -51,6 +51,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--primary-procedure-types", type=_ints, default=PRIMARY_PROCEDURE_TYPES)
     p.add_argument("--readmission-days", type=int, default=30)
     p.add_argument("--restrict-events-to-cohort", action="store_true")
+    p.add_argument("--extract-dir", help="also write the cohort's tables here (CSV)")
+    p.add_argument("--extract-codec", help="gzip, bzip2, lz4, snappy, deflate or none")
     return p.parse_args(argv)
 
 
@@ -75,7 +77,8 @@ def main(argv=None) -> dict:
     ds = load_directory(spark, a.data, date_format=a.date_format)
     descr = read_code_descriptions(spark, a.descriptions) if a.descriptions else None
     info = run(ds, read_code_dictionary(spark, a.diagnosis),
-               read_code_dictionary(spark, a.complications), a.out, cohort, spec, descr)
+               read_code_dictionary(spark, a.complications), a.out, cohort, spec, descr,
+               extract_dir=a.extract_dir, extract_codec=a.extract_codec)
     print(json.dumps(info))
     return info
 
