@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.operators.events import event_view, filter_by_codes
-from wardstat.sources.codes import CodeDictionary
+from wardstat.sources.codes import CodeDictionary, codes_of
 
 TYPE_COLUMN = {"condition": "CONDITION_TYPE_CONCEPT_ID", "procedure": "PROCEDURE_TYPE_CONCEPT_ID"}
 
@@ -114,15 +114,7 @@ def code_counts(conditions: DataFrame, procedures: DataFrame,
     over both event tables, all types and primary types at once: one scan
     of each event table serves every code report of a run.  The result
     has at most one row per dictionary code."""
-    rows = [r for d in dictionaries if d.rows is not None for r in d.rows]
-    if len(rows) == sum(d.n_entries for d in dictionaries) and rows:
-        codes = dictionaries[0]._local(((c,) for c in dict.fromkeys(r[3] for r in rows)), ["code"])
-    else:
-        codes = None
-        for d in dictionaries:
-            x = d.df.select("code")
-            codes = x if codes is None else codes.unionByName(x)
-        codes = codes.distinct()
+    codes = codes_of(dictionaries)
     parts = []
     for kind, df, types in (("condition", conditions, condition_types),
                             ("procedure", procedures, procedure_types)):

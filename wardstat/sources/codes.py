@@ -114,6 +114,19 @@ class CodeDictionary:
         return CodeDictionary(kept, self.n_entries)
 
 
+def codes_of(dictionaries: Sequence[CodeDictionary]) -> DataFrame:
+    """Distinct codes of several dictionaries: a broadcast local relation
+    when all of them are local, else a distributed distinct."""
+    if dictionaries and all(d.rows is not None for d in dictionaries):
+        codes = dict.fromkeys(r[3] for d in dictionaries for r in d.rows)
+        return dictionaries[0]._local(((c,) for c in codes), ["code"])
+    out = None
+    for d in dictionaries:
+        x = d.df.select("code")
+        out = x if out is None else out.unionByName(x)
+    return out.distinct()
+
+
 def _local_dictionary(spark: SparkSession, rows) -> CodeDictionary:
     rows = tuple(tuple(r) for r in rows)
     df = local_frame(spark, rows, ["procedure", "proc_ord", "ord", "code"])
