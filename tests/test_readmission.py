@@ -162,3 +162,13 @@ def test_code_counts_serve_all_reports(spark):
             want = sorted(tuple(r) for r in C.code_report(dic, co, po, **types).collect())
             got = sorted(tuple(r) for r in C.code_report_from_counts(dic, counts, primary=primary).collect())
             assert got == want
+
+
+def test_inpatient_stays_of_a_raw_table(spark):
+    from wardstat.operators.events import inpatient_stays
+    conds = [(1, d(0), PC, "0100"), (1, d(0), 45756836, "0100"), (1, d(9), PC, "0200")]
+    visits = [(1, d(0), d(2), 4), (1, d(0), d(2), 4)]
+    ds = make_ds(spark, conds, [], visits)
+    got = sorted(tuple(r) for r in inpatient_stays(
+        ds["condition_occurrence"], "condition", ds["visit_occurrence"], "VISIT_START_DATE").collect())
+    assert got == [(1, d(0), 4, "0100")]
