@@ -64,8 +64,12 @@ def deaths_after_stay(index_stays: DataFrame, death: DataFrame, days: int,
 
 
 def provider_event_count(events: DataFrame, count_name: str = "COUNT") -> DataFrame:
-    """(procedure, PROVIDER_ID, <count_name>) rows per procedure and provider."""
-    return events.groupBy("procedure", "PROVIDER_ID").agg(F.count(F.lit(1)).alias(count_name))
+    """(procedure, PROVIDER_ID, <count_name>) rows per procedure and provider,
+    largest counts first (the result has one row per procedure and provider,
+    so the sort is small)."""
+    return (events.groupBy("procedure", "PROVIDER_ID")
+            .agg(F.count(F.lit(1)).alias(count_name))
+            .orderBy(F.desc(count_name), "procedure", F.asc_nulls_first("PROVIDER_ID")))
 
 
 def provider_scorecard(index_stays: DataFrame, readmission_rows: DataFrame,
