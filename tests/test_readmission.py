@@ -172,3 +172,38 @@ def test_inpatient_stays_of_a_raw_table(spark):
     got = sorted(tuple(r) for r in inpatient_stays(
         ds["condition_occurrence"], "condition", ds["visit_occurrence"], "VISIT_START_DATE").collect())
     assert got == [(1, d(0), 4, "0100")]
+
+
+def test_large_dictionary_path_gives_same_results(spark, tmp_path, monkeypatch):
+    """Dictionaries above the broadcast limit stay distributed and are
+    joined by shuffle; results must not change."""
+    import wardstat.sources.codes as codes_mod
+    conds = [(1, d(0), PC, "0100"), (1, d(5), PC, "0389"), (2, d(0), PC, "0200"),
+             (2, d(3), PC, "0390")]
+    procs = [(1, d(0), PP, "0100")]
+    visits = [(1, d(0), d(1), 9), (1, d(5), d(6), 9), (2, d(0), d(1), 8), (2, d(3), d(4), 8)]
+    ds = make_ds(spark, conds, procs, visits, [(2, d(20))])
+    diag_txt = tmp_path / "diag.properties"
+    diag_txt.write_text("P = 0100,0200\nQ = 0200\n")
+    compl_txt = tmp_path / "compl.properties"
+    compl_txt.write_text("P = 0389,0390,0389\nQ = 0390\nR = 0389\n")
+
+    def outputs():
+        diag = codes_mod.read_code_dictionary(spark, str(diag_txt))
+        compl = codes_mod.read_code_dictionary(spark, str(compl_txt))
+        res = readmission_analysis(ds, diag, compl)
+        rep = C.code_report(compl, ds["condition_occurrence"], ds["procedure_occurrence"])
+        out = (card(res), sorted(tuple(r) for r in res.readmissions.collect()),
+               sorted((r.procedure, r.ord, r.code, r.COUNT) for r in rep.collect()),
+               sorted(tuple(r) for r in C.readmission_code_report(compl, res.readmissions)
+                      .drop("proc_ord").collect()), diag.rows is None)
+        res.unpersist()
+        return out
+
+    small = outputs()
+    monkeypatch.setattr(codes_mod, "MAX_BROADCAST_ENTRIES", 0)
+    large = outputs()
+    assert small[4] is False and large[4] is True
+    assert small[:4] == large[:4]
+    assert small[0] == [("P", 8, 1, 1, 1, 2, 2.0), ("P", 9, 2, 1, 0, 1, 0.5),
+                        ("Q", 8, 1, 1, 1, 2, 2.0)]
