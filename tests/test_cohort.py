@@ -85,3 +85,13 @@ def test_dead_alive(ds):
 def test_restrict_to_persons(ds):
     cohort = K.cohort_person(ds, CohortSpec(exclude_male=True))
     assert ids(K.restrict_to_persons(ds["condition_occurrence"], cohort)) == [2]
+
+
+def test_readmission_spec_validation():
+    from wardstat.specs import ReadmissionSpec
+    with pytest.raises(ValueError):
+        ReadmissionSpec(materialize="cache")
+    with pytest.raises(ValueError):
+        ReadmissionSpec(visit_bucket_days=0)
+    s = ReadmissionSpec(readmission_days="14", primary_condition_types="1,2")
+    assert s.readmission_days == 14 and s.primary_condition_types == (1, 2)

@@ -83,3 +83,27 @@ def test_long_intervals_are_exact_without_explosion(spark):
     small = sorted((r.tag, r.name) for r in
                    containment_join(p, iv, ["k"], "d", "s", "e", 7, max_buckets=1).collect())
     assert small == got
+
+
+def test_band_join_random_parameters(spark):
+    """Random bands and bucket widths against brute force, in one job."""
+    rnd = random.Random(11)
+    left = [(rnd.choice([1, 2]), day(rnd.randint(0, 60)), i) for i in range(60)]
+    right = [(rnd.choice([1, 2]), day(rnd.randint(-20, 80)), j) for j in range(60)]
+    lf = spark.createDataFrame(left, "k long, a date, lid int")
+    rt = spark.createDataFrame(right, "k long, b date, rid int")
+    cases = []
+    for _ in range(6):
+        lo = rnd.randint(-10, 10)
+        hi = lo + rnd.randint(-2, 25)
+        cases.append((lo, hi, rnd.choice([None, 1, 4, 13])))
+    frames = [band_join(lf, rt, ["k"], "a", "b", lo, hi, w)
+              .select(F.lit(n).alias("case"), "lid", "rid") for n, (lo, hi, w) in enumerate(cases)]
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f)
+    got = sorted(tuple(r) for r in u.collect())
+    want = sorted((n, lid, rid) for n, (lo, hi, _) in enumerate(cases)
+                  for k, a, lid in left for k2, b, rid in right
+                  if k == k2 and lo <= (b - a).days <= hi)
+    assert got == want
