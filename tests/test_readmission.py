@@ -207,3 +207,15 @@ def test_large_dictionary_path_gives_same_results(spark, tmp_path, monkeypatch):
     assert small[:4] == large[:4]
     assert small[0] == [("P", 8, 1, 1, 1, 2, 2.0), ("P", 9, 2, 1, 0, 1, 0.5),
                         ("Q", 8, 1, 1, 1, 2, 2.0)]
+
+
+def test_code_frequency_null_codes_stay_apart(spark):
+    """A null code never matches across the two tables (full outer join
+    semantics): one null row per table."""
+    conds = [(1, d(0), PC, None), (1, d(1), PC, None), (1, d(2), PC, "0100")]
+    procs = [(1, d(0), PP, None), (1, d(0), PP, "0100")]
+    ds = make_ds(spark, conds, procs, [])
+    got = sorted(((r.SOURCE_VALUE or ""), r.COUNT_CO, r.COUNT_PO, r.COUNT)
+                 for r in C.code_frequency(ds["condition_occurrence"],
+                                           ds["procedure_occurrence"]).collect())
+    assert got == [("", 0, 1, 1), ("", 2, 0, 2), ("0100", 1, 1, 2)]
