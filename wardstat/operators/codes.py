@@ -72,6 +72,17 @@ def code_frequency(conditions: DataFrame, procedures: DataFrame,
                       (F.col("COUNT_CO") + F.col("COUNT_PO")).alias("COUNT"))
 
 
+def _descriptions_for(dictionary: CodeDictionary, descriptions: DataFrame) -> DataFrame:
+    """One description per dictionary code: narrowed to the dictionary's
+    codes and reduced to one row per code (the largest text if a table has
+    several; ``read_code_descriptions`` output already has one), so the
+    lookup is bounded by the dictionary size and safe to broadcast."""
+    d = (descriptions.select("code", "description")
+         .join(dictionary.codes(), "code", "left_semi")
+         .groupBy("code").agg(F.max("description").alias("description")))
+    return F.broadcast(d) if dictionary.is_small else d
+
+
 def _describe(entries: DataFrame, counts: DataFrame, descriptions: DataFrame | None,
               dictionary: CodeDictionary) -> DataFrame:
     """Dictionary entries with COUNT (missing -> 0) and DESCRIPTION (missing -> '').
@@ -81,9 +92,7 @@ def _describe(entries: DataFrame, counts: DataFrame, descriptions: DataFrame | N
     dictionary size and broadcast."""
     out = entries.join(F.broadcast(counts) if dictionary.is_small else counts, "code", "left")
     if descriptions is not None:
-        d = (descriptions.select("code", "description")
-             .join(dictionary.codes(), "code", "left_semi"))
-        out = out.join(F.broadcast(d) if dictionary.is_small else d, "code", "left")
+        out = out.join(_descriptions_for(dictionary, descriptions), "code", "left")
         desc = F.coalesce(F.col("description"), F.lit(""))
     else:
         desc = F.lit("")
@@ -161,9 +170,7 @@ def readmission_code_report(complications: CodeDictionary, readmission_rows: Dat
     out = entries.join(F.broadcast(counts) if complications.is_small else counts,
                        ["procedure", "code"], "left")
     if descriptions is not None:
-        d = (descriptions.select("code", "description")
-             .join(complications.codes(), "code", "left_semi"))
-        out = out.join(F.broadcast(d) if complications.is_small else d, "code", "left")
+        out = out.join(_descriptions_for(complications, descriptions), "code", "left")
         desc = F.coalesce(F.col("description"), F.lit(""))
     else:
         desc = F.lit("")
