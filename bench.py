@@ -59,6 +59,7 @@ def main() -> None:
         "value": round(sum(times[n] for n in head), 3),
         "unit": "sec",
         "queries": times,
+        "headline": head,
         "all_queries_total": round(sum(times.values()), 3),
         # plan construction on the driver (includes the extract writes of
         # the cohort_extract_* and yearly_combine queries)
