@@ -169,9 +169,14 @@ def yearly_combine(spark, sf_dir):
                    "o_orderstatus", "o_orderpriority",
                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
        .write.partitionBy("year").option("header", True).csv(folder))
-    years = sorted(int(name.split("=", 1)[1]) for name, _, is_dir in list_entries(spark, folder)
-                   if is_dir and name.startswith("year="))
-    return read_yearly_csv(spark, {y: f"{folder}/year={y}" for y in years})
+    # one folder per year; rows without a date sit in Spark's default
+    # partition folder and are kept with a null YEAR
+    parts = {}
+    for name, path, is_dir in list_entries(spark, folder):
+        if is_dir and name.startswith("year="):
+            value = name.split("=", 1)[1]
+            parts[int(value) if value.isdigit() else None] = path
+    return read_yearly_csv(spark, parts)
 
 
 # --- code statistics ----------------------------------------------------------

@@ -153,13 +153,15 @@ def _is_parquet_dir(spark: SparkSession, path: str) -> bool:
     return any(n.endswith(".parquet") for n, _, d in list_entries(spark, path) if not d)
 
 
-def combine_yearly(frames: Mapping[int, DataFrame]) -> DataFrame:
-    """Concatenate per-year extracts, each prefixed with its ``YEAR``;
-    columns are matched by name (a column missing in one year is null)."""
-    parts = [df.select(F.lit(int(year)).alias("YEAR"), "*") for year, df in frames.items()]
+def combine_yearly(frames: Mapping[int | None, DataFrame]) -> DataFrame:
+    """Concatenate per-year extracts, each prefixed with its ``YEAR`` (None
+    gives a null year); columns are matched by name (a column missing in
+    one year is null)."""
+    parts = [df.select(F.lit(None if year is None else int(year)).cast("int").alias("YEAR"), "*")
+             for year, df in frames.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_yearly_csv(spark: SparkSession, paths: Mapping[int, str]) -> DataFrame:
+def read_yearly_csv(spark: SparkSession, paths: Mapping[int | None, str]) -> DataFrame:
     """``combine_yearly`` over CSV files with headers (all columns as text)."""
     return combine_yearly({y: spark.read.option("header", True).csv(p) for y, p in paths.items()})
