@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.dataset import OmopDataset
+from wardstat.functions.dates import spark_pattern
 
 # Codec names accepted by the CSV writer; "none"/"uncompressed" write plain text.
 CSV_CODECS = ("none", "uncompressed", "bzip2", "deflate", "gzip", "lz4", "snappy")
@@ -34,17 +35,20 @@ def _codec(codec: str | None) -> str:
 
 
 def write_csv(df: DataFrame, path: str, codec: str | None = None,
-              mode: str = "errorifexists") -> None:
+              mode: str = "errorifexists", date_format: str = "%Y%m%d") -> None:
+    """CSV with a header line; dates are written in ``date_format`` (the
+    loaders' default), so an extract reads back with the same setting."""
     (df.write.mode(mode).option("header", True).option("compression", _codec(codec))
-       .csv(path))
+       .option("dateFormat", spark_pattern(date_format)).csv(path))
 
 
 def write_tables(ds: OmopDataset, directory: str, codec: str | None = None,
-                 fmt: str = "csv", mode: str = "errorifexists") -> None:
+                 fmt: str = "csv", mode: str = "errorifexists",
+                 date_format: str = "%Y%m%d") -> None:
     base = directory.rstrip("/")
     for name, df in ds.items():
         if fmt == "csv":
-            write_csv(df, f"{base}/{name}", codec, mode)
+            write_csv(df, f"{base}/{name}", codec, mode, date_format)
         elif fmt == "parquet":
             df.write.mode(mode).parquet(f"{base}/{name}")
         else:
@@ -52,17 +56,18 @@ def write_tables(ds: OmopDataset, directory: str, codec: str | None = None,
 
 
 def write_single_csv(df: DataFrame, path: str, codec: str | None = None,
-                     mode: str = "errorifexists") -> None:
+                     mode: str = "errorifexists", date_format: str = "%Y%m%d") -> None:
     """One CSV part file under ``path``; meant for small, already aggregated
     results (an empty frame still gets its header line)."""
-    write_csv(df.coalesce(1), path, codec, mode)
+    write_csv(df.coalesce(1), path, codec, mode, date_format)
 
 
 def write_partitioned_csv(df: DataFrame, path: str, key: str, codec: str | None = None,
-                          mode: str = "errorifexists") -> None:
+                          mode: str = "errorifexists", date_format: str = "%Y%m%d") -> None:
     """``path/<key>=<value>/part-*.csv`` per key value."""
     (df.write.mode(mode).partitionBy(key).option("header", True)
-       .option("compression", _codec(codec)).csv(path))
+       .option("compression", _codec(codec))
+       .option("dateFormat", spark_pattern(date_format)).csv(path))
 
 
 def write_report_text(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
