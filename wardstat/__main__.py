@@ -78,7 +78,8 @@ def main(argv=None) -> dict:
     descr = read_code_descriptions(spark, a.descriptions) if a.descriptions else None
     info = run(ds, read_code_dictionary(spark, a.diagnosis),
                read_code_dictionary(spark, a.complications), a.out, cohort, spec, descr,
-               extract_dir=a.extract_dir, extract_codec=a.extract_codec)
+               extract_dir=a.extract_dir, extract_codec=a.extract_codec,
+               extract_date_format=a.date_format)
     print(json.dumps(info))
     return info
 

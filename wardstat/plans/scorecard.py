@@ -69,15 +69,16 @@ def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionar
         out_dir: str, cohort_spec: CohortSpec = CohortSpec(),
         spec: ReadmissionSpec = ReadmissionSpec(materialize="checkpoint"),
         descriptions: DataFrame | None = None, mode: str = "errorifexists",
-        extract_dir: str | None = None, extract_codec: str | None = None) -> dict:
+        extract_dir: str | None = None, extract_codec: str | None = None,
+        extract_date_format: str = "%Y%m%d") -> dict:
     """Batch run: writes every output under ``out_dir`` and returns the
     number of persons in the cohort.  By default the shared stays are
     checkpointed (lineage cut in the session's checkpoint folder), so a
     lost executor late in the run does not recompute the event scans.
 
     With ``extract_dir`` the cohort's tables are also written there as CSV
-    (``extract_codec``), and the cohort size is observed during that write
-    instead of costing a separate pass."""
+    (``extract_codec``, dates in ``extract_date_format``), and the cohort
+    size is observed during that write instead of costing a separate pass."""
     from pyspark.sql import Observation
 
     from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report_text,
@@ -95,7 +96,8 @@ def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionar
     if extract_dir is not None:
         seen = Observation("cohort")
         observed = cohort["person"].observe(seen, F.count(F.lit(1)).alias("persons"))
-        write_tables(cohort.replace(person=observed), extract_dir, extract_codec, mode=mode)
+        write_tables(cohort.replace(person=observed), extract_dir, extract_codec, mode=mode,
+                     date_format=extract_date_format)
         n_persons = seen.get["persons"]
     else:
         n_persons = cohort["person"].count()
