@@ -1,0 +1,2 @@
+"""Operators: lazy DataFrame -> DataFrame steps (cohort, range joins, stays,
+readmissions, scorecard, code statistics)."""

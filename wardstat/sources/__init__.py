@@ -1,0 +1,2 @@
+"""Sources: OMOP tables from CSV/Parquet, code dictionaries and
+descriptions, and the driver-table adapter."""
