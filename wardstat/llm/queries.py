@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wardstat.llm.common import read_table
 from wardstat.llm.exact_dedup import exact_dedup
+from wardstat.llm.language_id import identify, learn_profiles
 from wardstat.llm.packing import packed_digests
+from wardstat.llm.secrets import scan_secrets
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def crc_remainder(divisor: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
 def op1_packing(spark, sf_dir):
     return packed_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -22,9 +28,22 @@ def op5_exact_dedup(spark, sf_dir):
                        digests=[F.sha2("text", 256).alias("text_sha256")])
 
 
+def op6_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_remainder(4) == 2
+    learned = identify(docs, learn_profiles(docs.where(~held_out)))
+    return learned.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_secrets(spark, sf_dir):
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLE_SQL = {
