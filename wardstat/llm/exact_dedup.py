@@ -56,7 +56,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("_again"), F.unhex(F.sha2("text", 256))).alias("_full"),
         F.monotonically_increasing_id().alias("_row"), *digests))
     key = ["_len", "_prefix", "_full"]
-    groups = (rows.where(F.col("_full").isNotNull()).groupBy(*key)
+    # written down as well: both sides of the join then have a shuffle of their
+    # own, whose hot partitions Spark can split
+    groups = cut(rows.where(F.col("_full").isNotNull()).groupBy(*key)
               .agg(F.count(F.lit(1)).alias("group_size"),
                    F.max(F.struct(F.col("doc_id"), F.col("_row"))).alias("keep"))
               .where("group_size > 1"))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from wardstat.llm.chunk_bpe import encoded_digests
 from wardstat.llm.common import read_table
 from wardstat.llm.exact_dedup import exact_dedup
 from wardstat.llm.language_id import identify, learn_profiles
@@ -23,6 +24,10 @@ def op1_packing(spark, sf_dir):
     return packed_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_bpe(spark, sf_dir):
+    return encoded_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"),
                        digests=[F.sha2("text", 256).alias("text_sha256")])
@@ -41,6 +46,7 @@ def op8_secrets(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op8_secrets": op8_secrets,
