@@ -9,6 +9,7 @@ import corpus_pipeline
 from wardstat.llm.chunk_bpe import encoded_digests
 from wardstat.llm.common import read_table
 from wardstat.llm.exact_dedup import exact_dedup
+from wardstat.llm.fingerprints import edited_fingerprints
 from wardstat.llm.language_id import identify, learn_profiles
 from wardstat.llm.packing import packed_digests
 from wardstat.llm.secrets import scan_secrets
@@ -44,12 +45,17 @@ def op8_secrets(spark, sf_dir):
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark, sf_dir):
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op8_secrets": op8_secrets,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL = {
