@@ -11,6 +11,7 @@ from wardstat.llm.common import read_table
 from wardstat.llm.exact_dedup import exact_dedup
 from wardstat.llm.fingerprints import edited_fingerprints
 from wardstat.llm.language_id import identify, learn_profiles
+from wardstat.llm.order_minhash import near_classes
 from wardstat.llm.packing import packed_digests
 from wardstat.llm.secrets import scan_secrets
 
@@ -49,6 +50,11 @@ def op9_fingerprints(spark, sf_dir):
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op10_order_minhash(spark, sf_dir):
+    return near_classes(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "class_size", "kept")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_bpe": op4_bpe,
@@ -56,6 +62,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL = {
