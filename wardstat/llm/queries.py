@@ -11,6 +11,7 @@ from wardstat.llm.common import read_table
 from wardstat.llm.exact_dedup import exact_dedup
 from wardstat.llm.fingerprints import edited_fingerprints
 from wardstat.llm.language_id import identify, learn_profiles
+from wardstat.llm.line_dedup import line_report
 from wardstat.llm.order_minhash import near_classes
 from wardstat.llm.packing import packed_digests
 from wardstat.llm.secrets import scan_secrets
@@ -26,6 +27,10 @@ def op1_packing(spark, sf_dir):
     return packed_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     return encoded_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -57,6 +62,7 @@ def op10_order_minhash(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
