@@ -12,6 +12,7 @@ from wardstat.llm.exact_dedup import exact_dedup
 from wardstat.llm.fingerprints import edited_fingerprints
 from wardstat.llm.language_id import identify, learn_profiles
 from wardstat.llm.line_dedup import line_report
+from wardstat.llm.lm_score import score_documents
 from wardstat.llm.order_minhash import near_classes
 from wardstat.llm.packing import packed_digests
 from wardstat.llm.secrets import scan_secrets
@@ -47,6 +48,13 @@ def op6_language_id(spark, sf_dir):
     return learned.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_score(spark, sf_dir):
+    scored = score_documents(read_table(spark, sf_dir, "documents"), TOKENIZER,
+                             crc_remainder(7) != 2)
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op8_secrets(spark, sf_dir):
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -66,6 +74,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_lm_score": op7_lm_score,
     "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
     "op10_order_minhash": op10_order_minhash,
