@@ -46,6 +46,7 @@ TABLES = 16
 SAMPLED = 3
 THRESHOLD = 0.8
 ROUNDS = 3
+LEADERS = 8             # of a key in one round, after the first
 _random = np.random.default_rng(20240402)
 A = _random.integers(0, 1 << 64, TABLES, dtype=np.uint64) | np.uint64(1)
 B = _random.integers(0, 1 << 64, TABLES, dtype=np.uint64)
@@ -136,13 +137,16 @@ def _together(links: list[DataFrame]) -> DataFrame:
 
 
 def _apart(members: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Members of the keys under which there are texts of several classes yet."""
+    """Members (key, node, n, class, most) of the keys under which there are texts
+    of several classes yet; ``most`` is the class that is most frequent there."""
     classes = cut(components(_together(links)).withColumnRenamed("root", "class"))
-    classed = members.join(classes, "node", "left").select(
-        "key", "node", "n", F.coalesce("class", "node").alias("class"))
-    keys = cut(classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"))
-               .where("a < b").select("key"))
-    return classed.select("key", "node", "n").join(keys, "key")
+    classed = cut(members.join(classes, "node", "left").select(
+        "key", "node", "n", F.coalesce("class", "node").alias("class")))
+    keys = cut(classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
+               .groupBy("key").agg(F.max(F.struct("c", "class")).alias("m"),
+                                   F.count(F.lit(1)).alias("classes"))
+               .where("classes > 1").select("key", F.col("m.class").alias("most")))
+    return cut(classed.join(keys, "key"))
 
 
 def _rounds(members: DataFrame, seqs: DataFrame, threshold: float, rounds: int | None,
@@ -150,34 +154,44 @@ def _rounds(members: DataFrame, seqs: DataFrame, threshold: float, rounds: int |
     """Append to ``links`` what leaders find within each key of ``members`` (key,
     node, n); the members left after that many rounds (None: until none is).
 
-    The distance is a metric.  So a text that matched its leader at distance x
-    can match one that did not, at distance y, only if y - x is within the
-    limit; such matched texts stay for the next round, the others leave."""
+    In the first round a key has one leader, later up to ``LEADERS``, from the
+    smaller classes first.  A leader is compared with every member of another
+    class and leaves.  The distance is a metric, so a text that matched its
+    leader at distance x can match one that did not, at distance y, only if
+    y - x is within the limit; if there is none, the matched text leaves too."""
     limit = 1 - threshold + 1e-9
-    left, done = members, 0
+    left = members.select("key", "node", "n", F.col("node").alias("class"),
+                          F.lit(None).cast("long").alias("most"))
+    done = 0
     while rounds is None or done < rounds:
         # written down: the join's sides are shuffled apart, so that Spark can
         # split a key that very many texts share
-        leaders = cut(left.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l"),
-                                              F.count(F.lit(1)).alias("size"))
-                      .where("size > 1").select("key", F.col("l.node").alias("leader"),
-                                                F.col("l.n").alias("leader_n")))
-        if leaders.isEmpty():
+        turn = F.pmod(F.xxhash64("node"), F.lit(LEADERS)) if done else F.lit(0)
+        by = F.struct((F.coalesce(F.col("class") == F.col("most"), F.lit(False))).alias("last"),
+                      "node", "n", "class")
+        leaders = cut(left.groupBy("key", turn.alias("turn"))
+                      .agg(F.min(by).alias("l"))
+                      .where("not l.last").select(
+                          "key", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"),
+                          F.col("l.class").alias("leader_class")))
+        others = cut(left.join(leaders, "key").where("class != leader_class"))
+        if others.isEmpty():
             return left.limit(0)
-        others = cut(left.join(leaders, "key").where("node != leader"))
         ratio = F.least("n", "leader_n") / F.greatest("n", "leader_n")
-        pairs = others.where(1 - ratio <= 2 * limit).select("node", "leader").distinct()
+        pairs = others.where(ratio >= threshold).select("node", "leader").distinct()
         far = cut(_compared(pairs, seqs, threshold))
         links.append(far.where(F.col("far") <= limit).select("node", "leader"))
-        seen = others.join(far, ["node", "leader"], "left").select(
-            "key", "node", "n", F.coalesce("far", F.lit(1.0)).alias("far"))
-        seen = cut(seen)
-        border = cut(seen.where(F.col("far") > limit).groupBy("key")
-                     .agg(F.min("far").alias("border")))
-        left = (seen.join(border, "key")
-                .where(F.col("far") >= F.least(F.lit(limit), F.col("border") - limit))
-                .select("key", "node", "n"))
-        left = cut(_apart(left, links))
+        seen = cut(others.join(far, ["node", "leader"], "left").select(
+            "key", "node", "leader", F.coalesce(F.col("far"), 1 - ratio).alias("far")))
+        border = seen.where(F.col("far") > limit).groupBy("key", "leader").agg(
+            F.min("far").alias("border"))
+        settled = (seen.where(F.col("far") <= limit)
+                   .join(cut(border), ["key", "leader"], "left")
+                   .where(F.col("border").isNull() | (F.col("far") < F.col("border") - limit))
+                   .select("key", "node"))
+        gone = settled.unionByName(leaders.select("key", F.col("leader").alias("node")))
+        left = _apart(left.select("key", "node", "n").join(gone, ["key", "node"], "left_anti"),
+                      links)
         done += 1
     return left
 
@@ -217,9 +231,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                           F.explode("keys").alias("key"))
     seqs = table.select(F.col("row").alias("node"), "n", "seq")
     links: list[DataFrame] = []
-    rest = _rounds(members, seqs, threshold, rounds, links)
-    several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    left = cut(rest.join(several, "key", "left_semi").select("node").distinct())
+    members = cut(members)
+    # keys of a single text need no leader
+    several = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+                  .select("key"))
+    rest = _rounds(cut(members.join(several, "key")), seqs, threshold, rounds, links)
+    left = cut(rest.select("node").distinct())
     if not left.isEmpty():
         _rounds(cut(_rarest(left, seqs, threshold)), seqs, threshold, None, links)
     if not links:
