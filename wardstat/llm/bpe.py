@@ -25,7 +25,7 @@ PRETOKENS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+"
                        rf"| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 # Anything outside these is left to the tokenizers library.
 UNUSUAL = re.compile("[\x1c-\x1f]|[^\x00-ɏ‐-‧]")
-CACHE_WORDS = 400_000   # pre-tokens remembered per worker
+CACHE_WORDS = 300_000   # pre-tokens remembered per worker
 CACHE_CHARS = 64        # longer ones are merged anew each time
 
 
@@ -55,9 +55,7 @@ class _Words(dict):
 
 class Encoder:
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -80,12 +78,23 @@ class Encoder:
                      and pre.get("use_regex", True) and ids == sorted(ids)
                      and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word")
                                  for t in spec.get("added_tokens", [])))
-        if self.fast:  # ranks are ids, as merges stand in the order of their ids
-            ranks = {self.bytes_of[k]: k for t, k in model["vocab"].items()
-                     if t not in self.special}
-            core = tiktoken.Encoding("byte_level", pat_str=r"\S+|\s+", mergeable_ranks=ranks,
-                                     special_tokens={})
-            self.words = _Words(core._core_bpe.encode_single_piece)
+        self.special_ids = {t["id"] for t in spec.get("added_tokens", [])}
+
+    # what only encoding needs is made when it is first used
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
+    @functools.cached_property
+    def words(self) -> _Words:
+        # ranks are ids, as merges stand in the order of their ids
+        ranks = {b: k for k, b in enumerate(self.bytes_of) if b and k not in self.special_ids}
+        core = tiktoken.Encoding("byte_level", pat_str=r"\S+|\s+", mergeable_ranks=ranks,
+                                 special_tokens={})
+        return _Words(core._core_bpe.encode_single_piece)
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""

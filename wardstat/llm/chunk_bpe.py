@@ -12,8 +12,9 @@
    which the following text may change and which are encoded anew with it.
    A chunk without such a boundary is encoded from the text.
 
-The text is shuffled once, by document; only shared chunks' ids are shuffled
-besides.  The join on chunk hashes is one that Spark splits where a chunk
+The text is shuffled once, by document and compressed: the same shuffle gives
+the shared chunks their text and the documents theirs.  Only shared chunks' ids
+are shuffled besides, two bytes each where the vocabulary allows.  The join on chunk hashes is one that Spark splits where a chunk
 occurs in a large share of the documents.
 
 Null texts are empty (no ids).  Rows with the same id and text get the same
@@ -30,14 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.llm.bpe import PRETOKENS, UNUSUAL, encoder
-from wardstat.llm.common import cut, id_text
+from wardstat.llm.common import cut, hash128, id_text
 
-CHUNK_BYTES = 512       # expected length of a chunk; a power of two
+CHUNK_BYTES = 1024      # expected length of a chunk; a power of two
 HEAD_CHARS = 256        # where a join looks for agreement with the chunk
+YIELDED = 1000          # documents whose ids leave a task together
 UNSTABLE = 2            # pre-tokens at the end of a piece that its successor can change
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -121,51 +124,80 @@ def assemble(enc, text: str, shared) -> bytes:
     return b"".join(out)
 
 
+def narrow(ids: bytes, enc) -> bytes:
+    """Ids for a shuffle: two bytes each if the vocabulary allows, compressed."""
+    if len(enc.bytes_of) <= 1 << 16:
+        ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    return zstandard.compress(ids)
+
+
+def widen(ids: bytes, enc) -> bytes:
+    ids = zstandard.decompress(ids)
+    if len(enc.bytes_of) <= 1 << 16:
+        ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+    return ids
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                      text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers."""
-    texts = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
+    texts = id_text(docs, id_col, text_col)
+    # rows with the same id and text are one document here
+    texts = texts.withColumn("k", hash128(F.coalesce(F.col("doc_id").cast("string"),
+                                                     F.lit("none")), F.col("text")))
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, t, *c) for d, t, text in zip(pdf["doc_id"], pdf["t"], pdf["text"])
+            rows = [(k, *c) for k, text in zip(pdf["k"], pdf["text"])
                     for c in chunk_rows(text, chunk_bytes)]
-            yield pd.DataFrame(rows, columns=["doc_id", "t", "start", "length", "h"])
+            yield pd.DataFrame(rows, columns=["k", "start", "length", "h"])
 
-    table = cut(texts.mapInPandas(chunks, "doc_id long, t long, start int, length int, h binary"))
-    place = F.struct("doc_id", "t", "start", "length")
-    shared = cut(table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"))
+    table = cut(texts.select("k", "text").mapInPandas(
+        chunks, "k binary, start int, length int, h binary"))
+    shared = cut(table.groupBy("h").agg(F.count(F.lit(1)).alias("n"),
+                                        F.min(F.struct("k", "start", "length")).alias("p"))
                  .where("n > 1").select("h", "p.*"))
 
+    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(z=[zstandard.compress(x.encode("utf-8", "replace"))
+                                for x in pdf["text"]])[["k", "doc_id", "z"]]
+
+    # the filter, which drops nothing, makes both uses below one shuffle
+    packed = texts.mapInPandas(compress, "k binary, doc_id long, z binary").where("k is not null")
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer_path)
         for pdf in batches:
-            rows = [(h, *encode_chunk(enc, text)[:2]) for h, text in zip(pdf["h"], pdf["chunk"])]
-            yield pd.DataFrame(rows, columns=["h", "ids", "stable"])
-
-    # one place of each shared chunk gives its text; null ids are equal here
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t"))
-    source = (texts.alias("a").join(shared.alias("b"), same)
-              .select("h", F.substring("text", F.col("start") + 1, F.col("length")).alias("chunk"))
-              .dropDuplicates(["h"]))
-    encoded = cut(source.mapInPandas(encode, "h binary, ids binary, stable int")
-                  .where("stable > 0"))
+            out = []
+            for z, parts in zip(pdf["z"], pdf["parts"]):
+                text = zstandard.decompress(z).decode()
+                for p in parts:
+                    ids, stable, _ = encode_chunk(enc, text[p["start"]:p["start"] + p["length"]])
+                    if stable:
+                        out.append((p["h"], narrow(ids, enc), stable))
+            yield pd.DataFrame(out, columns=["h", "ids", "stable"])
+
+    # one place of each shared chunk gives its text
+    wanted = shared.groupBy("k").agg(F.collect_list(F.struct("h", "start", "length"))
+                                     .alias("parts"))
+    encoded = (packed.join(wanted, "k").select("doc_id", "z", "parts")
+               .mapInPandas(encode, "h binary, ids binary, stable int"))
     reused = (table.join(encoded, "h")
-              .groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stable", "ids"))
-                                          .alias("reused")))
+              .groupBy("k").agg(F.collect_set(F.struct("start", "stable", "ids")).alias("reused")))
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer_path)
-        for pdf in batches:
-            ids = []
-            for text, parts in zip(pdf["text"], pdf["reused"]):
-                parts = () if parts is None else sorted(
-                    (p["start"], p["ids"], p["stable"]) for p in parts)
-                ids.append(assemble(enc, text, parts))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
-
-    return (texts.alias("a").join(reused.alias("b"), same, "left")
-            .select("a.doc_id", "text", "reused")
+        for batch in batches:
+            for at in range(0, len(batch), YIELDED):
+                pdf, ids = batch.iloc[at:at + YIELDED], []
+                for z, parts in zip(pdf["z"], pdf["reused"]):
+                    parts = () if parts is None else sorted(
+                        (p["start"], widen(p["ids"], enc), p["stable"]) for p in parts)
+                    ids.append(assemble(enc, zstandard.decompress(z).decode(), parts))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "ids": ids})
+
+    return (packed.join(reused, "k", "left").select("doc_id", "z", "reused")
             .mapInPandas(put_together, "doc_id long, ids binary"))
 
 
