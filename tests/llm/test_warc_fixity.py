@@ -1,0 +1,84 @@
+import random
+
+from pyspark.sql import functions as F
+
+from tests.llm.util import rows_of
+from wardstat.llm.warc_fixity import (audit, audited_pages, damaged_replica, leaves, merkle_levels,
+                                      warc_records)
+
+COLS = ["file", "ordinal", "status", "start_a", "length_a", "start_b", "length_b"]
+
+
+def leaf_table(spark, files):
+    rows = []
+    for name, records in files.items():
+        at = 0
+        for k, r in enumerate(records):
+            rows.append((name, k, at, len(r), bytearray(r)))
+            at += len(r)
+    return spark.createDataFrame(rows, "file string, ordinal long, start long, length long, "
+                                       "digest binary")
+
+
+def brute(a, b):
+    def flat(files):
+        out = {}
+        for name, records in files.items():
+            at = 0
+            for k, r in enumerate(records):
+                out[name, k] = (at, len(r), r)
+                at += len(r)
+        return out
+
+    x, y, out = flat(a), flat(b), []
+    for k in x.keys() | y.keys():
+        p, q = x.get(k), y.get(k)
+        if p == q:
+            continue
+        status = ("missing" if q is None else "extra" if p is None else
+                  "moved" if p[2] == q[2] else "corrupt")
+        out.append((*k, status, *(p or (None, None))[:2], *(q or (None, None))[:2]))
+    return sorted(out, key=str)
+
+
+def test_audit_equals_brute_force(spark):
+    rng = random.Random(2)
+    a = {f"f{k}": [bytes(rng.choices(range(256), k=rng.randrange(1, 9)))
+                   for _ in range(rng.randrange(1, 90))] for k in range(20)}
+    a["hot"] = [bytes([k % 251]) * 3 for k in range(700)]
+    b = {k: list(v) for k, v in a.items()}
+    b["f1"][0] = b"changed"
+    b["f2"] = b["f2"][:-1]
+    b["f3"].append(b"more")
+    del b["f4"]
+    b["new"] = [b"x", b"y"]
+    b["hot"][333] = b"abc"
+    got = audit(leaf_table(spark, a), leaf_table(spark, b))
+    assert sorted(map(tuple, got.select(*COLS).collect()), key=str) == brute(a, b)
+    assert audit(leaf_table(spark, a), leaf_table(spark, a)).count() == 0
+
+
+def test_tree_shape(spark):
+    one = leaf_table(spark, {"a": [b"1"] * 40, "b": [b"2"]}).withColumn("replica", F.lit("a"))
+    levels = merkle_levels(one, 4)
+    assert [x.count() for x in levels][:4] == [41, 11, 4, 2] and levels[-1].count() == 1
+
+
+def test_pages_nulls_repeats_and_empty(spark):
+    rows = [(k, f"http://h/{k}", "é" * (k % 7)) for k in range(1500)]
+    rows += [(5, "http://h/5", "x"), (5, "http://h/5", "x"), (None, None, None), (1600, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn(
+        "file", F.lit("clash")).withColumn("digest", F.lit(1)).withColumn("length", F.lit(2))
+    records = warc_records(pages)
+    assert records.count() == len(rows)
+    one = records.where("page_id = 3").first()
+    assert bytes(one["record"]) == ("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/3"
+                                    "\r\nContent-Length: 6\r\n\r\nééé\r\n\r\n").encode()
+    found = {r["page_id"]: r["status"] for r in audited_pages(pages).collect()}
+    assert found[13] == found[1010] == found[7] == "corrupt" and found[8] == "moved"
+    assert 1100 not in found
+    empty = leaves(records.where("false"))
+    assert audit(empty, empty).count() == 0
+    assert rows_of(audit(leaves(records), empty).groupBy("status").count()) == [
+        ("missing", len(rows))]
+    assert damaged_replica(records.where("false")).count() == 0

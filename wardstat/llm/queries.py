@@ -16,6 +16,7 @@ from wardstat.llm.lm_score import score_documents
 from wardstat.llm.order_minhash import near_classes
 from wardstat.llm.packing import packed_digests
 from wardstat.llm.secrets import scan_secrets
+from wardstat.llm.warc_fixity import AUDIT_SQL, audited_pages
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,6 +33,10 @@ def op2_line_dedup(spark, sf_dir):
     return line_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_fixity(spark, sf_dir):
+    return audited_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark, sf_dir):
     return encoded_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -71,6 +76,7 @@ def op10_order_minhash(spark, sf_dir):
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
@@ -81,6 +87,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc_fixity": AUDIT_SQL,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
