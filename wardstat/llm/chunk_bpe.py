@@ -178,10 +178,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                         out.append((p["h"], narrow(ids, enc), stable))
             yield pd.DataFrame(out, columns=["h", "ids", "stable"])
 
-    # one place of each shared chunk gives its text
+    # One place of each shared chunk gives its text.  Both joins with the texts are
+    # merge joins at every size, so that they use one shuffle.
     wanted = shared.groupBy("k").agg(F.collect_list(F.struct("h", "start", "length"))
                                      .alias("parts"))
-    encoded = (packed.join(wanted, "k").select("doc_id", "z", "parts")
+    encoded = (packed.join(wanted.hint("merge"), "k").select("doc_id", "z", "parts")
                .mapInPandas(encode, "h binary, ids binary, stable int"))
     reused = (table.join(encoded, "h")
               .groupBy("k").agg(F.collect_set(F.struct("start", "stable", "ids")).alias("reused")))
@@ -197,7 +198,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                     ids.append(assemble(enc, zstandard.decompress(z).decode(), parts))
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "ids": ids})
 
-    return (packed.join(reused, "k", "left").select("doc_id", "z", "reused")
+    return (packed.join(reused.hint("merge"), "k", "left").select("doc_id", "z", "reused")
             .mapInPandas(put_together, "doc_id long, ids binary"))
 
 

@@ -125,7 +125,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "row", F.lit(0).alias("i"), (F.col("last") + 1).alias("h"))
     cuts = cut(runs.unionByName(whole).groupBy("row").agg(
         F.collect_list(F.struct("i", "h")).alias("cuts")).withColumnRenamed("row", ROW))
-    joined = numbered.join(cuts, ROW, "left")
+    # the same plan at every size: the texts are shuffled once
+    joined = numbered.join(cuts.hint("merge"), ROW, "left")
 
     @F.pandas_udf("text string, n_lines long, removed array<struct<start int, end int>>, "
                   "longest long")

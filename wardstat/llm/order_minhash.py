@@ -125,7 +125,7 @@ def _compared(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 
     a = seqs.select("node", F.col("seq").alias("a"))
     b = seqs.select(F.col("node").alias("leader"), F.col("seq").alias("b"))
-    return (pairs.join(a, "node").join(b, "leader").select("node", "leader", "a", "b")
+    return (pairs.join(a.hint("merge"), "node").join(b.hint("merge"), "leader").select("node", "leader", "a", "b")
             .mapInPandas(align, "node long, leader long, far double"))
 
 
