@@ -1,0 +1,82 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tests.llm.util import docs, words
+from wardstat.llm.packing import (cut_documents, first_fit_decreasing, pack_pieces, packed_digests,
+                                  sequences)
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def check_packing(rows, texts, capacity):
+    """Every id in one piece, pieces of a sequence gapless and within capacity."""
+    library = Tokenizer.from_file(PATH)
+    ids = [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    by_sequence = defaultdict(list)
+    pieces = defaultdict(list)
+    for r in rows:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    for k, own in enumerate(ids):
+        at = 0
+        for start, length, crc, total in sorted(pieces[k]):
+            assert start == at and total == len(own)
+            assert crc == zlib.crc32(np.array(own[start:start + length], "<u4").tobytes())
+            at += length
+        assert at == len(own)
+    used = sum(map(len, ids))
+    return 1 - used / (capacity * len(by_sequence))
+
+
+def naive(sizes, capacity):
+    bins, out = [], {}
+    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+        b = next((n for n, used in enumerate(bins) if used + sizes[k] <= capacity), len(bins))
+        if b == len(bins):
+            bins.append(0)
+        out[k] = (b, bins[b])
+        bins[b] += sizes[k]
+    return out
+
+
+def test_first_fit_equals_naive():
+    rng = random.Random(1)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 200))]
+        bins, offsets = first_fit_decreasing(sizes, 100)
+        assert dict(enumerate(zip(bins.tolist(), offsets.tolist()))) == naive(sizes, 100)
+    assert len(first_fit_decreasing([], 100)[0]) == 0
+
+
+def test_packed_documents(spark):
+    rng = random.Random(2)
+    texts = [words(rng, rng.randrange(0, 400)) for _ in range(300)] + [None, "", "x " * 30_000]
+    got = packed_digests(docs(spark, list(enumerate(texts)), extra=True), PATH, 512, 200).collect()
+    assert check_packing(got, texts, 512) < 0.05
+
+
+def test_sequences_hold_the_ids(spark):
+    texts = ["a b c", "d e f g", "h"]
+    pieces = cut_documents(docs(spark, list(enumerate(texts))), PATH, 4)
+    packed = pack_pieces(pieces, 4).collect()
+    got = {r["sequence_id"]: bytes(r["ids"]) for r in sequences(pack_pieces(pieces, 4)).collect()}
+    assert sum(map(len, got.values())) == 4 * sum(r["length"] for r in packed)
+    assert all(len(v) <= 16 for v in got.values())
+
+
+def test_repeats_nulls_and_empty(spark):
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, None)]
+    got = packed_digests(docs(spark, rows), PATH).collect()
+    assert len(got) == 4 and sum(r["length"] for r in got) == 2 + 2 + 2 + 1
+    assert packed_digests(docs(spark, rows).where("false"), PATH).count() == 0
