@@ -89,6 +89,8 @@ def test_whole_operator(spark, library):
     assert pairs == sorted((str(i), want(library, t)) for i, t in rows)
     back = sorted(r["s"] for r in got.select(decoded(got["ids"], PATH).alias("s")).collect())
     assert back == sorted(t or "" for _, t in rows)
+    same = encode_documents(docs(spark, rows), PATH, decode=True)
+    assert sorted(r["decoded"] for r in same.collect()) == back
     assert encode_documents(docs(spark, [(1, "a")]).where("false"), PATH).count() == 0
 
 

@@ -25,7 +25,7 @@ PRETOKENS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+"
                        rf"| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 # Anything outside these is left to the tokenizers library.
 UNUSUAL = re.compile("[\x1c-\x1f]|[^\x00-ɏ‐-‧]")
-CACHE_WORDS = 300_000   # pre-tokens remembered per worker
+CACHE_WORDS = 200_000   # pre-tokens remembered per worker
 CACHE_CHARS = 64        # longer ones are merged anew each time
 
 
