@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from wardstat.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("PythonUDF", "EvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
@@ -16,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 @pytest.fixture(scope="module")
 def plans(spark):
     out = {}
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         out[name] = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
     return out
 

@@ -14,8 +14,11 @@ class OmopDataset(Mapping):
     ``replace``.  Absent tables are simply missing keys.
     """
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
+    def __init__(self, tables: Mapping[str, DataFrame],
+                 flagged: Mapping[str, DataFrame] | None = None):
         self._tables = dict(tables)
+        # file tables with malformed rows still in, marked (see sources.tables)
+        self.flagged = dict(flagged or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         try:
@@ -31,7 +34,7 @@ class OmopDataset(Mapping):
         return len(self._tables)
 
     def replace(self, **tables: DataFrame) -> "OmopDataset":
-        return OmopDataset({**self._tables, **tables})
+        return OmopDataset({**self._tables, **tables}, self.flagged)
 
     def __repr__(self) -> str:
         return f"OmopDataset({sorted(self._tables)})"

@@ -15,11 +15,15 @@ by one task after Spark has done the work.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardstat.dataset import OmopDataset
 from wardstat.functions.dates import spark_pattern
+from wardstat.sources.tables import escaped
 
 # Codec names accepted by the CSV writer; "none"/"uncompressed" write plain text.
 CSV_CODECS = ("none", "uncompressed", "bzip2", "deflate", "gzip", "lz4", "snappy")
@@ -36,10 +40,19 @@ def _codec(codec: str | None) -> str:
 
 def write_csv(df: DataFrame, path: str, codec: str | None = None,
               mode: str = "errorifexists", date_format: str = "%Y%m%d") -> None:
-    """CSV with a header line; dates are written in ``date_format`` (the
-    loaders' default), so an extract reads back with the same setting."""
-    (df.write.mode(mode).option("header", True).option("compression", _codec(codec))
-       .option("dateFormat", spark_pattern(date_format)).csv(path))
+    """CSV with a header line that the loaders read back as it is: dates in
+    ``date_format``, blanks kept, a null as an empty field and an empty text
+    as a quoted one, line ends, quotes and backslashes escaped."""
+    _csv_writer(df, codec, mode, date_format).csv(path)
+
+
+def _csv_writer(df: DataFrame, codec: str | None, mode: str, date_format: str):
+    text = df.select(*[escaped(F.col(f"`{f.name}`")).alias(f.name)
+                       if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+    return (text.write.mode(mode).option("header", True).option("compression", _codec(codec))
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("dateFormat", spark_pattern(date_format)))
 
 
 def write_tables(ds: OmopDataset, directory: str, codec: str | None = None,
@@ -59,20 +72,31 @@ def write_single_csv(df: DataFrame, path: str, codec: str | None = None,
                      mode: str = "errorifexists", date_format: str = "%Y%m%d") -> None:
     """One CSV part file under ``path``; meant for small, already aggregated
     results (an empty frame still gets its header line)."""
-    write_csv(df.coalesce(1), path, codec, mode, date_format)
+    write_csv(df.repartition(1), path, codec, mode, date_format)
 
 
 def write_partitioned_csv(df: DataFrame, path: str, key: str, codec: str | None = None,
-                          mode: str = "errorifexists", date_format: str = "%Y%m%d") -> None:
-    """``path/<key>=<value>/part-*.csv`` per key value."""
-    (df.write.mode(mode).partitionBy(key).option("header", True)
-       .option("compression", _codec(codec))
-       .option("dateFormat", spark_pattern(date_format)).csv(path))
+                          mode: str = "errorifexists", date_format: str = "%Y%m%d",
+                          order: Sequence = (), keys: Sequence[str] = ()) -> None:
+    """``path/<key>=<value>/part-*.csv``, one file per value of ``key``, its rows
+    in the order of ``order``.  Values of ``keys`` without a row get a file with
+    the header only.  Read back with a schema in which the key is a string
+    (Spark would else guess its type from the folder names)."""
+    by_key = df.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"), *order)
+    _csv_writer(by_key, codec, mode, date_format).partitionBy(key).csv(path)
+    if keys:
+        # one row per key at most
+        have = {r[0] for r in df.select(F.col(f"`{key}`").cast("string")).distinct().collect()}
+        empty = df.drop(key).limit(0)
+        for k in keys:
+            if k not in have:
+                write_single_csv(empty, f"{path}/{key}={k}", codec, mode, date_format)
 
 
 def write_report_text(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write ``render_report`` output in its order as one text file.  The
     report holds one line per dictionary entry, so a single writer is
     bounded by the dictionary size."""
-    ordered = lines.orderBy(F.col("proc_ord").asc_nulls_last(), "seq", "ord")
-    ordered.select("line").coalesce(1).write.mode(mode).text(path)
+    ordered = lines.repartition(1).sortWithinPartitions(
+        F.col("proc_ord").asc_nulls_last(), "seq", "ord")
+    ordered.select("line").write.mode(mode).text(path)

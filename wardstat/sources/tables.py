@@ -2,8 +2,8 @@
 fixed layouts of ``wardstat.schemas`` by header name.
 
 * ``read_omop_csv``      — one table; columns matched by header name
-                           (case-insensitive), missing columns become typed
-                           nulls, extra columns are ignored.
+                           (case-insensitive) file by file, missing columns
+                           become typed nulls, extra columns are ignored.
 * ``load_directory``     — every known table of a folder (local, HDFS, S3...),
                            one lazy read per table; unknown files are skipped.
 * ``combine_yearly``     — concatenate per-year extracts with a YEAR column.
@@ -12,13 +12,15 @@ Malformed rows: a row is malformed when a non-blank declared field does not
 convert to its type (dates with the configured format).  ``mode`` decides:
 ``DROPMALFORMED`` (default) drops such rows, ``PERMISSIVE`` keeps them with
 the bad fields null, ``FAILFAST`` raises.  The rule is computed from the
-fields themselves, so it does not depend on which columns a query reads.
+fields themselves, so it does not depend on which columns a query reads;
+columns whose type always converts need no check and are read only if wanted.
+``malformed_counts`` says how many rows were left out.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,17 +40,58 @@ UNSUPPORTED_SUFFIXES = (".csv.zip", ".csv.bzip2")
 
 MALFORMED = "_malformed"
 
+# Fixed values of the extracts' CSV form: a quoted empty field reads as this
+# mark, and a text that starts with the escape mark has its line ends, quotes
+# and backslashes written as percent codes (see sinks.files.write_csv).
+EMPTY_MARK = "\x1aempty"
+ESCAPE_MARK = "\x1a%"
+ESCAPES = (("\n", "%0A"), ("\r", "%0D"), ('"', "%22"), ("\\", "%5C"))
+
+# Folders of up to this many CSV files may mix headers (each is read once);
+# in larger ones a file whose header differs is an error.
+MAX_HEADERS = 256
+
+_EXACT = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 3, T.LongType: 4}
+
 
 def _typed(raw: Column, field: T.StructField, date_format: str) -> Column:
     if isinstance(field.dataType, T.DateType):
         return parse_date(raw, date_format)
     if isinstance(field.dataType, T.StringType):
-        return raw
+        return unescaped(raw)
     return raw.try_cast(field.dataType)
 
 
+def escaped(text: Column) -> Column:
+    """A string in the extracts' CSV form."""
+    out = F.replace(text, F.lit("%"), F.lit("%25"))
+    odd = text.startswith(ESCAPE_MARK[0])
+    for char, code in ESCAPES:
+        out = F.replace(out, F.lit(char), F.lit(code))
+        odd = odd | text.contains(char)
+    return F.when(odd, F.concat(F.lit(ESCAPE_MARK), out)).otherwise(text)
+
+
+def unescaped(text: Column) -> Column:
+    out = F.substring(text, len(ESCAPE_MARK) + 1, 2 ** 31 - 1)
+    for char, code in ESCAPES:
+        out = F.replace(out, F.lit(code), F.lit(char))
+    out = F.replace(out, F.lit("%25"), F.lit("%"))
+    return (F.when(text == EMPTY_MARK, "").when(text.startswith(ESCAPE_MARK), out)
+            .otherwise(text))
+
+
+def _cannot_fail(source: T.DataType, target: T.DataType) -> bool:
+    """Every value of ``source`` converts to ``target``: no check is needed, and
+    a scan that does not want the column need not read it."""
+    if source == target or isinstance(target, T.StringType):
+        return True
+    wide = _EXACT.get(type(source), 9) <= _EXACT.get(type(target), 0)
+    return wide or (type(source) in _EXACT and isinstance(target, (T.FloatType, T.DoubleType)))
+
+
 def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
-                 mode: str = "DROPMALFORMED") -> DataFrame:
+                 mode: str = "DROPMALFORMED", from_text: bool = False) -> DataFrame:
     """Bind a frame of raw (string or typed) columns to the table layout."""
     schema = table_schema(table)
     # header names match case-insensitively, ignoring a byte-order mark and
@@ -61,13 +104,22 @@ def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
             continue
         rc = F.col(f"`{src}`")
-        if isinstance(raw.schema[src].dataType, T.StringType):
+        source = raw.schema[src].dataType
+        if source == f.dataType and not (from_text and isinstance(source, T.StringType)):
+            typed = rc
+        elif isinstance(source, T.StringType):
+            blank = rc.isNull() | (rc == EMPTY_MARK) | (F.trim(rc) == "")
             typed = _typed(rc, f, date_format)
-            bad.append(rc.isNotNull() & (F.trim(rc) != "") & typed.isNull())
+            if not isinstance(f.dataType, T.StringType):
+                bad.append(~blank & typed.isNull())
+        elif _cannot_fail(source, f.dataType):
+            typed = rc.cast(f.dataType)
         else:
             typed = rc.try_cast(f.dataType)
             bad.append(rc.isNotNull() & typed.isNull())
         cols.append(typed.alias(f.name))
+    if not bad and mode.upper() in ("DROPMALFORMED", "PERMISSIVE", "FAILFAST"):
+        return raw.select(*cols)
     flag = reduce(lambda a, b: a | b, bad) if bad else F.lit(False)
     out = raw.select(*cols, flag.alias(MALFORMED))
     mode = mode.upper()
@@ -83,12 +135,35 @@ def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def _csv_by_header(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The CSV files of ``path`` (file, folder or glob) as text columns, one frame
+    per distinct header: columns are bound by each file's own header."""
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+              .option("emptyValue", EMPTY_MARK))
+    files = spark.read.format("text").load(path).inputFiles()
+    if len(files) <= 1:
+        return [reader.csv(path)]
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    if len(files) <= MAX_HEADERS:
+        for f in sorted(files):
+            by_header.setdefault(tuple(reader.csv(f).columns), []).append(f)
+    else:
+        by_header[tuple(reader.csv(files[0]).columns)] = [path]
+    by_header.pop((), None)     # files without a line
+    # enforceSchema=false: a file with another header is an error, not a mix-up
+    return [reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
+            .option("enforceSchema", False).csv(paths) for names, paths in by_header.items()]
+
+
 def read_omop_csv(spark: SparkSession, path: str, table: str,
                   date_format: str = "yyyyMMdd", mode: str = "DROPMALFORMED") -> DataFrame:
-    """Read a CSV table (file, folder or glob) with a header line."""
+    """Read a CSV table (file, folder or glob) whose files have a header line."""
     _check_suffix(path)
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return bind_columns(raw, table, date_format, mode)
+    parts = [bind_columns(raw, table, date_format, mode, from_text=True)
+             for raw in _csv_by_header(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], table_schema(table))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def read_omop_parquet(spark: SparkSession, path: str, table: str,
@@ -135,6 +210,7 @@ def load_directory(spark: SparkSession, directory: str, date_format: str = "yyyy
     ``<table>.parquet`` files, and ``<table>/`` folders written by Spark, are
     read; other entries are skipped with a log message."""
     tables: dict[str, DataFrame] = {}
+    flagged: dict[str, DataFrame] = {}
     for name, full, is_dir in sorted(list_entries(spark, directory)):
         if name.startswith((".", "_")):
             continue
@@ -142,11 +218,33 @@ def load_directory(spark: SparkSession, directory: str, date_format: str = "yyyy
         if stem is None or stem not in OMOP_TABLE_COLUMNS:
             log.warning("no OMOP layout for %s; skipped", name)
             continue
+        if stem in tables:
+            raise ValueError(f"two sources of table {stem!r} in {directory}: {name} and another")
         if name.lower().endswith(".parquet") or (is_dir and _is_parquet_dir(spark, full)):
-            tables[stem] = read_omop_parquet(spark, full, stem, date_format, mode)
+            read = read_omop_parquet
         else:
-            tables[stem] = read_omop_csv(spark, full, stem, date_format, mode)
-    return OmopDataset(tables)
+            read = read_omop_csv
+        tables[stem] = read(spark, full, stem, date_format, mode)
+        if mode.upper() == "DROPMALFORMED":
+            flagged[stem] = read(spark, full, stem, date_format, "FLAG")
+    return OmopDataset(tables, flagged)
+
+
+def malformed_counts(ds: OmopDataset, tables: Sequence[str]) -> dict[str, int]:
+    """Rows that ``DROPMALFORMED`` leaves out, by table: one pass over each file
+    table that has columns to check.  A table that loses all its rows is an
+    error (most likely the date format is another one)."""
+    out = {}
+    for name in tables:
+        flags = ds.flagged.get(name)
+        if flags is None:
+            continue
+        r = flags.agg(F.count(F.lit(1)).alias("n"),
+                      F.count(F.when(F.col(MALFORMED), 1)).alias("bad")).first()
+        if r["n"] and r["n"] == r["bad"]:
+            raise ValueError(f"all {r['n']} rows of {name} are malformed; check the date format")
+        out[name] = r["bad"]
+    return out
 
 
 def _is_parquet_dir(spark: SparkSession, path: str) -> bool:
@@ -163,5 +261,9 @@ def combine_yearly(frames: Mapping[int | None, DataFrame]) -> DataFrame:
 
 
 def read_yearly_csv(spark: SparkSession, paths: Mapping[int | None, str]) -> DataFrame:
-    """``combine_yearly`` over CSV files with headers (all columns as text)."""
-    return combine_yearly({y: spark.read.option("header", True).csv(p) for y, p in paths.items()})
+    """``combine_yearly`` over CSV files with headers (all columns as text); files
+    of one year may have different headers."""
+    return combine_yearly({y: reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [raw.select(*[unescaped(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+         for raw in _csv_by_header(spark, p)]) for y, p in paths.items()})
