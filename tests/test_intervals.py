@@ -25,9 +25,9 @@ def test_containment_matches_brute_force(spark):
     intervals.append((1, None, day(3), 999))
     p = spark.createDataFrame(points, "k long, d date, pid int")
     iv = spark.createDataFrame(intervals, "k long, s date, e date, iid int")
-    for b, mb in ((1, 1024), (3, 1024), (7, 1024), (30, 1024), (7, 2), (1, 5)):
+    for b in (1, 3, 7, 30):
         got = sorted((r.pid, r.iid) for r in
-                     containment_join(p, iv, ["k"], "d", "s", "e", b, mb)
+                     containment_join(p, iv, ["k"], "d", "s", "e", b)
                      .select("pid", "iid").collect())
         want = sorted((pid, iid) for k, d, pid in points for k2, s, e, iid in intervals
                       if k == k2 and s is not None and e is not None and s <= d <= e)
@@ -80,9 +80,25 @@ def test_long_intervals_are_exact_without_explosion(spark):
                                "k long, s date, e date, name string")
     got = sorted((r.tag, r.name) for r in containment_join(p, iv, ["k"], "d", "s", "e").collect())
     assert got == [("a", "open"), ("a", "short"), ("b", "open"), ("c", "short2")]
-    small = sorted((r.tag, r.name) for r in
-                   containment_join(p, iv, ["k"], "d", "s", "e", 7, max_buckets=1).collect())
-    assert small == got
+
+
+def test_hot_key_with_long_intervals_and_far_dates(spark):
+    rnd = random.Random(5)
+    far = [dt.date(1800, 1, 1), dt.date(2200, 1, 1), dt.date(9999, 12, 31)]
+    points = [(1, rnd.choice([day(rnd.randint(0, 9000)), *far]), i) for i in range(300)]
+    intervals = []
+    for j in range(200):
+        s = rnd.choice([day(rnd.randint(0, 9000)), dt.date(1700, 1, 1), dt.date(2100, 5, 5)])
+        e = rnd.choice([s + dt.timedelta(days=rnd.randint(0, 4000)), dt.date(9999, 12, 31)])
+        intervals.append((1, s, e, j))
+    p = spark.createDataFrame(points, "k long, d date, pid int")
+    iv = spark.createDataFrame(intervals, "k long, s date, e date, iid int")
+    joined = containment_join(p, iv, ["k"], "d", "s", "e")
+    got = sorted((r.pid, r.iid) for r in joined.select("pid", "iid").collect())
+    assert got == sorted((i, j) for _, d, i in points for _, s, e, j in intervals if s <= d <= e)
+    # one explode, on the side of the intervals: no point is copied
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
 
 
 def test_band_join_random_parameters(spark):

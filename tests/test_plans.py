@@ -38,3 +38,10 @@ def test_scans_read_only_needed_columns(plans):
 def test_range_joins_are_bucketed_equi_joins(plans):
     for name in ("index_stays", "readmissions", "provider_scorecard"):
         assert "_day_bucket" in plans[name], name
+
+
+def test_queries_leave_nothing_cached(spark, plans):
+    """Building every query persists nothing, so no query changes another's plan."""
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    for plan in plans.values():
+        assert "InMemoryTableScan" not in plan

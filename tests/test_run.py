@@ -18,7 +18,7 @@ def test_batch_run_outputs(spark, tmp_dir):
                            materialize="checkpoint")
     out = os.path.join(tmp_dir, "results")
     info = run(ds, diag, compl, out, CohortSpec(), spec)
-    assert info == {"persons": 3}
+    assert info["persons"] == 3 and set(info["malformed"].values()) == {0}
     for name in ("condition_type_concept_count", "procedure_type_concept_count", "scorecard",
                  "procedure_count_all", "procedure_count_primary", "readmission_count_all",
                  "readmission_count_primary", "readmission_event_code_count", "readmissions"):
@@ -57,7 +57,7 @@ def test_command_line_entry(spark, tmp_dir):
     info = main(["--data", data, "--diagnosis", diag, "--complications", compl, "--out", out,
                  "--inpatient-only", "--readmission-days", "30",
                  "--extract-dir", extract, "--extract-codec", "gzip"])
-    assert info == {"persons": 3}
+    assert info["persons"] == 3 and set(info["malformed"].values()) == {0}
     assert sorted(d for d in os.listdir(extract)) == [
         "condition_occurrence", "death", "person", "procedure_occurrence", "visit_occurrence"]
     # procedure folders are read back as text (no partition type inference)
@@ -67,3 +67,20 @@ def test_command_line_entry(spark, tmp_dir):
         .csv(os.path.join(out, "scorecard")))
     assert sorted((r.procedure, r.PROVIDER_ID, r.READMISSION_COUNT) for r in card.collect()) == [
         ("81.54", "23861", "1"), ("81.54", "29084", "1")]
+
+
+def test_nothing_is_written_without_a_checkpoint_folder(spark, tmp_dir, monkeypatch):
+    import pytest
+
+    from wardstat import session
+    ds = load_directory(spark, micro.write_fixture(tmp_dir))
+
+    def missing(_):
+        raise RuntimeError("set spark.checkpoint.dir")
+
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", missing)
+    out = os.path.join(tmp_dir, "none")
+    with pytest.raises(RuntimeError):
+        run(ds, dictionary_from_mapping(spark, micro.DIAGNOSIS),
+            dictionary_from_mapping(spark, micro.COMPLICATIONS), out)
+    assert not os.path.exists(out)

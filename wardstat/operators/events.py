@@ -77,7 +77,7 @@ def visit_spans(visits: DataFrame, dedupe: bool = True) -> DataFrame:
     return spans.distinct() if dedupe else spans
 
 
-def place_in_visits(points: DataFrame, visits: DataFrame, bucket_days: int = 7,
+def place_in_visits(points: DataFrame, visits: DataFrame, bucket_days: int = 28,
                     dedupe_visits: bool = True) -> DataFrame:
     """Events (any columns + PERSON_ID, EVENT_DATE) joined to every visit of
     the same person with VISIT_START_DATE <= EVENT_DATE <= VISIT_END_DATE."""
@@ -88,7 +88,7 @@ def place_in_visits(points: DataFrame, visits: DataFrame, bucket_days: int = 7,
 
 def inpatient_stays(events: DataFrame, kind: str, visits: DataFrame,
                     visit_date: str = "VISIT_END_DATE",
-                    keys: Sequence[str] = (), bucket_days: int = 7) -> DataFrame:
+                    keys: Sequence[str] = (), bucket_days: int = 28) -> DataFrame:
     """Distinct (keys..., PERSON_ID, <visit_date>, PROVIDER_ID, SOURCE_VALUE)
     for events of one table that fall in a visit.  ``events`` is either a raw
     event table (``keys`` empty) or the output of ``coded_events``."""
@@ -109,7 +109,7 @@ def index_and_complication_stays(
         conditions: DataFrame, procedures: DataFrame, visits: DataFrame,
         diagnosis: CodeDictionary, complications: CodeDictionary,
         condition_types: Sequence[int], procedure_types: Sequence[int],
-        bucket_days: int = 7, materialize: str = "persist",
+        bucket_days: int = 28, materialize: str = "persist",
         dedupe_visits: bool = True, persons: DataFrame | None = None) -> "Stays":
     """Index stays and complication stays of every procedure.
 

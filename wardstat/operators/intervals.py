@@ -25,13 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = "_day_bucket"
-# First of the salt buckets of intervals too long to explode (no real day
-# maps below it).
-LONG_BUCKET = -(2 ** 62)
+# Days outside these share the first and the last bucket, so an interval with a
+# placeholder end (9999-12-31) covers a bounded number of buckets.  The range
+# itself is compared on the dates, so the result does not depend on them.
+FIRST_DAY, LAST_DAY = "1900-01-01", "2050-01-01"
 
 
 def _bucket(day: Column, width: int) -> Column:
-    return F.floor(F.unix_date(day) / F.lit(width))
+    """Number of the span of ``width`` days that a day is in (whole numbers only)."""
+    number = F.unix_date(day).cast("bigint")
+    return F.call_function("div", number - F.pmod(number, F.lit(width)), F.lit(width))
 
 
 def _bucket_range(lo_day: Column, hi_day: Column, width: int) -> Column:
@@ -40,43 +43,30 @@ def _bucket_range(lo_day: Column, hi_day: Column, width: int) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _clamped(day: Column) -> Column:
+    return F.greatest(F.least(day, F.lit(LAST_DAY).cast("date")), F.lit(FIRST_DAY).cast("date"))
+
+
 def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
                      point_col: str, start_col: str, end_col: str,
-                     bucket_days: int = 7, max_buckets: int | None = 1024,
-                     long_salts: int = 16) -> DataFrame:
+                     bucket_days: int = 28) -> DataFrame:
     """Inner join of points and intervals sharing ``keys`` with
     ``start <= point <= end`` (both ends inclusive).
 
     Columns other than ``keys`` must not collide between the two sides.
     Null dates and intervals with ``start > end`` match nothing.
 
-    Intervals covering more than ``max_buckets`` buckets (placeholder end
-    dates such as 9999-12-31) are not exploded: they are copied to
-    ``long_salts`` extra buckets per key, and every point also probes one of
-    those, chosen from its day.  Long intervals are rare, so copying them is
-    cheap; the salt spreads the probes of a key with very many points over
-    ``long_salts`` tasks.  Each (point, long interval) pair still meets
-    exactly once, and it is one equi-join.  With ``max_buckets=None`` every
-    interval is exploded and points probe only their own bucket.
+    Each point is in one bucket and is not copied.  An interval is copied to the
+    buckets it covers: about 1 + length / ``bucket_days``, and at most the
+    buckets between FIRST_DAY and LAST_DAY however far away its end is.
     """
     keys = list(keys)
     start, end, point = F.col(start_col), F.col(end_col), F.col(point_col)
-    span = _bucket(end, bucket_days) - _bucket(start, bucket_days) + 1
     valid = intervals.where(start.isNotNull() & end.isNotNull() & (start <= end))
-    pts = points.where(point.isNotNull())
-    inside = (point >= start) & (point <= end)
-    if max_buckets is None:
-        iv = valid.withColumn(BUCKET, F.explode(_bucket_range(start, end, bucket_days)))
-        pt = pts.withColumn(BUCKET, _bucket(point, bucket_days))
-    else:
-        salts = F.sequence(F.lit(LONG_BUCKET), F.lit(LONG_BUCKET + long_salts - 1))
-        iv = valid.withColumn(BUCKET, F.explode(
-            F.when(span <= max_buckets, _bucket_range(start, end, bucket_days))
-            .otherwise(salts)))
-        salt = F.lit(LONG_BUCKET) + F.pmod(F.unix_date(point), F.lit(long_salts))
-        pt = pts.withColumn(BUCKET, F.explode(
-            F.array(_bucket(point, bucket_days), salt.cast("bigint"))))
-    return pt.join(iv, keys + [BUCKET]).where(inside).drop(BUCKET)
+    iv = valid.withColumn(BUCKET, F.explode(
+        _bucket_range(_clamped(start), _clamped(end), bucket_days)))
+    pt = points.where(point.isNotNull()).withColumn(BUCKET, _bucket(_clamped(point), bucket_days))
+    return pt.join(iv, keys + [BUCKET]).where((point >= start) & (point <= end)).drop(BUCKET)
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str],

@@ -13,10 +13,6 @@ from wardstat.operators.intervals import band_join
 
 STAY_KEY = ["procedure", "PERSON_ID", "VISIT_END_DATE", "PROVIDER_ID"]
 
-SCORECARD_COLUMNS = ["procedure", "PROVIDER_ID", "PROCEDURE_COUNT", "READMISSION_COUNT",
-                     "DEATH_COUNT", "COMPLICATION_COUNT", "PERCENTAGE"]
-
-
 def stay_keys(index_stays: DataFrame) -> DataFrame:
     """Distinct index stays regardless of the code or table they came from."""
     return index_stays.select(*STAY_KEY).distinct()
@@ -64,12 +60,9 @@ def deaths_after_stay(index_stays: DataFrame, death: DataFrame, days: int,
 
 
 def provider_event_count(events: DataFrame, count_name: str = "COUNT") -> DataFrame:
-    """(procedure, PROVIDER_ID, <count_name>) rows per procedure and provider,
-    largest counts first (the result has one row per procedure and provider,
-    so the sort is small)."""
-    return (events.groupBy("procedure", "PROVIDER_ID")
-            .agg(F.count(F.lit(1)).alias(count_name))
-            .orderBy(F.desc(count_name), "procedure", F.asc_nulls_first("PROVIDER_ID")))
+    """(procedure, PROVIDER_ID, <count_name>) rows per procedure and provider, in
+    no order: whoever writes them sorts them."""
+    return events.groupBy("procedure", "PROVIDER_ID").agg(F.count(F.lit(1)).alias(count_name))
 
 
 def provider_scorecard(index_stays: DataFrame, readmission_rows: DataFrame,

@@ -37,11 +37,10 @@ FULL_COHORT = CohortSpec(
     with_visit_only=True, inpatient_only=True,
 )
 
-READMISSION = ReadmissionSpec(readmission_days=READMISSION_DAYS)
-# For queries that read only one branch of the placements nothing is reused,
-# so nothing is materialised.
-READMISSION_SINGLE_USE = ReadmissionSpec(readmission_days=READMISSION_DAYS, materialize="none")
-READMISSION_COHORT_ONLY = ReadmissionSpec(readmission_days=READMISSION_DAYS,
+# A registered query is one lazy plan: it persists nothing that would stay
+# behind and change the plans of later queries.
+READMISSION = ReadmissionSpec(readmission_days=READMISSION_DAYS, materialize="none")
+READMISSION_COHORT_ONLY = ReadmissionSpec(readmission_days=READMISSION_DAYS, materialize="none",
                                           restrict_events_to_cohort=True)
-READMISSION_AFTER_DISCHARGE = ReadmissionSpec(readmission_days=READMISSION_DAYS,
+READMISSION_AFTER_DISCHARGE = ReadmissionSpec(readmission_days=READMISSION_DAYS, materialize="none",
                                               death_after_discharge_only=True)

@@ -30,30 +30,13 @@ from wardstat.specs import CohortSpec
 PERSON_COLS = ["PERSON_ID", "YEAR_OF_BIRTH", "GENDER_SOURCE_VALUE", "CARE_SITE_ID"]
 
 
-_DATASETS: dict = {}
-
-
-def _session_key(spark) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # sessions without a local SparkContext
-        return str(id(spark))
-
-
 def _ds(spark, sf_dir):
-    """The driver tables as OMOP tables, read once per session and folder
-    (every query reuses the same lazy frames)."""
-    key = (_session_key(spark), sf_dir)
-    if key not in _DATASETS:
-        _DATASETS[key] = load_driver_dataset(spark, sf_dir)
-    return _DATASETS[key]
+    """The driver tables as OMOP tables."""
+    return load_driver_dataset(spark, sf_dir)
 
 
 def _descriptions(spark, sf_dir):
-    key = (_session_key(spark), sf_dir, "descriptions")
-    if key not in _DATASETS:
-        _DATASETS[key] = load_code_descriptions(spark, sf_dir)
-    return _DATASETS[key]
+    return load_code_descriptions(spark, sf_dir)
 
 
 def _dicts(spark):
@@ -265,11 +248,11 @@ def inpatient_stays_procedure(spark, sf_dir):
 
 
 def index_stays(spark, sf_dir):
-    return _analysis(spark, sf_dir, P.READMISSION_SINGLE_USE).index_stays
+    return _analysis(spark, sf_dir, P.READMISSION).index_stays
 
 
 def complication_stays(spark, sf_dir):
-    return _analysis(spark, sf_dir, P.READMISSION_SINGLE_USE).complication_stays
+    return _analysis(spark, sf_dir, P.READMISSION).complication_stays
 
 
 def readmissions(spark, sf_dir):
@@ -277,11 +260,11 @@ def readmissions(spark, sf_dir):
 
 
 def deaths_after_stay(spark, sf_dir):
-    return _analysis(spark, sf_dir, P.READMISSION_SINGLE_USE).deaths
+    return _analysis(spark, sf_dir, P.READMISSION).deaths
 
 
 def provider_event_count_q(spark, sf_dir):
-    return provider_event_count(_analysis(spark, sf_dir, P.READMISSION_SINGLE_USE).index_stays)
+    return provider_event_count(_analysis(spark, sf_dir, P.READMISSION).index_stays)
 
 
 def provider_scorecard(spark, sf_dir):

@@ -2,7 +2,8 @@
 writes its outputs.
 
 ``readmission_analysis`` returns lazy DataFrames; nothing runs until an
-output is written or collected.  ``run`` is the batch entry point: it
+output is written or collected, except that ``materialize="checkpoint"``
+writes the shared placements when it is called.  ``run`` is the batch entry point: it
 computes the type-concept counts, the cohort, the scorecard and the five
 code reports, and writes them under one output folder.
 """
@@ -72,7 +73,7 @@ def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionar
         extract_dir: str | None = None, extract_codec: str | None = None,
         extract_date_format: str = "%Y%m%d") -> dict:
     """Batch run: writes every output under ``out_dir`` and returns the
-    number of persons in the cohort.  By default the shared stays are
+    number of persons in the cohort and of the malformed rows by table.  By default the shared stays are
     checkpointed (lineage cut in the session's checkpoint folder), so a
     lost executor late in the run does not recompute the event scans.
 
@@ -81,15 +82,21 @@ def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionar
     size is observed during that write instead of costing a separate pass."""
     from pyspark.sql import Observation
 
+    from wardstat.session import ensure_checkpoint_dir
     from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report_text,
                                       write_single_csv, write_tables)
+    from wardstat.sources.tables import malformed_counts
 
     out = out_dir.rstrip("/")
-    raw = ds
-    write_single_csv(C.type_concept_count(raw["condition_occurrence"], "condition"),
-                     f"{out}/condition_type_concept_count", mode=mode)
-    write_single_csv(C.type_concept_count(raw["procedure_occurrence"], "procedure"),
-                     f"{out}/procedure_type_concept_count", mode=mode)
+    # What can fail for its settings fails before anything is written.
+    if spec.materialize == "checkpoint":
+        ensure_checkpoint_dir(ds["person"].sparkSession)
+    malformed = malformed_counts(ds, [t for t in (
+        "person", "visit_occurrence", "condition_occurrence", "procedure_occurrence", "death")
+        if t in ds])
+    for kind in ("condition", "procedure"):
+        write_single_csv(C.type_concept_count(ds[f"{kind}_occurrence"], kind)
+                         .orderBy(F.desc("COUNT")), f"{out}/{kind}_type_concept_count", mode=mode)
 
     cohort = build_cohort(ds, cohort_spec)
     # The cohort size is part of the run's report.
@@ -102,28 +109,45 @@ def run(ds: OmopDataset, diagnosis: CodeDictionary, complications: CodeDictionar
     else:
         n_persons = cohort["person"].count()
 
+    held: list[DataFrame] = []
+
+    def once(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
     res = readmission_analysis(cohort, diagnosis, complications, spec, cohort["person"])
-    write_partitioned_csv(res.scorecard.orderBy(F.desc("PROCEDURE_COUNT"), "PROVIDER_ID"),
-                          f"{out}/scorecard", "procedure", mode=mode)
-
-    # One pass over the event tables counts every listed code, for all types
-    # and for primary types; the four code reports are small joins on it.
-    counts = C.code_counts(cohort["condition_occurrence"], cohort["procedure_occurrence"],
-                           [diagnosis, complications], spec.primary_condition_types,
-                           spec.primary_procedure_types).persist()
-    reports = {
-        "procedure_count_all": C.code_report_from_counts(diagnosis, counts, descriptions),
-        "procedure_count_primary": C.code_report_from_counts(diagnosis, counts, descriptions,
-                                                             primary=True),
-        "readmission_count_all": C.code_report_from_counts(complications, counts, descriptions),
-        "readmission_count_primary": C.code_report_from_counts(complications, counts,
-                                                               descriptions, primary=True),
-        "readmission_event_code_count": C.readmission_code_report(
-            complications, res.readmissions, descriptions),
-    }
-    for name, rep in reports.items():
-        write_report_text(C.render_report(rep), f"{out}/{name}", mode=mode)
-    write_csv(res.readmissions, f"{out}/readmissions", mode=mode)
-    counts.unpersist()
-    res.unpersist()
-    return {"persons": n_persons}
+    try:
+        # The window join runs once: the scorecard, the list and the report of
+        # readmissions all read its rows.
+        readm = once(res.readmissions)
+        card = once(provider_scorecard(res.index_stays, readm, res.deaths))
+        names = diagnosis.restrict_to(complications).procedure_names()
+        write_partitioned_csv(card, f"{out}/scorecard", "procedure", mode=mode, keys=names or (),
+                              order=[F.desc("PROCEDURE_COUNT"), "PROVIDER_ID"])
+        write_csv(readm, f"{out}/readmissions", mode=mode)
+
+        # One pass over the event tables counts every listed code, for all types
+        # and for primary types; the four code reports are small joins on it.
+        counts = once(C.code_counts(
+            cohort["condition_occurrence"], cohort["procedure_occurrence"],
+            [diagnosis, complications], spec.primary_condition_types,
+            spec.primary_procedure_types))
+        reports = {
+            "procedure_count_all": C.code_report_from_counts(diagnosis, counts, descriptions),
+            "procedure_count_primary": C.code_report_from_counts(
+                diagnosis, counts, descriptions, primary=True),
+            "readmission_count_all": C.code_report_from_counts(
+                complications, counts, descriptions),
+            "readmission_count_primary": C.code_report_from_counts(
+                complications, counts, descriptions, primary=True),
+            "readmission_event_code_count": C.readmission_code_report(
+                complications, readm, descriptions),
+        }
+        for name, rep in reports.items():
+            # a report is a row per dictionary entry; rendering reads it several times
+            write_report_text(C.render_report(once(rep)), f"{out}/{name}", mode=mode)
+    finally:
+        for df in held:
+            df.unpersist()
+        res.unpersist()
+    return {"persons": n_persons, "malformed": malformed}

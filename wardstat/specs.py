@@ -85,7 +85,7 @@ class ReadmissionSpec:
     # A death dated before discharge still counts unless asked otherwise.
     death_after_discharge_only: bool = False
     # Width of the day buckets the range joins are keyed on.
-    visit_bucket_days: int = 7
+    visit_bucket_days: int = 28
     # How the placed stays shared by the scorecard's consumers are kept:
     # "persist" (memory and disk, recomputed from lineage if an executor is
     # lost), "checkpoint" (written to spark.checkpoint.dir, lineage cut) or
