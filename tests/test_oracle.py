@@ -12,7 +12,7 @@ import __spark_entry__ as E
 from wardstat.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["customer", "orders", "lineitem", "part", "supplier", "nation", "region"]
+TABLES = ["customer", "orders", "lineitem", "part", "supplier", "nation", "region", "events"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 

@@ -319,3 +319,47 @@ LEFT JOIN (SELECT procedure, SOURCE_VALUE, count(*) AS n FROM o_readm GROUP BY 1
   ON r.procedure = x.procedure AND r.SOURCE_VALUE = x.code
 LEFT JOIN o_descr ds ON ds.code = x.code""",
 }
+
+
+def _dated(key: str, start: str, end: str | None = None) -> str:
+    day = "CAST(ts AS DATE)"
+    last = (f", CASE WHEN event_id % 5 <> 0 THEN {day} + CAST(event_id % 4 AS INTEGER) END AS {end}"
+            if end else "")
+    return (f"SELECT * FROM (SELECT event_id AS {key}, user_id AS PERSON_ID, {day} AS {start}{last} "
+            f"FROM events) WHERE {start} >= DATE '{P.STREAM_START}' "
+            f"AND {end or start} <= DATE '{P.STREAM_END}'")
+
+
+_VISIT = "SELECT VISIT_OCCURRENCE_ID, PERSON_ID, VISIT_START_DATE, VISIT_END_DATE, PROVIDER_ID FROM "
+
+# Sources and sinks: what was written is what is read back.
+ORACLE_SQL |= {
+    "cohort_extract_condition": _with(*FULL_COHORT_CTES) +
+    "SELECT CONDITION_OCCURRENCE_ID, PERSON_ID, CONDITION_START_DATE, CONDITION_END_DATE, "
+    "CONDITION_SOURCE_VALUE FROM f_condition",
+    "cohort_extract_procedure": _with(*FULL_COHORT_CTES) +
+    "SELECT PROCEDURE_OCCURRENCE_ID, PERSON_ID, PROCEDURE_DATE, PROCEDURE_SOURCE_VALUE "
+    "FROM f_procedure",
+    "cohort_extract_death": _with() + "SELECT PERSON_ID, DEATH_DATE FROM o_death",
+    "extract_text": _with() + """SELECT PERSON_ID, CASE PERSON_ID % 6 WHEN 0 THEN ' padded '
+  WHEN 1 THEN '' WHEN 2 THEN 'two' || chr(10) || 'lines'
+  WHEN 3 THEN 'say "a' || chr(92) || 'b", 100%' WHEN 4 THEN 'x,' || PERSON_ID
+  END AS PERSON_SOURCE_VALUE FROM o_person""",
+    "csv_header_drift": _with() + _VISIT + "o_visit",
+    "csv_malformed_drop": _with() + _VISIT + "o_visit WHERE VISIT_OCCURRENCE_ID % 13 <> 0 "
+    "AND VISIT_OCCURRENCE_ID % 11 <> 3",
+    "code_dictionary_file": "SELECT p_type || '/' || p_brand AS procedure, "
+    "CAST(row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) - 1 AS INTEGER) "
+    "AS ord, CAST(p_partkey AS VARCHAR) AS code FROM part",
+    "code_descriptions_file": "SELECT CAST(p_partkey AS VARCHAR) AS code, "
+    "rtrim(p_name) AS description FROM part",
+    "single_csv": ORACLE_SQL["condition_type_count"],
+    "cohort_size": _with(*FULL_COHORT_CTES) + "SELECT count(*) AS persons FROM f_person",
+    "scorecard_files": ORACLE_SQL["provider_scorecard"],
+    "report_text_file": "SELECT CAST(row_number() OVER (ORDER BY proc_ord NULLS LAST, seq, ord) - 1 "
+    "AS INTEGER) AS line_no, line FROM (" + ORACLE_SQL["code_report_lines"] + ")",
+    "event_dates_measurement": _dated("MEASUREMENT_ID", "MEASUREMENT_DATE"),
+    "event_dates_observation": _dated("OBSERVATION_ID", "OBSERVATION_DATE"),
+    "event_dates_device": _dated("DEVICE_EXPOSURE_ID", "DEVICE_EXPOSURE_START_DATE",
+                                 "DEVICE_EXPOSURE_END_DATE"),
+}

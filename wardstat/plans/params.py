@@ -28,6 +28,7 @@ BIRTH_YEAR_MIN, BIRTH_YEAR_MAX = 1940, 1970
 CARE_SITES = (1, 2, 3, 7, 11)
 EVENTS_START = dt.date(1996, 1, 1)
 EVENTS_END = dt.date(1999, 12, 31)
+STREAM_START, STREAM_END = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
 READMISSION_DAYS = 30
 
 FULL_COHORT = CohortSpec(

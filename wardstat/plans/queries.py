@@ -7,24 +7,19 @@ equivalent SQL for each key.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wardstat.operators import codes as C
 from wardstat.operators import cohort as K
 from wardstat.operators.events import coded_events, filter_by_codes, inpatient_stays
 from wardstat.operators.readmission import provider_event_count
 from wardstat.plans import params as P
+from wardstat.plans.file_queries import FILE_QUERIES
 from wardstat.plans.scorecard import readmission_analysis
 from wardstat.sources.adapter import load_code_descriptions, load_driver_dataset
 from wardstat.sources.codes import dictionary_from_mapping
-from wardstat.dataset import OmopDataset
-from wardstat.session import ensure_checkpoint_dir
-from wardstat.sinks.files import write_tables
-from wardstat.sources.tables import list_entries, load_directory, read_yearly_csv
 from wardstat.specs import CohortSpec
 
 PERSON_COLS = ["PERSON_ID", "YEAR_OF_BIRTH", "GENDER_SOURCE_VALUE", "CARE_SITE_ID"]
@@ -121,47 +116,6 @@ def cohort_full(spark, sf_dir):
     return K.build_cohort(_ds(spark, sf_dir), P.FULL_COHORT)["person"].select(PERSON_COLS)
 
 
-def _extract_round_trip(spark, sf_dir) -> OmopDataset:
-    """The full cohort written as gzip CSV tables (one folder per table)
-    into the session's checkpoint folder, then loaded back by header name."""
-    cohort = K.build_cohort(_ds(spark, sf_dir), P.FULL_COHORT)
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extract-{uuid.uuid4().hex}"
-    write_tables(OmopDataset({"person": cohort["person"],
-                              "visit_occurrence": cohort["visit_occurrence"]}),
-                 folder, codec="gzip")
-    return load_directory(spark, folder)
-
-
-def cohort_extract_person(spark, sf_dir):
-    return _extract_round_trip(spark, sf_dir)["person"].select(PERSON_COLS)
-
-
-def cohort_extract_visit(spark, sf_dir):
-    return _extract_round_trip(spark, sf_dir)["visit_occurrence"].select(
-        "VISIT_OCCURRENCE_ID", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE", "PROVIDER_ID")
-
-
-def yearly_combine(spark, sf_dir):
-    """Orders written as one CSV extract per order year (a single
-    partitioned write), then recombined with a YEAR column."""
-    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/yearly-{uuid.uuid4().hex}"
-    (orders.select(F.year("o_orderdate").alias("year"),
-                   F.col("o_orderkey").cast("string").alias("o_orderkey"),
-                   F.col("o_custkey").cast("string").alias("o_custkey"),
-                   "o_orderstatus", "o_orderpriority",
-                   F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
-       .write.partitionBy("year").option("header", True).csv(folder))
-    # one folder per year; rows without a date sit in Spark's default
-    # partition folder and are kept with a null YEAR
-    parts = {}
-    for name, path, is_dir in list_entries(spark, folder):
-        if is_dir and name.startswith("year="):
-            value = name.split("=", 1)[1]
-            parts[int(value) if value.isdigit() else None] = path
-    return read_yearly_csv(spark, parts)
-
-
 # --- code statistics ----------------------------------------------------------
 
 def condition_type_count(spark, sf_dir):
@@ -303,9 +257,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_exclude_dead": cohort_exclude_dead,
     "cohort_exclude_alive": cohort_exclude_alive,
     "cohort_full": cohort_full,
-    "cohort_extract_person": cohort_extract_person,
-    "cohort_extract_visit": cohort_extract_visit,
-    "yearly_combine": yearly_combine,
     "condition_type_count": condition_type_count,
     "procedure_type_count": procedure_type_count,
     "code_filter": code_filter,
@@ -329,4 +280,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "provider_scorecard_after_discharge": provider_scorecard_after_discharge,
     "readmission_code_count": readmission_code_count,
     "readmission_code_report": readmission_code_report,
+    **FILE_QUERIES,
 }
