@@ -12,8 +12,8 @@ from wardstat.operators import codes as C
 from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report_text,
                                   write_single_csv, write_tables)
 from wardstat.sources.codes import read_code_descriptions, read_code_dictionary
-from wardstat.sources.tables import (combine_yearly, load_directory, malformed_rows,
-                                     read_omop_csv, read_yearly_csv, table_name)
+from wardstat.sources.tables import (combine_yearly, load_directory, malformed_counts,
+                                     malformed_rows, read_omop_csv, read_yearly_csv, table_name)
 
 
 def write(path, text, gz=False):
@@ -194,3 +194,82 @@ def test_header_with_byte_order_mark_and_blanks(spark, tmp_dir):
         f.write("PERSON_ID, year_of_birth \n7,1950\n")
     r = read_omop_csv(spark, p, "person").collect()[0]
     assert (r.PERSON_ID, r.YEAR_OF_BIRTH) == (7, 1950)
+
+
+def test_each_file_is_bound_by_its_own_header(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "death")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.csv"), "PERSON_ID,DEATH_DATE,DEATH_TYPE_CONCEPT_ID,"
+          "CAUSE_CONCEPT_ID\n1,20090301,11,111\n")
+    write(os.path.join(folder, "b.csv"), "CAUSE_CONCEPT_ID,DEATH_TYPE_CONCEPT_ID,PERSON_ID,"
+          "DEATH_DATE\n222,22,2,20090302\n")
+    write(os.path.join(folder, "empty.csv"), "")
+    got = sorted((r.PERSON_ID, r.DEATH_TYPE_CONCEPT_ID, r.CAUSE_CONCEPT_ID)
+                 for r in load_directory(spark, tmp_dir)["death"].collect())
+    assert got == [(1, 11, 111), (2, 22, 222)]
+
+
+def test_other_headers_are_an_error_in_large_folders(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr("wardstat.sources.tables.MAX_HEADERS", 1)
+    write(os.path.join(tmp_dir, "a.csv"), "PERSON_ID,DEATH_DATE\n1,20090301\n")
+    write(os.path.join(tmp_dir, "b.csv"), "DEATH_DATE,PERSON_ID\n20090301,2\n")
+    with pytest.raises(Exception):
+        read_omop_csv(spark, tmp_dir, "death").collect()
+
+
+def test_two_sources_of_a_table_are_an_error(spark, tmp_dir):
+    write(os.path.join(tmp_dir, "person.csv"), "PERSON_ID\n1\n")
+    write(os.path.join(tmp_dir, "person.csv.gz"), "PERSON_ID\n2\n", gz=True)
+    with pytest.raises(ValueError, match="person"):
+        load_directory(spark, tmp_dir)
+
+
+def test_malformed_rows_are_counted(spark, tmp_dir):
+    write(os.path.join(tmp_dir, "death.csv"),
+          "PERSON_ID,DEATH_DATE\n1,20090301\nx,20090301\n3,2009-01-01\n")
+    write(os.path.join(tmp_dir, "person.csv"), "PERSON_ID\n1\n")
+    assert malformed_counts(load_directory(spark, tmp_dir), ["death", "person"]) == {
+        "death": 2, "person": 0}
+    iso = os.path.join(tmp_dir, "iso")
+    os.makedirs(iso)
+    write(os.path.join(iso, "death.csv"), "PERSON_ID,DEATH_DATE\n1,2009-03-01\n")
+    with pytest.raises(ValueError, match="date format"):
+        malformed_counts(load_directory(spark, iso), ["death"])
+
+
+def test_loaded_parquet_reads_only_the_columns_wanted(spark, tmp_dir):
+    visit = spark.createDataFrame(
+        [(1, 2, dt.date(2009, 1, 1), "x")],
+        "VISIT_OCCURRENCE_ID long, PERSON_ID long, VISIT_START_DATE date, VISIT_SOURCE_VALUE string")
+    write_tables(OmopDataset({"visit_occurrence": visit}), tmp_dir + "/t", fmt="parquet")
+    one = load_directory(spark, tmp_dir + "/t")["visit_occurrence"].select("PERSON_ID")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<PERSON_ID:bigint>" in plan and "PushedFilters: []" in plan
+
+
+@pytest.mark.parametrize("codec", ["none", "bzip2", "deflate", "gzip", "lz4", "snappy"])
+def test_extract_reads_back_as_it_is(spark, tmp_dir, codec):
+    texts = [" 0389 ", "two\nlines", "", None, 'a "quoted" \\ one', "\r", "x,y", "ends\\",
+             "\x1a%odd", "100%0A", "plain"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "PERSON_ID long, PERSON_SOURCE_VALUE string")
+    write_tables(OmopDataset({"person": df}), tmp_dir + "/x", codec=codec)
+    back = load_directory(spark, tmp_dir + "/x")["person"]
+    assert sorted((r.PERSON_ID, r.PERSON_SOURCE_VALUE) for r in back.collect()) == rows
+
+
+def test_one_file_per_key_in_order(spark, tmp_dir):
+    card = spark.createDataFrame([("81.10", k, k % 7) for k in range(50)] + [("60.5", 1, 1)],
+                                 "procedure string, PROVIDER_ID long, PROCEDURE_COUNT long")
+    out = os.path.join(tmp_dir, "card")
+    write_partitioned_csv(card.repartition(4), out, "procedure", keys=["81.10", "60.29"],
+                          order=["PROCEDURE_COUNT", "PROVIDER_ID"])
+    for key, n in (("81.10", 51), ("60.5", 2), ("60.29", 1)):
+        parts = [f for f in os.listdir(f"{out}/procedure={key}") if f.startswith("part-")]
+        assert len(parts) == 1
+        with open(f"{out}/procedure={key}/{parts[0]}") as f:
+            lines = f.read().splitlines()
+        assert len(lines) == n and lines[0] == "PROVIDER_ID,PROCEDURE_COUNT"
+        if n == 51:
+            counts = [tuple(map(int, x.split(",")))[::-1] for x in lines[1:]]
+            assert counts == sorted(counts)

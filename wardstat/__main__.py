@@ -47,10 +47,17 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--exclude-care-sites", type=_ints, default=())
     p.add_argument("--include-care-sites", type=_ints, default=())
     p.add_argument("--inpatient-only", action="store_true")
+    p.add_argument("--with-visit-only", action="store_true")
     p.add_argument("--primary-condition-types", type=_ints, default=PRIMARY_CONDITION_TYPES)
     p.add_argument("--primary-procedure-types", type=_ints, default=PRIMARY_PROCEDURE_TYPES)
     p.add_argument("--readmission-days", type=int, default=30)
     p.add_argument("--restrict-events-to-cohort", action="store_true")
+    p.add_argument("--death-after-discharge-only", action="store_true")
+    p.add_argument("--visit-bucket-days", type=int, default=ReadmissionSpec.visit_bucket_days)
+    p.add_argument("--materialize", choices=("persist", "checkpoint", "none"),
+                   default="checkpoint")
+    p.add_argument("--keep-repeated-visits", action="store_true",
+                   help="skip removing repeated visit spans before the join")
     p.add_argument("--extract-dir", help="also write the cohort's tables here (CSV)")
     p.add_argument("--extract-codec", help="gzip, bzip2, lz4, snappy, deflate or none")
     return p.parse_args(argv)
@@ -65,7 +72,7 @@ def main(argv=None) -> dict:
         exclude_male=a.exclude_male, exclude_female=a.exclude_female,
         exclude_dead=a.exclude_dead, exclude_alive=a.exclude_alive,
         exclude_care_sites=a.exclude_care_sites, include_care_sites=a.include_care_sites,
-        inpatient_only=a.inpatient_only,
+        inpatient_only=a.inpatient_only, with_visit_only=a.with_visit_only,
         primary_condition_types=a.primary_condition_types,
         primary_procedure_types=a.primary_procedure_types)
     spec = ReadmissionSpec(
@@ -73,7 +80,9 @@ def main(argv=None) -> dict:
         primary_condition_types=a.primary_condition_types,
         primary_procedure_types=a.primary_procedure_types,
         restrict_events_to_cohort=a.restrict_events_to_cohort,
-        materialize="checkpoint")
+        death_after_discharge_only=a.death_after_discharge_only,
+        visit_bucket_days=a.visit_bucket_days, dedupe_visits=not a.keep_repeated_visits,
+        materialize=a.materialize)
     ds = load_directory(spark, a.data, date_format=a.date_format)
     descr = read_code_descriptions(spark, a.descriptions) if a.descriptions else None
     info = run(ds, read_code_dictionary(spark, a.diagnosis),

@@ -83,8 +83,8 @@ def _with(*ctes: str) -> str:
 
 
 def _stays_ctes(cond: str = "o_condition", proc: str = "o_procedure") -> tuple[str, ...]:
-    """Index stays / complication stays / readmissions / deaths, written as in
-    the original per-procedure SQL (range predicates in the join)."""
+    """Index stays / complication stays / readmissions / deaths, written
+    plainly (range predicates in the join)."""
     return (
         "o_both AS (SELECT DISTINCT procedure FROM o_diag "
         "WHERE procedure IN (SELECT procedure FROM o_compl))",

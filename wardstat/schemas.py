@@ -2,12 +2,12 @@
 
 The column lists below are fixed values: they must equal the published
 OMOP CDM v5.0 layout the analysis was written against, so they are stated
-plainly, one table per entry, columns in their natural order.  A trailing
-``!`` marks a column declared non-null (file sources do not enforce it).
+plainly as Spark DDL, one table per entry, columns in their natural order
+(file sources do not enforce NOT NULL).
 
-Type note: identifier columns (``*_ID``) are read as BIGINT instead of INT so
-that identifiers beyond 2**31 on very large installations are not turned
-into malformed rows; every other integer stays INT.
+Type note: identifier columns (``*_ID``) are BIGINT, where the published layout
+says INT, so that identifiers beyond 2**31 on very large installations are
+not turned into malformed rows.
 """
 
 from __future__ import annotations
@@ -17,129 +17,142 @@ from pyspark.sql import types as T
 # --- fixed values: OMOP CDM v5.0 columns per table -------------------------
 OMOP_TABLE_COLUMNS: dict[str, str] = {
     "care_site": (
-        "CARE_SITE_ID int!, LOCATION_ID int, ORGANIZATION_ID int, "
-        "PLACE_OF_SERVICE_CONCEPT_ID int, CARE_SITE_SOURCE_VALUE string, "
-        "PLACE_OF_SERVICE_SOURCE_VALUE string"
+        "CARE_SITE_ID BIGINT NOT NULL, LOCATION_ID BIGINT, ORGANIZATION_ID BIGINT, "
+        "PLACE_OF_SERVICE_CONCEPT_ID BIGINT, CARE_SITE_SOURCE_VALUE STRING, "
+        "PLACE_OF_SERVICE_SOURCE_VALUE STRING"
     ),
     "cohort": (
-        "COHORT_ID int!, COHORT_CONCEPT_ID int!, COHORT_START_DATE date!, "
-        "COHORT_END_DATE date, SUBJECT_ID int!, STOP_REASON string"
+        "COHORT_ID BIGINT NOT NULL, COHORT_CONCEPT_ID BIGINT NOT NULL, "
+        "COHORT_START_DATE DATE NOT NULL, COHORT_END_DATE DATE, SUBJECT_ID BIGINT NOT NULL, "
+        "STOP_REASON STRING"
     ),
     "condition_era": (
-        "CONDITION_ERA_ID int!, PERSON_ID int!, CONDITION_CONCEPT_ID int!, "
-        "CONDITION_ERA_START_DATE date!, CONDITION_ERA_END_DATE date, "
-        "CONDITION_OCCURRENCE_COUNT int"
+        "CONDITION_ERA_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "CONDITION_CONCEPT_ID BIGINT NOT NULL, CONDITION_ERA_START_DATE DATE NOT NULL, "
+        "CONDITION_ERA_END_DATE DATE, CONDITION_OCCURRENCE_COUNT INT"
     ),
     "condition_occurrence": (
-        "CONDITION_OCCURRENCE_ID int!, PERSON_ID int!, CONDITION_CONCEPT_ID int!, "
-        "CONDITION_START_DATE date!, CONDITION_END_DATE date, "
-        "CONDITION_TYPE_CONCEPT_ID int!, STOP_REASON string, PROVIDER_ID int, "
-        "VISIT_OCCURRENCE_ID int, CONDITION_SOURCE_VALUE string, "
-        "CONDITION_SOURCE_CONCEPT_ID int"
+        "CONDITION_OCCURRENCE_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "CONDITION_CONCEPT_ID BIGINT NOT NULL, CONDITION_START_DATE DATE NOT NULL, "
+        "CONDITION_END_DATE DATE, CONDITION_TYPE_CONCEPT_ID BIGINT NOT NULL, "
+        "STOP_REASON STRING, PROVIDER_ID BIGINT, VISIT_OCCURRENCE_ID BIGINT, "
+        "CONDITION_SOURCE_VALUE STRING, CONDITION_SOURCE_CONCEPT_ID BIGINT"
     ),
     "death": (
-        "PERSON_ID int!, DEATH_DATE date!, DEATH_TYPE_CONCEPT_ID int!, "
-        "CAUSE_CONCEPT_ID int, CAUSE_SOURCE_VALUE string, CAUSE_SOURCE_CONCEPT_ID int"
+        "PERSON_ID BIGINT NOT NULL, DEATH_DATE DATE NOT NULL, "
+        "DEATH_TYPE_CONCEPT_ID BIGINT NOT NULL, CAUSE_CONCEPT_ID BIGINT, "
+        "CAUSE_SOURCE_VALUE STRING, CAUSE_SOURCE_CONCEPT_ID BIGINT"
     ),
     "device_exposure": (
-        "DEVICE_EXPOSURE_ID int!, PERSON_ID int!, DEVICE_CONCEPT_ID int!, "
-        "DEVICE_EXPOSURE_START_DATE date!, DEVICE_EXPOSURE_END_DATE date, "
-        "DEVICE_TYPE_CONCEPT_ID int, UNIQUE_DEVICE_ID int, QUANTITY int, "
-        "PROVIDER_ID int, VISIT_OCCURRENCE_ID int, DEVICE_SOURCE_VALUE string, "
-        "DEVICE_SOURCE_CONCEPT_ID int"
+        "DEVICE_EXPOSURE_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "DEVICE_CONCEPT_ID BIGINT NOT NULL, DEVICE_EXPOSURE_START_DATE DATE NOT NULL, "
+        "DEVICE_EXPOSURE_END_DATE DATE, DEVICE_TYPE_CONCEPT_ID BIGINT, "
+        "UNIQUE_DEVICE_ID BIGINT, QUANTITY INT, PROVIDER_ID BIGINT, "
+        "VISIT_OCCURRENCE_ID BIGINT, DEVICE_SOURCE_VALUE STRING, "
+        "DEVICE_SOURCE_CONCEPT_ID BIGINT"
     ),
     "drug_cost": (
-        "DRUG_COST_ID int!, DRUG_EXPOSURE_ID int!, PAID_COPAY float, "
-        "PAID_COINSURANCE float, PAID_TOWARD_DEDUCTIBLE float, PAID_BY_PAYER float, "
-        "PAID_BY_COORDINATION_BENEFITS float, TOTAL_OUT_OF_POCKET float, "
-        "TOTAL_PAID float, INGREDIENT_COST float, DISPENSING_FEE float, "
-        "AVERAGE_WHOLESALE_PRICE float, PAYER_PLAN_PERIOD_ID int"
+        "DRUG_COST_ID BIGINT NOT NULL, DRUG_EXPOSURE_ID BIGINT NOT NULL, PAID_COPAY FLOAT, "
+        "PAID_COINSURANCE FLOAT, PAID_TOWARD_DEDUCTIBLE FLOAT, PAID_BY_PAYER FLOAT, "
+        "PAID_BY_COORDINATION_BENEFITS FLOAT, TOTAL_OUT_OF_POCKET FLOAT, TOTAL_PAID FLOAT, "
+        "INGREDIENT_COST FLOAT, DISPENSING_FEE FLOAT, AVERAGE_WHOLESALE_PRICE FLOAT, "
+        "PAYER_PLAN_PERIOD_ID BIGINT"
     ),
     "drug_era": (
-        "DRUG_ERA_ID int!, PERSON_ID int!, DRUG_CONCEPT_ID int!, "
-        "DRUG_ERA_START_DATE date!, DRUG_ERA_END_DATE date, "
-        "DRUG_TYPE_CONCEPT_ID int!, DRUG_EXPOSURE_COUNT int"
+        "DRUG_ERA_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "DRUG_CONCEPT_ID BIGINT NOT NULL, DRUG_ERA_START_DATE DATE NOT NULL, "
+        "DRUG_ERA_END_DATE DATE, DRUG_TYPE_CONCEPT_ID BIGINT NOT NULL, "
+        "DRUG_EXPOSURE_COUNT INT"
     ),
     "drug_exposure": (
-        "DRUG_EXPOSURE_ID int!, PERSON_ID int!, DRUG_CONCEPT_ID int!, "
-        "DRUG_EXPOSURE_START_DATE date!, DRUG_EXPOSURE_END_DATE date, "
-        "DRUG_TYPE_CONCEPT_ID int!, STOP_REASON string, REFILLS int, QUANTITY float, "
-        "DAYS_SUPPLY int, SIG string, ROUTE_CONCEPT_ID int, EFFECTIVE_DRUG_DOSE float, "
-        "DOSE_UNIT_CONCEPT_ID int, LOT_NUMBER string, PROVIDER_ID int, "
-        "VISIT_OCCURRENCE_ID int, DRUG_SOURCE_VALUE string, DRUG_SOURCE_CONCEPT_ID int, "
-        "ROUTE_SOURCE_VALUE string, DOSE_UNIT_SOURCE_VALUE string"
+        "DRUG_EXPOSURE_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "DRUG_CONCEPT_ID BIGINT NOT NULL, DRUG_EXPOSURE_START_DATE DATE NOT NULL, "
+        "DRUG_EXPOSURE_END_DATE DATE, DRUG_TYPE_CONCEPT_ID BIGINT NOT NULL, "
+        "STOP_REASON STRING, REFILLS INT, QUANTITY FLOAT, DAYS_SUPPLY INT, SIG STRING, "
+        "ROUTE_CONCEPT_ID BIGINT, EFFECTIVE_DRUG_DOSE FLOAT, DOSE_UNIT_CONCEPT_ID BIGINT, "
+        "LOT_NUMBER STRING, PROVIDER_ID BIGINT, VISIT_OCCURRENCE_ID BIGINT, "
+        "DRUG_SOURCE_VALUE STRING, DRUG_SOURCE_CONCEPT_ID BIGINT, ROUTE_SOURCE_VALUE STRING, "
+        "DOSE_UNIT_SOURCE_VALUE STRING"
     ),
     "location": (
-        "LOCATION_ID int!, ADDRESS_1 string, ADDRESS_2 string, CITY string, "
-        "STATE string, ZIP string, COUNTY string, LOCATION_SOURCE_VALUE string"
+        "LOCATION_ID BIGINT NOT NULL, ADDRESS_1 STRING, ADDRESS_2 STRING, CITY STRING, "
+        "STATE STRING, ZIP STRING, COUNTY STRING, LOCATION_SOURCE_VALUE STRING"
     ),
     "measurement": (
-        "MEASUREMENT_ID int!, PERSON_ID int!, MEASUREMENT_CONCEPT_ID int!, "
-        "MEASUREMENT_DATE date!, MEASUREMENT_TIME string, "
-        "MEASUREMENT_TYPE_CONCEPT_ID int!, OPERATOR_CONCEPT_ID int, "
-        "VALUE_AS_NUMBER float, VALUE_AS_CONCEPT_ID int, UNIT_CONCEPT_ID int, "
-        "RANGE_LOW float, RANGE_HIGH float, PROVIDER_ID int, VISIT_OCCURRENCE_ID int, "
-        "MEASUREMENT_SOURCE_VALUE string, MEASUREMENT_SOURCE_CONCEPT_ID int, "
-        "UNIT_SOURCE_VALUE string, VALUE_SOURCE_VALUE string"
+        "MEASUREMENT_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "MEASUREMENT_CONCEPT_ID BIGINT NOT NULL, MEASUREMENT_DATE DATE NOT NULL, "
+        "MEASUREMENT_TIME STRING, MEASUREMENT_TYPE_CONCEPT_ID BIGINT NOT NULL, "
+        "OPERATOR_CONCEPT_ID BIGINT, VALUE_AS_NUMBER FLOAT, VALUE_AS_CONCEPT_ID BIGINT, "
+        "UNIT_CONCEPT_ID BIGINT, RANGE_LOW FLOAT, RANGE_HIGH FLOAT, PROVIDER_ID BIGINT, "
+        "VISIT_OCCURRENCE_ID BIGINT, MEASUREMENT_SOURCE_VALUE STRING, "
+        "MEASUREMENT_SOURCE_CONCEPT_ID BIGINT, UNIT_SOURCE_VALUE STRING, "
+        "VALUE_SOURCE_VALUE STRING"
     ),
     "observation": (
-        "OBSERVATION_ID int!, PERSON_ID int!, OBSERVATION_CONCEPT_ID int!, "
-        "OBSERVATION_DATE date!, OBSERVATION_TIME string, "
-        "OBSERVATION_TYPE_CONCEPT_ID int!, VALUE_AS_NUMBER float, "
-        "VALUE_AS_STRING string, VALUE_AS_CONCEPT_ID int, QUALIFIER_CONCEPT_ID int, "
-        "UNIT_CONCEPT_ID int, PROVIDER_ID int, VISIT_OCCURRENCE_ID int, "
-        "OBSERVATION_SOURCE_VALUE string, OBSERVATION_SOURCE_CONCEPT_ID int, "
-        "UNIT_SOURCE_VALUE string, QUALIFIER_SOURCE_VALUE string"
+        "OBSERVATION_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "OBSERVATION_CONCEPT_ID BIGINT NOT NULL, OBSERVATION_DATE DATE NOT NULL, "
+        "OBSERVATION_TIME STRING, OBSERVATION_TYPE_CONCEPT_ID BIGINT NOT NULL, "
+        "VALUE_AS_NUMBER FLOAT, VALUE_AS_STRING STRING, VALUE_AS_CONCEPT_ID BIGINT, "
+        "QUALIFIER_CONCEPT_ID BIGINT, UNIT_CONCEPT_ID BIGINT, PROVIDER_ID BIGINT, "
+        "VISIT_OCCURRENCE_ID BIGINT, OBSERVATION_SOURCE_VALUE STRING, "
+        "OBSERVATION_SOURCE_CONCEPT_ID BIGINT, UNIT_SOURCE_VALUE STRING, "
+        "QUALIFIER_SOURCE_VALUE STRING"
     ),
     "observation_period": (
-        "OBSERVATION_PERIOD_ID int!, PERSON_ID int!, "
-        "OBSERVATION_PERIOD_START_DATE date!, OBSERVATION_PERIOD_END_DATE date!"
+        "OBSERVATION_PERIOD_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "OBSERVATION_PERIOD_START_DATE DATE NOT NULL, "
+        "OBSERVATION_PERIOD_END_DATE DATE NOT NULL"
     ),
     "organization": (
-        "ORGANIZATION_ID int!, PLACE_OF_SERVICE_CONCEPT_ID int, LOCATION_ID int, "
-        "ORGANIZATION_SOURCE_VALUE string, PLACE_OF_SERVICE_SOURCE_VALUE string"
+        "ORGANIZATION_ID BIGINT NOT NULL, PLACE_OF_SERVICE_CONCEPT_ID BIGINT, "
+        "LOCATION_ID BIGINT, ORGANIZATION_SOURCE_VALUE STRING, "
+        "PLACE_OF_SERVICE_SOURCE_VALUE STRING"
     ),
     "payer_plan_period": (
-        "PAYER_PLAN_PERIOD_ID int!, PERSON_ID int!, "
-        "PAYER_PLAN_PERIOD_START_DATE date!, PAYER_PLAN_PERIOD_END_DATE date!, "
-        "PAYER_SOURCE_VALUE string, PLAN_SOURCE_VALUE string, FAMILY_SOURCE_VALUE string"
+        "PAYER_PLAN_PERIOD_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "PAYER_PLAN_PERIOD_START_DATE DATE NOT NULL, "
+        "PAYER_PLAN_PERIOD_END_DATE DATE NOT NULL, PAYER_SOURCE_VALUE STRING, "
+        "PLAN_SOURCE_VALUE STRING, FAMILY_SOURCE_VALUE STRING"
     ),
     "person": (
-        "PERSON_ID int!, GENDER_CONCEPT_ID int!, YEAR_OF_BIRTH int!, "
-        "MONTH_OF_BIRTH int, DAY_OF_BIRTH int, TIME_OF_BIRTH string, "
-        "RACE_CONCEPT_ID int, ETHNICITY_CONCEPT_ID int, LOCATION_ID int, "
-        "PROVIDER_ID int, CARE_SITE_ID int, PERSON_SOURCE_VALUE string, "
-        "GENDER_SOURCE_VALUE string, GENDER_SOURCE_CONCEPT_ID int, "
-        "RACE_SOURCE_VALUE string, RACE_SOURCE_CONCEPT_ID int, "
-        "ETHNICITY_SOURCE_VALUE string, ETHNICITY_SOURCE_CONCEPT_ID int"
+        "PERSON_ID BIGINT NOT NULL, GENDER_CONCEPT_ID BIGINT NOT NULL, "
+        "YEAR_OF_BIRTH INT NOT NULL, MONTH_OF_BIRTH INT, DAY_OF_BIRTH INT, "
+        "TIME_OF_BIRTH STRING, RACE_CONCEPT_ID BIGINT, ETHNICITY_CONCEPT_ID BIGINT, "
+        "LOCATION_ID BIGINT, PROVIDER_ID BIGINT, CARE_SITE_ID BIGINT, "
+        "PERSON_SOURCE_VALUE STRING, GENDER_SOURCE_VALUE STRING, "
+        "GENDER_SOURCE_CONCEPT_ID BIGINT, RACE_SOURCE_VALUE STRING, "
+        "RACE_SOURCE_CONCEPT_ID BIGINT, ETHNICITY_SOURCE_VALUE STRING, "
+        "ETHNICITY_SOURCE_CONCEPT_ID BIGINT"
     ),
     "procedure_cost": (
-        "PROCEDURE_COST_ID int!, PROCEDURE_OCCURRENCE int!, PAID_COPAY float, "
-        "PAID_COINSURANCE float, PAID_TOWARD_DEDUCTIBLE float, PAID_BY_PAYER float, "
-        "PAID_BY_COORDINATION_BENEFITS float, TOTAL_OUT_OF_POCKET float, "
-        "TOTAL_PAID float, DISEASE_CLASS_CONCEPT_ID int, REVENUE_CODE_CONCEPT_ID int, "
-        "PAYER_PLAN_PERIOD_ID int, DISEASE_CLASS_SOURCE_VALUE string, "
-        "REVENUE_CODE_SOURCE_VALUE string"
+        "PROCEDURE_COST_ID BIGINT NOT NULL, PROCEDURE_OCCURRENCE INT NOT NULL, "
+        "PAID_COPAY FLOAT, PAID_COINSURANCE FLOAT, PAID_TOWARD_DEDUCTIBLE FLOAT, "
+        "PAID_BY_PAYER FLOAT, PAID_BY_COORDINATION_BENEFITS FLOAT, "
+        "TOTAL_OUT_OF_POCKET FLOAT, TOTAL_PAID FLOAT, DISEASE_CLASS_CONCEPT_ID BIGINT, "
+        "REVENUE_CODE_CONCEPT_ID BIGINT, PAYER_PLAN_PERIOD_ID BIGINT, "
+        "DISEASE_CLASS_SOURCE_VALUE STRING, REVENUE_CODE_SOURCE_VALUE STRING"
     ),
     "procedure_occurrence": (
-        "PROCEDURE_OCCURRENCE_ID int!, PERSON_ID int!, PROCEDURE_CONCEPT_ID int!, "
-        "PROCEDURE_DATE date!, PROCEDURE_TYPE_CONCEPT_ID int!, MODIFIER_CONCEPT_ID int, "
-        "QUANTITY int!, PROVIDER_ID int, VISIT_OCCURRENCE_ID int, "
-        "PROCEDURE_SOURCE_VALUE string, PROCEDURE_SOURCE_CONCEPT_ID int, "
-        "QUALIFIER_SOURCE_VALUE string"
+        "PROCEDURE_OCCURRENCE_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "PROCEDURE_CONCEPT_ID BIGINT NOT NULL, PROCEDURE_DATE DATE NOT NULL, "
+        "PROCEDURE_TYPE_CONCEPT_ID BIGINT NOT NULL, MODIFIER_CONCEPT_ID BIGINT, "
+        "QUANTITY INT NOT NULL, PROVIDER_ID BIGINT, VISIT_OCCURRENCE_ID BIGINT, "
+        "PROCEDURE_SOURCE_VALUE STRING, PROCEDURE_SOURCE_CONCEPT_ID BIGINT, "
+        "QUALIFIER_SOURCE_VALUE STRING"
     ),
     "provider": (
-        "PROVIDER_ID int!, PROVIDER_NAME string, NPI string, DEA string, "
-        "SPECIALTY_CONCEPT_ID int, CARE_SITE_ID int, YEAR_OF_BIRTH int, "
-        "GENDER_CONCEPT_ID int, PROVIDER_SOURCE_VALUE string!, "
-        "SPECIALTY_SOURCE_VALUE string, SPECIALTY_SOURCE_CONCEPT_ID int, "
-        "GENDER_SOURCE_VALUE string!, GENDER_SOURCE_CONCEPT_ID int"
+        "PROVIDER_ID BIGINT NOT NULL, PROVIDER_NAME STRING, NPI STRING, DEA STRING, "
+        "SPECIALTY_CONCEPT_ID BIGINT, CARE_SITE_ID BIGINT, YEAR_OF_BIRTH INT, "
+        "GENDER_CONCEPT_ID BIGINT, PROVIDER_SOURCE_VALUE STRING NOT NULL, "
+        "SPECIALTY_SOURCE_VALUE STRING, SPECIALTY_SOURCE_CONCEPT_ID BIGINT, "
+        "GENDER_SOURCE_VALUE STRING NOT NULL, GENDER_SOURCE_CONCEPT_ID BIGINT"
     ),
     "visit_occurrence": (
-        "VISIT_OCCURRENCE_ID int!, PERSON_ID int!, VISIT_CONCEPT_ID int!, "
-        "VISIT_START_DATE date!, VISIT_START_TIME string, VISIT_END_DATE date!, "
-        "VISIT_END_TIME string, VISIT_TYPE_CONCEPT_ID int!, PROVIDER_ID int, "
-        "CARE_SITE_ID int, VISIT_SOURCE_VALUE string, VISIT_SOURCE_CONCEPT_ID int"
+        "VISIT_OCCURRENCE_ID BIGINT NOT NULL, PERSON_ID BIGINT NOT NULL, "
+        "VISIT_CONCEPT_ID BIGINT NOT NULL, VISIT_START_DATE DATE NOT NULL, "
+        "VISIT_START_TIME STRING, VISIT_END_DATE DATE NOT NULL, VISIT_END_TIME STRING, "
+        "VISIT_TYPE_CONCEPT_ID BIGINT NOT NULL, PROVIDER_ID BIGINT, CARE_SITE_ID BIGINT, "
+        "VISIT_SOURCE_VALUE STRING, VISIT_SOURCE_CONCEPT_ID BIGINT"
     ),
 }
 
@@ -156,21 +169,17 @@ EVENT_DATE_COLUMNS: dict[str, tuple[str, str]] = {
 # ---------------------------------------------------------------------------
 
 _TYPES = {
-    "string": T.StringType(),
-    "float": T.FloatType(),
-    "date": T.DateType(),
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "STRING": T.StringType(),
+    "FLOAT": T.FloatType(),
+    "DATE": T.DateType(),
 }
 
 
-def _field(spec: str) -> T.StructField:
-    name, kind = spec.split()
-    nullable = not kind.endswith("!")
-    kind = kind.rstrip("!")
-    if kind == "int":
-        dtype = T.LongType() if name.endswith("_ID") else T.IntegerType()
-    else:
-        dtype = _TYPES[kind]
-    return T.StructField(name, dtype, nullable)
+def _field(ddl: str) -> T.StructField:
+    name, kind, *rest = ddl.split()
+    return T.StructField(name, _TYPES[kind], rest != ["NOT", "NULL"])
 
 
 def table_schema(table: str) -> T.StructType:

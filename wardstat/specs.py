@@ -1,4 +1,4 @@
-"""Parameters of the analysis (formerly kept in property files).
+"""Parameters of the analysis.
 
 ``CohortSpec`` selects patients and bounds events in time;
 ``ReadmissionSpec`` configures the index-stay / readmission search.
