@@ -43,13 +43,16 @@ def write_csv(df: DataFrame, path: str, codec: str | None = None,
     """CSV with a header line that the loaders read back as it is: dates in
     ``date_format``, blanks kept, a null as an empty field and an empty text
     as a quoted one, line ends, quotes and backslashes escaped."""
-    _csv_writer(df, codec, mode, date_format).csv(path)
+    _csv_writer(_as_text(df), codec, mode, date_format).csv(path)
 
 
-def _csv_writer(df: DataFrame, codec: str | None, mode: str, date_format: str):
-    text = df.select(*[escaped(F.col(f"`{f.name}`")).alias(f.name)
-                       if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
-                       for f in df.schema.fields])
+def _as_text(df: DataFrame, *but: str) -> DataFrame:
+    return df.select(*[escaped(F.col(f"`{f.name}`")).alias(f.name)
+                       if isinstance(f.dataType, T.StringType) and f.name not in but
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def _csv_writer(text: DataFrame, codec: str | None, mode: str, date_format: str):
     return (text.write.mode(mode).option("header", True).option("compression", _codec(codec))
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .option("dateFormat", spark_pattern(date_format)))
@@ -82,7 +85,9 @@ def write_partitioned_csv(df: DataFrame, path: str, key: str, codec: str | None
     in the order of ``order``.  Values of ``keys`` without a row get a file with
     the header only.  Read back with a schema in which the key is a string
     (Spark would else guess its type from the folder names)."""
-    by_key = df.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"), *order)
+    # the sort comes last: the writer keeps it only if it sees the key in front
+    by_key = (_as_text(df, key).repartition(F.col(f"`{key}`"))
+              .sortWithinPartitions(F.col(f"`{key}`"), *order))
     _csv_writer(by_key, codec, mode, date_format).partitionBy(key).csv(path)
     if keys:
         # one row per key at most
