@@ -46,7 +46,7 @@ TABLES = 16
 SAMPLED = 3
 THRESHOLD = 0.8
 ROUNDS = 3
-LEADERS = 8             # of a key in one round, after the first
+LEADERS = 24            # of a key in one round, after the first
 _random = np.random.default_rng(20240402)
 A = _random.integers(0, 1 << 64, TABLES, dtype=np.uint64) | np.uint64(1)
 B = _random.integers(0, 1 << 64, TABLES, dtype=np.uint64)
