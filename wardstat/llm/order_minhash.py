@@ -45,7 +45,7 @@ from wardstat.llm.shingles import labelled, shingle_hashes, word_hashes
 TABLES = 16
 SAMPLED = 3
 THRESHOLD = 0.8
-ROUNDS = 3
+ROUNDS = 1
 LEADERS = 24            # of a key in one round, after the first
 _random = np.random.default_rng(20240402)
 A = _random.integers(0, 1 << 64, TABLES, dtype=np.uint64) | np.uint64(1)
