@@ -35,6 +35,17 @@ def test_likeness_estimates_jaccard():
         assert abs(likeness(fingerprint(a), fingerprint(b)) - j) < 0.15
 
 
+def test_likeness_of_long_texts():
+    rng = random.Random(8)
+    for n in (20_000, 100_000, 300_000):
+        w, other = (words(rng, n, 10**6).split() for _ in range(2))
+        for keep in (0, n // 2, n - n // 4):
+            a, b = " ".join(w), " ".join(w[:keep] + other[keep:])
+            x, y = (set(shingle_hashes(word_hashes(t)).tolist()) for t in (a, b))
+            got = likeness(fingerprint(a), fingerprint(b))
+            assert abs(got - len(x & y) / len(x | y)) < (0.15 if keep else 0.01)
+
+
 def test_edited_equals_brute_force(spark):
     rng = random.Random(4)
     rows = [(k * 3 % 101, rng.choice(["é", ""]) + words(rng, rng.randrange(0, 60)))

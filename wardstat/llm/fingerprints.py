@@ -2,8 +2,10 @@
 
 A text's shingles (five words) are hashed to 64 bits, and each of ``HASHES``
 universal permutations a*x + b modulo 2**64 (a odd) keeps the smallest value.
-The fingerprint is 16 bits of each minimum.  The share of equal positions of
-two fingerprints estimates the Jaccard similarity of their shingle sets.
+The fingerprint is 16 bits of each minimum, mixed anew: the minimum of n values
+is about 2**64 / n, so its own high bits are zeros in long texts.  The share of
+equal positions of two fingerprints estimates the Jaccard similarity of their
+shingle sets at every length (unrelated minima agree in 1 of 65,536 cases).
 
 ``similar_links`` joins bands of the signatures in Spark and verifies the
 Jaccard similarity on the shingles themselves.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.llm.common import cut, id_text, partitions
-from wardstat.llm.shingles import shingle_hashes, word_hashes
+from wardstat.llm.shingles import mix, shingle_hashes, word_hashes
 
 HASHES = 128
 BANDS = 32              # of HASHES / BANDS rows each
@@ -47,8 +49,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """16 bits of each minimum."""
-    return (signature(shingle_hashes(word_hashes(text))) >> np.uint64(48)).astype(">u2")
+    """16 well-mixed bits of each minimum."""
+    low = signature(shingle_hashes(word_hashes(text)))
+    return (mix(low) & np.uint64(0xFFFF)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
