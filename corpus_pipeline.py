@@ -45,7 +45,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(docs)
+    cleaned = dedup_lines(docs, blanks_break=False)
     return _counted(cleaned.where((F.size("removed") == 0) | F.col("row.text").rlike(r"\S"))
                     .select("row.*"))
 

@@ -57,6 +57,43 @@ def test_equals_brute_force(spark):
     check(spark, rows)
 
 
+def brute_passages(rows, min_lines=2, min_words=50):
+    """As ``brute``, by windows of lines with words; blank lines inside one go with it."""
+    seen, out = set(), []
+    for _, text in rows:
+        lines, gone, new = text.split("\n"), set(), set()
+        at = [k for k, x in enumerate(lines) if x.strip()]
+        for size in (1, min_lines):
+            for a in range(len(at) - size + 1):
+                span = at[a:a + size]
+                w = tuple(lines[k] for k in span)
+                if w in seen and (size == min_lines or len(w[0].split()) >= min_words):
+                    gone |= set(range(span[0], span[-1] + 1))
+                seen.add(w)
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_passages_with_blank_lines(spark):
+    rng = random.Random(12)
+    passage = [words(rng, 20, 10**6) for _ in range(12)]
+    own = lambda n: words(rng, n, 10**6)
+    blanks = "a" + " " * 80
+    rows = [(k, "\n\n".join([own(5), *passage, own(5)])) for k in range(4)]
+    rows += [(4, "\n \n\n".join(passage[2:7])), (5, own(4) + "\n\n" + passage[3] + "\n\n" + own(4)),
+             (6, own(3) + "\n\n" + blanks + "\n" + own(3)), (7, blanks + "\n\n" + own(3)),
+             (8, "\n\n".join(passage))]
+    pool = [words(rng, n, 10**6) for n in (3, 5, 60)] + ["", " ", "\t"]
+    rows += [(10 + k, "\n".join(rng.choice(pool) if rng.random() < 0.7 else own(4)
+                                for _ in range(rng.randrange(1, 12)))) for k in range(40)]
+    got = {r["row"]["doc_id"]: r["row"]["text"] for r in dedup_lines(
+        docs(spark, rows), blanks_break=False).collect()}
+    assert len(got) == len(rows)
+    for (k, _), want in zip(rows, brute_passages(rows)):
+        assert got[k] == want, k
+    assert got[1].count("\n") == 3 and got[4] == ""
+
+
 def test_deepest_run_is_found(spark):
     ids = [bytes([k]) * 16 for k in (1, 2, 3, 4, 5, 6)]
     rows = [(0, 0, k, x, 5) for k, x in enumerate(ids)]

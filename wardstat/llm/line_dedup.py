@@ -18,8 +18,11 @@ A run of lines is removed where an earlier copy of it exists, in order of
 ``min_words`` words.  Documents whose text is the same as an earlier one's are
 copies as a whole and are settled before the sort.
 
-Lines are split at line feeds; a line without a word belongs to no run and
-stays.  Words of a line are counted by its blanks.  Null texts stay null.
+Lines are split at line feeds; a line without a word is no member of a run.
+With ``blanks_break`` it ends a run and stays; without (as in op2 and the
+pipeline) the sequences are those of the lines with a word, and a blank line
+inside a removed run goes with it, while others stay.  Words are runs of characters that are not ASCII blanks.  Null texts stay
+null.
 Null ids come first; rows with one id are in the table's order.  Other columns
 are kept as they are; an empty table gives no rows.
 """
@@ -38,6 +41,7 @@ from wardstat.llm.common import cut, hash128
 MIN_LINES = 2
 MIN_WORDS = 50
 ROW = "__row"
+BLANKS = " \t\n\x0b\f\r"      # as \s of Spark's expressions
 
 
 def counted_up(df: DataFrame, by: Sequence[str], weight: str, name: str) -> DataFrame:
@@ -98,7 +102,8 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+                min_lines: int = MIN_LINES, min_words: int = MIN_WORDS,
+                blanks_break: bool = True) -> DataFrame:
     """``row``: a struct of the columns of ``docs`` with the cleaned text, n_lines,
     removed: array of struct(start, end) of the removed lines (end exclusive),
     longest: the lines of the longest of them."""
@@ -106,11 +111,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text, doc_id = F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`").cast("long")
     split = F.split(text, "\n", -1)
+    if not blanks_break:
+        split = F.filter(split, lambda x: x.rlike(r"\S"))
     exploded = numbered.where(text.isNotNull()).select(
         F.col(ROW).alias("row"), doc_id.alias("doc_id"), F.posexplode(split).alias("i", "line"))
     lines = cut(exploded.where(F.col("line").rlike(r"\S")).select(
         "row", "doc_id", "i", hash128(F.col("line")).alias("id"),
-        (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words")))
+        F.regexp_count("line", F.lit(r"\S+")).alias("words")))
     # whole copies: of rows with the same text all but the first
     heads = cut(numbered.where(text.isNotNull()).select(
         F.col(ROW).alias("row"), doc_id.alias("doc_id"), hash128(text).alias("same")))
@@ -137,19 +144,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append((None, 0, [], 0))
                 continue
             rows = text.split("\n")
-            n = sum(bool(r.strip()) for r in rows)
+            worded = [k for k, r in enumerate(rows) if r.strip(BLANKS)]
             if spans is None:
-                out.append((text, n, [], 0))
+                out.append((text, len(worded), [], 0))
                 continue
+            at = range(len(rows)) if blanks_break else worded
             merged: list[list[int]] = []
-            for a, b in sorted((s["i"], s["i"] + s["h"]) for s in spans):
+            for a, b in sorted((at[s["i"]], at[s["i"] + s["h"] - 1] + 1) for s in spans):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
-            gone = {k for a, b in merged for k in range(a, b) if rows[k].strip()}
+            gone = {k for a, b in merged for k in range(a, b)}
+            if blanks_break:
+                gone &= set(worded)
             kept = "\n".join(r for k, r in enumerate(rows) if k not in gone)
-            out.append((kept, n, [{"start": a, "end": b} for a, b in merged],
+            out.append((kept, len(worded), [{"start": a, "end": b} for a, b in merged],
                         max(b - a for a, b in merged)))
         return pd.DataFrame(out, columns=["text", "n_lines", "removed", "longest"])
 
@@ -166,7 +176,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     of line numbers as start-end, end exclusive), text_sha256 of what is left."""
     spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"),
                                                          x["end"].cast("string")))
-    return dedup_lines(docs).select(
+    return dedup_lines(docs, blanks_break=False).select(
         F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines",
         F.size("removed").cast("long").alias("n_runs"), F.col("longest").alias("longest_run"),
         F.concat_ws(",", spans).alias("removed"),
