@@ -1,0 +1,133 @@
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tests.llm.util import SF, docs, rows_of
+from wardstat.llm.periodic_runs import (CommonExtensions, periodic_runs, planted, run_report,
+                                        runs_of_texts)
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(words):
+    """All runs by comparing every word with the one p on, for every p."""
+    out = {}
+    for p in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + p < len(words):
+            j = i
+            while j + p < len(words) and words[j] == words[j + p]:
+                j += 1
+            if j - i + p >= max(6, 4 * p):
+                out.setdefault((i, j - i + p), p)
+            i = max(j, i + 1)
+    return sorted((s, n, p) for (s, n), p in out.items())
+
+
+def brute_row(doc_id, text, plant):
+    words = WORD.findall(text or "")
+    n = len(words)
+    if plant and doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        g = h // 10
+        if h % 10 == 0:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = brute(words)
+    gone = {i for s, k, p in runs for i in range(s + p, s + k)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None,) * 3)
+    lines = "".join(f"{s},{k},{p}\n" for s, k, p in runs)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return (doc_id, len(runs), *best, None if best[0] is None else 1000 * best[1] // best[2],
+            sha(lines), sha(kept))
+
+
+def some_words(rng):
+    n, kind = rng.choice([0, 1, 5, 6, 7, 40, 250]), rng.randrange(4)
+    if kind == 0:
+        return [rng.choice("ab") for _ in range(n)]
+    if kind == 1:
+        base = [rng.choice("abc") for _ in range(rng.randrange(1, 40))]
+        out = [base[i % len(base)] for i in range(n)]
+        for _ in range(rng.randrange(3) if n else 0):
+            out[rng.randrange(n)] = "z"
+        return out
+    if kind == 2:
+        out = []
+        while len(out) < n:
+            out += [rng.choice("ab") for _ in range(rng.randrange(1, 6))] * rng.randrange(1, 9)
+        return out
+    return [str(rng.randrange(9)) for _ in range(n)]
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(120):
+        texts = [some_words(rng) for _ in range(rng.randrange(1, 9))]
+        found = runs_of_texts([[w.encode() for w in t] for t in texts])
+        assert [list(map(tuple, f.tolist())) for f in found] == [brute(t) for t in texts]
+
+
+def test_common_extensions_equal_comparison():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 12, 13, 14, 60, 400):
+        words = rng.integers(0, 2, n)
+        if n > 50:
+            words[10:40] = np.tile(words[10:13], 10)
+        lce = CommonExtensions(words)
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(n + 1), np.arange(n + 1)))
+        a, b = a[a != b], b[a != b]
+        want = []
+        for x, y in zip(a, b):
+            k = 0
+            while max(x, y) + k < n and words[x + k] == words[y + k]:
+                k += 1
+            want.append(k)
+        assert lce(a, b).tolist() == want
+
+
+def test_report_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(some_words(rng))) for i in range(120)]
+    rows += [(None, "x " * 9), (7, "x\x0by\x1cz"), (7, "x\x0by\x1cz"), (200, None), (201, ""),
+             (202, " \t\n"), (203, "é ß " * 30), (-5, "a b a b " * 8),
+             (204, "k " * 30_000), (205, " ".join(f"u{i}" for i in range(20_000)))]
+    table = docs(spark, rows, extra=True)
+    key = lambda r: tuple((x is None, x) for x in r)
+    small = [r for r in rows if r[0] not in (204, 205)]
+    for plant in (False, True):
+        text = planted(F.col("doc_id"), F.col("text")) if plant else F.col("text")
+        got = run_report(table.withColumn("text", text))
+        assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+                               "runs_sha256", "collapsed_sha256"]
+        found = rows_of(got)
+        assert [r for r in found if r[0] not in (204, 205)] == sorted(
+            (brute_row(*r, plant) for r in small), key=key)
+        big = {r[0]: r for r in found}
+        assert big[204][1:6] == (1, 0, 30_000, 1, 30_000_000)
+        assert plant or big[205][1] == 0
+    assert run_report(table.where("false")).count() == 0
+
+
+def test_collapsed_texts_and_other_columns(spark):
+    table = docs(spark, [(1, "say  it it it it it it it now"), (2, None)], extra=True)
+    got = {r["row"]["doc_id"]: r for r in periodic_runs(table).collect()}
+    assert got[1]["collapsed"] == "say it now" and got[2]["collapsed"] == ""
+    assert [tuple(x) for x in got[1]["runs"]] == [(1, 7, 1)] and got[2]["runs"] == []
+    assert got[1]["row"]["spans"] == [1]
+
+
+def test_query_equals_brute_force(spark):
+    from wardstat.llm.queries import op12_periodic_runs
+    want = [brute_row(r["doc_id"], r["text"], True)
+            for r in spark.read.parquet(f"{SF}/documents.parquet").collect()
+            if len(r["text"] or "") < 9000]
+    got = {r[0]: r for r in rows_of(op12_periodic_runs(spark, SF))}
+    assert [got[r[0]] for r in want] == want and any(r[1] for r in want)

@@ -13,8 +13,10 @@ from wardstat.llm.fingerprints import edited_fingerprints
 from wardstat.llm.language_id import identify, learn_profiles
 from wardstat.llm.line_dedup import line_report
 from wardstat.llm.lm_score import score_documents
+from wardstat.llm.merkle_manifest import MANIFEST_SQL, verified_documents
 from wardstat.llm.order_minhash import near_classes
 from wardstat.llm.packing import packed_digests
+from wardstat.llm.periodic_runs import planted, run_report
 from wardstat.llm.secrets import scan_secrets
 from wardstat.llm.warc_fixity import AUDIT_SQL, audited_pages
 
@@ -73,6 +75,15 @@ def op10_order_minhash(spark, sf_dir):
         "doc_id", "class_id", "class_size", "kept")
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return verified_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return run_report(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -84,9 +95,12 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
     "op10_order_minhash": op10_order_minhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": MANIFEST_SQL,
     "op3_warc_fixity": AUDIT_SQL,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
