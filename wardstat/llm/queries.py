@@ -17,6 +17,7 @@ from wardstat.llm.merkle_manifest import MANIFEST_SQL, verified_documents
 from wardstat.llm.order_minhash import near_classes
 from wardstat.llm.packing import packed_digests
 from wardstat.llm.periodic_runs import planted, run_report
+from wardstat.llm.rotated_codes import nearest
 from wardstat.llm.secrets import scan_secrets
 from wardstat.llm.warc_fixity import AUDIT_SQL, audited_pages
 
@@ -84,6 +85,10 @@ def op12_periodic_runs(spark, sf_dir):
     return run_report(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
 
 
+def op13_nearest(spark, sf_dir):
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -97,6 +102,7 @@ QUERIES = {
     "op10_order_minhash": op10_order_minhash,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_nearest": op13_nearest,
 }
 
 ORACLE_SQL = {
