@@ -12,8 +12,10 @@ from wardstat.operators import codes as C
 from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report_text,
                                   write_single_csv, write_tables)
 from wardstat.sources.codes import read_code_descriptions, read_code_dictionary
+from wardstat.sources.headers import csv_layouts, header_lines
 from wardstat.sources.tables import (combine_yearly, load_directory, malformed_counts,
-                                     malformed_rows, read_omop_csv, read_yearly_csv, table_name)
+                                     malformed_rows, read_omop_csv, read_yearly_csv,
+                                     read_yearly_folder, table_name)
 
 
 def write(path, text, gz=False):
@@ -174,6 +176,23 @@ def test_yearly_combine(spark, tmp_dir):
     assert [r.YEAR for r in one.collect()] == [2010, 2010]
 
 
+def test_yearly_folder(spark, tmp_dir):
+    for year, text in (("2008", "ID,SEX\nA,1\nB,\n"), ("2009", "SEX,ID,year\n2,C,1900\n"),
+                       ("2010", ""), ("__HIVE_DEFAULT_PARTITION__", "ID,SEX\nD,3\n")):
+        os.makedirs(os.path.join(tmp_dir, f"year={year}"))
+        write(os.path.join(tmp_dir, f"year={year}", "part 1.csv"), text)
+    df = read_yearly_folder(spark, tmp_dir)
+    assert df.columns == ["YEAR", "ID", "SEX"]
+    assert sorted(map(tuple, df.collect()), key=str) == [
+        (2008, "A", "1"), (2008, "B", None), (2009, "C", "2"), (None, "D", "3")]
+    # a scan per layout, and a year's filter reads its folder only
+    plan = df.where("YEAR = 2009")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2 and "PartitionFilters: [isnotnull(year" in plan
+    empty = os.path.join(tmp_dir, "year=2010")
+    assert read_yearly_folder(spark, empty).count() == 0
+    assert read_yearly_csv(spark, {2010: empty}).count() == 0
+
+
 def test_extra_and_missing_columns_do_not_drop_rows(spark, tmp_dir):
     # a fifth column the layout does not declare, and a missing declared one
     p = write(os.path.join(tmp_dir, "observation_period.csv"),
@@ -209,12 +228,42 @@ def test_each_file_is_bound_by_its_own_header(spark, tmp_dir):
     assert got == [(1, 11, 111), (2, 22, 222)]
 
 
-def test_other_headers_are_an_error_in_large_folders(spark, tmp_dir, monkeypatch):
-    monkeypatch.setattr("wardstat.sources.tables.MAX_HEADERS", 1)
-    write(os.path.join(tmp_dir, "a.csv"), "PERSON_ID,DEATH_DATE\n1,20090301\n")
-    write(os.path.join(tmp_dir, "b.csv"), "DEATH_DATE,PERSON_ID\n20090301,2\n")
-    with pytest.raises(Exception):
-        read_omop_csv(spark, tmp_dir, "death").collect()
+@pytest.mark.parametrize("n_files", [30, 260])
+def test_any_number_of_files_binds_each_by_its_header(spark, tmp_dir, n_files):
+    folder = os.path.join(tmp_dir, "death")
+    os.makedirs(folder)
+    want = []
+    for k in range(n_files):
+        name = os.path.join(folder, f"{k:04d} [part] 100%.csv")
+        if k < 3 or k % 10:
+            write(name, "\n \n" if k % 4 == 1 else "")
+        elif k % 20:
+            write(name, f"PERSON_ID,DEATH_DATE,CAUSE_CONCEPT_ID\n{k},20090301,{k + 1}\n")
+            want.append((k, k + 1))
+        else:
+            write(name, f"\n\"cause_concept_id\",EXTRA, PERSON_ID,person_id,\n{k + 1},a,{k},7,\n")
+            want.append((k, k + 1))
+    ds = load_directory(spark, tmp_dir)
+    assert sorted((r.PERSON_ID, r.CAUSE_CONCEPT_ID) for r in ds["death"].collect()) == want
+    assert malformed_counts(ds, ["death"]) == {"death": 0}
+
+
+def test_header_catalogue(spark, tmp_dir):
+    for k in range(5):
+        write(os.path.join(tmp_dir, f"{k}.csv"), "A,B\n1,2\n" if k % 2 else "B, A \n" * (k > 0))
+    assert sorted(r.header for r in header_lines(spark, tmp_dir).collect()) == [
+        "A,B", "A,B", "B, A ", "B, A "]
+    layouts = csv_layouts(spark, tmp_dir)
+    assert [(x.names, [os.path.basename(f) for f in x.files]) for x in layouts] == [
+        (("A", "B"), ["1.csv", "3.csv"]), (("B", "A"), ["2.csv", "4.csv"])]
+    # a job per read, not per file, and a file is read to its first line only
+    big = write(os.path.join(tmp_dir, "big.csv"), "A\n" + "1\n" * 200_000)
+    assert [x.names for x in csv_layouts(spark, big)] == [("A",)]
+    empty = os.path.join(tmp_dir, "none")
+    os.makedirs(empty)
+    write(os.path.join(empty, "a.csv"), "")
+    assert csv_layouts(spark, empty) == [] and read_omop_csv(spark, empty, "death").count() == 0
+    assert malformed_rows(spark, empty, "death").count() == 0
 
 
 def test_two_sources_of_a_table_are_an_error(spark, tmp_dir):

@@ -21,7 +21,7 @@ from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report
                                   write_single_csv, write_tables)
 from wardstat.sources.adapter import load_driver_dataset
 from wardstat.sources.codes import read_code_descriptions, read_code_dictionary
-from wardstat.sources.tables import load_directory, read_omop_csv, read_yearly_csv
+from wardstat.sources.tables import load_directory, read_omop_csv, read_yearly_folder
 
 VISIT_COLS = ["VISIT_OCCURRENCE_ID", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE",
               "PROVIDER_ID"]
@@ -42,11 +42,11 @@ def _folder(spark, name: str) -> str:
 
 
 def _extract(table: str):
-    """The full cohort written as gzip CSV tables, then loaded by header name."""
+    """A table of the full cohort written as gzip CSV, then loaded by header name."""
     def query(spark, sf_dir) -> DataFrame:
         cohort = K.build_cohort(load_driver_dataset(spark, sf_dir), P.FULL_COHORT)
         folder = _folder(spark, "extract")
-        write_tables(OmopDataset({t: cohort[t] for t in EXTRACTED}), folder, codec="gzip")
+        write_tables(OmopDataset({table: cohort[table]}), folder, codec="gzip")
         return load_directory(spark, folder)[table].select(EXTRACTED[table])
 
     return query
@@ -75,11 +75,8 @@ def yearly_combine(spark, sf_dir) -> DataFrame:
                          F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
     folder = _folder(spark, "yearly")
     rows.write.partitionBy("year").option("header", True).csv(folder)
-    # rows without a date sit in Spark's default partition folder and are kept
-    # with a null YEAR; the driver gets a row per year
-    years = [r["year"] for r in rows.select("year").distinct().collect()]
-    return read_yearly_csv(spark, {
-        y: f"{folder}/year={'__HIVE_DEFAULT_PARTITION__' if y is None else y}" for y in years})
+    # rows without a date sit in Spark's default partition folder: a null YEAR
+    return read_yearly_folder(spark, folder)
 
 
 def csv_header_drift(spark, sf_dir) -> DataFrame:
@@ -93,6 +90,22 @@ def csv_header_drift(spark, sf_dir) -> DataFrame:
     return read_omop_csv(spark, f"{folder}/*", "visit_occurrence", "%Y%m%d").select(VISIT_COLS)
 
 
+def csv_many_files(spark, sf_dir) -> DataFrame:
+    """Visits in 280 CSV files of three layouts, beside files without a line and of
+    blank lines; the empty ones come first in the folder."""
+    visits = load_driver_dataset(spark, sf_dir)["visit_occurrence"].select(VISIT_COLS)
+    third = F.pmod(F.xxhash64("VISIT_OCCURRENCE_ID"), F.lit(3))
+    folder = _folder(spark, "many")
+    spark.createDataFrame([], "value string").write.text(f"{folder}/a-empty")
+    (spark.range(0, 20, 1, 20).select(F.lit("").alias("value"))
+     .write.text(f"{folder}/b-blank"))
+    for name, rest, columns in (("c", 0, VISIT_COLS), ("d", 1, VISIT_COLS[::-1]),
+                                ("e", 2, ["EXTRA", *VISIT_COLS[2:], *VISIT_COLS[:2]])):
+        part = visits.withColumn("EXTRA", F.lit("x")).where(third == rest)
+        write_csv(part.select(*columns).repartition(90), f"{folder}/{name}")
+    return read_omop_csv(spark, f"{folder}/*", "visit_occurrence", "%Y%m%d").select(VISIT_COLS)
+
+
 def csv_malformed_drop(spark, sf_dir) -> DataFrame:
     """Visits of which a rule on the key breaks a date or an id."""
     visits = load_driver_dataset(spark, sf_dir)["visit_occurrence"]
@@ -190,6 +203,7 @@ FILE_QUERIES = {
     "extract_text": extract_text,
     "yearly_combine": yearly_combine,
     "csv_header_drift": csv_header_drift,
+    "csv_many_files": csv_many_files,
     "csv_malformed_drop": csv_malformed_drop,
     "code_dictionary_file": code_dictionary_file,
     "code_descriptions_file": code_descriptions_file,

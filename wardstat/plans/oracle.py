@@ -346,6 +346,7 @@ ORACLE_SQL |= {
   WHEN 3 THEN 'say "a' || chr(92) || 'b", 100%' WHEN 4 THEN 'x,' || PERSON_ID
   END AS PERSON_SOURCE_VALUE FROM o_person""",
     "csv_header_drift": _with() + _VISIT + "o_visit",
+    "csv_many_files": _with() + _VISIT + "o_visit",
     "csv_malformed_drop": _with() + _VISIT + "o_visit WHERE VISIT_OCCURRENCE_ID % 13 <> 0 "
     "AND VISIT_OCCURRENCE_ID % 11 <> 3",
     "code_dictionary_file": "SELECT p_type || '/' || p_brand AS procedure, "

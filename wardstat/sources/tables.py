@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from wardstat.dataset import OmopDataset
 from wardstat.functions.dates import parse_date
 from wardstat.schemas import OMOP_TABLE_COLUMNS, table_schema
+from wardstat.sources.headers import clean_name, read_layouts
 
 log = logging.getLogger(__name__)
 
@@ -47,10 +48,6 @@ EMPTY_MARK = "\x1aempty"
 ESCAPE_MARK = "\x1a%"
 ESCAPES = (("\n", "%0A"), ("\r", "%0D"), ('"', "%22"), ("\\", "%5C"))
 
-# Folders of up to this many CSV files may mix headers (each is read once);
-# in larger ones a file whose header differs is an error.
-MAX_HEADERS = 256
-
 _EXACT = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 3, T.LongType: 4}
 
 
@@ -96,7 +93,7 @@ def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
     schema = table_schema(table)
     # header names match case-insensitively, ignoring a byte-order mark and
     # surrounding blanks
-    by_upper = {c.strip().lstrip("\ufeff").strip().upper(): c for c in raw.columns}
+    by_upper = {clean_name(c).upper(): c for c in raw.columns}
     cols, bad = [], []
     for f in schema.fields:
         src = by_upper.get(f.name.upper())
@@ -135,34 +132,27 @@ def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _csv_by_header(spark: SparkSession, path: str) -> list[DataFrame]:
-    """The CSV files of ``path`` (file, folder or glob) as text columns, one frame
-    per distinct header: columns are bound by each file's own header."""
-    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-              .option("emptyValue", EMPTY_MARK))
-    files = spark.read.format("text").load(path).inputFiles()
-    if len(files) <= 1:
-        return [reader.csv(path)]
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    if len(files) <= MAX_HEADERS:
-        for f in sorted(files):
-            by_header.setdefault(tuple(reader.csv(f).columns), []).append(f)
-    else:
-        by_header[tuple(reader.csv(files[0]).columns)] = [path]
-    by_header.pop((), None)     # files without a line
-    # enforceSchema=false: a file with another header is an error, not a mix-up
-    return [reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
-            .option("enforceSchema", False).csv(paths) for names, paths in by_header.items()]
+def csv_frames(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The CSV files of ``path`` (file, folder or glob) as text columns, one frame per
+    distinct header: columns are bound by each file's own header, however many
+    files there are."""
+    reader = spark.read.option("mode", "PERMISSIVE").option("emptyValue", EMPTY_MARK)
+    return read_layouts(spark, path, reader)
 
 
 def read_omop_csv(spark: SparkSession, path: str, table: str,
                   date_format: str = "yyyyMMdd", mode: str = "DROPMALFORMED") -> DataFrame:
     """Read a CSV table (file, folder or glob) whose files have a header line."""
     _check_suffix(path)
-    parts = [bind_columns(raw, table, date_format, mode, from_text=True)
-             for raw in _csv_by_header(spark, path)]
-    if not parts:
-        return spark.createDataFrame([], table_schema(table))
+    return _bound_csv(spark, csv_frames(spark, path), table, date_format, mode)
+
+
+def _bound_csv(spark: SparkSession, frames: Sequence[DataFrame], table: str, date_format: str,
+               mode: str) -> DataFrame:
+    parts = [bind_columns(raw, table, date_format, mode, from_text=True) for raw in frames]
+    if not parts:       # no file has a line
+        empty = spark.createDataFrame([], table_schema(table))
+        return empty.withColumn(MALFORMED, F.lit(False)) if mode.upper() == "FLAG" else empty
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -221,12 +211,16 @@ def load_directory(spark: SparkSession, directory: str, date_format: str = "yyyy
         if stem in tables:
             raise ValueError(f"two sources of table {stem!r} in {directory}: {name} and another")
         if name.lower().endswith(".parquet") or (is_dir and _is_parquet_dir(spark, full)):
-            read = read_omop_parquet
+            raw = spark.read.parquet(full)
+            bound = lambda m, raw=raw: bind_columns(raw, stem, date_format, m)
         else:
-            read = read_omop_csv
-        tables[stem] = read(spark, full, stem, date_format, mode)
+            _check_suffix(full)
+            frames = csv_frames(spark, full)
+            bound = lambda m, frames=frames: _bound_csv(
+                spark, frames, stem, date_format, m)
+        tables[stem] = bound(mode)
         if mode.upper() == "DROPMALFORMED":
-            flagged[stem] = read(spark, full, stem, date_format, "FLAG")
+            flagged[stem] = bound("FLAG")
     return OmopDataset(tables, flagged)
 
 
@@ -260,10 +254,36 @@ def combine_yearly(frames: Mapping[int | None, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _all_text(raw: DataFrame, *but: str) -> DataFrame:
+    return raw.select(*[F.col(f"`{c}`") if c in but else unescaped(F.col(f"`{c}`")).alias(c)
+                        for c in raw.columns])
+
+
+def _by_name(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def read_yearly_csv(spark: SparkSession, paths: Mapping[int | None, str]) -> DataFrame:
     """``combine_yearly`` over CSV files with headers (all columns as text); files
     of one year may have different headers."""
-    return combine_yearly({y: reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [raw.select(*[unescaped(F.col(f"`{c}`")).alias(c) for c in raw.columns])
-         for raw in _csv_by_header(spark, p)]) for y, p in paths.items()})
+    years = {y: [_all_text(raw) for raw in csv_frames(spark, p)] for y, p in paths.items()}
+    filled = {y: reduce(_by_name, frames) for y, frames in years.items() if frames}
+    if not filled:
+        return spark.createDataFrame([], "YEAR int")
+    return combine_yearly(filled)
+
+
+def read_yearly_folder(spark: SparkSession, folder: str, column: str = "year") -> DataFrame:
+    """A folder of yearly CSV extracts (``<folder>/year=2008/*.csv``) as one table with its
+    ``YEAR`` in front (null for the folder of rows without one), all other columns as text
+    and matched by name.  The years come from the folders' names by partition
+    discovery: a scan per distinct header, not per year, and a filter on YEAR reads
+    only its folders.  A column of the files named as the partition is left out."""
+    reader = spark.read.option("mode", "PERMISSIVE").option("emptyValue", EMPTY_MARK)
+    frames = read_layouts(spark, folder.rstrip("/"), reader,
+                          T.StructField(column, T.IntegerType()))
+    if not frames:
+        return spark.createDataFrame([], "YEAR int")
+    both = reduce(_by_name, [_all_text(raw, column) for raw in frames])
+    rest = [F.col(f"`{c}`") for c in both.columns if c != column]
+    return both.select(F.col(column).alias("YEAR"), *rest)
