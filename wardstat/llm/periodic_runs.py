@@ -313,23 +313,25 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
 
-def planted(doc_id: Column, text: Column) -> Column:
-    """A text for tests at scale: of ids whose crc32 h ends in 0 and that have n > 0 words,
-    each word from a = g % n on (g = h / 10) is word a + (i - a) % p, with
-    p = 1 + (n - a) / (3 + g % 8); other texts as they are."""
-    h = F.crc32(doc_id.cast("string"))
-    g = F.floor(h / 10)
-
-    def periodic(words: Column) -> Column:
-        n = F.size(words).cast("long")
-        a = F.pmod(g, n)
-        p = F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1
-        return F.array_join(F.transform(
-            words, lambda w, i: F.when(i < a, w).otherwise(F.element_at(
-                words, (a + F.pmod(i - a, p) + 1).cast("int")))), " ")
-
-    hit = (F.pmod(h, F.lit(10)) == 0) & (F.size(words_of(text)) > 0)
-    return F.when(hit, periodic(words_of(text))).otherwise(text)
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) for tests at scale: in texts of n > 0 words whose id's crc32 h ends in
+    0, each word from a = g % n on (g = h / 10) is word a + (i - a) % p, with
+    p = 1 + (n - a) / (3 + g % 8); other texts are as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    hit = F.pmod(h, F.lit(10)) == 0
+    # a column of its own: an expression would be split again for every word
+    split = docs.select("doc_id", F.col("text").cast("string").alias("text"),
+                        F.floor(h / 10).alias("g"),
+                        F.when(hit, words_of(F.col("text"))).alias("words"))
+    g, words = F.col("g"), F.col("words")
+    n = F.size(words).cast("long")
+    a = F.pmod(g, n)
+    p = F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1
+    periodic = F.array_join(F.transform(
+        words, lambda w, i: F.when(i < a, w).otherwise(F.element_at(
+            words, (a + F.pmod(i - a, p) + 1).cast("int")))), " ")
+    return split.select("doc_id", F.when(F.size(words) > 0, periodic).otherwise(F.col("text"))
+                        .alias("text"))
 
 
 def run_report(docs: DataFrame) -> DataFrame:
