@@ -62,7 +62,6 @@ def test_dev_type_lists(ds, dicts):
         ("81.54", 23861, 1, 1, 0, 1, 1.0),
         ("81.54", 29084, 1, 1, 0, 1, 1.0),
     ]
-    res.unpersist()
 
 
 def test_micro_type_lists_give_nothing(ds, dicts):

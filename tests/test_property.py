@@ -90,4 +90,3 @@ def test_analysis_matches_model(spark, seed):
     assert got_readm == want_readm
     assert [c[:6] for c in got_card] == [c[:6] for c in want_card]
     assert all(abs(a[6] - b[6]) < 1e-12 for a, b in zip(got_card, want_card))
-    res.unpersist()

@@ -197,7 +197,6 @@ def test_large_dictionary_path_gives_same_results(spark, tmp_path, monkeypatch):
                sorted((r.procedure, r.ord, r.code, r.COUNT) for r in rep.collect()),
                sorted(tuple(r) for r in C.readmission_code_report(compl, res.readmissions)
                       .drop("proc_ord").collect()), diag.rows is None)
-        res.unpersist()
         return out
 
     small = outputs()

@@ -32,7 +32,6 @@ def test_one_procedure_figures(spark):
     assert res.deaths.count() == 98
     assert res.deaths.where("PROVIDER_ID IS NOT NULL").select("PROVIDER_ID").distinct().count() == 58
     assert idx.where("PROVIDER_ID IS NULL").count() == 25
-    res.unpersist()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF001), reason="driver tables not present")

@@ -3,11 +3,27 @@
 import dataclasses
 import os
 
+import pytest
+
 from tests import micro
-from wardstat.plans.scorecard import readmission_analysis, run
+from wardstat.plans.scorecard import RUN_COLUMNS, readmission_analysis, run
+from wardstat.session import ensure_checkpoint_dir
 from wardstat.sources.codes import dictionary_from_mapping
-from wardstat.sources.tables import load_directory
+from wardstat.sources.staging import observe_malformed, stage_tables
+from wardstat.sources.tables import load_directory, malformed_counts
 from wardstat.specs import CohortSpec, ReadmissionSpec
+from wardstat.workspace import Workspace
+
+
+def left_over(spark):
+    """Entries of the checkpoint folder that a run would make."""
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return sorted(x for x in os.listdir(folder) if x.startswith(("run-", "wardstat-")))
+
+
+def assert_nothing_left(spark):
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert left_over(spark) == []
 
 
 def test_batch_run_outputs(spark, tmp_dir):
@@ -27,6 +43,71 @@ def test_batch_run_outputs(spark, tmp_dir):
     text = spark.read.text(os.path.join(out, "readmission_event_code_count")).collect()
     lines = [r.value for r in text]
     assert lines[0] == "Procedure: 81.07" and lines[-1] == "Total Count For All Procedures: 2"
+    assert_nothing_left(spark)
+
+
+def test_run_keeps_nothing_after_a_failure(spark, tmp_dir, monkeypatch):
+    from wardstat.plans import scorecard
+    ds = load_directory(spark, micro.write_fixture(tmp_dir))
+    diag = dictionary_from_mapping(spark, micro.DIAGNOSIS)
+    compl = dictionary_from_mapping(spark, micro.COMPLICATIONS)
+
+    def broken(*_args, **_more):
+        assert left_over(spark)     # the tables are staged by now
+        raise OSError("no space")
+
+    monkeypatch.setattr(scorecard, "write_report_text", broken)
+    with pytest.raises(OSError):
+        run(ds, diag, compl, os.path.join(tmp_dir, "out"))
+    assert_nothing_left(spark)
+
+
+def test_workspace(spark):
+    with Workspace(spark) as work:
+        a = work.written(spark.range(7), "a")
+        b = work.persisted(spark.range(5))
+        assert (a.count(), b.count(), len(left_over(spark))) == (7, 5, 1)
+        with pytest.raises(ValueError):
+            work.kept(a, "c", "elsewhere")
+    work.close()
+    assert_nothing_left(spark)
+    with pytest.raises(RuntimeError):
+        work.written(spark.range(1), "late")
+    assert Workspace(spark)._folder is None     # nothing is made before it is needed
+
+
+def test_staging_counts_in_the_pass_that_copies(spark, tmp_dir):
+    """Counts equal those of a pass of their own; later plans read the copy alone."""
+    folder = micro.write_fixture(tmp_dir)
+    with open(os.path.join(folder, "death.csv"), "a") as f:
+        f.write("x9,20090101,1\n7,2009-01-01,1\n")
+    ds = load_directory(spark, folder)
+    with Workspace(spark) as work:
+        staged, counts = stage_tables(ds, RUN_COLUMNS, work)
+        assert counts == malformed_counts(ds, list(RUN_COLUMNS)) and counts["death"] == 2
+        for name, columns in RUN_COLUMNS.items():
+            plan = staged[name]._jdf.queryExecution().executedPlan().toString()
+            assert "FileScan parquet" in plan and "csv" not in plan
+            assert sorted(map(str, staged[name].collect())) == sorted(
+                map(str, ds[name].select(*columns).collect()))
+        more, counted = observe_malformed(ds, ["death", "person"])
+        for name in ("death", "person"):
+            assert more[name].count() == ds[name].count()
+            more[name].write.format("noop").mode("overwrite").save()
+        assert counted() == {"death": 2, "person": 0}
+    with open(os.path.join(folder, "death.csv"), "w") as f:
+        f.write("PERSON_ID,DEATH_DATE\n1,2009-01-01\n")
+    with Workspace(spark) as work, pytest.raises(ValueError, match="date format"):
+        stage_tables(load_directory(spark, folder), RUN_COLUMNS, work)
+    assert_nothing_left(spark)
+
+
+def test_parquet_tables_that_cannot_lose_rows_are_not_copied(spark, tmp_dir):
+    spark.range(3).withColumnRenamed("id", "PERSON_ID").write.parquet(f"{tmp_dir}/person.parquet")
+    ds = load_directory(spark, tmp_dir)
+    with Workspace(spark) as work:
+        staged, counts = stage_tables(ds, {"person": ("PERSON_ID",)}, work)
+        assert counts == {} and staged["person"] is ds["person"] and work._folder is None
 
 
 def test_materialize_modes_agree(spark, tmp_dir):
@@ -36,9 +117,14 @@ def test_materialize_modes_agree(spark, tmp_dir):
     base = ReadmissionSpec(30, micro.DEV_CONDITION_TYPES, micro.DEV_PROCEDURE_TYPES)
     cards = []
     for mode in ("persist", "checkpoint", "none"):
-        res = readmission_analysis(ds, diag, compl, dataclasses.replace(base, materialize=mode))
-        cards.append(sorted(tuple(r) for r in res.scorecard.collect()))
-        res.unpersist()
+        with Workspace(spark) as work:
+            res = readmission_analysis(ds, diag, compl, dataclasses.replace(base, materialize=mode),
+                                       workspace=work)
+            cards.append(sorted(tuple(r) for r in res.scorecard.collect()))
+            plan = res.index_stays._jdf.queryExecution().executedPlan().toString()
+            assert ("InMemoryTableScan" in plan, "FileScan csv" not in plan) == (
+                mode == "persist", mode == "checkpoint")
+    assert_nothing_left(spark)
     assert cards[0] == cards[1] == cards[2] and len(cards[0]) == 2
 
 
@@ -70,15 +156,13 @@ def test_command_line_entry(spark, tmp_dir):
 
 
 def test_nothing_is_written_without_a_checkpoint_folder(spark, tmp_dir, monkeypatch):
-    import pytest
-
-    from wardstat import session
+    from wardstat.plans import scorecard
     ds = load_directory(spark, micro.write_fixture(tmp_dir))
 
     def missing(_):
         raise RuntimeError("set spark.checkpoint.dir")
 
-    monkeypatch.setattr(session, "ensure_checkpoint_dir", missing)
+    monkeypatch.setattr(scorecard, "ensure_checkpoint_dir", missing)
     out = os.path.join(tmp_dir, "none")
     with pytest.raises(RuntimeError):
         run(ds, dictionary_from_mapping(spark, micro.DIAGNOSIS),

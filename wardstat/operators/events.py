@@ -19,13 +19,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.operators.intervals import containment_join
-from wardstat.session import ensure_checkpoint_dir
 from wardstat.sources.codes import CodeDictionary
+from wardstat.workspace import Workspace
 
 # kind -> (event date, type concept, source value) columns
 EVENT_COLUMNS = {
@@ -102,7 +101,6 @@ def inpatient_stays(events: DataFrame, kind: str, visits: DataFrame,
 class Stays(NamedTuple):
     index: DataFrame
     complications: DataFrame
-    persisted: DataFrame | None
 
 
 def index_and_complication_stays(
@@ -110,7 +108,8 @@ def index_and_complication_stays(
         diagnosis: CodeDictionary, complications: CodeDictionary,
         condition_types: Sequence[int], procedure_types: Sequence[int],
         bucket_days: int = 28, materialize: str = "persist",
-        dedupe_visits: bool = True, persons: DataFrame | None = None) -> "Stays":
+        dedupe_visits: bool = True, persons: DataFrame | None = None,
+        workspace: Workspace | None = None) -> "Stays":
     """Index stays and complication stays of every procedure.
 
     Index stays: (procedure, branch, PERSON_ID, VISIT_END_DATE, PROVIDER_ID,
@@ -121,14 +120,14 @@ def index_and_complication_stays(
     those persons are used.
 
     All three event sets are tagged and placed in visits by a single join,
-    so the visit table is scanned and shuffled once.  The de-duplicated
-    placements are materialised once (``materialize``): index stays feed
-    the provider counts, the readmission join and the death join, and
-    complication stays come from the same placements, so without it each
-    consumer would rerun the scans and the range join.  ``persist`` keeps
-    them in memory and on disk (lost blocks are recomputed from lineage);
-    ``checkpoint`` writes them to the session's checkpoint folder and cuts
-    the lineage, so a lost executor costs only a re-read.
+    so the visit table is scanned and shuffled once.  With a ``workspace`` the
+    de-duplicated placements are materialised once, as ``materialize`` says:
+    index stays feed the provider counts, the readmission join and the death
+    join, and complication stays come from the same placements.  ``persist``
+    keeps them in memory and on disk (lost blocks are recomputed from
+    lineage); ``checkpoint`` writes them to the session's checkpoint folder
+    and cuts the lineage, so a lost executor costs only a re-read.  The
+    workspace owns them; without one the plan stays lazy and nothing is kept.
     """
     def coded(df, kind, types, pairs):
         ev = filter_by_codes(event_view(df, kind), "TYPE_CONCEPT_ID", types)
@@ -149,11 +148,8 @@ def index_and_complication_stays(
               .select("procedure", "branch", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE",
                       "PROVIDER_ID", "SOURCE_VALUE")
               .distinct())
-    if materialize == "persist":
-        placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    elif materialize == "checkpoint":
-        ensure_checkpoint_dir(placed.sparkSession)
-        placed = placed.checkpoint(eager=True)
+    if workspace is not None:
+        placed = workspace.kept(placed, "placed", materialize)
     index = (placed.where(F.col("branch") != "X")
              .select("procedure", "branch", "PERSON_ID", "VISIT_END_DATE",
                      "PROVIDER_ID", "SOURCE_VALUE")
@@ -162,4 +158,4 @@ def index_and_complication_stays(
              .select("procedure", "PERSON_ID", "VISIT_START_DATE",
                      "PROVIDER_ID", "SOURCE_VALUE")
              .distinct())
-    return Stays(index, compl, placed if materialize == "persist" else None)
+    return Stays(index, compl)

@@ -87,9 +87,9 @@ def _cannot_fail(source: T.DataType, target: T.DataType) -> bool:
     return wide or (type(source) in _EXACT and isinstance(target, (T.FloatType, T.DoubleType)))
 
 
-def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
-                 mode: str = "DROPMALFORMED", from_text: bool = False) -> DataFrame:
-    """Bind a frame of raw (string or typed) columns to the table layout."""
+def _typed_columns(raw: DataFrame, table: str, date_format: str,
+                   from_text: bool) -> tuple[list[Column], list[Column]]:
+    """The table's columns over ``raw``, and for each that can fail whether it does."""
     schema = table_schema(table)
     # header names match case-insensitively, ignoring a byte-order mark and
     # surrounding blanks
@@ -115,6 +115,18 @@ def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
             typed = rc.try_cast(f.dataType)
             bad.append(rc.isNotNull() & typed.isNull())
         cols.append(typed.alias(f.name))
+    return cols, bad
+
+
+def can_lose_rows(raw: DataFrame, table: str) -> bool:
+    """Whether rows of ``raw`` can be malformed at all."""
+    return bool(_typed_columns(raw, table, "yyyyMMdd", False)[1])
+
+
+def bind_columns(raw: DataFrame, table: str, date_format: str = "yyyyMMdd",
+                 mode: str = "DROPMALFORMED", from_text: bool = False) -> DataFrame:
+    """Bind a frame of raw (string or typed) columns to the table layout."""
+    cols, bad = _typed_columns(raw, table, date_format, from_text)
     if not bad and mode.upper() in ("DROPMALFORMED", "PERMISSIVE", "FAILFAST"):
         return raw.select(*cols)
     flag = reduce(lambda a, b: a | b, bad) if bad else F.lit(False)
@@ -197,14 +209,15 @@ def list_entries(spark: SparkSession, directory: str) -> list[tuple[str, str, bo
 def load_directory(spark: SparkSession, directory: str, date_format: str = "yyyyMMdd",
                    mode: str = "DROPMALFORMED") -> OmopDataset:
     """Every known OMOP table in ``directory``.  ``<table>.csv[.codec]`` and
-    ``<table>.parquet`` files, and ``<table>/`` folders written by Spark, are
-    read; other entries are skipped with a log message."""
+    ``<table>.parquet`` files, and folders written by Spark with or without such a
+    suffix, are read; other entries are skipped with a log message."""
     tables: dict[str, DataFrame] = {}
     flagged: dict[str, DataFrame] = {}
+    dropping = mode.upper() == "DROPMALFORMED"
     for name, full, is_dir in sorted(list_entries(spark, directory)):
         if name.startswith((".", "_")):
             continue
-        stem = name if is_dir else table_name(name)
+        stem = table_name(name) or (name if is_dir else None)
         if stem is None or stem not in OMOP_TABLE_COLUMNS:
             log.warning("no OMOP layout for %s; skipped", name)
             continue
@@ -212,22 +225,23 @@ def load_directory(spark: SparkSession, directory: str, date_format: str = "yyyy
             raise ValueError(f"two sources of table {stem!r} in {directory}: {name} and another")
         if name.lower().endswith(".parquet") or (is_dir and _is_parquet_dir(spark, full)):
             raw = spark.read.parquet(full)
-            bound = lambda m, raw=raw: bind_columns(raw, stem, date_format, m)
+            tables[stem] = bind_columns(raw, stem, date_format, mode)
+            if dropping and can_lose_rows(raw, stem):
+                flagged[stem] = bind_columns(raw, stem, date_format, "FLAG")
         else:
             _check_suffix(full)
             frames = csv_frames(spark, full)
-            bound = lambda m, frames=frames: _bound_csv(
-                spark, frames, stem, date_format, m)
-        tables[stem] = bound(mode)
-        if mode.upper() == "DROPMALFORMED":
-            flagged[stem] = bound("FLAG")
+            tables[stem] = _bound_csv(spark, frames, stem, date_format, mode)
+            if dropping:
+                flagged[stem] = _bound_csv(spark, frames, stem, date_format, "FLAG")
     return OmopDataset(tables, flagged)
 
 
 def malformed_counts(ds: OmopDataset, tables: Sequence[str]) -> dict[str, int]:
-    """Rows that ``DROPMALFORMED`` leaves out, by table: one pass over each file
-    table that has columns to check.  A table that loses all its rows is an
-    error (most likely the date format is another one)."""
+    """Rows that ``DROPMALFORMED`` leaves out, by table: a pass of its own over each
+    file table that has columns to check (``sources.staging`` counts them in a pass
+    that is needed anyway).  A table that loses all its rows is an error (most likely
+    the date format is another one)."""
     out = {}
     for name in tables:
         flags = ds.flagged.get(name)
@@ -235,12 +249,16 @@ def malformed_counts(ds: OmopDataset, tables: Sequence[str]) -> dict[str, int]:
             continue
         r = flags.agg(F.count(F.lit(1)).alias("n"),
                       F.count(F.when(F.col(MALFORMED), 1)).alias("bad")).first()
-        if r["n"] and r["n"] == r["bad"]:
-            raise ValueError(f"all {r['n']} rows of {name} are malformed; check the date format")
-        out[name] = r["bad"]
+        out[name] = check_counts(name, r["n"], r["bad"])
     return out
 
 
+def check_counts(name: str, n: int, bad: int) -> int:
+    if n and n == bad:
+        raise ValueError(f"all {n} rows of {name} are malformed; check the date format")
+    return bad
+
+
 def _is_parquet_dir(spark: SparkSession, path: str) -> bool:
     return any(n.endswith(".parquet") for n, _, d in list_entries(spark, path) if not d)
 
