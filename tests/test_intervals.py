@@ -1,11 +1,14 @@
 """Range joins against brute force, including the window ends."""
 
 import datetime as dt
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from wardstat.operators.intervals import band_join, containment_join
+from wardstat.functions.sieve import Sieve, bits_for
+from wardstat.operators.intervals import _leaf, _tree, band_join, containment_join
+from wardstat.operators.intervals import interval_nodes, point_nodes
 
 BASE = dt.date(2010, 1, 1)
 
@@ -96,9 +99,86 @@ def test_hot_key_with_long_intervals_and_far_dates(spark):
     joined = containment_join(p, iv, ["k"], "d", "s", "e")
     got = sorted((r.pid, r.iid) for r in joined.select("pid", "iid").collect())
     assert got == sorted((i, j) for _, d, i in points for _, s, e, j in intervals if s <= d <= e)
-    # one explode, on the side of the intervals: no point is copied
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Generate explode") == 1
+
+
+def brute(points, intervals):
+    return sorted((i, j) for k, d, i in points for k2, s, e, j in intervals
+                  if k == k2 and s <= d <= e)
+
+
+def test_random_intervals_of_all_lengths(spark):
+    rnd = random.Random(23)
+    points, intervals = [], []
+    for case in range(12):
+        lengths = [0, 1, 27, 28, 112, 113, 140, 500, 3000, 40_000]
+        for j in range(25):
+            s = day(rnd.randint(-45_000, 20_000))
+            try:
+                e = s + dt.timedelta(days=rnd.choice(lengths) + rnd.randint(0, 3))
+            except OverflowError:
+                e = dt.date(9999, 12, 31)
+            intervals.append((case, s, e, len(intervals)))
+        points += [(case, day(rnd.randint(-46_000, 25_000)), len(points) + i) for i in range(40)]
+        ends = rnd.sample(intervals[-25:], 10)
+        points += [(case, x[1 + i % 2] + dt.timedelta(days=i % 3 - 1), len(points) + i)
+                   for i, x in enumerate(ends)]
+    points = [(k, d, i) for i, (k, d, _) in enumerate(points)]
+    p = spark.createDataFrame(points, "k int, d date, pid int")
+    iv = spark.createDataFrame(intervals, "k long, s date, e date, iid int")
+    for width in (1, 28, 365):
+        for bits in (64, 1 << 12):      # a sieve that lets all through, and one that does not
+            got = containment_join(p, iv, ["k"], "d", "s", "e", width, bits).select("pid", "iid")
+            assert sorted(map(tuple, got.collect())) == brute(points, intervals), (width, bits)
+
+
+def test_interval_copies_grow_with_the_logarithm(spark):
+    lengths = [1, 20, 100, 120, 400, 4000, 20_000, 54_000]
+    rows = [(n, day(-40_000 + 13 * k), day(-40_000 + 13 * k + n)) for n in lengths for k in range(50)]
+    iv = spark.createDataFrame(rows, "n int, s date, e date")
+    height = _tree(28)[1]
+    iv = iv.withColumns({"lo": _leaf(F.col("s"), 28), "hi": _leaf(F.col("e"), 28)})
+    nodes = interval_nodes("lo", "hi", height)
+    got = {r["n"]: r["most"] for r in iv.groupBy("n").agg(
+        F.max(F.size(nodes)).alias("most")).collect()}
+    for n in lengths:
+        assert got[n] <= max(5, 2 * math.log2(max(2, n / 28))), (n, got[n])
+    assert got[54_000] <= 22 < 54_000 // 28 == 1928
+    # no bucket twice: nodes of one interval are disjoint and hold as many buckets
+    for r in iv.select("n", "s", "e", nodes.alias("x")).collect():
+        held = []
+        for node in r["x"]:
+            level = height - (node.bit_length() - 1)
+            at = (node - (1 << (height - level))) << level
+            held += range(at, at + (1 << level))
+        assert len(held) == len(set(held)) and held
+        assert max(held) - min(held) + 1 == len(held)
+
+
+def test_points_are_copied_only_for_keys_with_long_intervals(spark):
+    iv = spark.createDataFrame([(1, day(0), day(9)), (2, day(0), day(9000))],
+                               "k long, s date, e date")
+    p = spark.createDataFrame([(1, day(3)), (3, day(3)), (2, day(3))], "k long, d date")
+    known = Sieve(iv.where("datediff(e, s) > 200").select("k"), 1 << 12)
+    placed = p.select("k", _leaf(F.col("d"), 28).alias("at"), known.may_hold(p, ["k"]).alias("all"))
+    copies = placed.select("k", F.size(point_nodes("at", "all", _tree(28)[1])).alias("n"))
+    assert {r["k"]: r["n"] for r in copies.collect()} == {1: 1, 3: 1, 2: 12}
+
+
+def test_sieve_holds_every_key(spark):
+    keys = spark.range(0, 3000).selectExpr("id * 17 as a", "cast(id % 5 as string) as b")
+    rows = spark.range(0, 100_000).selectExpr("cast(id as int) as a", "cast(id % 17 % 5 as string) as b")
+    sieve = Sieve(keys, bits_for(3000))
+    hit = rows.withColumn("hit", sieve.may_hold(rows, ["a", "b"]))
+    truth = rows.join(keys, ["a", "b"], "left_semi").withColumn("key", F.lit(True))
+    both = hit.join(truth, ["a", "b"], "left").groupBy("hit", "key").count().collect()
+    n = {(r["hit"], r["key"]): r["count"] for r in both}
+    assert (False, True) not in n and n[True, True] > 500
+    assert n.get((True, None), 0) < 0.1 * n[False, None]
+    none = Sieve(keys.where("false"), 64)
+    assert rows.where(none.may_hold(rows, ["a", "b"])).count() == 0
+    with_null = Sieve(spark.createDataFrame([(None, "1")], "a long, b string"), 64)
+    null = spark.createDataFrame([(None, "1")], "a int, b string")
+    assert null.where(with_null.may_hold(null, ["a", "b"])).count() == 1
 
 
 def test_band_join_random_parameters(spark):

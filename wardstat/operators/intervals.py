@@ -5,30 +5,38 @@ date range as a residual condition would compare every pair of rows of one
 entity, which is quadratic for an entity holding a large share of the data.
 Both joins here add a *day bucket* to the equality key instead:
 
-* ``containment_join`` — point ``p`` inside interval ``[s, e]``.  Each
-  interval is exploded over the buckets it covers, each point falls in one
-  bucket, so every matching pair meets exactly once and the pairs compared
-  per key are limited to one bucket.
+* ``containment_join`` — point ``p`` inside interval ``[s, e]``.  Days are
+  grouped into buckets, and buckets are the leaves of a binary tree.  An interval
+  of up to ``SHORT`` buckets is copied to each of them; a longer one to the
+  nodes of its dyadic decomposition, at most two a level, so O(log length) copies.
+  A point is in the nodes above its bucket; it is copied to them only if its key
+  may have a long interval (a ``Sieve`` of those keys), and else stays in its
+  bucket, one row.  Every matching pair meets exactly once.
 * ``band_join`` — ``left + lo <= right <= left + hi``.  The right side falls
   in one bucket of width ``hi - lo + 1`` (by default), the left side is
   exploded over the (at most two) buckets its band touches.
 
-Both are plain Spark plans: ``explode(sequence(...))``, an equi-join on
-``keys + bucket`` with the range as residual, no UDF.
+Both are plain Spark plans: ``explode``, an equi-join on ``keys + bucket`` with the
+range as residual, no UDF.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET = "_day_bucket"
+from wardstat.functions.sieve import Sieve
+
+BUCKET, LO, HI = "_day_bucket", "_first_bucket", "_last_bucket"
 # Days outside these share the first and the last bucket, so an interval with a
 # placeholder end (9999-12-31) covers a bounded number of buckets.  The range
 # itself is compared on the dates, so the result does not depend on them.
 FIRST_DAY, LAST_DAY = "1900-01-01", "2050-01-01"
+SHORT = 4               # buckets that an interval is copied to one by one
+SIEVE_BITS = 1 << 18    # of the keys with longer ones
 
 
 def _bucket(day: Column, width: int) -> Column:
@@ -43,29 +51,77 @@ def _bucket_range(lo_day: Column, hi_day: Column, width: int) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _tree(width: int) -> tuple[int, int]:
+    """(number of the first bucket, height of the tree over all buckets)."""
+    epoch = dt.date(1970, 1, 1)
+    first, last = ((dt.date.fromisoformat(d) - epoch).days // width for d in (FIRST_DAY, LAST_DAY))
+    return first, (last - first).bit_length()
+
+
+def _leaf(day: Column, width: int) -> Column:
+    return _bucket(_clamped(day), width) - _tree(width)[0]
+
+
+def _node(leaf: str, level: int, height: int) -> str:
+    """The node above (or at) a leaf: nodes of a level are numbered from its power of two."""
+    return f"shiftright({leaf}, {level}) + {1 << (height - level)}L"
+
+
+def interval_nodes(lo: str, hi: str, height: int) -> Column:
+    """The nodes that together hold the leaves ``lo`` .. ``hi`` (columns), no leaf twice."""
+    dyadic = []
+    for level in range(height + 1):
+        # the nodes of the level that lie inside are left .. right - 1; one with an odd
+        # number at the left end, or before an odd right end, has its parent sticking out
+        left = f"shiftright({lo} + {(1 << level) - 1}L, {level})"
+        right = f"shiftright({hi} + 1L, {level})"
+        first = f"{1 << (height - level)}L"
+        dyadic += [f"CASE WHEN {left} < {right} AND {left} % 2 = 1 THEN {first} + {left} END",
+                   f"CASE WHEN {left} < {right} AND {right} % 2 = 1 THEN {first} + {right} - 1L END"]
+    leaves = [f"CASE WHEN {lo} + {k}L <= {hi} THEN {_node(f'{lo} + {k}L', 0, height)} END"
+              for k in range(SHORT)]
+    return F.expr(f"array_compact(CASE WHEN {hi} - {lo} < {SHORT} THEN array({', '.join(leaves)}) "
+                  f"ELSE array({', '.join(dyadic)}) END)")
+
+
+def point_nodes(leaf: str, every_level: str, height: int) -> Column:
+    """The node of a leaf, and where ``every_level`` holds all nodes above it."""
+    nodes = [_node(leaf, k, height) for k in range(height + 1)]
+    return F.expr(f"CASE WHEN {every_level} THEN array({', '.join(nodes)}) "
+                  f"ELSE array({nodes[0]}) END")
+
+
 def _clamped(day: Column) -> Column:
     return F.greatest(F.least(day, F.lit(LAST_DAY).cast("date")), F.lit(FIRST_DAY).cast("date"))
 
 
 def containment_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
                      point_col: str, start_col: str, end_col: str,
-                     bucket_days: int = 28) -> DataFrame:
+                     bucket_days: int = 28, sieve_bits: int = SIEVE_BITS) -> DataFrame:
     """Inner join of points and intervals sharing ``keys`` with
     ``start <= point <= end`` (both ends inclusive).
 
     Columns other than ``keys`` must not collide between the two sides.
     Null dates and intervals with ``start > end`` match nothing.
 
-    Each point is in one bucket and is not copied.  An interval is copied to the
-    buckets it covers: about 1 + length / ``bucket_days``, and at most the
-    buckets between FIRST_DAY and LAST_DAY however far away its end is.
+    An interval has at most ``SHORT`` copies, or about 2 log2(length / ``bucket_days``) if it is
+    longer, at most twice the height of the tree (11 for the default) however far away
+    its end is.  A point of a key without long intervals is one row; of others it is
+    copied to each level.  ``sieve_bits`` bounds what is known of those keys: with many
+    more of them than bits, points of other keys are copied in vain, the result is the same.
     """
     keys = list(keys)
     start, end, point = F.col(start_col), F.col(end_col), F.col(point_col)
     valid = intervals.where(start.isNotNull() & end.isNotNull() & (start <= end))
-    iv = valid.withColumn(BUCKET, F.explode(
-        _bucket_range(_clamped(start), _clamped(end), bucket_days)))
-    pt = points.where(point.isNotNull()).withColumn(BUCKET, _bucket(_clamped(point), bucket_days))
+    height = _tree(bucket_days)[1]
+    # columns of their own: the nodes refer to them many times
+    placed = valid.withColumns({LO: _leaf(start, bucket_days), HI: _leaf(end, bucket_days)})
+    iv = placed.withColumn(BUCKET, F.explode(interval_nodes(LO, HI, height))).drop(LO, HI)
+    known = placed.where(f"{HI} - {LO} >= {SHORT}").select(*[F.col(f"`{k}`") for k in keys])
+    every_level = Sieve(known, sieve_bits, hashes=1).may_hold(points, keys)
+    pt = (points.where(point.isNotNull()).withColumns({LO: _leaf(point, bucket_days),
+                                                       HI: every_level})
+          .withColumn(BUCKET, F.explode(point_nodes(LO, HI, height))).drop(LO, HI))
     return pt.join(iv, keys + [BUCKET]).where((point >= start) & (point <= end)).drop(BUCKET)
 
 

@@ -346,6 +346,14 @@ ORACLE_SQL |= {
   WHEN 3 THEN 'say "a' || chr(92) || 'b", 100%' WHEN 4 THEN 'x,' || PERSON_ID
   END AS PERSON_SOURCE_VALUE FROM o_person""",
     "csv_header_drift": _with() + _VISIT + "o_visit",
+    "events_in_long_periods": _with() + """
+SELECT p.PERSON_ID, PROVIDERS, FROM_DATE, TO_DATE, count(*) AS EVENTS
+FROM (SELECT PERSON_ID, coalesce(PROVIDER_ID % 3, 3) AS PROVIDERS,
+             min(VISIT_START_DATE) AS FROM_DATE, max(VISIT_END_DATE) AS TO_DATE
+      FROM o_visit GROUP BY 1, 2) p
+JOIN o_condition c ON c.PERSON_ID = p.PERSON_ID
+ AND CONDITION_START_DATE BETWEEN FROM_DATE AND TO_DATE
+GROUP BY ALL""",
     "csv_many_files": _with() + _VISIT + "o_visit",
     "csv_malformed_drop": _with() + _VISIT + "o_visit WHERE VISIT_OCCURRENCE_ID % 13 <> 0 "
     "AND VISIT_OCCURRENCE_ID % 11 <> 3",

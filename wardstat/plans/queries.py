@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardstat.operators import codes as C
 from wardstat.operators import cohort as K
 from wardstat.operators.events import coded_events, filter_by_codes, inpatient_stays
+from wardstat.operators.intervals import containment_join
 from wardstat.operators.readmission import provider_event_count
 from wardstat.plans import params as P
 from wardstat.plans.file_queries import FILE_QUERIES
@@ -201,6 +203,21 @@ def inpatient_stays_procedure(spark, sf_dir):
     return _stays_of(spark, sf_dir, "procedure")
 
 
+def events_in_long_periods(spark, sf_dir):
+    """Conditions inside the periods, years long, from a person's first visit to a
+    group of providers to the last, counted by period."""
+    ds = _ds(spark, sf_dir)
+    group = F.coalesce(F.col("PROVIDER_ID") % 3, F.lit(3).cast("bigint"))
+    periods = ds["visit_occurrence"].groupBy("PERSON_ID", group.alias("PROVIDERS")).agg(
+        F.min("VISIT_START_DATE").alias("FROM_DATE"), F.max("VISIT_END_DATE").alias("TO_DATE"))
+    events = ds["condition_occurrence"].select(
+        "PERSON_ID", F.col("CONDITION_START_DATE").alias("EVENT_DATE"))
+    return (containment_join(events, periods, ["PERSON_ID"], "EVENT_DATE", "FROM_DATE", "TO_DATE",
+                             P.READMISSION.visit_bucket_days)
+            .groupBy("PERSON_ID", "PROVIDERS", "FROM_DATE", "TO_DATE")
+            .agg(F.count(F.lit(1)).alias("EVENTS")))
+
+
 def index_stays(spark, sf_dir):
     return _analysis(spark, sf_dir, P.READMISSION).index_stays
 
@@ -270,6 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "code_report_lines": code_report_lines,
     "inpatient_stays_condition": inpatient_stays_condition,
     "inpatient_stays_procedure": inpatient_stays_procedure,
+    "events_in_long_periods": events_in_long_periods,
     "index_stays": index_stays,
     "complication_stays": complication_stays,
     "readmissions": readmissions,
