@@ -95,3 +95,20 @@ def test_readmission_spec_validation():
         ReadmissionSpec(visit_bucket_days=0)
     s = ReadmissionSpec(readmission_days="14", primary_condition_types="1,2")
     assert s.readmission_days == 14 and s.primary_condition_types == (1, 2)
+
+
+def test_repeated_persons_are_one_row(spark):
+    person = spark.createDataFrame(
+        [(1, 1950, "Male"), (1, 1950, None), (1, 1949, "Male"), (2, None, "Female"), (2, 1900, None),
+         (3, 1960, "Male"), (3, 1960, "Male"), (None, 1, "x")],
+        "PERSON_ID long, YEAR_OF_BIRTH int, GENDER_SOURCE_VALUE string")
+    want = [(1, 1949, "Male"), (2, None, "Female"), (3, 1960, "Male")]
+    for parts in (1, 5):
+        got = K.one_per_person(person.repartition(parts))
+        assert got.schema.names == person.schema.names
+        assert sorted(tuple(r) for r in got.where("PERSON_ID IS NOT NULL").collect()) == want
+        assert got.count() == 4
+    visits = spark.createDataFrame([(1,), (1,), (2,), (4,)], "PERSON_ID long")
+    assert sorted(tuple(r) for r in K.with_visit(person, visits).collect()) == want[:2]
+    ids = K.one_per_person(person.select("PERSON_ID"))
+    assert ids.count() == 4

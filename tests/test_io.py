@@ -13,6 +13,7 @@ from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report
                                   write_single_csv, write_tables)
 from wardstat.sources.codes import read_code_descriptions, read_code_dictionary
 from wardstat.sources.headers import csv_layouts, header_lines
+from wardstat.sources.lines import ordered_lines
 from wardstat.sources.tables import (combine_yearly, load_directory, malformed_counts,
                                      malformed_rows, read_omop_csv, read_yearly_csv,
                                      read_yearly_folder, table_name)
@@ -145,6 +146,34 @@ def test_code_descriptions_file(spark, tmp_dir):
     assert got == {"0389": " Septicemia NOS", "7140": "Second wins", "BARE": ""}
 
 
+def test_lines_are_in_the_order_of_files_and_places(spark, tmp_dir):
+    # the later file is the larger one, and is read first
+    write(os.path.join(tmp_dir, "a.txt"), "K = 1\nA = 1\n")
+    write(os.path.join(tmp_dir, "b.txt"), "".join(f"Z{k} = {k}\n" for k in range(2000))
+          + "K = 2,3\n")
+    write(os.path.join(tmp_dir, "c.txt"), "")
+    small = spark.newSession()
+    for size in ("1k", "100m"):      # many pieces of a file, and one
+        small.conf.set("spark.sql.files.maxPartitionBytes", size)
+        small.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = [(r.line_no, r.value) for r in
+               ordered_lines(small, tmp_dir).orderBy("line_no").collect()]
+        want = [line for name in "abc" for line in
+                open(os.path.join(tmp_dir, f"{name}.txt")).read().splitlines()]
+        assert got == list(enumerate(want))
+        d = read_code_dictionary(small, tmp_dir)
+        rows = {(r.procedure, r.code): r.proc_ord for r in d.df.collect()}
+        assert ("K", "1") not in rows and rows["K", "2"] == rows["K", "3"] == 0
+        assert rows["A", "1"] == 1 and rows["Z0", "0"] == 2
+    folder = os.path.join(tmp_dir, "texts")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a"), "K first\n")
+    write(os.path.join(folder, "b"), "K second\n" + "X x\n" * 500 + "K last\n")
+    write(os.path.join(folder, "c"), "Y y\n")
+    got = {r.code: r.description for r in read_code_descriptions(small, folder).collect()}
+    assert got == {"K": "last", "X": "x", "Y": "y"}
+
+
 def test_report_text_file(spark, tmp_dir):
     from wardstat.sources.codes import dictionary_from_mapping
     cond = spark.createDataFrame([(1, dt.date(2009, 1, 1), 1, "0100")],
@@ -322,3 +351,56 @@ def test_one_file_per_key_in_order(spark, tmp_dir):
         if n == 51:
             counts = [tuple(map(int, x.split(",")))[::-1] for x in lines[1:]]
             assert counts == sorted(counts)
+
+
+def read_parts(folder):
+    return [open(os.path.join(folder, f)).read().splitlines() for f in sorted(os.listdir(folder))
+            if f.startswith("part-")]
+
+
+def test_hot_key_is_several_ordered_files(spark, tmp_dir):
+    n = 4000
+    card = spark.range(n).selectExpr("if(id % 10 = 0, concat('k', id % 30), 'hot') as procedure",
+                                     "id as PROVIDER_ID", "id * 7919 % 4001 as PROCEDURE_COUNT")
+    out = os.path.join(tmp_dir, "card")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(conf, "false")       # as if every range were a full partition
+        write_partitioned_csv(card, out, "procedure", order=["PROCEDURE_COUNT", "PROVIDER_ID"],
+                              keys=spark.createDataFrame([("hot",), ("none",), ("none",)],
+                                                         "procedure string"))
+    finally:
+        spark.conf.unset(conf)
+    assert sorted(os.listdir(out))[-5:] == ["procedure=hot", "procedure=k0", "procedure=k10",
+                                           "procedure=k20", "procedure=none"]
+    parts = read_parts(f"{out}/procedure=hot")
+    assert len(parts) > 1 and all(p[0] == "PROVIDER_ID,PROCEDURE_COUNT" for p in parts)
+    rows = [tuple(map(int, x.split(",")))[::-1] for p in parts for x in p[1:]]
+    assert rows == sorted(rows) and len(rows) == 3600
+    assert read_parts(f"{out}/procedure=none") == [["PROVIDER_ID,PROCEDURE_COUNT"]]
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == n
+
+
+def test_large_report_is_ordered_part_files(spark, tmp_dir):
+    from wardstat.sources.codes import dictionary_from_mapping
+    lists = {f"P{k}": [f"c{i}" for i in range(k % 40)] for k in range(60)}
+    cond = spark.range(500).selectExpr("id as PERSON_ID", "date'2009-01-01' as CONDITION_START_DATE",
+                                       "1 as CONDITION_TYPE_CONCEPT_ID",
+                                       "concat('c', id % 50) as CONDITION_SOURCE_VALUE")
+    proc = cond.limit(0).selectExpr("PERSON_ID", "CONDITION_START_DATE as PROCEDURE_DATE",
+                                    "CONDITION_TYPE_CONCEPT_ID as PROCEDURE_TYPE_CONCEPT_ID",
+                                    "CONDITION_SOURCE_VALUE as PROCEDURE_SOURCE_VALUE")
+    lines = C.render_report(C.code_report(dictionary_from_mapping(spark, lists), cond, proc))
+    want = [r.line for r in lines.orderBy(lines.proc_ord.asc_nulls_last(), "seq", "ord").collect()]
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    for many in (False, True):
+        out = os.path.join(tmp_dir, f"report{many}")
+        try:
+            spark.conf.set(conf, str(not many))
+            write_report_text(lines, out)
+        finally:
+            spark.conf.unset(conf)
+        parts = read_parts(out)
+        assert (len(parts) > 1) == many and [x for p in parts for x in p] == want
+        assert [r.value for r in ordered_lines(spark, out).orderBy("line_no").collect()] == want

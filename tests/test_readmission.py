@@ -218,3 +218,21 @@ def test_code_frequency_null_codes_stay_apart(spark):
                  for r in C.code_frequency(ds["condition_occurrence"],
                                            ds["procedure_occurrence"]).collect())
     assert got == [("", 0, 1, 1), ("", 2, 0, 2), ("0100", 1, 1, 2)]
+
+
+def test_large_dictionaries_sieve_the_events(spark):
+    """Few events reach the shuffle join, and the rows are those of the broadcast join."""
+    from wardstat.operators.events import coded_events
+    from wardstat.sources.codes import CodeDictionary, dictionary_from_mapping, narrowed
+    small = dictionary_from_mapping(spark, {"A": ["c7", "c70", "c700"], "B": ["c7"]})
+    large = CodeDictionary(small.df, small.n_entries, max_broadcast=0)
+    events = spark.range(20_000).selectExpr(
+        "id as PERSON_ID", "date'2009-01-01' as CONDITION_START_DATE",
+        "1L as CONDITION_TYPE_CONCEPT_ID", "concat('c', id % 4000) as CONDITION_SOURCE_VALUE")
+    some = narrowed(events, "CONDITION_SOURCE_VALUE", [large])
+    assert 15 <= some.count() < 400
+    assert narrowed(events, "CONDITION_SOURCE_VALUE", [small]) is events
+    a, b = (sorted(map(tuple, coded_events(events, "condition", d).collect())) for d in (small, large))
+    assert a == b and len(a) == 20
+    plan = coded_events(events, "condition", large)._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan and "scalar-subquery" in plan

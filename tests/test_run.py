@@ -110,6 +110,30 @@ def test_parquet_tables_that_cannot_lose_rows_are_not_copied(spark, tmp_dir):
         assert counts == {} and staged["person"] is ds["person"] and work._folder is None
 
 
+def test_outputs_do_not_depend_on_the_size_of_the_dictionary(spark, tmp_dir):
+    """A procedure without stays has its file, broadcast dictionary or not."""
+    ds = load_directory(spark, micro.write_fixture(tmp_dir))
+    spec = ReadmissionSpec(30, micro.DEV_CONDITION_TYPES, micro.DEV_PROCEDURE_TYPES)
+    found = []
+    for limit in (None, 0):
+        lists = [dictionary_from_mapping(spark, x) for x in (micro.DIAGNOSIS, micro.COMPLICATIONS)]
+        if limit == 0:      # distributed: no rows on the driver
+            lists = [dataclasses.replace(x, rows=None, max_broadcast=0) for x in lists]
+        out = os.path.join(tmp_dir, f"out{limit}")
+        run(ds, *lists, out, spec=spec)
+        files = {}
+        for folder, _, names in os.walk(out):
+            parts = [os.path.join(folder, n) for n in sorted(names) if n.startswith("part-")]
+            if parts:
+                files[os.path.relpath(folder, out)] = [
+                    line for p in parts for line in open(p).read().splitlines()]
+        found.append(files)
+    assert found[0] == found[1]
+    assert len(found[0]["scorecard/procedure=81.07"]) == 1
+    assert len(found[0]["scorecard/procedure=81.54"]) == 3
+    assert_nothing_left(spark)
+
+
 def test_materialize_modes_agree(spark, tmp_dir):
     ds = load_directory(spark, micro.write_fixture(tmp_dir))
     diag = dictionary_from_mapping(spark, micro.DIAGNOSIS)

@@ -12,8 +12,9 @@
 * ``render_report``        — the text layout of a report as ordered lines.
 
 Reports only need the codes of the dictionary, so events are narrowed to
-those codes by a broadcast semi join *before* counting; the counted side
-is then bounded by the dictionary size.
+those codes *before* counting, by a broadcast semi join or, for a dictionary too
+large to broadcast, a Bloom filter in the scan and a shuffle semi join; the
+counted side is then bounded by the dictionary size.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.operators.events import event_view, filter_by_codes
-from wardstat.sources.codes import CodeDictionary, codes_of
+from wardstat.sources.codes import CodeDictionary, codes_of, narrowed
 
 TYPE_COLUMN = {"condition": "CONDITION_TYPE_CONCEPT_ID", "procedure": "PROCEDURE_TYPE_CONCEPT_ID"}
 
@@ -60,6 +61,7 @@ def code_frequency(conditions: DataFrame, procedures: DataFrame,
         if types is not None:
             ev = filter_by_codes(ev, "TYPE_CONCEPT_ID", types)
         if only_codes is not None:
+            ev = narrowed(ev, "SOURCE_VALUE", [only_codes])
             ev = ev.join(only_codes.codes().withColumnRenamed("code", "SOURCE_VALUE"),
                          "SOURCE_VALUE", "left_semi")
         parts.append(ev.select("SOURCE_VALUE", F.lit(tag).alias("_t")))
@@ -127,8 +129,8 @@ def code_counts(conditions: DataFrame, procedures: DataFrame,
     parts = []
     for kind, df, types in (("condition", conditions, condition_types),
                             ("procedure", procedures, procedure_types)):
-        ev = event_view(df, kind).join(codes.withColumnRenamed("code", "SOURCE_VALUE"),
-                                       "SOURCE_VALUE", "left_semi")
+        ev = narrowed(event_view(df, kind), "SOURCE_VALUE", dictionaries).join(
+            codes.withColumnRenamed("code", "SOURCE_VALUE"), "SOURCE_VALUE", "left_semi")
         parts.append(ev.select(F.col("SOURCE_VALUE").alias("code"),
                                F.col("TYPE_CONCEPT_ID").isin(list(types)).alias("_primary")))
     return parts[0].unionByName(parts[1]).groupBy("code").agg(

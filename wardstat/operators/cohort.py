@@ -4,7 +4,8 @@ Every filter is a lazy DataFrame -> DataFrame function; ``build_cohort``
 applies all requested filters together (they are ANDed) and returns a new
 dataset.  Person-level existence tests are semi/anti joins on PERSON_ID
 against a de-duplicated id set (partial aggregation shrinks it before the
-shuffle, and the semi join never multiplies person rows).
+shuffle, and the semi join never multiplies person rows).  The two that ask for
+events also reduce repeated persons to one row, in the same partitioning.
 """
 
 from __future__ import annotations
@@ -76,20 +77,32 @@ def _person_ids(df: DataFrame) -> DataFrame:
     return df.select("PERSON_ID").distinct()
 
 
+def one_per_person(person: DataFrame) -> DataFrame:
+    """One row per PERSON_ID: of a repeated person the row that is least by the other
+    columns in their order (nulls first), the same in every run.  A null id is a
+    person too."""
+    rest = [c for c in person.columns if c != "PERSON_ID"]
+    if not rest:
+        return person.distinct()
+    least = person.groupBy("PERSON_ID").agg(F.min(F.struct(*rest)).alias("_row"))
+    return least.select(*[F.col(c) if c == "PERSON_ID" else F.col(f"_row.`{c}`")
+                          for c in person.columns])
+
+
 def with_visit(person: DataFrame, visits: DataFrame) -> DataFrame:
-    """Persons with at least one visit."""
-    return person.join(_person_ids(visits), "PERSON_ID", "left_semi")
+    """Persons with at least one visit, one row each."""
+    return one_per_person(person.join(_person_ids(visits), "PERSON_ID", "left_semi"))
 
 
 def inpatient_only(person: DataFrame, conditions: DataFrame, procedures: DataFrame,
                    condition_types: Sequence[int], procedure_types: Sequence[int]) -> DataFrame:
-    """Persons with a primary-type condition or a primary-type procedure."""
+    """Persons with a primary-type condition or a primary-type procedure, one row each."""
     ids = (conditions.where(F.col("CONDITION_TYPE_CONCEPT_ID").isin(list(condition_types)))
            .select("PERSON_ID")
            .unionByName(procedures.where(F.col("PROCEDURE_TYPE_CONCEPT_ID")
                                          .isin(list(procedure_types))).select("PERSON_ID"))
            .distinct())
-    return person.join(ids, "PERSON_ID", "left_semi")
+    return one_per_person(person.join(ids, "PERSON_ID", "left_semi"))
 
 
 def exclude_dead(person: DataFrame, death: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.operators.intervals import containment_join
-from wardstat.sources.codes import CodeDictionary
+from wardstat.sources.codes import CodeDictionary, narrowed
 from wardstat.workspace import Workspace
 
 # kind -> (event date, type concept, source value) columns
@@ -58,6 +58,7 @@ def coded_events(events: DataFrame, kind: str, dictionary: CodeDictionary,
     ev = event_view(events, kind)
     if type_concepts is not None:
         ev = filter_by_codes(ev, "TYPE_CONCEPT_ID", type_concepts)
+    ev = narrowed(ev, "SOURCE_VALUE", [dictionary])
     pairs = dictionary.pairs().withColumnRenamed("code", "SOURCE_VALUE")
     return ev.join(pairs, "SOURCE_VALUE").select(
         "procedure", "PERSON_ID", "EVENT_DATE", "SOURCE_VALUE")
@@ -129,16 +130,17 @@ def index_and_complication_stays(
     and cuts the lineage, so a lost executor costs only a re-read.  The
     workspace owns them; without one the plan stays lazy and nothing is kept.
     """
-    def coded(df, kind, types, pairs):
+    def coded(df, kind, types, pairs, *lists):
         ev = filter_by_codes(event_view(df, kind), "TYPE_CONCEPT_ID", types)
+        ev = narrowed(ev, "SOURCE_VALUE", lists)
         return ev.join(pairs.withColumnRenamed("code", "SOURCE_VALUE"), "SOURCE_VALUE").select(
             "procedure", "branch", "PERSON_ID", "EVENT_DATE", "SOURCE_VALUE")
 
     # Conditions are read once for both lists: each event is routed to every
     # (procedure, list) it belongs to by one broadcast join.
     cond = coded(conditions, "condition", condition_types,
-                 diagnosis.tagged_pairs("C", complications, "X"))
-    proc = coded(procedures, "procedure", procedure_types, diagnosis.tagged_pairs("P"))
+                 diagnosis.tagged_pairs("C", complications, "X"), diagnosis, complications)
+    proc = coded(procedures, "procedure", procedure_types, diagnosis.tagged_pairs("P"), diagnosis)
     points = cond.unionByName(proc).distinct()
     if persons is not None:
         # Restricting to a cohort after the code filter shuffles only the

@@ -21,6 +21,7 @@ from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report
                                   write_single_csv, write_tables)
 from wardstat.sources.adapter import load_driver_dataset
 from wardstat.sources.codes import read_code_descriptions, read_code_dictionary
+from wardstat.sources.lines import ordered_lines
 from wardstat.sources.tables import load_directory, read_omop_csv, read_yearly_folder
 
 VISIT_COLS = ["VISIT_OCCURRENCE_ID", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE",
@@ -142,6 +143,37 @@ def code_descriptions_file(spark, sf_dir) -> DataFrame:
     return read_code_descriptions(spark, folder)
 
 
+def code_dictionary_override(spark, sf_dir) -> DataFrame:
+    """Two dictionary files; the second, larger one has the last line of each key that it
+    repeats, but a key keeps its first place, here the number of its first line."""
+    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    folder = _folder(spark, "override")
+
+    def lines(key, codes, name):
+        listed = part.select(key.alias("k"), codes.alias("code")).groupBy("k").agg(
+            F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+        (listed.repartition(1).sortWithinPartitions("k")
+         .select(F.concat_ws(" = ", "k", "codes").alias("value"))
+         .write.text(f"{folder}/{name}"))
+
+    brand, kind = F.col("p_brand"), F.col("p_type")
+    lines(F.concat(F.lit("brand "), brand), kind, "a")
+    lines(F.explode(F.array(F.concat(F.lit("brand "), brand), F.concat(F.lit("type "), kind))),
+          F.col("p_partkey").cast("string"), "b")
+    return read_code_dictionary(spark, f"{folder}/*").df
+
+
+def code_descriptions_override(spark, sf_dir) -> DataFrame:
+    """Descriptions of brands in two files: the last line of the last file wins."""
+    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    folder = _folder(spark, "texts")
+    line = F.concat_ws(" ", "p_brand", "p_name").alias("value")
+    part.repartition(1).sortWithinPartitions(F.desc("p_partkey")).select(line).write.text(
+        f"{folder}/a")
+    part.repartition(1).sortWithinPartitions("p_partkey").select(line).write.text(f"{folder}/b")
+    return read_code_descriptions(spark, f"{folder}/*")
+
+
 def single_csv(spark, sf_dir) -> DataFrame:
     """Type counts as a single CSV file."""
     ds = load_driver_dataset(spark, sf_dir)
@@ -174,9 +206,8 @@ def report_text_file(spark, sf_dir) -> DataFrame:
     from wardstat.plans.queries import code_report_lines
     folder = _folder(spark, "report")
     write_report_text(code_report_lines(spark, sf_dir), folder)
-    text = spark.read.text(folder, wholetext=True)
-    return text.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n"))
-                       .alias("line_no", "line"))
+    return ordered_lines(spark, folder).select(F.col("line_no").cast("int").alias("line_no"),
+                                               F.col("value").alias("line"))
 
 
 def _event_dates(table: str, start: str, end: str, key: str):
@@ -207,6 +238,8 @@ FILE_QUERIES = {
     "csv_malformed_drop": csv_malformed_drop,
     "code_dictionary_file": code_dictionary_file,
     "code_descriptions_file": code_descriptions_file,
+    "code_dictionary_override": code_dictionary_override,
+    "code_descriptions_override": code_descriptions_override,
     "single_csv": single_csv,
     "cohort_size": cohort_size,
     "scorecard_files": scorecard_files,

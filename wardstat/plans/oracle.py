@@ -362,6 +362,32 @@ GROUP BY ALL""",
     "AS ord, CAST(p_partkey AS VARCHAR) AS code FROM part",
     "code_descriptions_file": "SELECT CAST(p_partkey AS VARCHAR) AS code, "
     "rtrim(p_name) AS description FROM part",
+    "code_report_sieved": ORACLE_SQL["code_report_all"],
+    "cohort_repeated_persons": _with() + """
+, rows AS (
+  SELECT PERSON_ID, YEAR_OF_BIRTH, GENDER_SOURCE_VALUE, CARE_SITE_ID FROM o_person UNION ALL
+  SELECT PERSON_ID, YEAR_OF_BIRTH + PERSON_ID % 3 - 1, GENDER_SOURCE_VALUE, NULL FROM o_person)
+SELECT PERSON_ID, YEAR_OF_BIRTH, GENDER_SOURCE_VALUE, CARE_SITE_ID FROM rows
+WHERE PERSON_ID IN (SELECT PERSON_ID FROM o_condition WHERE CONDITION_TYPE_CONCEPT_ID IN (""" + CT + """)
+                    UNION SELECT PERSON_ID FROM o_procedure
+                    WHERE PROCEDURE_TYPE_CONCEPT_ID IN (""" + PT + """))
+QUALIFY row_number() OVER (PARTITION BY PERSON_ID ORDER BY YEAR_OF_BIRTH NULLS FIRST,
+                           GENDER_SOURCE_VALUE NULLS FIRST, CARE_SITE_ID NULLS FIRST) = 1""",
+    "code_dictionary_override": """
+WITH a AS (SELECT DISTINCT 'brand ' || p_brand AS k, p_type AS code FROM part),
+b AS (SELECT 'brand ' || p_brand AS k, p_partkey::VARCHAR AS code FROM part UNION
+      SELECT 'type ' || p_type, p_partkey::VARCHAR FROM part),
+n AS (SELECT count(DISTINCT k) AS n FROM a),
+ord AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS proc_ord FROM (SELECT DISTINCT k FROM a)
+        UNION ALL
+        SELECT k, proc_ord FROM (SELECT k, n + row_number() OVER (ORDER BY k) - 1 AS proc_ord
+                                 FROM (SELECT DISTINCT k FROM b), n)
+        WHERE k NOT IN (SELECT k FROM a))
+SELECT k AS procedure, proc_ord::BIGINT AS proc_ord,
+       CAST(row_number() OVER (PARTITION BY k ORDER BY code) - 1 AS INTEGER) AS ord, code
+FROM b JOIN ord USING (k)""",
+    "code_descriptions_override": "SELECT p_brand AS code, rtrim(arg_max(p_name, p_partkey)) "
+    "AS description FROM part GROUP BY 1",
     "single_csv": ORACLE_SQL["condition_type_count"],
     "cohort_size": _with(*FULL_COHORT_CTES) + "SELECT count(*) AS persons FROM f_person",
     "scorecard_files": ORACLE_SQL["provider_scorecard"],

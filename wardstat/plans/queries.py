@@ -21,7 +21,7 @@ from wardstat.plans import params as P
 from wardstat.plans.file_queries import FILE_QUERIES
 from wardstat.plans.scorecard import readmission_analysis
 from wardstat.sources.adapter import load_code_descriptions, load_driver_dataset
-from wardstat.sources.codes import dictionary_from_mapping
+from wardstat.sources.codes import CodeDictionary, dictionary_from_mapping
 from wardstat.specs import CohortSpec
 
 PERSON_COLS = ["PERSON_ID", "YEAR_OF_BIRTH", "GENDER_SOURCE_VALUE", "CARE_SITE_ID"]
@@ -114,6 +114,18 @@ def cohort_exclude_alive(spark, sf_dir):
     return K.exclude_alive(ds["person"], ds["death"]).select(PERSON_COLS)
 
 
+def cohort_repeated_persons(spark, sf_dir):
+    """Persons of whom a second row says another birth year and no care site: inpatients,
+    one row each."""
+    ds = _ds(spark, sf_dir)
+    person = ds["person"].select(PERSON_COLS)
+    again = person.withColumns({"YEAR_OF_BIRTH": F.col("YEAR_OF_BIRTH") + F.col("PERSON_ID") % 3 - 1,
+                                "CARE_SITE_ID": F.lit(None).cast(person.schema["CARE_SITE_ID"].dataType)})
+    return K.inpatient_only(person.unionByName(again), ds["condition_occurrence"],
+                            ds["procedure_occurrence"], P.READMISSION.primary_condition_types,
+                            P.READMISSION.primary_procedure_types).select(PERSON_COLS)
+
+
 def cohort_full(spark, sf_dir):
     return K.build_cohort(_ds(spark, sf_dir), P.FULL_COHORT)["person"].select(PERSON_COLS)
 
@@ -162,6 +174,16 @@ def code_report_all(spark, sf_dir):
     return _report(spark, sf_dir, "diagnosis", False)
 
 
+def code_report_sieved(spark, sf_dir):
+    """The report by the way of a dictionary too large to broadcast: events are sieved
+    by a Bloom filter of its codes, then joined by shuffles."""
+    ds = _ds(spark, sf_dir)
+    small = _dicts(spark)[0]
+    large = CodeDictionary(small.df, small.n_entries, max_broadcast=0)
+    return C.code_report(large, ds["condition_occurrence"], ds["procedure_occurrence"],
+                         _descriptions(spark, sf_dir))
+
+
 def code_report_primary(spark, sf_dir):
     return _report(spark, sf_dir, "diagnosis", True)
 
@@ -273,6 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_inpatient_only": cohort_inpatient_only,
     "cohort_exclude_dead": cohort_exclude_dead,
     "cohort_exclude_alive": cohort_exclude_alive,
+    "cohort_repeated_persons": cohort_repeated_persons,
     "cohort_full": cohort_full,
     "condition_type_count": condition_type_count,
     "procedure_type_count": procedure_type_count,
@@ -280,6 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "code_frequency": code_frequency,
     "code_frequency_primary": code_frequency_primary,
     "code_report_all": code_report_all,
+    "code_report_sieved": code_report_sieved,
     "code_report_primary": code_report_primary,
     "complication_code_report_all": complication_code_report_all,
     "complication_code_report_primary": complication_code_report_primary,

@@ -131,8 +131,8 @@ def _run(ds, diagnosis, complications, out, cohort_spec, spec, descriptions, mod
     # readmissions all read its rows.
     readm = work.persisted(res.readmissions)
     card = work.persisted(provider_scorecard(res.index_stays, readm, res.deaths))
-    names = diagnosis.restrict_to(complications).procedure_names()
-    write_partitioned_csv(card, f"{out}/scorecard", "procedure", mode=mode, keys=names or (),
+    analysed = diagnosis.restrict_to(complications).df.select("procedure")
+    write_partitioned_csv(card, f"{out}/scorecard", "procedure", mode=mode, keys=analysed,
                           order=[F.desc("PROCEDURE_COUNT"), "PROVIDER_ID"])
     write_csv(readm, f"{out}/readmissions", mode=mode)
 

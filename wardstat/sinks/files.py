@@ -7,7 +7,7 @@
                                frame); for small results such as counts.
 * ``write_partitioned_csv``  — one folder per value of a key column
                                (per-procedure scorecards).
-* ``write_report_text``      — report lines (``render_report``) as one text file.
+* ``write_report_text``      — report lines (``render_report``) as text files in order.
 
 Nothing is collected on the driver: even single-file outputs are written
 by one task after Spark has done the work.
@@ -80,28 +80,35 @@ def write_single_csv(df: DataFrame, path: str, codec: str | None = None,
 
 def write_partitioned_csv(df: DataFrame, path: str, key: str, codec: str | None = None,
                           mode: str = "errorifexists", date_format: str = "%Y%m%d",
-                          order: Sequence = (), keys: Sequence[str] = ()) -> None:
-    """``path/<key>=<value>/part-*.csv``, one file per value of ``key``, its rows
-    in the order of ``order``.  Values of ``keys`` without a row get a file with
-    the header only.  Read back with a schema in which the key is a string
-    (Spark would else guess its type from the folder names)."""
-    # the sort comes last: the writer keeps it only if it sees the key in front
-    by_key = (_as_text(df, key).repartition(F.col(f"`{key}`"))
-              .sortWithinPartitions(F.col(f"`{key}`"), *order))
-    _csv_writer(by_key, codec, mode, date_format).partitionBy(key).csv(path)
-    if keys:
-        # one row per key at most
-        have = {r[0] for r in df.select(F.col(f"`{key}`").cast("string")).distinct().collect()}
-        empty = df.drop(key).limit(0)
-        for k in keys:
-            if k not in have:
-                write_single_csv(empty, f"{path}/{key}={k}", codec, mode, date_format)
+                          order: Sequence = (), keys: DataFrame | Sequence[str] = ()) -> None:
+    """``path/<key>=<value>/part-*.csv``: the rows of each value of ``key`` in the order of
+    ``order``, in one file or, of a value with many rows, in several whose names follow
+    the order.  Values of ``keys`` (a list, or a frame with a column ``key``) without a row
+    get a file with the header only.  Read back with a schema in which the key is a
+    string (Spark would else guess its type from the folder names)."""
+    column = F.col(f"`{key}`")
+    # by ranges of the key and the order: a value with a large share of the rows is
+    # several tasks' work.  The sort comes last: the writer keeps it only if it sees
+    # the key in front
+    by_range = (_as_text(df, key).repartitionByRange(column, *order)
+                .sortWithinPartitions(column, *order))
+    _csv_writer(by_range, codec, mode, date_format).partitionBy(key).csv(path)
+    if not isinstance(keys, DataFrame):
+        if not keys:
+            return
+        keys = df.sparkSession.createDataFrame([(k,) for k in keys], f"`{key}` string")
+    without = keys.select(column.cast("string")).distinct().join(
+        df.select(column.cast("string")).distinct(), key, "left_anti")
+    header = ",".join(f.name for f in df.schema.fields if f.name != key)
+    (without.select(column, F.lit(header).alias("value")).write.mode("append")
+     .option("compression", _codec(codec)).partitionBy(key).text(path))
 
 
 def write_report_text(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write ``render_report`` output in its order as one text file.  The
-    report holds one line per dictionary entry, so a single writer is
-    bounded by the dictionary size."""
-    ordered = lines.repartition(1).sortWithinPartitions(
-        F.col("proc_ord").asc_nulls_last(), "seq", "ord")
+    """Write ``render_report`` output in its order as text: part files whose names
+    follow the order, so that they read as the report one after the other.  A report
+    of up to about a megabyte is one file; a larger one, of a large dictionary, is
+    sorted and written by ranges in several tasks."""
+    order = [F.col("proc_ord").asc_nulls_last(), "seq", "ord"]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("line").write.mode(mode).text(path)

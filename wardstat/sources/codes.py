@@ -8,7 +8,9 @@ position of the code inside its list.  Repeated codes in one list are kept
 
 Its row count is known when it is built, so joins broadcast it only when
 that count is under ``MAX_BROADCAST_ENTRIES`` and fall back to a shuffle
-join above it.
+join above it.  Then the events are sieved first (``narrowed``): a Bloom filter of the
+codes, of bounded size, drops nearly all other events in the scan, before they
+are shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardstat.functions.sieve import Sieve, bits_for
+from wardstat.sources.lines import ordered_lines
+
 MAX_BROADCAST_ENTRIES = 500_000
 
 _ARROW_TYPES = {"procedure": pa.string(), "proc_ord": pa.int64(), "ord": pa.int32(),
@@ -51,6 +56,7 @@ class CodeDictionary:
     df: DataFrame
     n_entries: int
     rows: tuple | None = None
+    max_broadcast: int | None = None    # entries; None: MAX_BROADCAST_ENTRIES
 
     @property
     def _spark(self) -> SparkSession:
@@ -58,7 +64,8 @@ class CodeDictionary:
 
     @property
     def is_small(self) -> bool:
-        return self.n_entries <= MAX_BROADCAST_ENTRIES
+        limit = MAX_BROADCAST_ENTRIES if self.max_broadcast is None else self.max_broadcast
+        return self.n_entries <= limit
 
     def _local(self, data, names) -> DataFrame:
         return F.broadcast(local_frame(self._spark, data, names))
@@ -111,7 +118,20 @@ class CodeDictionary:
         kept = self.df.join(F.broadcast(other.df.select("procedure"))
                             if other.is_small else other.df.select("procedure").distinct(),
                             "procedure", "left_semi")
-        return CodeDictionary(kept, self.n_entries)
+        return CodeDictionary(kept, self.n_entries, None, self.max_broadcast)
+
+
+def narrowed(events: DataFrame, column: str, dictionaries: Sequence[CodeDictionary]) -> DataFrame:
+    """``events`` without most rows whose code is in none of ``dictionaries``, where a
+    shuffle join follows; a dictionary that is broadcast needs none.  The join still
+    decides: the sieve lets some other codes through."""
+    if all(d.is_small for d in dictionaries):
+        return events
+    entries = sum(d.n_entries for d in dictionaries)
+    codes = dictionaries[0].df.select("code")
+    for d in dictionaries[1:]:
+        codes = codes.union(d.df.select("code"))
+    return events.where(Sieve(codes, bits_for(entries)).may_hold(events, [column]))
 
 
 def codes_of(dictionaries: Sequence[CodeDictionary]) -> DataFrame:
@@ -146,9 +166,10 @@ def read_code_dictionary(spark: SparkSession, path: str) -> CodeDictionary:
 
     Lines without ``=`` and lines starting with ``#`` are skipped.  The key
     and the value are stripped; the value is split on ``,`` as is.  When a
-    key repeats, its last line wins but it keeps its first position.
+    key repeats, its last line wins but it keeps its first position; of several
+    files the lines of the one that comes later by name are later.
     """
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    lines = ordered_lines(spark, path)
     kv = (lines.where(F.col("value").contains("=") & ~F.col("value").startswith("#"))
           .select(
               F.regexp_replace(F.substring_index("value", "=", 1), r"^\s+|\s+$", "")
@@ -156,9 +177,8 @@ def read_code_dictionary(spark: SparkSession, path: str) -> CodeDictionary:
               F.regexp_replace(F.expr("substr(value, instr(value, '=') + 1)"),
                                r"^\s+|\s+$", "").alias("codes"),
               "line_no"))
-    first_last = kv.groupBy("procedure").agg(
-        F.min("line_no").alias("proc_ord"), F.max("line_no").alias("line_no"))
-    df = (kv.join(first_last, ["procedure", "line_no"])
+    df = (kv.groupBy("procedure").agg(F.min("line_no").alias("proc_ord"),
+                                      F.max_by("codes", "line_no").alias("codes"))
           .select("procedure", "proc_ord",
                   F.posexplode(F.split("codes", ",")).alias("ord", "code"))
           .select("procedure", "proc_ord", F.col("ord").cast("int"), "code"))
@@ -176,9 +196,9 @@ def read_code_descriptions(spark: SparkSession, path: str) -> DataFrame:
 
     The description is everything after the first blank, right-stripped
     (a padded short code keeps its leading blank).  On a repeated code the
-    last line wins.
+    last line wins (of the last file by name).
     """
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    lines = ordered_lines(spark, path)
     has_blank = F.instr("value", " ") > 0
     parsed = lines.select(
         F.when(has_blank, F.substring_index("value", " ", 1)).otherwise(F.col("value"))
