@@ -1,7 +1,8 @@
 """The corpus pipeline: documents pass the stages in order.
 
 1. language_id: documents in which no language is found go (no text, no letter,
-   or hardly an n-gram of any learned language).
+   or hardly an n-gram of any learned language; where no row is labelled, only those
+   without a letter).
 2. line_dedup: later copies of repeated line runs are cut out of the texts;
    documents of which no word is left go.
 3. near_dedup: one document of each class of near duplicates stays.
@@ -38,10 +39,15 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = learn_profiles(docs)
-    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                         predicted(F.col("text"), profiles).alias("p"))
-    return scored.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= MIN_SCORE)
-                        ).select("row.*")
+    if not profiles.langs:      # nothing to tell languages by
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = "found"
+    while found in docs.columns:
+        found += "_"
+    # beside the columns: a row waits for its prediction with its text once
+    scored = docs.withColumn(found, predicted(F.col("text"), profiles))
+    return scored.where((F.col(f"{found}.lang_pred") != UNKNOWN)
+                        & (F.col(f"{found}.score") >= MIN_SCORE)).drop(found)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

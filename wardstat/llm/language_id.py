@@ -5,9 +5,9 @@ included) in order of frequency.  A document's own most frequent n-grams are
 compared with each profile by out-of-place distance: the sum of the
 differences in rank, with a fixed penalty for an n-gram the profile lacks.
 
-Profiles are learned from a bounded sample of the labelled rows, at most about
-``sample_docs`` per language in expectation (rows are chosen by a hash, all
-rows of languages with fewer); every text is predicted whole.
+Profiles are learned from a bounded sample of the labelled texts, at most about
+``sample_docs`` different ones per language in expectation (chosen by a hash, all
+of languages with fewer); every text is predicted whole.
 
 Null texts and texts without a letter get ``und`` with score 0.  Null labels
 are not learned.  Ties of frequency go to the smaller n-gram code, ties of
@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardstat.llm.common import cut
+
 PROFILE_GRAMS = 300
 SAMPLE_DOCS = 3000
 UNKNOWN = "und"
@@ -95,35 +97,37 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     """Profiles of the languages in ``labelled``.  The driver gets ``size`` rows
     per language."""
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"),
-                           F.col(f"`{lang_col}`").cast("string").alias("lang")).where(
+                           F.col(f"`{lang_col}`").cast("string").alias("lang"),
+                           F.xxhash64(F.col(f"`{text_col}`")).alias("place")).where(
         "lang is not null and text is not null")
     per_lang = {r["lang"]: r["n"] for r in
-                rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+                rows.groupBy("lang").agg(F.count_distinct("place").alias("n")).collect()}
     if not per_lang:
         return Profiles({}, size)
     share = F.create_map(*[F.lit(x) for lang, n in per_lang.items()
                            for x in (lang, min(1.0, sample_docs / n))])
-    # The place in 0..1 is by a hash of the text, but copies of a text are one
-    # sample, not many.
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = rows.where(place < share[F.col("lang")])
+    # Texts are drawn by their hash; copies of a text are one sample, not many.
+    drawn = F.pmod("place", F.lit(1 << 20)) / F.lit(1 << 20) < share[F.col("lang")]
+    sample = rows.where(drawn).dropDuplicates(["lang", "place"]).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                codes, counts = gram_counts(" ".join(texts))
-                yield pd.DataFrame({"lang": lang, "gram": codes.astype(np.int64), "n": counts})
-
-    grams = (sample.mapInPandas(count, "lang string, gram long, n long")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    # an aggregate per language keeps the most frequent ones without a sort of
-    # all of them in one task
+                # text by text: what is held are the counts, not the texts side by side
+                codes, counts = zip(*map(gram_counts, texts))
+                every, at = np.unique(np.concatenate(codes), return_inverse=True)
+                n = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
+                yield pd.DataFrame({"lang": lang, "gram": every.astype(np.int64), "n": n})
+
+    # written down: the corpus is scanned once, however many languages there are
+    grams = cut(sample.mapInPandas(count, "lang string, gram long, n long")
+                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # the limit reaches the tasks that read, so no task sorts a language's n-grams
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = grams.withColumn("place", place).where(F.col("place") <= size)
     ranked: dict[str, list[int]] = {}
-    for lang in sorted(per_lang):
-        best = (grams.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(size)
-                .collect())
-        if best:
-            ranked[lang] = [r["gram"] for r in best]
+    for r in sorted(best.select("lang", "place", "gram").collect()):
+        ranked.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(ranked, size)
 
 
