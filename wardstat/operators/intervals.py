@@ -36,7 +36,7 @@ BUCKET, LO, HI = "_day_bucket", "_first_bucket", "_last_bucket"
 # itself is compared on the dates, so the result does not depend on them.
 FIRST_DAY, LAST_DAY = "1900-01-01", "2050-01-01"
 SHORT = 4               # buckets that an interval is copied to one by one
-SIEVE_BITS = 1 << 18    # of the keys with longer ones
+SIEVE_BITS = 1 << 20    # of the keys with longer ones
 
 
 def _bucket(day: Column, width: int) -> Column:

@@ -7,8 +7,6 @@ Reading back needs the files, so these queries write when they are built;
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +14,13 @@ from wardstat.dataset import OmopDataset
 from wardstat.operators import codes as C
 from wardstat.operators import cohort as K
 from wardstat.plans import params as P
-from wardstat.session import ensure_checkpoint_dir
 from wardstat.sinks.files import (write_csv, write_partitioned_csv, write_report_text,
                                   write_single_csv, write_tables)
 from wardstat.sources.adapter import load_driver_dataset
 from wardstat.sources.codes import read_code_descriptions, read_code_dictionary
 from wardstat.sources.lines import ordered_lines
 from wardstat.sources.tables import load_directory, read_omop_csv, read_yearly_folder
+from wardstat.workspace import Workspace, scratch_folder
 
 VISIT_COLS = ["VISIT_OCCURRENCE_ID", "PERSON_ID", "VISIT_START_DATE", "VISIT_END_DATE",
               "PROVIDER_ID"]
@@ -39,7 +37,8 @@ EXTRACTED = {
 
 
 def _folder(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that goes when the driver ends; the rows are read after the query."""
+    return f"{scratch_folder(spark, name)}/data"
 
 
 def _extract(table: str):
@@ -193,9 +192,10 @@ def scorecard_files(spark, sf_dir) -> DataFrame:
     read back with the procedure as text."""
     from wardstat.plans.queries import provider_scorecard
     folder = _folder(spark, "scorecard")
-    card = provider_scorecard(spark, sf_dir)
-    write_partitioned_csv(card, folder, "procedure", keys=["A", "B", "none"],
-                          order=[F.desc("PROCEDURE_COUNT"), "PROVIDER_ID"])
+    with Workspace(spark) as work:      # ranges and keys are found before the write
+        card = work.written(provider_scorecard(spark, sf_dir), "card")
+        write_partitioned_csv(card, folder, "procedure", keys=["A", "B", "none"],
+                              order=[F.desc("PROCEDURE_COUNT"), "PROVIDER_ID"])
     columns = [f for f in card.schema.fields if f.name != "procedure"]
     layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
     return (spark.read.schema(f"{layout}, procedure STRING").option("header", True).csv(folder))
@@ -205,7 +205,8 @@ def report_text_file(spark, sf_dir) -> DataFrame:
     """The text report as a file, with its line numbers."""
     from wardstat.plans.queries import code_report_lines
     folder = _folder(spark, "report")
-    write_report_text(code_report_lines(spark, sf_dir), folder)
+    with Workspace(spark) as work:
+        write_report_text(work.written(code_report_lines(spark, sf_dir), "lines"), folder)
     return ordered_lines(spark, folder).select(F.col("line_no").cast("int").alias("line_no"),
                                                F.col("value").alias("line"))
 
