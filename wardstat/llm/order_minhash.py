@@ -12,14 +12,14 @@ best alignment is the longest increasing run of matched positions, among
 matches no farther from the diagonal than the lengths and the threshold
 allow.  Similarity is aligned / (n + m - aligned), and a link needs 0.8.
 
-Large groups.  Texts with the same words are one node.  Within the texts of
-a key the smallest node is compared with all others; those that match leave
-(unless the distances allow that they match one that did not), and the rest
-choose a new leader, as long as they are of several classes.  So a group of n near copies makes n - 1
-comparisons.  Texts that still share a key unmatched after ``ROUNDS`` rounds
-(they have a passage in common, not most of the text) are finished exactly:
-a pair of the needed similarity shares one of the rarest shingles of both
-(prefix filter), and rounds over those go on until no pair is left.
+Large groups.  Texts with the same words are one node.  First the smallest node of a
+key is compared with all others, so a group of n near copies takes n - 1 comparisons
+and becomes one class.  Of the keys under which there are several classes yet (a
+passage in common, or texts just below the threshold) the nodes meet in blocks: a
+task compares bitmaps of their shingles, with as many bits as four times their
+number, whose distance bounds the similarity from above, and passes on only pairs of
+two classes that can reach the threshold, each under the first key that they share.
+No pair that shares a key is left out, and none becomes a row that the bound excludes.
 
 Null texts and texts without a word are left alone: each is a class by itself.
 Rows may repeat and ids may be null; the smallest id of a class stays (a null
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.llm.common import cut, text_of
@@ -45,8 +45,7 @@ from wardstat.llm.shingles import labelled, shingle_hashes, word_hashes
 TABLES = 16
 SAMPLED = 3
 THRESHOLD = 0.8
-ROUNDS = 1
-LEADERS = 24            # of a key in one round, after the first
+BLOCK = 1024            # nodes of a key that meet in one group
 _random = np.random.default_rng(20240402)
 A = _random.integers(0, 1 << 64, TABLES, dtype=np.uint64) | np.uint64(1)
 B = _random.integers(0, 1 << 64, TABLES, dtype=np.uint64)
@@ -98,6 +97,15 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> flo
     return found if found >= threshold - 1e-9 else min(most, threshold - 1e-6)
 
 
+def bitmap(seq: np.ndarray) -> np.ndarray:
+    """Bytes with a bit for each place modulo their number; a bit is set where an odd
+    number of the sequence's labels fall.  The number of bits, a power of two, is four
+    to eight times that of the labels, 64 at least."""
+    bits = max(64, 1 << (4 * len(seq) - 1).bit_length())
+    odd = np.bincount((seq >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
 def _sequences(texts: DataFrame) -> DataFrame:
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,11 +115,12 @@ def _sequences(texts: DataFrame) -> DataFrame:
                 same = hashlib.blake2b(seq.tobytes() if len(seq) else b"row %d" % row,
                                        digest_size=16).digest()
                 out.append((row, doc_id, same, len(seq), sketch(seq) if len(seq) else [],
+                            bitmap(seq).tobytes() if len(seq) else b"",
                             (seq >> np.uint64(32)).astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "same", "n", "keys", "seq"])
+            yield pd.DataFrame(out, columns=["row", "doc_id", "same", "n", "keys", "bits", "seq"])
 
     return texts.mapInPandas(sketches, "row long, doc_id long, same binary, n int, "
-                                       "keys array<long>, seq binary")
+                                       "keys array<long>, bits binary, seq binary")
 
 
 def _compared(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -123,102 +132,116 @@ def _compared(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
                    for a, b in zip(pdf["a"], pdf["b"])]
             yield pd.DataFrame({"node": pdf["node"], "leader": pdf["leader"], "far": far})
 
-    a = seqs.select("node", F.col("seq").alias("a"))
-    b = seqs.select(F.col("node").alias("leader"), F.col("seq").alias("b"))
+    # only the sequences of these nodes are shuffled
+    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
+    some = cut(seqs.join(wanted, "node", "left_semi").select("node", "seq"))
+    a = some.select("node", F.col("seq").alias("a"))
+    b = some.select(F.col("node").alias("leader"), F.col("seq").alias("b"))
     return (pairs.join(a.hint("merge"), "node").join(b.hint("merge"), "leader").select("node", "leader", "a", "b")
             .mapInPandas(align, "node long, leader long, far double"))
 
 
-def _together(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def _apart(members: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Members (key, node, n, class, most) of the keys under which there are texts
-    of several classes yet; ``most`` is the class that is most frequent there."""
-    classes = cut(components(_together(links)).withColumnRenamed("root", "class"))
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, node, class, c) of the ``c`` nodes of each key under which there are
+    nodes of several classes."""
+    classes = cut(components(links).withColumnRenamed("root", "class"))
     classed = cut(members.join(classes, "node", "left").select(
-        "key", "node", "n", F.coalesce("class", "node").alias("class")))
-    keys = cut(classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
-               .groupBy("key").agg(F.max(F.struct("c", "class")).alias("m"),
-                                   F.count(F.lit(1)).alias("classes"))
-               .where("classes > 1").select("key", F.col("m.class").alias("most")))
-    return cut(classed.join(keys, "key"))
-
-
-def _rounds(members: DataFrame, seqs: DataFrame, threshold: float, rounds: int | None,
-            links: list[DataFrame]) -> DataFrame:
-    """Append to ``links`` what leaders find within each key of ``members`` (key,
-    node, n); the members left after that many rounds (None: until none is).
-
-    In the first round a key has one leader, later up to ``LEADERS``, from the
-    smaller classes first.  A leader is compared with every member of another
-    class and leaves.  The distance is a metric, so a text that matched its
-    leader at distance x can match one that did not, at distance y, only if
-    y - x is within the limit; if there is none, the matched text leaves too."""
-    limit = 1 - threshold + 1e-9
-    left = members.select("key", "node", "n", F.col("node").alias("class"),
-                          F.lit(None).cast("long").alias("most"))
-    done = 0
-    while rounds is None or done < rounds:
-        # written down: the join's sides are shuffled apart, so that Spark can
-        # split a key that very many texts share
-        turn = F.pmod(F.xxhash64("node"), F.lit(LEADERS)) if done else F.lit(0)
-        by = F.struct((F.coalesce(F.col("class") == F.col("most"), F.lit(False))).alias("last"),
-                      "node", "n", "class")
-        leaders = cut(left.groupBy("key", turn.alias("turn"))
-                      .agg(F.min(by).alias("l"))
-                      .where("not l.last").select(
-                          "key", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"),
-                          F.col("l.class").alias("leader_class")))
-        others = cut(left.join(leaders, "key").where("class != leader_class"))
-        if others.isEmpty():
-            return left.limit(0)
-        ratio = F.least("n", "leader_n") / F.greatest("n", "leader_n")
-        pairs = others.where(ratio >= threshold).select("node", "leader").distinct()
-        far = cut(_compared(pairs, seqs, threshold))
-        links.append(far.where(F.col("far") <= limit).select("node", "leader"))
-        seen = cut(others.join(far, ["node", "leader"], "left").select(
-            "key", "node", "leader", F.coalesce(F.col("far"), 1 - ratio).alias("far")))
-        border = seen.where(F.col("far") > limit).groupBy("key", "leader").agg(
-            F.min("far").alias("border"))
-        settled = (seen.where(F.col("far") <= limit)
-                   .join(cut(border), ["key", "leader"], "left")
-                   .where(F.col("border").isNull() | (F.col("far") < F.col("border") - limit))
-                   .select("key", "node"))
-        gone = settled.unionByName(leaders.select("key", F.col("leader").alias("node")))
-        left = _apart(left.select("key", "node", "n").join(gone, ["key", "node"], "left_anti"),
-                      links)
-        done += 1
-    return left
-
-
-def _rarest(nodes: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
-    """(key, node, n): of each node the rarest labelled shingles, as many as two
-    texts of the needed similarity cannot all have apart."""
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        "key", "node", F.coalesce("class", "node").alias("class")))
+    keys = cut(classed.groupBy("key").agg(F.count(F.lit(1)).alias("c"),
+                                          F.min("class").alias("a"), F.max("class").alias("b"))
+               .where("a < b").select("key", "c"))
+    return classed.join(keys, "key")
+
+
+class _Group:
+    """Nodes of one key, by the lengths of their bitmaps."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.node, self.n = pdf["node"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
+        self.cls, self.side = pdf["class"].to_numpy(), pdf["side"].to_numpy()
+        self.keys, size = pdf["keys"].tolist(), pdf["bits"].str.len().to_numpy()
+        self.bits = {}
+        for b in np.unique(size):
+            at = np.flatnonzero(size == b)
+            rows = np.frombuffer(b"".join(pdf["bits"].iloc[at]), np.uint64).reshape(len(at), -1)
+            self.bits[int(b)] = (at, rows)
+
+    def _near(self, at_a, a, at_b, b, threshold: float) -> Iterator[np.ndarray]:
+        """(i, j) of the pairs of two classes whose bitmaps allow the threshold."""
+        step = max(1, (1 << 20) // max(1, len(b) * a.shape[1]))
+        for lo in range(0, len(a), step):
+            i, n = at_a[lo:lo + step], self.n[at_a[lo:lo + step]][:, None]
+            m = self.n[at_b][None, :]
+            apart = np.bitwise_count(a[lo:lo + step, None, :] ^ b[None, :, :]).sum(
+                axis=2, dtype=np.int64)
+            shared = (n + m - apart) / 2
+            can = shared >= (threshold - 1e-9) * (n + m - shared)
+            can &= np.minimum(n, m) >= (threshold - 1e-9) * np.maximum(n, m)
+            can &= self.cls[i][:, None] != self.cls[at_b][None, :]
+            p, q = np.nonzero(can)
+            yield np.stack([i[p], at_b[q]], axis=1)
+
+    def pairs(self, key: int, both_sides: bool, threshold: float) -> Iterator[tuple[int, int]]:
+        """(node, leader) of the pairs that can reach the threshold and share no key
+        before ``key``; with ``both_sides`` of nodes of two blocks."""
+        for size, (at, rows) in self.bits.items():
+            folded = [(at, rows)]
+            if size * 2 in self.bits:   # the longer ones with half the bits
+                other, wide = self.bits[size * 2]
+                folded.append((other, wide[:, :rows.shape[1]] ^ wide[:, rows.shape[1]:]))
+            for k, (other, bits) in enumerate(folded):
+                for found in self._near(at, rows, other, bits, threshold):
+                    for i, j in found.tolist():
+                        if (k == 0 and i >= j and not both_sides) or (
+                                both_sides and (self.side[i] == self.side[j]
+                                                or (k == 0 and self.side[i]))):
+                            continue
+                        if min(set(self.keys[i]) & set(self.keys[j])) == key:
+                            yield int(self.node[i]), int(self.node[j])
+
+
+def _candidates(mixed: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(node, leader): the pairs of two classes that share a key of ``mixed`` and whose
+    bitmaps do not exclude them, once each.  A key's nodes are dealt to blocks of about
+    BLOCK, and every two blocks are a group."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (mixed.withColumn("blocks", blocks).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = table.select(F.col("row").alias("node"), "n", "keys", "bits")
+    met = (dealt.select("key", "node", "class", F.least("own", "other").alias("i"),
+                        F.greatest("own", "other").alias("j"),
+                        (F.col("own") > F.col("other")).alias("side"))
+           .join(rows, "node"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for pdf in batches:
-            each = [np.unique(np.frombuffer(s, "<u4")) for s in pdf["seq"]]
-            size = [len(x) for x in each]
-            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), size),
-                                "n": np.repeat(pdf["n"].to_numpy(), size),
-                                "key": np.concatenate([*each, np.zeros(0, "<u4")]).astype(np.int64)})
-
-    rows = cut(seqs.join(nodes, "node", "left_semi").select("node", "n", "seq")
-               .mapInPandas(explode, "node long, n int, key long"))
-    count = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("f", "key"))
-    return (rows.join(count, "key").withColumn("place", place)
-            .where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-                   & (F.col("f") > 1)).select("key", "node", "n"))
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            by = rest[["key", "i", "j"]].to_numpy()
+            ends = np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1
+            if len(ends):       # the last group may go on in the next batch
+                yield found(rest.iloc[:ends[-1]], by, np.concatenate([[0], ends]))
+                rest = rest.iloc[ends[-1]:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            by = rest[["key", "i", "j"]].to_numpy()
+            yield found(rest, by, np.array([0, len(rest)]))
+
+    def found(pdf, by, cuts) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > 1:
+                key, i, j = by[a].tolist()
+                out += _Group(pdf.iloc[a:b]).pairs(key, i != j, threshold)
+        return pd.DataFrame(out, columns=["node", "leader"])
+
+    group = ["key", "i", "j"]
+    return (met.repartition(*group).sortWithinPartitions(*group)
+            .mapInPandas(meet, "node long, leader long"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 row_col: str | None = None, threshold: float = THRESHOLD,
-                 rounds: int = ROUNDS) -> DataFrame:
+                 row_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: row (``row_col``, or a number given here), doc_id,
     class_id (the smallest id of its class), class_size, kept (one per class)."""
     row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
@@ -229,21 +252,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = table.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     members = alone.where("n > 0").select(F.col("row").alias("node"), "n",
                                           F.explode("keys").alias("key"))
-    seqs = table.select(F.col("row").alias("node"), "n", "seq")
-    links: list[DataFrame] = []
+    seqs = table.select(F.col("row").alias("node"), "seq")
     members = cut(members)
-    # keys of a single text need no leader
-    several = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-                  .select("key"))
-    rest = _rounds(cut(members.join(several, "key")), seqs, threshold, rounds, links)
-    left = cut(rest.select("node").distinct())
-    if not left.isEmpty():
-        _rounds(cut(_rarest(left, seqs, threshold)), seqs, threshold, None, links)
-    if not links:
-        classed = nodes.select("same", "node", F.col("node").alias("class"))
-    else:
-        classed = nodes.join(components(_together(links)), "node", "left").select(
-            "same", "node", F.coalesce("root", "node").alias("class"))
+    # keys of a single text lead to no pair
+    leaders = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("c"),
+                                             F.min(F.struct("node", "n")).alias("l"))
+                  .where("c > 1").select("key", F.col("l.node").alias("leader"),
+                                         F.col("l.n").alias("m")))
+    members = cut(members.join(leaders, "key"))
+    alike = F.least("n", "m") >= F.greatest("n", "m") * threshold
+    first = cut(members.where((F.col("node") != F.col("leader")) & alike)
+                .select("node", "leader").distinct())
+    near = F.col("far") <= 1 - threshold + 1e-9
+    links = cut(_compared(first, seqs, threshold).where(near).select("node", "leader"))
+    rest = cut(_candidates(_mixed(members.select("key", "node"), links), table, threshold))
+    links = links.unionByName(
+        _compared(rest, seqs, threshold).where(near).select("node", "leader"))
+    classed = nodes.join(components(links), "node", "left").select(
+        "same", "node", F.coalesce("root", "node").alias("class"))
     rows = cut(table.select("row", "doc_id", "same").join(cut(classed.select("same", "class")),
                                                           "same")
                .select("row", "doc_id", "class"))
