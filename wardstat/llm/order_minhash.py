@@ -16,10 +16,12 @@ Large groups.  Texts with the same words are one node.  First the smallest node
 key is compared with all others, so a group of n near copies takes n - 1 comparisons
 and becomes one class.  Of the keys under which there are several classes yet (a
 passage in common, or texts just below the threshold) the nodes meet in blocks: a
-task compares bitmaps of their shingles, with as many bits as four times their
-number, whose distance bounds the similarity from above, and passes on only pairs of
-two classes that can reach the threshold, each under the first key that they share.
-No pair that shares a key is left out, and none becomes a row that the bound excludes.
+task compares bitmaps of their shingles, with at least eight times as many bits,
+whose distance bounds the similarity from above, and passes on only pairs of two classes
+that can reach the threshold: first as few as connect the same classes, and once
+these are verified all that are between two classes still, each under the first key
+that they share.  No pair that shares a key is left out, and none becomes a row that
+the bound excludes.
 
 Null texts and texts without a word are left alone: each is a class by itself.
 Rows may repeat and ids may be null; the smallest id of a class stays (a null
@@ -99,9 +101,9 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> flo
 
 def bitmap(seq: np.ndarray) -> np.ndarray:
     """Bytes with a bit for each place modulo their number; a bit is set where an odd
-    number of the sequence's labels fall.  The number of bits, a power of two, is four
-    to eight times that of the labels, 64 at least."""
-    bits = max(64, 1 << (4 * len(seq) - 1).bit_length())
+    number of the sequence's labels fall.  The number of bits, a power of two, is eight
+    to sixteen times that of the labels, 64 at least."""
+    bits = max(64, 1 << (8 * len(seq) - 1).bit_length())
     odd = np.bincount((seq >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -181,9 +183,9 @@ class _Group:
             p, q = np.nonzero(can)
             yield np.stack([i[p], at_b[q]], axis=1)
 
-    def pairs(self, key: int, both_sides: bool, threshold: float) -> Iterator[tuple[int, int]]:
-        """(node, leader) of the pairs that can reach the threshold and share no key
-        before ``key``; with ``both_sides`` of nodes of two blocks."""
+    def near(self, both_sides: bool, threshold: float) -> Iterator[tuple[int, int]]:
+        """Places of the pairs that can reach the threshold, each pair once; with
+        ``both_sides`` of nodes of two blocks."""
         for size, (at, rows) in self.bits.items():
             folded = [(at, rows)]
             if size * 2 in self.bits:   # the longer ones with half the bits
@@ -191,19 +193,44 @@ class _Group:
                 folded.append((other, wide[:, :rows.shape[1]] ^ wide[:, rows.shape[1]:]))
             for k, (other, bits) in enumerate(folded):
                 for found in self._near(at, rows, other, bits, threshold):
-                    for i, j in found.tolist():
-                        if (k == 0 and i >= j and not both_sides) or (
-                                both_sides and (self.side[i] == self.side[j]
-                                                or (k == 0 and self.side[i]))):
-                            continue
-                        if min(set(self.keys[i]) & set(self.keys[j])) == key:
-                            yield int(self.node[i]), int(self.node[j])
-
+                    i, j = found.T
+                    if both_sides:
+                        once = self.side[i] != self.side[j]
+                        if k == 0:
+                            once &= ~self.side[i]
+                    else:
+                        once = (i < j) if k == 0 else np.ones(len(i), bool)
+                    yield from found[once].tolist()
 
-def _candidates(mixed: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    def pairs(self, key: int, both_sides: bool, threshold: float) -> Iterator[tuple[int, int]]:
+        """(node, leader) of those pairs that share no key before ``key``."""
+        for i, j in self.near(both_sides, threshold):
+            if min(set(self.keys[i]) & set(self.keys[j])) == key:
+                yield int(self.node[i]), int(self.node[j])
+
+    def forest(self, both_sides: bool, threshold: float) -> Iterator[tuple[int, int]]:
+        """(node, leader) of as many of those pairs as connect the same classes."""
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while root.setdefault(k, k) != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        classes = self.cls.tolist()
+        for i, j in self.near(both_sides, threshold):
+            a, b = find(classes[i]), find(classes[j])
+            if a != b:
+                root[a] = b
+                yield int(self.node[i]), int(self.node[j])
+
+
+def _candidates(mixed: DataFrame, table: DataFrame, threshold: float,
+                forest: bool = False) -> DataFrame:
     """(node, leader): the pairs of two classes that share a key of ``mixed`` and whose
-    bitmaps do not exclude them, once each.  A key's nodes are dealt to blocks of about
-    BLOCK, and every two blocks are a group."""
+    bitmaps do not exclude them, once each; with ``forest`` only so many of each group that
+    they connect the same classes.  A key's nodes are dealt to blocks of about BLOCK, and
+    every two blocks are a group."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (mixed.withColumn("blocks", blocks).withColumn("own", own)
@@ -232,12 +259,15 @@ def _candidates(mixed: DataFrame, table: DataFrame, threshold: float) -> DataFra
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a > 1:
                 key, i, j = by[a].tolist()
-                out += _Group(pdf.iloc[a:b]).pairs(key, i != j, threshold)
+                group = _Group(pdf.iloc[a:b])
+                out += (group.forest(i != j, threshold) if forest
+                        else group.pairs(key, i != j, threshold))
         return pd.DataFrame(out, columns=["node", "leader"])
 
     group = ["key", "i", "j"]
-    return (met.repartition(*group).sortWithinPartitions(*group)
-            .mapInPandas(meet, "node long, leader long"))
+    out = (met.repartition(*group).sortWithinPartitions(*group)
+           .mapInPandas(meet, "node long, leader long"))
+    return out.distinct() if forest else out
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -264,10 +294,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = cut(members.where((F.col("node") != F.col("leader")) & alike)
                 .select("node", "leader").distinct())
     near = F.col("far") <= 1 - threshold + 1e-9
-    links = cut(_compared(first, seqs, threshold).where(near).select("node", "leader"))
-    rest = cut(_candidates(_mixed(members.select("key", "node"), links), table, threshold))
-    links = links.unionByName(
-        _compared(rest, seqs, threshold).where(near).select("node", "leader"))
+    members = members.select("key", "node")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(_compared(pairs, seqs, threshold).where(near).select("node", "leader"))
+
+    links = linked(first)
+    # most pairs that the bitmaps allow are links: first as few as connect the same
+    # classes, then all that are between two classes still
+    for forest in (True, False):
+        rest = cut(_candidates(cut(_mixed(members, links)), table, threshold, forest))
+        links = links.unionByName(linked(rest))
     classed = nodes.join(components(links), "node", "left").select(
         "same", "node", F.coalesce("root", "node").alias("class"))
     rows = cut(table.select("row", "doc_id", "same").join(cut(classed.select("same", "class")),
