@@ -40,6 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstat.functions.sieve import MAX_BITS, Sieve
 from wardstat.llm.common import cut, text_of
 from wardstat.llm.components import components
 from wardstat.llm.shingles import labelled, shingle_hashes, word_hashes
@@ -134,11 +135,12 @@ def _compared(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
                    for a, b in zip(pdf["a"], pdf["b"])]
             yield pd.DataFrame({"node": pdf["node"], "leader": pdf["leader"], "far": far})
 
-    # only the sequences of these nodes are shuffled
-    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
-    some = cut(seqs.join(wanted, "node", "left_semi").select("node", "seq"))
-    a = some.select("node", F.col("seq").alias("a"))
-    b = some.select(F.col("node").alias("leader"), F.col("seq").alias("b"))
+    # a filter in the scan: hardly other sequences than those of these nodes are shuffled
+    def some(side: str) -> DataFrame:
+        return seqs.where(Sieve(pairs.select(side), MAX_BITS).may_hold(seqs, ["node"]))
+
+    a = some("node").select("node", F.col("seq").alias("a"))
+    b = some("leader").select(F.col("node").alias("leader"), F.col("seq").alias("b"))
     return (pairs.join(a.hint("merge"), "node").join(b.hint("merge"), "leader").select("node", "leader", "a", "b")
             .mapInPandas(align, "node long, leader long, far double"))
 
