@@ -192,6 +192,52 @@ def test_learns_from_every_training_row(spark):
     assert abs(sum(w in copies for w in drawn) / len(drawn) - share) < 0.2
 
 
+def test_weights_are_learned_from_every_window(spark):
+    """Each window of each training row is in one round, and the averaged model has the
+    symbols' order of every partition: the second half of the rows as well as the first."""
+    rows = [(k, " ".join("%s%d" % ("ab"[k % 2], j) for j in range(k % 7 * 9))) for k in range(400)]
+    texts = lm_score._numbered(docs(spark, rows).repartition(5), F.lit(True), "doc_id", "text")
+    texts = lm_score.cut(texts)
+    counted = lm_score.word_counts(texts)
+    symbols = lm_score.learn_symbols(counted, PATH, len(rows))
+    learned = lm_score.learned_from(texts, PATH, symbols, len(rows)).where("w is not null")
+    cache = lm_score._WordSymbols(PATH, symbols)
+    want = Counter(w for _, t in rows for w in lm_score.windows_of(
+        lm_score._symbols([cache[x] for x in words_of(t)])))
+    assert Counter(bytes(r["w"]) for r in learned.collect()) == want
+    assert {r["round"] for r in learned.collect()} == set(range(len(lm_score.ROUNDS)))
+    net = Attention(symbols.many, symbols.frequency, begins=symbols.begins)
+    windows = np.array([np.frombuffer(w, np.uint16) for w in want.elements()]).astype(np.int64)
+    before, _ = net.gradients(windows[:, :-1], windows[:, 1:])
+    assert lm_score.learn_weights(learned, net, steps=100) == sum(want.values())
+    after, _ = net.gradients(windows[:, :-1], windows[:, 1:])
+    assert after < 0.7 * before
+
+
+def test_weights_are_averaged_by_windows():
+    import pandas as pd
+    rows = pd.DataFrame({"part": [1, 0], "n": [30, 10], "weights": [
+        np.array([1, 2], "<f4").tobytes(), np.array([5, 2], "<f4").tobytes()]})
+    n, mean = lm_score._averaged(rows)
+    assert n == 40 and np.allclose(np.frombuffer(mean, "<f4"), [2, 2])
+    net, other = Attention(40, np.ones(40)), Attention(40, np.ones(40), seed=8)
+    other.unpack(net.packed())
+    assert all((net.p[k] == other.p[k]).all() for k in net.p)
+
+
+def test_classes_hold_every_symbol_once():
+    """The two levels give each symbol its share, whatever the sizes of the classes."""
+    r = np.random.default_rng(3)
+    share = r.random(77)
+    share /= share.sum()
+    net = Attention(77, share, begins=r.random(77) < 0.3)
+    start, own = net._levels(share)
+    assert len(set(net.place.tolist())) == 77
+    assert np.allclose(np.exp(start[net.place // 16] + own[net.place]), share, rtol=1e-4)
+    total = sum(math.exp(net.score(np.array([3, 5, k]), np.array([3]), 0)[0][2]) for k in range(77))
+    assert abs(total - 1) < 1e-4
+
+
 def test_score_is_no_worse_than_its_part_of_the_word_model(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2

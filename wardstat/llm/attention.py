@@ -4,7 +4,9 @@ One head over a window of ``WINDOW`` symbols and one hidden layer.  Training is
 plain backpropagation with Adam on a given array of windows; scoring runs
 batches of overlapping windows and takes each symbol's probability once, from
 the window in which it stands after the context (or the first window).  Logits
-begin at ``prior``: log probabilities by the symbol before, counted elsewhere.
+begin at ``prior``: log probabilities by the symbol before, counted elsewhere.  A
+symbol's probability is that of its class times its own in the class, so a place
+takes the logits of the classes and those of one class, and not of all symbols.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ CONTEXT = WINDOW - STRIDE
 WIDTH = 24
 HIDDEN = 64
 BATCH = 256             # windows trained on at once
-SCORED = 128            # windows scored at once
+SCORED = 256            # windows scored at once
+GROUP = 16              # symbols of a class
 STEPS = 600
 RATE = 4e-3
 SMOOTH = 16             # occurrences that the frequencies count for after each symbol
@@ -30,21 +33,73 @@ class Attention:
         """``after``: how often each symbol follows each (rows: the one before);
         ``begins``: the symbols that begin a word, or end the text (None: all)."""
         self.begins = np.ones(symbols, bool) if begins is None else np.asarray(begins, bool)
+        # classes of GROUP symbols, of which all or none begin a word
+        self.place, self.first = np.zeros(symbols, np.int64), []
+        for kind in (True, False):
+            own = np.flatnonzero(self.begins == kind)
+            self.place[own] = len(self.first) * GROUP + np.arange(len(own))
+            self.first += [kind] * -(-len(own) // GROUP)
+        self.first = np.array(self.first, bool)
+        many = len(self.first)
+        self.empty = np.full(many * GROUP, -1e9, np.float32)
+        self.empty[self.place] = 0
         r = np.random.default_rng(seed)
         normal = lambda *shape, s: r.normal(0, s, shape).astype(np.float32)
         d = WIDTH
+        share = (frequency + 1) / (frequency + 1).sum()
+        start, own = self._levels(share)
         self.p = {
             "embed": normal(symbols, d, s=0.3), "place": normal(WINDOW, d, s=0.1),
             "qkv": normal(d, 3 * d, s=d ** -0.5), "mixed": normal(d, d, s=d ** -0.5),
             "up": normal(d, HIDDEN, s=d ** -0.5), "up0": np.zeros(HIDDEN, np.float32),
-            "down": normal(HIDDEN, d, s=HIDDEN ** -0.5), "out": normal(symbols, d, s=0.1),
-            "out0": np.log((frequency + 1) / (frequency + 1).sum()).astype(np.float32)}
+            "down": normal(HIDDEN, d, s=HIDDEN ** -0.5),
+            "out": np.zeros((many * GROUP, d), np.float32), "out0": own,
+            "class0": start}
+        self.p["out"][self.place] = normal(symbols, d, s=0.1)
+        self.p["class"] = normal(many, d, s=0.1)
         self.prior = None
         if after is not None:   # smoothed by the frequencies
-            share = (frequency + 1) / (frequency + 1).sum()
             mixed = (after + SMOOTH * share) / (after.sum(axis=1, keepdims=True) + SMOOTH)
-            self.prior = np.log(mixed).astype(np.float32)
-            self.p["out0"] = np.zeros(symbols, np.float32)
+            start, own = self._levels(mixed)
+            self.prior = start, own.reshape(symbols * many, GROUP)
+            self.p["class0"], self.p["out0"] = np.zeros_like(start[0]), np.zeros_like(own[0])
+
+    def _levels(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of the probabilities of the classes, and of each symbol in its class."""
+        many = len(self.first)
+        by_place = np.zeros((*share.shape[:-1], many * GROUP))
+        by_place[..., self.place] = share
+        whole = by_place.reshape(*share.shape[:-1], many, GROUP).sum(axis=-1)
+        own = np.zeros_like(by_place)
+        own[..., self.place] = np.log(share / whole[..., self.place // GROUP])
+        return np.log(whole).astype(np.float32), own.astype(np.float32)
+
+    def packed(self) -> bytes:
+        return b"".join(self.p[k].astype("<f4").tobytes() for k in sorted(self.p))
+
+    def unpack(self, weights: bytes) -> None:
+        flat, at = np.frombuffer(weights, "<f4"), 0
+        for k in sorted(self.p):
+            self.p[k] = flat[at:at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
+
+    def _in_class(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        """Positions ordered by the class of the symbol ``y``, where each class ends, and
+        there the logits of the class's symbols."""
+        place = self.place[y]
+        group = (place // GROUP).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        group, h = group[order], h[order]
+        ends = np.searchsorted(group, np.arange(len(self.first) + 1))
+        out, out0 = self.p["out"], self.p["out0"] + self.empty
+        logits = np.empty((len(h), GROUP), h.dtype)
+        for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            if a < b:
+                np.matmul(h[a:b], out[k * GROUP:(k + 1) * GROUP].T, out=logits[a:b])
+                logits[a:b] += out0[k * GROUP:(k + 1) * GROUP]
+        if self.prior is not None:
+            logits += self.prior[1][x[order] * len(self.first) + group]
+        return order, ends, h, logits, place[order] % GROUP
 
     # -- training ---------------------------------------------------------
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -60,18 +115,35 @@ class Attention:
         h1 = e + o @ p["mixed"]
         z = np.maximum(h1 @ p["up"] + p["up0"], 0)
         h2 = (h1 + z @ p["down"]).reshape(n, d)
-        logits = h2 @ p["out"].T + p["out0"]
+        before, flat, rows = x.reshape(-1), y.reshape(-1), np.arange(n)
+        logits = h2 @ p["class"].T + p["class0"]
         if self.prior is not None:
-            logits += self.prior[x.reshape(-1)]
+            logits += self.prior[0][before]
         logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits)
+        prob = np.exp(logits, out=logits)
         prob /= prob.sum(axis=1, keepdims=True)
-        flat, rows = y.reshape(-1), np.arange(n)
-        loss = -np.log(prob[rows, flat] + 1e-30).mean()
-        prob[rows, flat] -= 1
+        order, ends, sorted_h, logits, nth = self._in_class(h2, before, flat)
+        logits -= logits.max(axis=1, keepdims=True)
+        own = np.exp(logits, out=logits)
+        own /= own.sum(axis=1, keepdims=True)
+        group = self.place[flat] // GROUP
+        loss = -(np.log(prob[rows, group] + 1e-30).mean() + np.log(own[rows, nth] + 1e-30).mean())
+        prob[rows, group] -= 1
         prob /= n
-        g = {"out": prob.T @ h2, "out0": prob.sum(axis=0)}
-        dh2 = (prob @ p["out"]).reshape(e.shape)
+        own[rows, nth] -= 1
+        own /= n
+        g = {"class": prob.T @ h2, "class0": prob.sum(axis=0),
+             "out": np.zeros_like(p["out"]), "out0": np.zeros_like(p["out0"])}
+        dh2 = prob @ p["class"]
+        back = np.empty_like(sorted_h)
+        for nth, (at, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            mine, rows = slice(nth * GROUP, (nth + 1) * GROUP), slice(at, end)
+            if at < end:
+                np.matmul(own[rows], p["out"][mine], out=back[rows])
+                g["out"][mine] = own[rows].T @ sorted_h[rows]
+                g["out0"][mine] = own[rows].sum(axis=0)
+        dh2[order] += back
+        dh2 = dh2.reshape(e.shape)
         f = lambda t: t.reshape(-1, t.shape[-1])
         g["down"] = f(z).T @ f(dh2)
         dz = (dh2 @ p["down"].T) * (z > 0)
@@ -94,19 +166,10 @@ class Attention:
 
     def train(self, windows: np.ndarray, steps: int = STEPS, seed: int = 7) -> float:
         """Adam on ``windows`` of WINDOW + 1 symbols; the mean loss at the end."""
-        r, last = np.random.default_rng(seed), []
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        r, last, adam = np.random.default_rng(seed), [], Adam(self)
         for step in range(1, steps + 1 if len(windows) else 1):
             w = windows[r.integers(0, len(windows), BATCH)]
-            loss, g = self.gradients(w[:, :-1], w[:, 1:])
-            last = [*last[-49:], loss]
-            rate = RATE * min(1, step / 20) * (1 - step / (steps + 1)) ** 0.7
-            for k, v in g.items():
-                m[k] += 0.1 * (v - m[k])
-                s[k] += 0.01 * (v * v - s[k])
-                self.p[k] -= (rate * (m[k] / (1 - 0.9 ** step))
-                              / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+            last = [*last[-49:], adam.step(w, (1 - step / (steps + 1)) ** 0.7)]
         return float(np.mean(last)) if last else 0.0
 
     # -- scoring ----------------------------------------------------------
@@ -127,17 +190,22 @@ class Attention:
         z += p["up0"]
         h = h + np.maximum(z, 0, out=z) @ p["down"]
         target = y[:, first:].reshape(-1)
-        logits = np.hstack([h, np.ones((len(h), 1), np.float32)]) @ np.vstack(
-            [p["out"].T, p["out0"]])
-        if self.prior is not None:
-            logits += self.prior[x[:, first:].reshape(-1)]
+        before, rows = x[:, first:].reshape(-1), np.arange(len(target))
         # trained weights keep scores and logits far from the range of a float
-        own = logits[np.arange(len(target)), target]
+        logits = h @ p["class"].T
+        logits += p["class0"]
+        if self.prior is not None:
+            logits += self.prior[0][before]
+        chosen = logits[rows, self.place[target] // GROUP]
         total, begun = (np.exp(logits, out=logits) @ np.stack(
-            [np.ones(len(self.begins)), self.begins], axis=1).astype(np.float32)).T
+            [np.ones(len(self.first)), self.first], axis=1).astype(np.float32)).T
         log_total = np.log(total)
-        return ((own - log_total).reshape(len(x), -1),
-                (np.log(begun) - log_total).reshape(len(x), -1))
+        order, _, _, logits, nth = self._in_class(h, before, target)
+        own = logits[rows, nth]
+        own -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        chosen -= log_total
+        chosen[order] += own
+        return (chosen.reshape(len(x), -1), (np.log(begun) - log_total).reshape(len(x), -1))
 
     def score(self, y: np.ndarray, size: np.ndarray, start: int) -> tuple:
         """Natural log probability of every symbol of ``y``, which holds documents of
@@ -169,3 +237,25 @@ class Attention:
                 out[place[:, first:][valid]] = got[valid]
                 border[place[:, first:][valid]] = begun[valid]
         return out, border
+
+
+class Adam:
+    """Steps on batches of windows, from the weights that the model has."""
+
+    def __init__(self, net: Attention):
+        self.net, self.done = net, 0
+        self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in net.p.items()}
+
+    def step(self, w: np.ndarray, share: float = 1.0) -> float:
+        """One step, at ``share`` of the full rate; the loss before it."""
+        self.done += 1
+        loss, g = self.net.gradients(w[:, :-1], w[:, 1:])
+        rate = RATE * min(1, self.done / 20) * share
+        for k, v in g.items():
+            self.m[k] += 0.1 * (v - self.m[k])
+            self.s[k] += 0.01 * (v * v - self.s[k])
+            self.net.p[k] -= (rate * (self.m[k] / (1 - 0.9 ** self.done))
+                              / (np.sqrt(self.s[k] / (1 - 0.99 ** self.done)) + 1e-8)
+                              ).astype(np.float32)
+        return loss

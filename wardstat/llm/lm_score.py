@@ -13,9 +13,12 @@ training rows.  From that:
   the others share symbols by frequency and by whether they begin a word; an
   id has its share of its symbol's count in all training rows.  The model
   gives the probability of each symbol after the ones before it.  Its logits
-  begin at the probabilities by the symbol before, counted over all windows of
-  all training rows; its weights are learned on windows drawn from them, each
-  by itself (about ``SAMPLE_WINDOWS``).  Every document is scored whole.  A word's
+  begin at the probabilities by the symbol before, counted over the whole of
+  all training rows; its weights are learned from all windows of all training rows,
+  where they lie: in rounds of growing size (``ROUNDS``), each partition goes on from
+  the same weights over its windows of the round, and the weights of the partitions
+  are averaged by their windows.  A small table is gone through several times.
+  Every document is scored whole.  A word's
   probability is that of its first symbol among those that begin a word or end the
   text, of its other symbols, of a new beginning after them, and of its ids among
   their symbols'; so over all words and the end these add up to 1 at most (less what
@@ -32,6 +35,7 @@ Other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 from array import array
@@ -40,10 +44,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstat.llm.attention import STEPS, WINDOW, Attention
+from wardstat.llm.attention import BATCH, STEPS, WINDOW, Adam, Attention
 from wardstat.llm.bpe import encoder
 from wardstat.llm.common import cut, text_of
 
@@ -52,7 +57,8 @@ SHARED_SYMBOLS = 63     # symbols that the others share; one more is the end
 END = 0
 FREQUENT_WORDS = 1 << 18    # bound of the table of counts that each task gets
 KEY_BYTES = 64          # longer words are known by a digest
-SAMPLE_WINDOWS = 1 << 16    # windows of the training rows that the model learns from
+ROUNDS = ((1, 1.0), (2, 1.0), (5, 0.8), (8, 0.5), (16, 0.25))  # part of the windows, rate
+PACKS = 16              # groups of partitions whose weights are averaged first
 CACHE_WORDS = 300_000
 MIXED_IN = 0.5          # weight of the attention model in a word's probability
 SCORED_WORDS = 1 << 16  # words of the documents that are scored together
@@ -123,20 +129,25 @@ class Symbols:
 
 class _WordSymbols(dict):
     """Word -> (its symbols as bytes, log of its ids' shares); with the counts of the
-    frequent words and the denominator of the word model."""
+    frequent words and the denominator of the word model.  Words are kept in two
+    generations, so those in use stay when it is full."""
 
     def __init__(self, path: str, symbols: Symbols, frequent: dict[bytes, int] | None = None,
                  size: int = 1):
         super().__init__()
         self.enc, self.frequent, self.size = encoder(path), frequent or {}, size
         self.symbol, self.share = symbols.symbol.tolist(), symbols.share.tolist()
+        self.older: dict[bytes, tuple[bytes, float]] = {}
 
     def __missing__(self, word: bytes):
-        ids = array("I", self.enc.ids(" " + word.decode("utf-8", "replace")))
-        out = (array("H", map(self.symbol.__getitem__, ids)).tobytes(),
-               sum(map(self.share.__getitem__, ids)))
+        out = self.older.get(word)
+        if out is None:
+            ids = array("I", self.enc.ids(" " + word.decode("utf-8", "replace")))
+            out = (array("H", map(self.symbol.__getitem__, ids)).tobytes(),
+                   sum(map(self.share.__getitem__, ids)))
         if len(word) <= KEY_BYTES:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -223,50 +234,106 @@ def windows_of(doc: np.ndarray) -> list[bytes]:
 
 
 def learned_from(training: DataFrame, path: str, symbols: Symbols, n_docs: int,
-                 sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
-    """(w, pair, n): windows drawn for the weights, or how often ``pair`` (symbol
-    before * number of symbols + symbol) occurs, once for each partition, over the
-    whole of every training row.  Each window is drawn by itself, so copies of a
-    text are drawn in proportion; their expected number is bounded."""
-    many = symbols.many
-    share = min(1.0, sample_windows / max(1.0, symbols.frequency.sum() / WINDOW + n_docs))
+                 sample_windows: int | None = None) -> DataFrame:
+    """(w, round, pair, n): every window of every training row with the round that it is
+    learned in, or how often ``pair`` (symbol before * number of symbols + symbol)
+    occurs, once for each partition, over the whole of every training row.  A caller
+    that wants no more than about ``sample_windows`` of the windows gets them drawn each
+    by itself, so copies of a text in proportion; the model learns from all."""
+    many, share = symbols.many, 1.0
+    if sample_windows is not None:
+        share = min(1.0, sample_windows / max(1.0, symbols.frequency.sum() / WINDOW + n_docs))
+    turns = np.cumsum([part for part, _ in ROUNDS]) / sum(part for part, _ in ROUNDS)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, pairs = _WordSymbols(path, symbols), np.zeros(many * many, np.int64)
         for pdf in batches:
-            drawn = []
+            drawn, rounds, codes, size = [], [], [], 0
             for row, text in zip(pdf["row"], pdf["text"]):
                 doc = _symbols([cache[w] for w in words_of(text)])
-                before = np.concatenate([[END], doc[:-1]]).astype(np.int64)
-                codes = before * many + doc
-                if len(codes) < 4096:
-                    np.add.at(pairs, codes, 1)
-                else:
-                    pairs += np.bincount(codes, minlength=many * many)
+                codes.append(np.concatenate([[END], doc[:-1]]) * np.int64(many) + doc)
+                size += len(doc)
+                if size > SCORED_WORDS:
+                    pairs += np.bincount(np.concatenate(codes), minlength=many * many)
+                    codes, size = [], 0
                 windows = windows_of(doc)
-                taken = np.random.default_rng(row).random(len(windows)) < share
-                drawn += [windows[k] for k in np.flatnonzero(taken)]
-            yield pd.DataFrame({"w": drawn, "pair": None, "n": None})
+                at = np.random.default_rng(row).random(len(windows)) / share
+                taken = np.flatnonzero(at < 1)
+                drawn += [windows[k] for k in taken]
+                rounds.append(np.searchsorted(turns, at[taken], side="right"))
+            if codes:
+                pairs += np.bincount(np.concatenate(codes), minlength=many * many)
+            yield pd.DataFrame({"w": drawn, "round": np.concatenate(rounds or [[]]).astype(np.int32),
+                                "pair": None, "n": None})
         seen = np.flatnonzero(pairs)
-        yield pd.DataFrame({"w": None, "pair": seen, "n": pairs[seen]})
-
-    return cut(training.select("row", "text").mapInPandas(gather, "w binary, pair long, n long"))
+        yield pd.DataFrame({"w": None, "round": None, "pair": seen, "n": pairs[seen]})
+
+    return cut(training.select("row", "text").mapInPandas(
+        gather, "w binary, round int, pair long, n long"))
+
+
+def _averaged(rows: pd.DataFrame) -> tuple[int, bytes]:
+    """Windows, and the mean of the weights by windows, of (part, n, weights)."""
+    rows = rows.sort_values("part")
+    total = int(rows["n"].sum())
+    mean = sum(np.frombuffer(w, "<f4") * (n / total) for n, w in zip(rows["n"], rows["weights"]))
+    return total, mean.astype("<f4").tobytes()
+
+
+def learn_weights(windows: DataFrame, model: Attention, steps: int = STEPS) -> int:
+    """Learns ``model`` from all ``windows`` (w, round): in each round every partition goes
+    over its windows from the weights of the last, and the weights are averaged.  Gives how
+    many windows it went over, repeats aside.  The driver gets ``PACKS`` sets of weights a
+    round at most."""
+    total = windows.count()
+    passes = max(1, -(-steps // max(1, -(-total // BATCH))))
+    learned = 0
+    for turn, (_, rate) in enumerate(ROUNDS):
+        send = windows.sparkSession.sparkContext.broadcast(model)
+
+        def go_over(batches: Iterator[pd.DataFrame], turn=turn, rate=rate,
+                    send=send) -> Iterator[pd.DataFrame]:
+            part, done = TaskContext.get().partitionId(), 0
+            net = copy.deepcopy(send.value)     # others of this worker begin there as well
+            adam, rng = Adam(net), np.random.default_rng([turn, part])
+            for pdf in batches:
+                own = np.frombuffer(b"".join(pdf["w"]), np.uint16).reshape(-1, WINDOW + 1)
+                for _ in range(passes):
+                    order = rng.permutation(len(own))
+                    for batch in np.array_split(order, -(-len(own) // BATCH) or 1):
+                        if len(batch):
+                            adam.step(own[batch].astype(np.int64), rate)
+                done += len(own)
+            if done:
+                yield pd.DataFrame({"part": [part], "n": [done], "weights": [net.packed()]})
+
+        def pack(rows: pd.DataFrame) -> pd.DataFrame:
+            n, weights = _averaged(rows)
+            return pd.DataFrame({"part": [rows["part"].min() % PACKS], "n": [n],
+                                 "weights": [weights]})
+
+        kind = "part long, n long, weights binary"
+        rows = (windows.where(F.col("round") == turn).select("w").mapInPandas(go_over, kind)
+                .groupBy(F.col("part") % PACKS).applyInPandas(pack, kind)).collect()
+        if rows:
+            n, weights = _averaged(pd.DataFrame([r.asDict() for r in rows]))
+            model.unpack(weights)
+            learned += n
+        send.unpersist()
+    return learned
 
 
 def learn_model(training: DataFrame, path: str, symbols: Symbols, n_docs: int,
-                steps: int = STEPS, sample_windows: int = SAMPLE_WINDOWS) -> Attention:
-    """The model.  The driver gets a row per pair of symbols, and about
-    ``sample_windows`` windows."""
-    learned = learned_from(training, path, symbols, n_docs, sample_windows)
+                steps: int = STEPS) -> Attention:
+    """The model.  The driver gets a row per pair of symbols, and weights."""
+    learned = learned_from(training, path, symbols, n_docs)
     after = np.zeros(symbols.many ** 2)
     for r in (learned.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
               .collect()):
         after[r["pair"]] = r["n"]
     model = Attention(symbols.many, symbols.frequency,
                       after=after.reshape(symbols.many, symbols.many), begins=symbols.begins)
-    taken = sorted(bytes(r["w"]) for r in learned.where("w is not null").select("w").collect())
-    windows = np.frombuffer(b"".join(taken), np.uint16).reshape(-1, WINDOW + 1)
-    model.train(windows.astype(np.int64), steps)
+    learn_weights(learned.where("w is not null").select("w", "round"), model, steps)
     return model
 
 
