@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from wardstat.functions.sieve import Sieve, bits_for
 from wardstat.operators.intervals import _leaf, _tree, band_join, containment_join
-from wardstat.operators.intervals import interval_nodes, point_nodes
+from wardstat.operators.intervals import interval_nodes, point_nodes, reached_levels
+from wardstat.operators.intervals import upper_levels, wide_nodes, wide_point_nodes
 
 BASE = dt.date(2010, 1, 1)
 
@@ -154,6 +155,50 @@ def test_interval_copies_grow_with_the_logarithm(spark):
         assert max(held) - min(held) + 1 == len(held)
 
 
+def test_few_levels_hold_each_leaf_once(spark):
+    rnd = random.Random(31)
+    for width in (1, 28, 365):
+        height = _tree(width)[1]
+        rows = []
+        for n in [*range(40), 63, 64, 65, 86, 500, 511, 512, 513, 1900]:
+            for _ in range(6):
+                lo = rnd.choice([0, 8, 64, 511, 512, rnd.randint(0, 1 << (height - 1))])
+                rows.append((min(lo, (1 << height) - 1), min(lo + n, (1 << height) - 1)))
+        iv = spark.createDataFrame(rows, "lo long, hi long")
+        levels = upper_levels(height)
+        for r in iv.select("lo", "hi", wide_nodes("lo", "hi", height).alias("x"),
+                           reached_levels("lo", "hi", height).alias("r")).collect():
+            held, used = [], set()
+            for node in r["x"]:
+                level = height - (node.bit_length() - 1)
+                used.add(level)
+                at = (node - (1 << (height - level))) << level
+                held += range(at, at + (1 << level))
+            assert sorted(held) == list(range(r["lo"], r["hi"] + 1))
+            assert used <= {0, *(levels[k] for k in r["r"])}
+            assert len(r["x"]) <= 14 * (1 + len(r["r"]))
+
+
+def test_points_are_copied_only_to_levels_that_intervals_reach(spark):
+    """Years-long periods of every key: 3 rows a point, where all 12 levels were used."""
+    iv = spark.createDataFrame([(k, day(40 * k), day(40 * k + 1500 + 20 * k)) for k in range(60)],
+                               "k long, s date, e date")
+    p = spark.createDataFrame([(k, day(40 * k + 9 * j)) for k in range(60) for j in range(20)],
+                              "k long, d date")
+    joined = containment_join(p, iv, ["k"], "d", "s", "e")
+    assert joined.count() == 1200
+    height = _tree(28)[1]
+    assert upper_levels(height) == [3, 6, 9]
+    placed = iv.withColumns({"lo": _leaf(F.col("s"), 28), "hi": _leaf(F.col("e"), 28)})
+    known = placed.select("k", F.explode(reached_levels("lo", "hi", height)).alias("part"))
+    sieve = Sieve(known, 1 << 12, part="part", parts=3)
+    at = p.withColumns({"at": _leaf(F.col("d"), 28),
+                        **{f"f{i}": sieve.may_hold(p, ["k"], i) for i in range(3)}})
+    most = at.select(F.size(wide_point_nodes("at", ["f0", "f1", "f2"], height)).alias("n"))
+    n = sorted(r["n"] for r in most.collect())
+    assert n[0] == 2 and n[-1] == 3     # none reaches the level of 512 buckets
+
+
 def test_points_are_copied_only_for_keys_with_long_intervals(spark):
     iv = spark.createDataFrame([(1, day(0), day(9)), (2, day(0), day(9000))],
                                "k long, s date, e date")

@@ -40,25 +40,31 @@ def _places(frame: DataFrame, names: Sequence[str], bits: int, hashes: int) -> l
 
 
 class Sieve:
-    """The distinct rows of ``keys`` (all its columns) in ``bits`` bits."""
+    """The distinct rows of ``keys`` (all its columns) in ``bits`` bits.  With ``part``, a
+    column of whole numbers below ``parts`` that is no part of the key, each number's rows
+    have bits of their own, so a set with many keys does not fill those of another."""
 
-    def __init__(self, keys: DataFrame, bits: int, hashes: int = HASHES):
+    def __init__(self, keys: DataFrame, bits: int, hashes: int = HASHES,
+                 part: str | None = None, parts: int = 1):
         if bits < 64 or bits & (bits - 1) or bits > MAX_BITS:
             raise ValueError(f"bits must be a power of two from 64 to {MAX_BITS}")
         self.bits, self.hashes = bits, hashes
-        places = ", ".join(_places(keys, keys.columns, bits, hashes))
+        names = [c for c in keys.columns if c != part]
+        own = f" + {part} * {bits}L" if part else ""
+        places = ", ".join(p + own for p in _places(keys, names, bits, hashes))
         ones = keys.selectExpr(f"explode(array({places})) AS place").selectExpr(
             "shiftright(place, 6) AS word", "shiftleft(1L, CAST(place & 63 AS INT)) AS ones")
-        zeros = keys.sparkSession.range(bits // 64).selectExpr("id AS word", "0L AS ones")
+        zeros = keys.sparkSession.range(parts * bits // 64).selectExpr("id AS word", "0L AS ones")
         self.words = ones.union(zeros).groupBy("word").agg(F.expr("bit_or(ones) AS ones")).agg(
             F.expr("transform(array_sort(collect_list(struct(word, ones))), x -> x.ones) AS words"))
 
-    def may_hold(self, rows: DataFrame, names: Sequence[str]) -> Column:
-        """Whether the columns ``names`` of ``rows`` may be a key."""
+    def may_hold(self, rows: DataFrame, names: Sequence[str], part: int = 0) -> Column:
+        """Whether the columns ``names`` of ``rows`` may be a key (of a part)."""
         words = self.words.scalar()
         known = None
         for place in _places(rows, names, self.bits, self.hashes):
-            word = F.element_at(words, F.expr(f"CAST(shiftright({place}, 6) + 1 AS INT)"))
+            word = F.element_at(words, F.expr(
+                f"CAST(shiftright({place}, 6) + {part * self.bits // 64 + 1} AS INT)"))
             hit = F.getbit(word, F.expr(f"CAST({place} & 63 AS INT)")) == 1
             known = hit if known is None else known & hit
         return known
