@@ -286,7 +286,9 @@ def learn_weights(windows: DataFrame, model: Attention, steps: int = STEPS) -> i
     many windows it went over, repeats aside.  The driver gets ``PACKS`` sets of weights a
     round at most."""
     total = windows.count()
-    passes = max(1, -(-steps // max(1, -(-total // BATCH))))
+    # a partition of a small table goes over its windows until it has made the steps
+    batches = max(1, total // BATCH // windows.rdd.getNumPartitions())
+    passes = -(-steps // batches)
     learned = 0
     for turn, (_, rate) in enumerate(ROUNDS):
         send = windows.sparkSession.sparkContext.broadcast(model)
