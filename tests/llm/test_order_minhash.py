@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tests.llm.util import docs, words
+from wardstat.llm import common, order_minhash
 from wardstat.llm.components import components
 from wardstat.llm.order_minhash import alignment, near_classes, sequence, sketch
 
@@ -123,3 +124,49 @@ def test_nulls_repeats_and_empty_tables(spark):
     none = [r for r in rows if r["class_id"] is None]
     assert len(none) == 2 and sum(r["kept"] for r in none) == 1
     assert near_classes(docs(spark, [(1, "a")]).where("false")).count() == 0
+
+
+def test_sequences_are_filtered_in_the_scan(spark, monkeypatch):
+    """No sequence is shuffled to find those of the pairs, however many pairs there are."""
+    frames = []
+
+    def cut(df, *sort):
+        frames.append(df)
+        return common.cut(df, *sort)
+
+    monkeypatch.setattr(order_minhash, "cut", cut)
+    rng = random.Random(8)
+    texts = [words(rng, 60, 10**6) for _ in range(30)]
+    texts += [edits(rng, t, 1) for t in texts[:10]]
+    table = docs(spark, list(enumerate(texts)))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_classes(table)
+        assert got.where("class_size = 2").count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    some = [df for df in frames if df.columns == ["node", "seq"]]
+    assert some
+    for df in some:
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    sought = spark.range(0, 40, 3).toDF("node")
+    rows = spark.range(40).toDF("node")
+    found = {r["node"] for r in order_minhash._of(sought, rows).collect()}
+    assert found >= set(range(0, 40, 3)) and len(found) < 40
+
+
+def test_a_round_of_components_groups_three_times(spark, monkeypatch):
+    written = []
+
+    def cut(df, *sort):
+        written.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hash"))
+        return common.cut(df, *sort)
+
+    monkeypatch.setitem(components.__globals__, "cut", cut)
+    links = spark.createDataFrame([(k, k + 1) for k in range(5)] + [(9, 9), (7, 8), (8, 7)],
+                                  "a long, b long")
+    got = {(r["node"], r["root"]) for r in components(links).collect()}
+    assert got == {(k, 0) for k in range(6)} | {(7, 7), (8, 7)}
+    rounds = len(written) // 4      # one table of links, and four a round
+    assert rounds and sum(written) == 1 + 3 * rounds

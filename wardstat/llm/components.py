@@ -15,15 +15,19 @@ from wardstat.llm.common import cut
 
 
 def _lowest(links: DataFrame) -> DataFrame:
-    return links.join(cut(links.groupBy("u").agg(F.min("v").alias("m"))), "u")
+    """(u, m): the lowest ``v`` of every ``u``."""
+    return cut(links.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def _is_forest(links: DataFrame) -> bool:
     """Every node has one link, to a node that has none: each component is a star
     around its smallest node."""
-    several = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
-    inner = links.select(F.col("v").alias("u")).join(links.select("u"), "u", "left_semi")
-    return several.unionByName(inner).isEmpty()
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("to")),
+        F.struct(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("to")))).alias("e"))
+    most = F.max(F.col("out") + F.col("to"))
+    return (ends.groupBy("e.x").agg(F.sum("e.out").alias("out"), F.max("e.to").alias("to"))
+            .agg(most.alias("most")).first()["most"] or 0) <= 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,10 +38,12 @@ def components(links: DataFrame) -> DataFrame:
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while not _is_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(_lowest(both).where("v > u")
-                    .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        small = _lowest(large).select("v", "m").where("v != m").toDF("u", "v")
-        now = cut(small.unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct())
+        # a row per link at most, so repeats can stay until the end of the round
+        large = cut(both.join(_lowest(both), "u").where("v > u")
+                    .select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
+        lowest = _lowest(large)
+        small = large.join(lowest, "u").where("v != m").select("v", "m")
+        now = cut(small.toDF("u", "v").unionByName(lowest.toDF("u", "v")).distinct())
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))
                              .distinct())

@@ -40,6 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstat.functions.sieve import MAX_BITS, Sieve
 from wardstat.llm.common import cut, text_of
 from wardstat.llm.components import components
 from wardstat.llm.shingles import labelled, shingle_hashes, word_hashes
@@ -125,6 +126,12 @@ def _sequences(texts: DataFrame) -> DataFrame:
                                        "keys array<long>, bits binary, seq binary")
 
 
+def _of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` and perhaps a few more: a filter in the scan, so the others
+    are not shuffled, whatever the number of nodes."""
+    return rows.where(Sieve(nodes.toDF("node"), MAX_BITS).may_hold(rows, ["node"]))
+
+
 def _compared(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     """(node, leader, far): one minus the similarity of each pair; for pairs below
     the threshold a lower bound of it."""
@@ -134,9 +141,7 @@ def _compared(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
                    for a, b in zip(pdf["a"], pdf["b"])]
             yield pd.DataFrame({"node": pdf["node"], "leader": pdf["leader"], "far": far})
 
-    # only the sequences of these nodes are shuffled
-    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
-    some = cut(seqs.join(wanted, "node", "left_semi").select("node", "seq"))
+    some = cut(_of(pairs.select("node").union(pairs.select("leader")), seqs))
     a = some.select("node", F.col("seq").alias("a"))
     b = some.select(F.col("node").alias("leader"), F.col("seq").alias("b"))
     return (pairs.join(a.hint("merge"), "node").join(b.hint("merge"), "leader").select("node", "leader", "a", "b")
@@ -235,7 +240,8 @@ def _candidates(mixed: DataFrame, table: DataFrame, threshold: float,
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (mixed.withColumn("blocks", blocks).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    rows = table.select(F.col("row").alias("node"), "n", "keys", "bits")
+    rows = _of(mixed.select("node"),
+               table.select(F.col("row").alias("node"), "n", "keys", "bits"))
     met = (dealt.select("key", "node", "class", F.least("own", "other").alias("i"),
                         F.greatest("own", "other").alias("j"),
                         (F.col("own") > F.col("other")).alias("side"))
@@ -303,8 +309,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # most pairs that the bitmaps allow are links: first as few as connect the same
     # classes, then all that are between two classes still
     for forest in (True, False):
-        rest = cut(_candidates(cut(_mixed(members, links)), table, threshold, forest))
+        mixed = cut(_mixed(members, links))
+        rest = cut(_candidates(mixed, table, threshold, forest))
         links = links.unionByName(linked(rest))
+        members = mixed.select("key", "node")   # keys of one class stay so
     classed = nodes.join(components(links), "node", "left").select(
         "same", "node", F.coalesce("root", "node").alias("class"))
     rows = cut(table.select("row", "doc_id", "same").join(cut(classed.select("same", "class")),
