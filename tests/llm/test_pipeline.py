@@ -1,5 +1,8 @@
 import random
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import test_line_dedup, test_order_minhash, test_packing, test_secrets
 from tests.llm.util import docs, words
@@ -70,3 +73,26 @@ def test_empty_and_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = cut(stage(spark, now, None))
         now.collect()
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """Long texts do not wait in a task by the ten thousand."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    table = spark.range(6000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.expr("repeat('abcde ', 1000)").alias("text"),
+        F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    for own in (None, "1m"):
+        spark.conf.unset(name)
+        if own:
+            spark.conf.set(name, own)
+        try:
+            stage = corpus_pipeline.language_id(spark, table, "")
+            most = stage.mapInPandas(sizes, "n int").agg(F.max("n")).first()[0]
+        finally:
+            spark.conf.unset(name)
+        assert most * 6000 <= (1 << 20 if own else 1 << 22) + 6000

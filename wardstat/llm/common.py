@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstat.session import ensure_checkpoint_dir
 
 
+BATCH_BYTES = "4m"      # of rows that go to Python or come back at once
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes, unless it does so itself: Spark's
+    default is 64 MB in each task, several times that as Python texts."""
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Called in a Python worker after a batch: what was freed goes back to the system.
+    Workers that wait for their next task would hold it beside those that run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # not glibc
+        pass
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -32,6 +56,7 @@ def cut(df: DataFrame, *sort: str) -> DataFrame:
     table instead of recomputing it, and values that depend on the order of
     rows are fixed from then on."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

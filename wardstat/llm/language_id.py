@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardstat.llm.common import cut
+from wardstat.llm.common import cut, give_back
 
 PROFILE_GRAMS = 300
 SAMPLE_DOCS = 3000
@@ -118,6 +118,7 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
                 every, at = np.unique(np.concatenate(codes), return_inverse=True)
                 n = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
                 yield pd.DataFrame({"lang": lang, "gram": every.astype(np.int64), "n": n})
+            give_back()
 
     # written down: the corpus is scanned once, however many languages there are
     grams = cut(sample.mapInPandas(count, "lang string, gram long, n long")
@@ -135,7 +136,9 @@ def predicted(text: Column, profiles: Profiles) -> Column:
     """Column struct(lang_pred, score) of a text column."""
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+        give_back()
+        return out
 
     return predict(text)
 

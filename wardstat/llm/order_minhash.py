@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.functions.sieve import MAX_BITS, Sieve
-from wardstat.llm.common import cut, text_of
+from wardstat.llm.common import cut, give_back, text_of
 from wardstat.llm.components import components
 from wardstat.llm.shingles import labelled, shingle_hashes, word_hashes
 
@@ -121,6 +121,7 @@ def _sequences(texts: DataFrame) -> DataFrame:
                             bitmap(seq).tobytes() if len(seq) else b"",
                             (seq >> np.uint64(32)).astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["row", "doc_id", "same", "n", "keys", "bits", "seq"])
+            give_back()
 
     return texts.mapInPandas(sketches, "row long, doc_id long, same binary, n int, "
                                        "keys array<long>, bits binary, seq binary")
@@ -140,6 +141,7 @@ def _compared(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
             far = [1 - alignment(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), threshold)
                    for a, b in zip(pdf["a"], pdf["b"])]
             yield pd.DataFrame({"node": pdf["node"], "leader": pdf["leader"], "far": far})
+            give_back()
 
     some = cut(_of(pairs.select("node").union(pairs.select("leader")), seqs))
     a = some.select("node", F.col("seq").alias("a"))
@@ -259,6 +261,7 @@ def _candidates(mixed: DataFrame, table: DataFrame, threshold: float,
         if rest is not None and len(rest):
             by = rest[["key", "i", "j"]].to_numpy()
             yield found(rest, by, np.array([0, len(rest)]))
+        give_back()
 
     def found(pdf, by, cuts) -> pd.DataFrame:
         out: list[tuple[int, int]] = []

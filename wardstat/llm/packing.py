@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.llm.bpe import encoder
-from wardstat.llm.common import cut, id_text
+from wardstat.llm.common import cut, give_back, id_text
 
 END_ID = 1
 CAPACITY = 2048
@@ -89,6 +89,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
                 rows += [(doc_id, s, min(capacity, n - s), n, ids[4 * s:4 * (s + capacity)])
                          for s in range(0, n, capacity)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
+            give_back()
 
     return id_text(docs, id_col, text_col).mapInPandas(pieces, PIECES)
 
