@@ -134,7 +134,9 @@ def _run(ds, diagnosis, complications, out, cohort_spec, spec, descriptions, mod
     analysed = diagnosis.restrict_to(complications).df.select("procedure")
     write_partitioned_csv(card, f"{out}/scorecard", "procedure", mode=mode, keys=analysed,
                           order=[F.desc("PROCEDURE_COUNT"), "PROVIDER_ID"])
-    write_csv(readm, f"{out}/readmissions", mode=mode)
+    # in order, so the files do not depend on how the dictionaries were joined
+    write_csv(readm.repartitionByRange(*readm.columns).sortWithinPartitions(*readm.columns),
+              f"{out}/readmissions", mode=mode)
 
     # One pass over the event tables counts every listed code, for all types
     # and for primary types; the four code reports are small joins on it.
