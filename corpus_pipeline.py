@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm.common import cut, read_table
+from wardstat.llm.common import cut, read_table, small_batches
 from wardstat.llm.language_id import UNKNOWN, learn_profiles, predicted
 from wardstat.llm.line_dedup import dedup_lines
 from wardstat.llm.order_minhash import near_classes
@@ -38,6 +38,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     profiles = learn_profiles(docs)
     if not profiles.langs:      # nothing to tell languages by
         return docs.where(F.col("text").rlike(r"\p{L}"))

@@ -14,14 +14,19 @@ from wardstat.session import ensure_checkpoint_dir
 
 
 BATCH_BYTES = "4m"      # of rows that go to Python or come back at once
-_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+READ_ROWS = 512         # rows that a Parquet scan decodes at once
+GROUP_BYTES = 8 << 20   # of a row group that is written, and read at once
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+            "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches in bytes, unless it does so itself: Spark's
-    default is 64 MB in each task, several times that as Python texts."""
-    if spark.conf.get(_BATCHES, None) is None:
-        spark.conf.set(_BATCHES, BATCH_BYTES)
+    """Bound the session's batches, unless it does so itself.  Spark's defaults are 64 MB
+    of Arrow in each task, several times that as Python texts, and 4096 rows of a scan,
+    whose texts lie in one array that doubles until they fit."""
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def give_back() -> None:
@@ -58,7 +63,9 @@ def cut(df: DataFrame, *sort: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    out = df.sortWithinPartitions(*sort) if sort else df
+    # a task holds a row group of what it writes and of what it reads
+    out.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
