@@ -8,7 +8,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 from tests.llm.util import docs, words
-from wardstat.llm import lm_score
+from wardstat.llm import attention, lm_score
 from wardstat.llm.attention import STRIDE, WINDOW, Attention
 from wardstat.llm.lm_score import score_documents, words_of
 
@@ -225,6 +225,51 @@ def test_weights_are_averaged_by_windows():
     assert all((net.p[k] == other.p[k]).all() for k in net.p)
 
 
+def test_words_encoded_together_have_their_own_ids():
+    r = random.Random(11)
+    letters = [*"abcdefgh'sdt.,!?;:-_<|>/0123", "'s", "'ll", "<|endoftext|>", "\x00", "é", "È"]
+    enc = lm_score.encoder(PATH)
+    for k in range(300):
+        odd = ["\x1c", "\x1f", "\x85", "\xa0", "中", "\u2003", "’"] if k % 3 == 0 else []
+        text = " ".join("".join(r.choices(letters + odd, k=r.randrange(1, 12)))
+                        for _ in range(r.randrange(0, 30)))
+        own = words_of(text)
+        ids, sizes = lm_score.ids_of(enc, own)
+        want = [enc.library.encode(" " + w.decode(), add_special_tokens=False).ids for w in own]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [x for part in want for x in part]
+    symbols = lm_score.Symbols(PATH, {int(k): 1 for k in ids}, 1)
+    added, asked = (lm_score._WordSymbols(PATH, symbols) for _ in range(2))
+    added.add([own, own, []])
+    assert set(added) == set(own)
+    for w in own:
+        assert added[w][0] == asked[w][0] and abs(added[w][1] - asked[w][1]) < 1e-9
+
+
+def test_no_array_of_a_step_or_of_scoring_grows_with_the_batch(monkeypatch):
+    """Windows are computed in parts that stay in the cache, with the same sums."""
+    r, seen = np.random.default_rng(8), []
+    net = Attention(40, np.ones(40), after=r.integers(0, 9, (40, 40)).astype(float),
+                    begins=r.random(40) < 0.4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = r.integers(0, 40, (70, WINDOW + 1))
+    real = Attention._in_class
+    monkeypatch.setattr(Attention, "_in_class", lambda self, h, *a: seen.append(len(h)) or real(self, h, *a))
+    found = []
+    for size in (70, 64, 16, 1):
+        monkeypatch.setattr(attention, "CHUNK", size)
+        found.append(net.gradients(x[:, :-1], x[:, 1:]))
+        assert max(seen) == size * WINDOW
+        seen.clear()
+    monkeypatch.undo()
+    for loss, g in found[1:]:
+        assert abs(loss - found[0][0]) < 1e-9
+        assert all(np.allclose(g[k], found[0][1][k], atol=1e-9) for k in g)
+    monkeypatch.setattr(Attention, "_in_class", lambda self, h, *a: seen.append(len(h)) or real(self, h, *a))
+    net.gradients(*np.split(np.resize(x, (512, WINDOW)), 2))
+    assert max(seen) <= 64 * WINDOW         # a whole batch of 256 windows before
+
+
 def test_classes_hold_every_symbol_once():
     """The two levels give each symbol its share, whatever the sizes of the classes."""
     r = np.random.default_rng(3)

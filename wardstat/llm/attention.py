@@ -19,7 +19,8 @@ CONTEXT = WINDOW - STRIDE
 WIDTH = 24
 HIDDEN = 64
 BATCH = 256             # windows trained on at once
-SCORED = 256            # windows scored at once
+CHUNK = 64              # windows whose gradients are added at once: they stay in the cache
+SCORED = 128            # windows scored at once
 GROUP = 16              # symbols of a class
 STEPS = 600
 RATE = 4e-3
@@ -83,86 +84,133 @@ class Attention:
             self.p[k] = flat[at:at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
             at += self.p[k].size
 
-    def _in_class(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+    def _tables(self) -> tuple:
+        """What the weights give for each symbol and for each place before they are added
+        (embedding, scaled query, key and value); the logits of the classes by the symbol
+        before, and of the symbols in a class by that and the class."""
+        p, d, many = self.p, WIDTH, len(self.first)
+        scaled = p["qkv"].copy()
+        scaled[:, :d] *= d ** -0.5
+        by_symbol, by_place = (np.concatenate([p[k], p[k] @ scaled], axis=1)
+                               for k in ("embed", "place"))
+        starts, own = p["class0"][None], (p["out0"] + self.empty).reshape(many, GROUP)
+        if self.prior is not None:
+            starts = starts + self.prior[0]
+            own = (own + self.prior[1].reshape(-1, many, GROUP)).reshape(-1, GROUP)
+        return by_symbol, by_place, starts, own
+
+    def _in_class(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple:
         """Positions ordered by the class of the symbol ``y``, where each class ends, and
         there the logits of the class's symbols."""
-        place = self.place[y]
+        place = self.place.take(y)
         group = (place // GROUP).astype(np.uint16)
         order = np.argsort(group, kind="stable")
-        group, h = group[order], h[order]
+        group, h = group.take(order), h.take(order, axis=0)
         ends = np.searchsorted(group, np.arange(len(self.first) + 1))
-        out, out0 = self.p["out"], self.p["out0"] + self.empty
+        out = self.p["out"]
         logits = np.empty((len(h), GROUP), h.dtype)
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if a < b:
                 np.matmul(h[a:b], out[k * GROUP:(k + 1) * GROUP].T, out=logits[a:b])
-                logits[a:b] += out0[k * GROUP:(k + 1) * GROUP]
         if self.prior is not None:
-            logits += self.prior[1][x[order] * len(self.first) + group]
-        return order, ends, h, logits, place[order] % GROUP
+            logits += own.take(x.take(order) * len(self.first) + group, axis=0)
+        else:
+            logits += own.take(group, axis=0)
+        return order, ends, h, logits, place.take(order) % GROUP
 
     # -- training ---------------------------------------------------------
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean loss of symbols ``y`` after ``x`` (windows by places), gradients."""
-        p, d, n = self.p, WIDTH, x.size
-        e = p["embed"][x] + p["place"]
-        q, k, v = np.split(e @ p["qkv"], 3, axis=2)
-        scale = np.float32(d ** -0.5)
-        s = q @ k.transpose(0, 2, 1) * scale + CAUSAL
-        a = np.exp(s - s.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        o = a @ v
-        h1 = e + o @ p["mixed"]
-        z = np.maximum(h1 @ p["up"] + p["up0"], 0)
-        h2 = (h1 + z @ p["down"]).reshape(n, d)
-        before, flat, rows = x.reshape(-1), y.reshape(-1), np.arange(n)
-        logits = h2 @ p["class"].T + p["class0"]
-        if self.prior is not None:
-            logits += self.prior[0][before]
-        logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits, out=logits)
-        prob /= prob.sum(axis=1, keepdims=True)
-        order, ends, sorted_h, logits, nth = self._in_class(h2, before, flat)
-        logits -= logits.max(axis=1, keepdims=True)
-        own = np.exp(logits, out=logits)
-        own /= own.sum(axis=1, keepdims=True)
-        group = self.place[flat] // GROUP
-        loss = -(np.log(prob[rows, group] + 1e-30).mean() + np.log(own[rows, nth] + 1e-30).mean())
-        prob[rows, group] -= 1
+        p, d, tables, loss = self.p, WIDTH, self._tables(), 0.0
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        back = np.empty((*x.shape, 4 * d), p["embed"].dtype)    # of the rows of the tables
+        for k in range(0, len(x), CHUNK):
+            own = slice(k, k + CHUNK)
+            loss += self._add_gradients(x[own], y[own], x.size, tables, g, back[own])
+        ones = np.ones(x.size, back.dtype)
+        by_place = (ones[:len(x)] @ back.reshape(len(x), -1)).reshape(WINDOW, -1)
+        order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
+        before, back = x.take(order), back.reshape(x.size, -1).take(order, axis=0)
+        first = np.flatnonzero(np.diff(before, prepend=-1))
+        by_symbol = np.zeros((len(p["embed"]), 4 * d), back.dtype)
+        for row, at, end in zip(before[first].tolist(), first.tolist(),
+                                [*first[1:].tolist(), len(before)]):
+            np.matmul(ones[at:end], back[at:end], out=by_symbol[row])
+        # from the sums by symbol and by place to the weights that made the tables
+        for name, table in (("embed", by_symbol), ("place", by_place)):
+            table[:, d:2 * d] *= d ** -0.5
+            g[name] += table[:, :d] + table[:, d:] @ p["qkv"].T
+            g["qkv"] += p[name].T @ table[:, d:]
+        return loss, g
+
+    def _add_gradients(self, x: np.ndarray, y: np.ndarray, n: int, tables: tuple, g: dict,
+                       back: np.ndarray) -> float:
+        """The part of some windows in the loss of ``n`` symbols; adds theirs to ``g``, and
+        sets ``back`` to those of the sums of the tables' rows."""
+        p, d = self.p, WIDTH
+        of_symbol, of_place, starts, own0 = tables
+        whole = of_symbol.take(x, axis=0)
+        whole += of_place
+        e, q, k, v = (whole[:, :, i * d:(i + 1) * d] for i in range(4))
+        ones = np.ones(x.size, whole.dtype)
+        a = k @ q.transpose(0, 2, 1)        # keys by queries
+        a += CAUSAL.T
+        a -= a.max(axis=1, keepdims=True)
+        np.exp(a, out=a)
+        a /= (ones[:WINDOW] @ a)[:, None]
+        o = (a.transpose(0, 2, 1) @ v).reshape(x.size, d)
+        h1 = o @ p["mixed"]
+        h1.reshape(e.shape)[...] += e
+        z = h1 @ p["up"]
+        z += p["up0"]
+        np.maximum(z, 0, out=z)
+        h2 = z @ p["down"]
+        h2 += h1
+        before, flat, rows = x.reshape(-1), y.reshape(-1), np.arange(x.size)
+        prob = h2 @ p["class"].T
+        prob += starts.take(before, axis=0) if self.prior is not None else starts
+        prob -= prob.max(axis=1, keepdims=True)
+        np.exp(prob, out=prob)
+        prob /= (prob @ ones[:prob.shape[1]])[:, None]
+        order, ends, sorted_h, own, nth = self._in_class(h2, before, flat, own0)
+        own -= own.max(axis=1, keepdims=True)
+        np.exp(own, out=own)
+        own /= (own @ ones[:GROUP])[:, None]
+        at_class = rows * prob.shape[1] + self.place.take(flat) // GROUP
+        at_own = rows * GROUP + nth
+        loss = -(np.log(prob.take(at_class) + 1e-30) + np.log(own.take(at_own) + 1e-30)).sum() / n
+        prob.reshape(-1)[at_class] -= 1
         prob /= n
-        own[rows, nth] -= 1
+        own.reshape(-1)[at_own] -= 1
         own /= n
-        g = {"class": prob.T @ h2, "class0": prob.sum(axis=0),
-             "out": np.zeros_like(p["out"]), "out0": np.zeros_like(p["out0"])}
-        dh2 = prob @ p["class"]
-        back = np.empty_like(sorted_h)
-        for nth, (at, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-            mine, rows = slice(nth * GROUP, (nth + 1) * GROUP), slice(at, end)
+        g["class"] += prob.T @ h2
+        g["class0"] += ones @ prob
+        dh2 = np.empty_like(sorted_h)
+        for i, (at, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if at < end:
-                np.matmul(own[rows], p["out"][mine], out=back[rows])
-                g["out"][mine] = own[rows].T @ sorted_h[rows]
-                g["out0"][mine] = own[rows].sum(axis=0)
-        dh2[order] += back
-        dh2 = dh2.reshape(e.shape)
-        f = lambda t: t.reshape(-1, t.shape[-1])
-        g["down"] = f(z).T @ f(dh2)
-        dz = (dh2 @ p["down"].T) * (z > 0)
-        g["up"], g["up0"] = f(h1).T @ f(dz), f(dz).sum(axis=0)
-        dh1 = dh2 + dz @ p["up"].T
-        g["mixed"] = f(o).T @ f(dh1)
-        do = dh1 @ p["mixed"].T
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=2)
-        g["qkv"] = f(e).T @ f(dqkv)
-        de = dh1 + dqkv @ p["qkv"].T
-        g["place"] = de.sum(axis=0)
-        order = np.argsort(x, axis=None, kind="stable")
-        sorted_x = x.reshape(-1)[order]
-        starts = np.flatnonzero(np.diff(sorted_x, prepend=-1))
-        g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][sorted_x[starts]] = np.add.reduceat(f(de)[order], starts)
-        return float(loss), g
+                mine = slice(i * GROUP, (i + 1) * GROUP)
+                np.matmul(own[at:end], p["out"][mine], out=dh2[at:end])
+                g["out"][mine] += own[at:end].T @ sorted_h[at:end]
+                g["out0"][mine] += ones[at:end] @ own[at:end]
+        place = np.empty_like(order)
+        place[order] = rows
+        dh = prob @ p["class"]
+        dh += dh2.take(place, axis=0)
+        g["down"] += z.T @ dh
+        dz = dh @ p["down"].T
+        dz *= z > 0
+        g["up"] += h1.T @ dz
+        g["up0"] += ones @ dz
+        dh += dz @ p["up"].T
+        g["mixed"] += o.T @ dh
+        do = (dh @ p["mixed"].T).reshape(e.shape)
+        ds = v @ do.transpose(0, 2, 1)
+        ds -= np.einsum("ijk,ijk->ik", ds, a)[:, None]
+        ds *= a
+        back[:, :, :d] = dh.reshape(e.shape)
+        for i, (left, right) in enumerate(((ds.transpose(0, 2, 1), k), (ds, q), (a, do)), 1):
+            np.matmul(left, right, out=back[:, :, i * d:(i + 1) * d])
+        return float(loss)
 
     def train(self, windows: np.ndarray, steps: int = STEPS, seed: int = 7) -> float:
         """Adam on ``windows`` of WINDOW + 1 symbols; the mean loss at the end."""
@@ -173,39 +221,40 @@ class Attention:
         return float(np.mean(last)) if last else 0.0
 
     # -- scoring ----------------------------------------------------------
-    def _windows(self, x: np.ndarray, y: np.ndarray, first: int) -> tuple:
+    def _windows(self, x: np.ndarray, y: np.ndarray, first: int, tables: tuple = ()) -> tuple:
         """Log probabilities of y[:, first:] after windows x, and of any symbol there that
         begins a word."""
         p, d = self.p, WIDTH
-        e = p["embed"][x] + p["place"]
-        q = e[:, first:] @ (p["qkv"][:, :d] * np.float32(d ** -0.5))
-        kv = e @ p["qkv"][:, d:]
-        s = q @ kv[:, :, :d].transpose(0, 2, 1)
-        s += CAUSAL[first:]
-        a = np.exp(s, out=s)
-        o = a @ kv[:, :, d:]
-        o /= a.sum(axis=2, keepdims=True)
-        h = (e[:, first:] + o @ p["mixed"]).reshape(-1, d)
+        of_symbol, of_place, starts, own0 = tables or self._tables()
+        whole = of_symbol.take(x, axis=0)
+        whole += of_place
+        e, q = whole[:, first:, :d], whole[:, first:, d:2 * d]
+        k, v = whole[:, :, 2 * d:3 * d], whole[:, :, 3 * d:]
+        # trained weights keep scores and logits far from the range of a float
+        a = k @ q.transpose(0, 2, 1)        # keys by queries
+        a += CAUSAL[first:].T
+        np.exp(a, out=a)
+        o = a.transpose(0, 2, 1) @ v
+        o /= (np.ones(WINDOW, a.dtype) @ a)[:, :, None]
+        h = o.reshape(-1, d) @ p["mixed"]
+        h += e.reshape(-1, d)
         z = h @ p["up"]
         z += p["up0"]
-        h = h + np.maximum(z, 0, out=z) @ p["down"]
-        target = y[:, first:].reshape(-1)
-        before, rows = x[:, first:].reshape(-1), np.arange(len(target))
-        # trained weights keep scores and logits far from the range of a float
+        h += np.maximum(z, 0, out=z) @ p["down"]
+        target, before = y[:, first:].reshape(-1), x[:, first:].reshape(-1)
+        rows, many = np.arange(len(target)), len(self.first)
         logits = h @ p["class"].T
-        logits += p["class0"]
-        if self.prior is not None:
-            logits += self.prior[0][before]
-        chosen = logits[rows, self.place[target] // GROUP]
-        total, begun = (np.exp(logits, out=logits) @ np.stack(
-            [np.ones(len(self.first)), self.first], axis=1).astype(np.float32)).T
-        log_total = np.log(total)
-        order, _, _, logits, nth = self._in_class(h, before, target)
-        own = logits[rows, nth]
-        own -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        logits += starts.take(before, axis=0) if self.prior is not None else starts
+        chosen = logits.take(rows * many + self.place.take(target) // GROUP)
+        sums = np.exp(logits, out=logits) @ np.stack(
+            [np.ones(many), self.first], axis=1).astype(logits.dtype)
+        log_total, begun = np.log(sums).T
+        order, _, _, logits, nth = self._in_class(h, before, target, own0)
+        own = logits.take(rows * GROUP + nth)
+        own -= np.log(np.exp(logits, out=logits) @ np.ones(GROUP, logits.dtype))
         chosen -= log_total
         chosen[order] += own
-        return (chosen.reshape(len(x), -1), (np.log(begun) - log_total).reshape(len(x), -1))
+        return chosen.reshape(len(x), -1), (begun - log_total).reshape(len(x), -1)
 
     def score(self, y: np.ndarray, size: np.ndarray, start: int) -> tuple:
         """Natural log probability of every symbol of ``y``, which holds documents of
@@ -225,14 +274,14 @@ class Attention:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         at = (ends - size)[owner] + nth * STRIDE
         left = ends[owner] - at
-        span = np.arange(WINDOW)
+        span, tables = np.arange(WINDOW), self._tables()
         for own, first in ((nth == 0, 0), (nth > 0, CONTEXT)):
             rows = np.flatnonzero(own)
             for k in range(0, len(rows), SCORED):
                 r = rows[k:k + SCORED]
                 inside = span < left[r][:, None]
                 place = np.where(inside, at[r][:, None] + span, 0)
-                got, begun = self._windows(x[place], y[place], first)
+                got, begun = self._windows(x.take(place), y.take(place), first, tables)
                 valid = inside[:, first:]
                 out[place[:, first:][valid]] = got[valid]
                 border[place[:, first:][valid]] = begun[valid]

@@ -16,6 +16,7 @@ from wardstat.session import ensure_checkpoint_dir
 BATCH_BYTES = "4m"      # of rows that go to Python or come back at once
 READ_ROWS = 512         # rows that a Parquet scan decodes at once
 GROUP_BYTES = 8 << 20   # of a row group that is written, and read at once
+KEPT_BYTES = 32 << 20   # of freed memory that a worker keeps for its next arrays
 _BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
             "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)}
 
@@ -39,6 +40,18 @@ def give_back() -> None:
         pass
 
 
+def keep_freed() -> None:
+    """Called in a Python worker that makes arrays of some hundred KB over and over: up to
+    ``KEPT_BYTES`` of freed memory stay with the process.  Otherwise each array's pages are
+    given back and faulted in anew, which takes longer than the arithmetic."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, KEPT_BYTES)        # M_TRIM_THRESHOLD
+        libc.mallopt(-3, KEPT_BYTES)        # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):   # not glibc
+        pass
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -36,9 +36,10 @@ Other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import copy
+import functools
 import hashlib
 import math
-from array import array
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,14 +50,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.llm.attention import BATCH, STEPS, WINDOW, Adam, Attention
-from wardstat.llm.bpe import encoder
-from wardstat.llm.common import cut, text_of
+from wardstat.llm.bpe import Encoder, encoder
+from wardstat.llm.common import cut, keep_freed, text_of
 
 OWN_SYMBOLS = 192       # ids with a symbol of their own
 SHARED_SYMBOLS = 63     # symbols that the others share; one more is the end
 END = 0
 FREQUENT_WORDS = 1 << 18    # bound of the table of counts that each task gets
 KEY_BYTES = 64          # longer words are known by a digest
+# blanks to a regex engine that part no words here, and what goes to the tokenizers library
+APART = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-ɏ‐-‧]")
 ROUNDS = ((1, 1.0), (2, 1.0), (5, 0.8), (8, 0.5), (16, 0.25))  # part of the windows, rate
 PACKS = 16              # groups of partitions whose weights are averaged first
 CACHE_WORDS = 300_000
@@ -127,6 +130,37 @@ class Symbols:
         self.frequency[END] = ends
 
 
+def ids_of(enc: Encoder, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a blank and each word, one word after the other, and how many each word has.
+    Words are encoded as one text: each one's first id is the only one that begins with a
+    blank.  Words whose characters might not end a pre-token there are encoded alone."""
+    texts = [" " + w.decode("utf-8", "replace") for w in words]
+    together, whole = np.ones(len(texts), bool), "".join(texts)
+    if not enc.fast or any(" " in t for t in enc.special):
+        together[:] = False
+    elif APART.search(whole):
+        together[:] = [not APART.search(t) for t in texts]
+    if not together.all():
+        whole = "".join([t for t, own in zip(texts, together.tolist()) if own])
+    ids = np.frombuffer(enc.ids(whole), np.uint32)
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[together] = np.diff(np.flatnonzero(begins_of(enc).take(ids)), append=len(ids))
+    if together.all():
+        return ids, sizes
+    alone = np.flatnonzero(~together).tolist()
+    parts = [np.frombuffer(enc.ids(texts[k]), np.uint32) for k in alone]
+    sizes[alone] = [len(part) for part in parts]
+    out, joined = np.empty(sizes.sum(), np.uint32), np.repeat(together, sizes)
+    out[joined], out[~joined] = ids, np.concatenate(parts)
+    return out, sizes
+
+
+@functools.lru_cache(maxsize=4)
+def begins_of(enc: Encoder) -> np.ndarray:
+    """Whether an id begins with a blank."""
+    return np.array([b[:1] == b" " for b in enc.bytes_of])
+
+
 class _WordSymbols(dict):
     """Word -> (its symbols as bytes, log of its ids' shares); with the counts of the
     frequent words and the denominator of the word model.  Words are kept in two
@@ -136,21 +170,35 @@ class _WordSymbols(dict):
                  size: int = 1):
         super().__init__()
         self.enc, self.frequent, self.size = encoder(path), frequent or {}, size
-        self.symbol, self.share = symbols.symbol.tolist(), symbols.share.tolist()
+        self.symbol, self.share = symbols.symbol, symbols.share
         self.older: dict[bytes, tuple[bytes, float]] = {}
 
     def __missing__(self, word: bytes):
         out = self.older.get(word)
         if out is None:
-            ids = array("I", self.enc.ids(" " + word.decode("utf-8", "replace")))
-            out = (array("H", map(self.symbol.__getitem__, ids)).tobytes(),
-                   sum(map(self.share.__getitem__, ids)))
+            ids = np.frombuffer(self.enc.ids(" " + word.decode("utf-8", "replace")), np.uint32)
+            out = self.symbol.take(ids).tobytes(), float(self.share.take(ids).sum())
+        self._keep(word, out)
+        return out
+
+    def _keep(self, word: bytes, out: tuple[bytes, float]) -> None:
         if len(word) <= KEY_BYTES:
             if len(self) >= CACHE_WORDS // 2:
                 self.older = dict(self)
                 self.clear()
             self[word] = out
-        return out
+
+    def add(self, documents: list[list[bytes]]) -> None:
+        """Encodes the documents' words that are not kept yet, all at once."""
+        new = list({w for d in documents for w in d if w not in self and w not in self.older})
+        if not new:
+            return
+        ids, sizes = ids_of(self.enc, new)
+        starts = np.cumsum(sizes) - sizes
+        raw = self.symbol.take(ids).tobytes()
+        shares = np.add.reduceat(self.share.take(ids), starts).tolist()
+        for word, at, size, share in zip(new, starts.tolist(), sizes.tolist(), shares):
+            self._keep(word, (raw[2 * at:2 * (at + size)], share))
 
 
 def _symbols(pairs) -> np.ndarray:
@@ -212,10 +260,9 @@ def learn_symbols(counts: DataFrame, path: str, ends: int) -> Symbols:
         enc = encoder(path)
         total = np.zeros(len(enc.bytes_of), np.int64)
         for pdf in batches:
-            for word, c, raw in zip(pdf["word"], pdf["c"], pdf["raw"]):
-                word = bytes(word if raw is None else raw)
-                ids = np.frombuffer(enc.ids(" " + word.decode("utf-8", "replace")), np.uint32)
-                np.add.at(total, ids, c)
+            words = [bytes(w if raw is None else raw) for w, raw in zip(pdf["word"], pdf["raw"])]
+            ids, sizes = ids_of(enc, words)
+            np.add.at(total, ids, np.repeat(pdf["c"].to_numpy(), sizes))
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"id": seen.astype(np.int32), "n": total[seen]})
 
@@ -246,11 +293,15 @@ def learned_from(training: DataFrame, path: str, symbols: Symbols, n_docs: int,
     turns = np.cumsum([part for part, _ in ROUNDS]) / sum(part for part, _ in ROUNDS)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, pairs = _WordSymbols(path, symbols), np.zeros(many * many, np.int64)
+        enc, pairs = encoder(path), np.zeros(many * many, np.int64)
         for pdf in batches:
             drawn, rounds, codes, size = [], [], [], 0
-            for row, text in zip(pdf["row"], pdf["text"]):
-                doc = _symbols([cache[w] for w in words_of(text)])
+            split = [words_of(text) for text in pdf["text"]]
+            ids, sizes = ids_of(enc, [w for own in split for w in own])
+            of_batch = symbols.symbol.take(ids)
+            ends = np.append(0, np.cumsum(sizes))[np.cumsum([len(own) for own in split])].tolist()
+            for row, start, end in zip(pdf["row"], [0, *ends], ends):
+                doc = np.append(of_batch[start:end], np.uint16(END))
                 codes.append(np.concatenate([[END], doc[:-1]]) * np.int64(many) + doc)
                 size += len(doc)
                 if size > SCORED_WORDS:
@@ -295,6 +346,7 @@ def learn_weights(windows: DataFrame, model: Attention, steps: int = STEPS) -> i
 
         def go_over(batches: Iterator[pd.DataFrame], turn=turn, rate=rate,
                     send=send) -> Iterator[pd.DataFrame]:
+            keep_freed()
             part, done = TaskContext.get().partitionId(), 0
             net = copy.deepcopy(send.value)     # others of this worker begin there as well
             adam, rng = Adam(net), np.random.default_rng([turn, part])
@@ -378,6 +430,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str, learn: Column, id_col:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, own, net = send.value
+        keep_freed()
         cache = _WordSymbols(tokenizer_path, own, common, tokens_and_words)
         names = ["n_tokens", "known", "log_sum", "rare", "logs", "score"]
         for pdf in batches:
@@ -386,6 +439,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str, learn: Column, id_col:
                 waiting.append(words_of(text))
                 size += len(waiting[-1]) + 1
                 if size > SCORED_WORDS or k == len(pdf):
+                    cache.add(waiting)
                     got = _scored(net, cache, waiting, ends)
                     yield pd.concat([
                         pdf[["row", "doc_id", "learn"]].iloc[at:k].reset_index(drop=True),
